@@ -7,6 +7,8 @@ Each statement starts from the driver's pre-registered views (``documents``,
 
 from __future__ import annotations
 
+from . import schema as _S
+
 # media_files over documents (FIXTURES.md §3); i = doc_id, k = i // 2, n = n_chars.
 MEDIA_FILES = r"""
 mf_base AS (
@@ -100,6 +102,140 @@ _DUP_MEMBERS = f"""dup_members AS (
 )"""
 
 
+# --- catalog reports -------------------------------------------------------------
+
+RAW_SQL = ", ".join(f"'{e}'" for e in _S.RAW_EXTENSIONS)
+OLD_CODECS_SQL = ", ".join(f"'{c}'" for c in _S.OUTDATED_CODECS)
+OLD_FORMATS_SQL = ", ".join(f"'{c}'" for c in _S.OUTDATED_FORMATS)
+
+REPORT_COLS = ("file_path, file_name, file_size, media_type, duration, bit_rate, "
+               "CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS resolution, codec_name")
+
+# Path helpers in DuckDB (same rules as medialake.functions.paths).
+def dirname_sql(p: str) -> str:
+    return (f"(CASE WHEN NOT contains({p}, '/') THEN '' "
+            f"WHEN regexp_extract({p}, '(?s)^(.*)/[^/]*$', 1) = '' AND starts_with({p}, '/') THEN '/' "
+            f"ELSE regexp_extract({p}, '(?s)^(.*)/[^/]*$', 1) END)")
+
+
+def basename_sql(p: str) -> str:
+    return f"regexp_extract({p}, '([^/]*)$', 1)"
+
+
+def stem_sql(p: str) -> str:
+    n = basename_sql(p)
+    return (f"(CASE WHEN regexp_extract({n}, '(?s)^(.*[^.].*)(\\.[^.]*)$', 1) = '' THEN {n} "
+            f"ELSE regexp_extract({n}, '(?s)^(.*[^.].*)(\\.[^.]*)$', 1) END)")
+
+
+def ext_sql(p: str) -> str:
+    return f"regexp_extract({basename_sql(p)}, '(?s)^(.*[^.].*)(\\.[^.]*)$', 2)"
+
+
+def _report_sql(q: dict[str, str]) -> None:
+    raw_where = (f"NOT is_corrupted AND media_type = 'image' "
+                 f"AND lower(right(file_path, 4)) IN ({RAW_SQL})")
+    old_where = (f"NOT is_corrupted AND media_type = 'video' AND (codec_name IN ({OLD_CODECS_SQL}) "
+                 f"OR format_name IN ({OLD_FORMATS_SQL}))")
+    q["raw_files"] = with_media(f"SELECT {REPORT_COLS} FROM media_files WHERE {raw_where}")
+    q["raw_by_extension"] = with_media(
+        f"""SELECT lower({ext_sql('file_path')}) AS extension, count(*) AS files,
+                   CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size
+            FROM media_files WHERE {raw_where} GROUP BY 1""")
+    q["outdated_videos"] = with_media(
+        f"""SELECT {REPORT_COLS}, format_name,
+                   coalesce(nullif(codec_name, ''), 'N/A') ||
+                   CASE WHEN format_name IN ({OLD_FORMATS_SQL})
+                        THEN ' (format: ' || format_name || ')' ELSE '' END AS codec_label
+            FROM media_files WHERE {old_where}""")
+    q["outdated_by_codec_format"] = with_media(
+        f"""SELECT kind, name, count(*) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size
+            FROM (SELECT 'codec' AS kind, codec_name AS name, file_size FROM media_files
+                  WHERE {old_where} AND codec_name IN ({OLD_CODECS_SQL})
+                  UNION ALL
+                  SELECT 'format', format_name, file_size FROM media_files
+                  WHERE {old_where} AND format_name IN ({OLD_FORMATS_SQL}))
+            GROUP BY kind, name""")
+    q["corrupted_files"] = with_media(f"SELECT {REPORT_COLS} FROM media_files WHERE is_corrupted")
+    q["corrupted_by_type"] = with_media(
+        """SELECT media_type, count(*) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size
+           FROM media_files WHERE is_corrupted GROUP BY media_type""")
+    q["high_bitrate_export"] = with_media(
+        f"""SELECT {REPORT_COLS} FROM media_files
+            WHERE bit_rate IS NOT NULL AND bit_rate >= 15 * 1000000
+              AND file_size IS NOT NULL AND file_size >= 50 * 1024 * 1024 AND NOT is_corrupted""")
+    q["export_summary"] = with_media(
+        f"""SELECT count(*) AS files, count(*) FILTER (WHERE media_type = 'video') AS videos,
+                   count(*) FILTER (WHERE media_type = 'image') AS images,
+                   CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size,
+                   coalesce(sum(duration), 0.0) AS total_duration
+            FROM media_files WHERE {old_where}""")
+    q["library_stats"] = with_media(
+        """SELECT count(*) AS total_files,
+                  count(*) FILTER (WHERE media_type = 'video') AS video_files,
+                  count(*) FILTER (WHERE media_type = 'image') AS image_files,
+                  count(*) FILTER (WHERE is_corrupted) AS corrupted_files,
+                  count(*) FILTER (WHERE NOT is_corrupted) AS valid_files,
+                  CAST(coalesce(sum(file_size) FILTER (WHERE NOT is_corrupted), 0) AS BIGINT) AS total_size,
+                  coalesce(sum(duration) FILTER (WHERE NOT is_corrupted AND media_type = 'video'), 0.0)
+                    AS total_duration,
+                  round(CAST(coalesce(sum(file_size) FILTER (WHERE NOT is_corrupted), 0) AS DOUBLE)
+                        / (1024.0 * 1024 * 1024), 6) AS total_size_gb,
+                  round(coalesce(sum(duration) FILTER (WHERE NOT is_corrupted AND media_type = 'video'), 0.0)
+                        / 3600.0, 6) AS total_duration_hours
+           FROM media_files""")
+    codec_counts = """SELECT codec_name, count(*) AS count FROM media_files
+        WHERE NOT is_corrupted AND media_type = 'video' AND codec_name IS NOT NULL GROUP BY codec_name"""
+    res_counts = """SELECT width, height, count(*) AS count,
+           CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS resolution
+        FROM media_files WHERE NOT is_corrupted AND width > 0 AND height > 0 GROUP BY width, height"""
+    q["group_by_codec"] = with_media(codec_counts)
+    q["group_by_resolution"] = with_media(res_counts)
+    q["top_codecs"] = with_media(
+        f"""SELECT *, row_number() OVER (ORDER BY count DESC, codec_name) AS rank
+            FROM ({codec_counts}) ORDER BY count DESC, codec_name LIMIT 10""")
+    q["top_resolutions"] = with_media(
+        f"""SELECT *, row_number() OVER (ORDER BY count DESC, width, height) AS rank
+            FROM ({res_counts}) ORDER BY count DESC, width, height LIMIT 10""")
+    top_cols = ("file_path, file_name, file_size, duration, bit_rate, "
+                "CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS resolution, "
+                "codec_name, is_corrupted")
+
+    def top(where: str, key: str, k: int = 20) -> str:
+        return (f"SELECT *, row_number() OVER (ORDER BY {key} DESC, file_path) AS rank FROM "
+                f"(SELECT {top_cols}, {key} AS _k FROM media_files WHERE {where} "
+                f"ORDER BY {key} DESC, file_path LIMIT {k})")
+
+    q["largest_files"] = with_media(
+        top("file_size IS NOT NULL", "file_size").replace("SELECT *,", "SELECT * EXCLUDE (_k),", 1))
+    q["high_bitrate_top"] = with_media(
+        top("bit_rate IS NOT NULL AND bit_rate >= 10 * 1000000 AND NOT is_corrupted", "bit_rate")
+        .replace("SELECT *,", "SELECT * EXCLUDE (_k),", 1))
+    q["longest_files"] = with_media(
+        top("duration IS NOT NULL AND duration > 0 AND NOT is_corrupted", "duration")
+        .replace("SELECT *,", "SELECT * EXCLUDE (_k),", 1))
+    q["default_report"] = (
+        "SELECT *, 'largest' AS report FROM (" + q["largest_files"] + ")\nUNION ALL\n"
+        "SELECT *, 'high_bitrate' AS report FROM (" + q["high_bitrate_top"] + ")\nUNION ALL\n"
+        "SELECT *, 'longest' AS report FROM (" + q["longest_files"] + ")")
+    q["max_files"] = with_media(
+        "SELECT file_path, file_size FROM media_files ORDER BY file_path LIMIT 25")
+    d, s = dirname_sql("file_path"), stem_sql("file_path")
+    q["suffix_with_original"] = with_media(
+        f"""SELECT {REPORT_COLS}, original_base FROM (
+              SELECT *, left(_stem, length(_stem) - 5) AS original_base
+              FROM (SELECT *, {d} AS _dir, {s} AS _stem FROM media_files WHERE NOT is_corrupted)
+              WHERE ends_with(_stem, '_720p')) a
+            WHERE EXISTS (SELECT 1 FROM media_files b WHERE NOT b.is_corrupted
+                          AND {dirname_sql('b.file_path')} = a._dir
+                          AND {stem_sql('b.file_path')} = a.original_base)""")
+    q["catalog_scan"] = with_media(
+        "SELECT file_path, file_size, media_type FROM media_files WHERE NOT is_corrupted")
+    q["catalog_paths"] = with_media("SELECT DISTINCT file_path FROM media_files")
+    q["catalog_nonempty_guard"] = with_media(
+        "SELECT count(*) AS total_records, count(*) > 0 AS has_records FROM media_files")
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -133,4 +269,5 @@ def sql() -> dict[str, str]:
               WHERE copy_no > 0 AND contains(file_path, '{DUP_PATTERNS[0]}') GROUP BY file_hash
             ) d USING (file_hash)""",
         _HASHED, _DUP_GROUPS, _DUP_MEMBERS)
+    _report_sql(q)
     return q

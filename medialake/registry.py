@@ -62,3 +62,43 @@ def q_duplicate_delete_list(spark, sf):
 @register("wasted_space")
 def q_wasted_space(spark, sf):
     return dup.wasted_space(fx.media_files(spark, sf), PAT)
+
+
+# --- catalog reports ---------------------------------------------------------------
+
+from .operators import reports as rp  # noqa: E402
+
+
+def _cat(spark, sf):
+    return fx.media_files(spark, sf)
+
+
+_SIMPLE = {
+    "raw_files": rp.raw_files,
+    "raw_by_extension": rp.raw_by_extension,
+    "outdated_videos": lambda c: rp.outdated_videos(c).drop(),
+    "outdated_by_codec_format": rp.outdated_tags,
+    "corrupted_files": rp.corrupted_files,
+    "corrupted_by_type": rp.corrupted_by_type,
+    "high_bitrate_export": lambda c: rp.high_bitrate_export(c, 15, 50),
+    "export_summary": lambda c: rp.export_summary(rp.outdated_videos(c)),
+    "library_stats": rp.library_stats,
+    "group_by_codec": rp.codec_counts,
+    "group_by_resolution": rp.resolution_counts,
+    "top_codecs": lambda c: rp.top_codecs(c, 10),
+    "top_resolutions": lambda c: rp.top_resolutions(c, 10),
+    "largest_files": lambda c: rp.largest_files(c, 20),
+    "high_bitrate_top": lambda c: rp.high_bitrate_top(c, 10, 20),
+    "longest_files": lambda c: rp.longest_files(c, 20),
+    "default_report": lambda c: rp.default_report(c, 10, 20),
+    "max_files": lambda c: rp.first_files(c, 25),
+    "suffix_with_original": lambda c: rp.suffix_with_original(c, "_720p"),
+    "catalog_scan": lambda c: c.where("NOT is_corrupted").select(
+        "file_path", "file_size", "media_type"),
+    "catalog_paths": lambda c: c.select("file_path").distinct(),
+    "catalog_nonempty_guard": lambda c: c.agg(F.count(F.lit(1)).alias("total_records"))
+        .withColumn("has_records", F.col("total_records") > 0),
+}
+
+for _name, _fn in _SIMPLE.items():
+    register(_name)(lambda spark, sf, _fn=_fn: _fn(_cat(spark, sf)))
