@@ -236,6 +236,117 @@ def _report_sql(q: dict[str, str]) -> None:
         "SELECT count(*) AS total_records, count(*) > 0 AS has_records FROM media_files")
 
 
+# --- formatting in DuckDB (same rules as medialake.functions.formats) ---------------
+
+def size_label_sql(x: str, units=("B", "KB", "MB", "GB", "TB"), last="PB") -> str:
+    parts = []
+    for k, u in enumerate(units):
+        parts.append(f"WHEN CAST({x} AS DOUBLE) < {float(1024 ** (k + 1))} THEN "
+                     f"printf('%.1f {u}', round_even(CAST({x} AS DOUBLE) / {float(1024 ** k)}, 1))")
+    return (f"(CASE WHEN {x} IS NULL THEN 'N/A' " + " ".join(parts) +
+            f" ELSE printf('%.1f {last}', round_even(CAST({x} AS DOUBLE) / {float(1024 ** len(units))}, 1)) END)")
+
+
+def bitrate_label_sql(x: str) -> str:
+    b = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN 'N/A' "
+            f"WHEN {b} < 1000000 THEN printf('%.1f kbit/s', round_even({b} / 100.0, 0) / 10.0) "
+            f"WHEN {b} < 1000000000 THEN printf('%.1f Mbit/s', round_even({b} / 100000.0, 0) / 10.0) "
+            f"ELSE printf('%.1f Gbit/s', round_even({b} / 100000000.0, 0) / 10.0) END)")
+
+
+def duration_label_sql(x: str) -> str:
+    d = f"CAST({x} AS DOUBLE)"
+    h, m, s = f"floor({d} / 3600)", f"floor(({d} - 3600 * floor({d} / 3600)) / 60)", \
+        f"floor({d} - 60 * floor({d} / 60))"
+    return (f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN 'N/A' "
+            f"WHEN {h} > 0 THEN printf('%02d:%02d:%02d', CAST({h} AS BIGINT), CAST({m} AS BIGINT), CAST({s} AS BIGINT)) "
+            f"ELSE printf('%02d:%02d', CAST({m} AS BIGINT), CAST({s} AS BIGINT)) END)")
+
+
+# --- directory rollup --------------------------------------------------------------
+
+def ancestors_sql(d: str) -> str:
+    return (f"list_transform(range(2, len(string_split({d}, '/')) + 1), "
+            f"lambda i: array_to_string(string_split({d}, '/')[1:i], '/'))")
+
+
+_DIR_CTES = (
+    f"""dfiles AS (
+  SELECT {dirname_sql('file_path')} AS dir, file_size, media_type FROM media_files WHERE NOT is_corrupted
+)""",
+    """ddirs AS (SELECT DISTINCT dir FROM dfiles)""",
+    f"""danc AS (SELECT DISTINCT unnest({ancestors_sql('dir')}) AS a FROM ddirs)""",
+    """droot AS (
+  SELECT a AS root FROM danc
+  WHERE (SELECT count(*) FROM ddirs WHERE dir = a OR starts_with(dir, a || '/')) = (SELECT count(*) FROM ddirs)
+  ORDER BY length(a) DESC LIMIT 1
+)""",
+    """dtree AS (SELECT a AS dir_path FROM danc, droot WHERE a = root OR starts_with(a, root || '/'))""",
+    """drollup AS (
+  SELECT t.dir_path,
+         count(*) AS total_files,
+         count(*) FILTER (WHERE media_type = 'image') AS images,
+         count(*) FILTER (WHERE media_type = 'video') AS videos,
+         count(*) FILTER (WHERE media_type IS NULL OR media_type NOT IN ('image', 'video')) AS other_files,
+         CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size,
+         count(*) FILTER (WHERE f.dir = t.dir_path) AS direct_files,
+         CAST(coalesce(sum(file_size) FILTER (WHERE f.dir = t.dir_path), 0) AS BIGINT) AS direct_size
+  FROM dtree t JOIN dfiles f ON f.dir = t.dir_path OR starts_with(f.dir, t.dir_path || '/')
+  GROUP BY t.dir_path
+)""",
+    f"""dfull AS (
+  SELECT r.*, length(r.dir_path) - length(replace(r.dir_path, '/', '')) AS depth,
+         (SELECT count(*) FROM dtree c WHERE {dirname_sql('c.dir_path')} = r.dir_path
+                                        AND c.dir_path <> r.dir_path) AS subdirs_count,
+         CASE WHEN r.dir_path = (SELECT root FROM droot) THEN NULL
+              ELSE {dirname_sql('r.dir_path')} END AS parent_path
+  FROM drollup r
+)""",
+)
+
+
+def _dir_sql(q: dict[str, str]) -> None:
+    q["dir_direct_stats"] = with_media(
+        """SELECT dir AS dir_path, count(*) AS total_files,
+                  count(*) FILTER (WHERE media_type = 'image') AS images,
+                  count(*) FILTER (WHERE media_type = 'video') AS videos,
+                  count(*) FILTER (WHERE media_type IS NULL OR media_type NOT IN ('image', 'video')) AS other_files,
+                  CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size
+           FROM dfiles GROUP BY dir""", *_DIR_CTES)
+    q["common_root"] = with_media("SELECT root FROM droot", *_DIR_CTES)
+    q["dir_rollup"] = with_media(
+        """SELECT dir_path, depth, direct_files, direct_size, total_files, images, videos,
+                  other_files, total_size, subdirs_count, parent_path FROM dfull""", *_DIR_CTES)
+    q["dir_subdir_count"] = with_media(
+        "SELECT dir_path, subdirs_count FROM dfull WHERE subdirs_count > 0", *_DIR_CTES)
+    q["dir_parent_edges"] = with_media(
+        "SELECT parent_path, dir_path FROM dfull WHERE parent_path IS NOT NULL", *_DIR_CTES)
+    q["largest_dirs"] = with_media(
+        """SELECT row_number() OVER (ORDER BY total_size DESC, depth, dir_path) AS rank,
+                  dir_path, total_size, total_files,
+                  greatest((SELECT count(*) FROM dfull) - 5, 0) AS remaining_dirs
+           FROM (SELECT * FROM dfull ORDER BY total_size DESC, depth, dir_path LIMIT 5)""",
+        *_DIR_CTES)
+    plural = lambda n, w: f"CAST({n} AS VARCHAR) || ' {w}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END"
+    q["tree_preorder"] = with_media(
+        f"""SELECT dir_path, string_split(dir_path, '/') AS order_key,
+                  dir_path || '/ ' || CASE WHEN total_files = 0 THEN '[empty]' ELSE
+                    '[' || concat_ws(', ',
+                       CASE WHEN subdirs_count > 0 THEN {plural('subdirs_count', 'dir')} END,
+                       CASE WHEN images > 0 THEN {plural('images', 'image')} END,
+                       CASE WHEN videos > 0 THEN {plural('videos', 'video')} END,
+                       CASE WHEN other_files > 0 THEN {plural('other_files', 'file')} END,
+                       {size_label_sql('total_size')}) || ']' END AS line
+           FROM dfull""", *_DIR_CTES)
+    q["root_directories"] = with_media(
+        """SELECT dir_path FROM cand c
+           WHERE NOT EXISTS (SELECT 1 FROM cand p WHERE p.dir_path <> '/'
+                             AND starts_with(c.dir_path, p.dir_path || '/'))""",
+        *_DIR_CTES,
+        """cand AS (SELECT DISTINCT dir AS dir_path FROM dfiles WHERE dir <> (SELECT root FROM droot))""")
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -270,4 +381,5 @@ def sql() -> dict[str, str]:
             ) d USING (file_hash)""",
         _HASHED, _DUP_GROUPS, _DUP_MEMBERS)
     _report_sql(q)
+    _dir_sql(q)
     return q

@@ -102,3 +102,36 @@ _SIMPLE = {
 
 for _name, _fn in _SIMPLE.items():
     register(_name)(lambda spark, sf, _fn=_fn: _fn(_cat(spark, sf)))
+
+
+# --- directory rollup -----------------------------------------------------------
+
+from .operators import directories as dr  # noqa: E402
+
+
+def _tree(spark, sf):
+    return dr.directory_tree(_cat(spark, sf))
+
+
+register("dir_direct_stats")(lambda spark, sf: dr.direct_stats(_cat(spark, sf)))
+register("dir_rollup")(_tree)
+register("dir_subdir_count")(lambda spark, sf: _tree(spark, sf).where("subdirs_count > 0")
+                             .select("dir_path", "subdirs_count"))
+register("dir_parent_edges")(lambda spark, sf: _tree(spark, sf).where("parent_path IS NOT NULL")
+                             .select("parent_path", "dir_path"))
+register("largest_dirs")(lambda spark, sf: dr.largest_dirs(_tree(spark, sf), 5))
+register("tree_preorder")(lambda spark, sf: dr.tree_lines(dr.preorder(_tree(spark, sf))))
+
+
+@register("common_root")
+def q_common_root(spark, sf):
+    direct = dr.direct_stats(_cat(spark, sf))
+    return direct.agg(dr.common_root_expr(direct).alias("root"))
+
+
+@register("root_directories")
+def q_root_directories(spark, sf):
+    direct = dr.direct_stats(_cat(spark, sf))
+    root = direct.agg(dr.common_root_expr(direct).alias("root")).scalar()
+    dirs = direct.where(F.col("dir_path") != root).select("dir_path")
+    return dr.root_directories(dirs)
