@@ -229,3 +229,18 @@ def suffix_with_original(catalog: DataFrame, suffix: str) -> DataFrame:
     hit = with_suffix.join(originals, (F.col("_dir") == F.col("o_dir"))
                            & (F.col("original_base") == F.col("o_stem")), "left_semi")
     return with_resolution(hit).select(*REPORT_COLUMNS, "original_base")
+
+
+# --- missing dates ------------------------------------------------------------------
+
+def no_creation_date(catalog: DataFrame) -> DataFrame:
+    """Valid files without a creation date, with candidate dates as text:
+    ``path_date`` (H10), ``mtime_date`` (catalog mtime, UTC) and ``suggested_date``
+    (path first, as the suggestion list writes it)."""
+    from ..functions import dates as D
+    rows = with_resolution(valid(catalog).where(F.col("creation_date").isNull()))
+    path_date = D.ts_text(D.datetime_from_path(F.col("file_path")))
+    mtime_date = D.ts_text(D.epoch_to_naive_utc(F.col("modified_at")))
+    return rows.select(*REPORT_COLUMNS, path_date.alias("path_date"),
+                       mtime_date.alias("mtime_date"),
+                       F.coalesce(path_date, mtime_date).alias("suggested_date"))

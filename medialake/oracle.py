@@ -347,6 +347,145 @@ def _dir_sql(q: dict[str, str]) -> None:
         """cand AS (SELECT DISTINCT dir AS dir_path FROM dfiles WHERE dir <> (SELECT root FROM droot))""")
 
 
+# --- dates in DuckDB (same rules as medialake.functions.dates) ----------------------
+
+from .functions import dates as _D  # noqa: E402
+
+
+def ts_sql(y: str, mo: str, d: str, h: str = "0", mi: str = "0", s: str = "0") -> str:
+    return (f"(CASE WHEN {y} >= 1 AND {h} <= 23 AND {mi} <= 59 AND {s} <= 59 THEN "
+            f"try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', {y}, {mo}, {d}, {h}, {mi}, {s}) "
+            f"AS TIMESTAMP) END)")
+
+
+def _lit(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def groups_ts_sql(text: str, pattern: str, first: int = 1) -> str:
+    g = [f"try_cast(regexp_extract({text}, {_lit(pattern)}, {first + j}) AS INTEGER)" for j in range(6)]
+    return f"(CASE WHEN regexp_matches({text}, {_lit(pattern)}) THEN {ts_sql(*g)} END)"
+
+
+def path_date_sql(p: str) -> str:
+    name = basename_sql(p)
+    tries = [groups_ts_sql(name, pat) for pat in _D.PATH_NAME_PATTERNS]
+    parts = f"list_concat(['/'], list_filter(string_split({p}, '/'), lambda s: s <> ''))"
+    dp, mp = _lit(_D.PATH_DAY_PATTERN), _lit(_D.PATH_MONTH_PATTERN)
+    day = (f"CASE WHEN regexp_matches(c, {dp}) THEN " +
+           ts_sql(*(f"try_cast(regexp_extract(c, {dp}, {j}) AS INTEGER)" for j in (1, 2, 3))) + " END")
+    month = (f"CASE WHEN regexp_matches(c, {mp}) THEN " +
+             ts_sql(f"try_cast(regexp_extract(c, {mp}, 1) AS INTEGER)",
+                    f"try_cast(regexp_extract(c, {mp}, 2) AS INTEGER)", "1") + " END")
+    lo, hi = _D.PATH_YEAR_RANGE
+    year = (f"CASE WHEN regexp_matches(c, {_lit(_D.PATH_YEAR_PATTERN)}) "
+            f"AND try_cast(c AS INTEGER) BETWEEN {lo} AND {hi} THEN "
+            + ts_sql("try_cast(c AS INTEGER)", "1", "1") + " END")
+    for fn in (day, month, year):
+        tries.append(f"list_filter(list_transform({parts}, lambda c: {fn}), lambda x: x IS NOT NULL)[1]")
+    return "coalesce(" + ", ".join(tries) + ")"
+
+
+def name_date_sql(n: str) -> str:
+    tries = []
+    for pat in _D.NAME_PATTERNS:
+        ipat = "(?i)" + pat
+        if pat.startswith("(IMG|VID)"):
+            tries.append(f"(CASE WHEN regexp_extract({n}, {_lit(ipat)}, 1) IN ('IMG', 'VID') THEN "
+                         f"{groups_ts_sql(n, ipat, 2)} END)")
+        else:
+            tries.append(groups_ts_sql(n, ipat, 1))
+    return "coalesce(" + ", ".join(tries) + ")"
+
+
+def ts_text_sql(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+def epoch_text_sql(x: str) -> str:
+    return ts_text_sql(f"(TIMESTAMP '1970-01-01 00:00:00' + to_microseconds(CAST(round({x} * 1000000) AS BIGINT)))")
+
+
+# assets over events (FIXTURES.md §3)
+ASSETS = r"""
+assets AS (
+  SELECT CAST(event_id AS VARCHAR) AS id,
+         CASE WHEN event_id % 10 < 8 THEN 'IMAGE' ELSE 'VIDEO' END AS type,
+         event_id % 23 = 0 AS isTrashed,
+         CASE event_id % 4
+           WHEN 0 THEN 'IMG_2018' || lpad(CAST(1 + event_id % 13 AS VARCHAR), 2, '0')
+                       || lpad(CAST(1 + event_id % 31 AS VARCHAR), 2, '0') || '_213006.jpg'
+           WHEN 1 THEN '2018-' || lpad(CAST(1 + event_id % 13 AS VARCHAR), 2, '0') || '-'
+                       || lpad(CAST(1 + event_id % 31 AS VARCHAR), 2, '0') || ' 21-30-06.JPG'
+           WHEN 2 THEN '2021-' || lpad(CAST(1 + event_id % 13 AS VARCHAR), 2, '0') || '-'
+                       || lpad(CAST(1 + event_id % 31 AS VARCHAR), 2, '0') || 'T12:22:19.mp4'
+           ELSE 'DSC_' || event_id || '.jpg' END AS originalFileName,
+         CASE WHEN event_id % 11 = 0 THEN NULL
+              ELSE [1179, 2556, 1185, 1920, 1290][CAST(event_id % 5 AS INTEGER) + 1] END AS width,
+         CASE WHEN event_id % 11 = 0 THEN NULL
+              ELSE [2556, 1179, 2550, 1080, 2796][CAST(event_id % 5 AS INTEGER) + 1] END AS height,
+         CASE WHEN event_id % 13 = 0 THEN NULL
+              WHEN event_id % 29 = 0 THEN 'n/a'
+              WHEN event_id % 3 = 0 THEN '2025' || substr(strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00', 5)
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS dateTimeOriginal,
+         event_type AS album
+  FROM events
+)"""
+
+
+def with_assets(body: str, *extra: str) -> str:
+    ctes = ",\n".join((ASSETS.strip(),) + tuple(c.strip() for c in extra))
+    return f"WITH {ctes}\n{body.strip()}"
+
+
+def _date_sql(q: dict[str, str]) -> None:
+    q["datetime_from_path"] = with_media(
+        f"SELECT file_path, {ts_text_sql(path_date_sql('file_path'))} AS path_date FROM media_files")
+    q["no_creation_date"] = with_media(
+        f"""SELECT {REPORT_COLS},
+                   {ts_text_sql(path_date_sql('file_path'))} AS path_date,
+                   {epoch_text_sql('modified_at')} AS mtime_date,
+                   coalesce({ts_text_sql(path_date_sql('file_path'))}, {epoch_text_sql('modified_at')})
+                     AS suggested_date
+            FROM media_files WHERE creation_date IS NULL AND NOT is_corrupted""")
+    q["datetime_from_filename"] = with_assets(
+        f"SELECT id, originalFileName, {ts_text_sql(name_date_sql('originalFileName'))} AS name_date FROM assets")
+    q["assets_scan"] = with_assets("SELECT id FROM assets WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'")
+    q["asset_detail"] = with_assets(
+        "SELECT id, type, originalFileName, width, height, dateTimeOriginal FROM assets")
+    q["album_assets"] = with_assets(
+        "SELECT id, originalFileName FROM assets WHERE NOT coalesce(isTrashed, false) AND album = 'purchase'")
+    match = ("((abs(width - 1179) <= 10 AND abs(height - 2556) <= 10) OR "
+             "(abs(height - 1179) <= 10 AND abs(width - 2556) <= 10))")
+    q["resolution_match"] = with_assets(
+        f"""SELECT id FROM assets WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'
+            AND width IS NOT NULL AND height IS NOT NULL AND {match}""")
+    q["resolution_match_counts"] = with_assets(
+        f"""SELECT count(*) AS scanned,
+                   count(*) FILTER (WHERE width IS NOT NULL AND height IS NOT NULL AND {match}) AS matched,
+                   count(*) FILTER (WHERE width IS NULL OR height IS NULL) AS no_size
+            FROM assets WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'""")
+    year = ("CASE WHEN dateTimeOriginal IS NOT NULL AND dateTimeOriginal <> '' "
+            "THEN try_cast(substr(dateTimeOriginal, 1, 4) AS INTEGER) END")
+    q["target_year_filter"] = with_assets(
+        f"SELECT id, exif_year FROM (SELECT id, {year} AS exif_year FROM assets) WHERE exif_year = 2025")
+    nd = name_date_sql("originalFileName")
+    q["date_from_name_plan"] = with_assets(
+        f"""SELECT id AS asset_id, originalFileName, dateTimeOriginal AS old_date, exif_year,
+                   CASE WHEN dateTimeOriginal IS NULL OR dateTimeOriginal = '' THEN 'no_exif_date'
+                        WHEN exif_year IS NULL THEN 'bad_exif_year'
+                        WHEN exif_year <> 2025 THEN 'other_year'
+                        WHEN {nd} IS NULL THEN 'no_name_date'
+                        ELSE 'update' END AS status,
+                   CASE WHEN exif_year = 2025 THEN strftime({nd}, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS new_date
+            FROM (SELECT *, {year} AS exif_year FROM assets
+                  WHERE NOT coalesce(isTrashed, false) AND album = 'purchase')""")
+    q["album_by_resolution_plan"] = with_assets(
+        f"""SELECT 'Screenshots' AS album_name, id AS asset_id FROM assets
+            WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'
+              AND width IS NOT NULL AND height IS NOT NULL AND {match}""")
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -382,4 +521,5 @@ def sql() -> dict[str, str]:
         _HASHED, _DUP_GROUPS, _DUP_MEMBERS)
     _report_sql(q)
     _dir_sql(q)
+    _date_sql(q)
     return q

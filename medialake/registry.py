@@ -135,3 +135,32 @@ def q_root_directories(spark, sf):
     root = direct.agg(dr.common_root_expr(direct).alias("root")).scalar()
     dirs = direct.where(F.col("dir_path") != root).select("dir_path")
     return dr.root_directories(dirs)
+
+
+# --- dates and assets -------------------------------------------------------------
+
+from .functions import dates as D  # noqa: E402
+from .operators import assets as A  # noqa: E402
+from .plans import album_by_resolution as K8  # noqa: E402
+from .plans import date_from_name as K7  # noqa: E402
+
+register("datetime_from_path")(lambda spark, sf: _cat(spark, sf).select(
+    "file_path", D.ts_text(D.datetime_from_path(F.col("file_path"))).alias("path_date")))
+register("no_creation_date")(lambda spark, sf: rp.no_creation_date(_cat(spark, sf)))
+register("datetime_from_filename")(lambda spark, sf: fx.assets(spark, sf).select(
+    "id", "originalFileName",
+    D.ts_text(D.datetime_from_filename(F.col("originalFileName"))).alias("name_date")))
+register("assets_scan")(lambda spark, sf: A.live_assets(fx.assets(spark, sf), "IMAGE").select("id"))
+register("asset_detail")(lambda spark, sf: A.asset_detail(fx.assets(spark, sf)))
+register("album_assets")(lambda spark, sf: A.album_assets(
+    fx.album_members(spark, sf), fx.assets(spark, sf), "purchase").select("id", "originalFileName"))
+register("resolution_match")(lambda spark, sf: K8.matching_images(
+    fx.assets(spark, sf), "1179x2556").where("matches").select("id"))
+register("resolution_match_counts")(lambda spark, sf: K8.match_counts(
+    fx.assets(spark, sf), "1179x2556"))
+register("target_year_filter")(lambda spark, sf: A.target_year_filter(
+    fx.assets(spark, sf), 2025).select("id", "exif_year"))
+register("date_from_name_plan")(lambda spark, sf: K7.date_from_name_plan(
+    fx.album_members(spark, sf), fx.assets(spark, sf), "purchase", 2025))
+register("album_by_resolution_plan")(lambda spark, sf: K8.album_plan(
+    fx.assets(spark, sf), "1179x2556", "Screenshots"))
