@@ -57,13 +57,26 @@ media_files AS (
     CASE WHEN NOT video OR corrupt THEN NULL
          WHEN ext = 'mp4' THEN CASE WHEN k % 3 = 0 THEN 'hevc' ELSE 'h264' END
          WHEN ext = 'avi' THEN 'mjpeg' ELSE 'mpeg2video' END AS codec_name,
+    CASE WHEN NOT video OR corrupt THEN NULL
+         WHEN ext = 'mp4' THEN CASE WHEN k % 3 = 0 THEN 'H.265 / HEVC (High Efficiency Video Coding)'
+                                    ELSE 'H.264 / AVC / MPEG-4 AVC / MPEG-4 part 10' END
+         WHEN ext = 'avi' THEN 'Motion JPEG' ELSE 'MPEG-2 video' END AS codec_long_name,
     CASE WHEN video AND NOT corrupt THEN (n % 40) * 1000000 END AS bit_rate,
     CASE WHEN video AND NOT corrupt THEN CAST(24 + i % 7 AS DOUBLE) END AS frame_rate,
     CASE WHEN corrupt THEN NULL
          WHEN ext = 'mp4' THEN 'mov,mp4,m4a,3gp,3g2,mj2'
          WHEN ext = 'avi' THEN 'avi' WHEN ext = 'mpg' THEN 'mpeg'
          WHEN ext = 'jpg' THEN 'jpeg' ELSE lower(ext) END AS format_name,
+    CASE WHEN corrupt THEN NULL
+         WHEN ext = 'mp4' THEN 'QuickTime / MOV'
+         WHEN ext = 'avi' THEN 'AVI (Audio Video Interleaved)'
+         WHEN ext = 'mpg' THEN 'MPEG-PS (MPEG-2 Program Stream)'
+         WHEN ext = 'jpg' THEN 'JPEG Image' ELSE upper(ext) || ' RAW Image' END AS format_long_name,
     corrupt AS is_corrupted,
+    CASE WHEN NOT corrupt THEN NULL
+         WHEN video THEN 'ffprobe error: moov atom not found'
+         ELSE 'Critical image corruption: cannot identify image file' END AS error_message,
+    TIMESTAMP '2024-01-15 10:30:00' AS analyzed_at,
     CAST(1600000000 + i * 3600 AS DOUBLE) AS modified_at
   FROM mf_parts
 )"""
@@ -486,6 +499,106 @@ def _date_sql(q: dict[str, str]) -> None:
               AND width IS NOT NULL AND height IS NOT NULL AND {match}""")
 
 
+# --- ingest (expected results from the catalog the scan records were rendered from) --
+
+RUN_CLOCK = "2024-02-01 00:00:00"
+CATALOG_COLS = ("file_path, file_name, file_size, file_hash, media_type, creation_date, duration, "
+                "width, height, codec_name, codec_long_name, bit_rate, frame_rate, format_name, "
+                "format_long_name, is_corrupted, error_message, analyzed_at, modified_at")
+
+_NEW_FILES = f"""newf AS (
+  SELECT {dirname_sql('file_path')} || '/new_' || id || '.jpg' AS file_path,
+         'new_' || id || '.jpg' AS file_name, file_size, file_hash AS content_md5,
+         id % 30 = 0 AS c30, id % 30 <> 0 AND id % 50 = 0 AS c50,
+         id % 30 <> 0 AND id % 50 <> 0 AND id % 20 = 0 AS c20, modified_at + 7 AS modified_at
+  FROM media_files WHERE id % 10 = 0
+)"""
+
+_NEW_ROWS = f"""new_rows AS (
+  SELECT file_path, file_name, file_size,
+         CASE WHEN c30 OR c50 THEN NULL ELSE content_md5 END AS file_hash,
+         'image' AS media_type,
+         CASE WHEN c30 OR c50 THEN NULL ELSE TIMESTAMP '2023-03-20 10:15:00' END AS creation_date,
+         CAST(NULL AS DOUBLE) AS duration,
+         CASE WHEN c30 OR c50 OR c20 THEN NULL ELSE 4000 END AS width,
+         CASE WHEN c30 OR c50 OR c20 THEN NULL ELSE 3000 END AS height,
+         CAST(NULL AS VARCHAR) AS codec_name, CAST(NULL AS VARCHAR) AS codec_long_name,
+         CAST(NULL AS BIGINT) AS bit_rate, CAST(NULL AS DOUBLE) AS frame_rate,
+         CASE WHEN c30 OR c50 OR c20 THEN 'jpg' ELSE 'jpeg' END AS format_name,
+         CASE WHEN c30 OR c50 OR c20 THEN 'JPG Image' ELSE 'JPEG Image' END AS format_long_name,
+         c30 OR c50 AS is_corrupted,
+         CASE WHEN c30 THEN 'Critical image corruption: image file is truncated (17 bytes not processed)'
+              WHEN c50 THEN 'PIL error (continuing with exiftool): unknown EXIF orientation tag | Exiftool also failed'
+              WHEN c20 THEN 'PIL error (continuing with exiftool): unknown EXIF orientation tag' END AS error_message,
+         TIMESTAMP '{RUN_CLOCK}' AS analyzed_at, modified_at
+  FROM newf
+)"""
+
+_REANALYZED = f"""reanalyzed AS (
+  SELECT file_path, file_name, file_size, file_hash, media_type, creation_date, duration, width, height,
+         codec_name, codec_long_name, bit_rate, frame_rate,
+         CASE WHEN is_corrupted AND media_type = 'image'
+              THEN lower(regexp_extract(file_name, '\\.([^.]*)$', 1)) ELSE format_name END AS format_name,
+         CASE WHEN is_corrupted AND raw
+              THEN upper(regexp_extract(file_name, '\\.([^.]*)$', 1)) || ' RAW Image'
+              WHEN is_corrupted AND media_type = 'image'
+              THEN upper(regexp_extract(file_name, '\\.([^.]*)$', 1)) || ' Image' ELSE format_long_name END
+           AS format_long_name,
+         is_corrupted AND NOT raw AS is_corrupted,
+         CASE WHEN raw THEN NULL ELSE error_message END AS error_message,
+         TIMESTAMP '{RUN_CLOCK}' AS analyzed_at,
+         modified_at + CASE WHEN id % 4 = 0 THEN 60 ELSE 0 END AS modified_at,
+         id % 4 = 0 AS touched
+  FROM (SELECT *, media_type = 'image' AND lower(right(file_path, 4)) IN ({RAW_SQL}) AS raw
+        FROM media_files)
+)"""
+
+
+def _ingest_sql(q: dict[str, str]) -> None:
+    ctes = (_NEW_FILES, _NEW_ROWS, _REANALYZED)
+    q["media_inventory"] = with_media(
+        f"""SELECT file_path, 'media' AS inventory_status FROM media_files
+            UNION ALL SELECT file_path, 'media' FROM newf
+            UNION ALL SELECT {dirname_sql('file_path')} || '/.DS_Store_' || id, 'nonmedia' FROM media_files WHERE id % 25 = 0
+            UNION ALL SELECT {dirname_sql('file_path')} || '/.thumbnails/t_' || id || '.jpg', 'hidden_dir' FROM media_files WHERE id % 25 = 0
+            UNION ALL SELECT {dirname_sql('file_path')} || '/notes_' || id || '.txt', 'nonmedia' FROM media_files WHERE id % 25 = 0""",
+        *ctes)
+    q["inventory_counts"] = with_media(
+        """SELECT count(*) FILTER (WHERE contains(file_path, 'Camera Uploads')) AS media_files,
+                  (SELECT 2 * count(*) FROM media_files WHERE id % 25 = 0) AS skipped_nonmedia,
+                  count(*) FILTER (WHERE NOT contains(file_path, 'Camera Uploads')) AS skipped_pattern
+           FROM (SELECT file_path FROM media_files UNION ALL SELECT file_path FROM newf)""", *ctes)
+    q["content_hash"] = with_media("SELECT file_path, md5(text) AS file_hash FROM mf_parts_paths",
+                                   """mf_parts_paths AS (
+  SELECT dir || '/' || stem || '.' || ext AS file_path, text FROM mf_parts)""")
+    q["probe_json_ingest"] = with_media(
+        """SELECT file_path, duration, width, height, codec_name, codec_long_name, bit_rate,
+                  format_name, format_long_name, frame_rate, creation_date
+           FROM media_files WHERE media_type = 'video' AND NOT is_corrupted""")
+    q["exif_json_ingest"] = with_media(
+        """SELECT file_path, creation_date FROM media_files WHERE media_type = 'image' AND NOT is_corrupted
+           UNION ALL SELECT file_path, TIMESTAMP '2023-03-20 10:15:00' FROM newf""", *ctes)
+    q["corruption_classes"] = with_media(
+        """SELECT file_path, is_corrupted, error_message FROM reanalyzed WHERE error_message IS NOT NULL
+           UNION ALL SELECT file_path, is_corrupted, error_message FROM new_rows WHERE error_message IS NOT NULL""",
+        *ctes)
+    q["incremental_skip"] = with_media(
+        "SELECT file_path FROM media_files WHERE id % 4 = 0 UNION ALL SELECT file_path FROM newf", *ctes)
+    build = f"""SELECT {CATALOG_COLS} FROM media_files WHERE id % 4 <> 0
+               UNION ALL SELECT {CATALOG_COLS} FROM reanalyzed WHERE touched
+               UNION ALL SELECT {CATALOG_COLS} FROM new_rows"""
+    q["incremental_catalog_build"] = with_media(build, *ctes)
+    q["stream_catalog_upsert"] = q["incremental_catalog_build"]
+    q["catalog_upsert"] = with_media(
+        f"""SELECT {CATALOG_COLS} FROM reanalyzed UNION ALL SELECT {CATALOG_COLS} FROM new_rows""", *ctes)
+    q["status_counters"] = with_media(
+        """SELECT (SELECT count(*) FROM media_files WHERE id % 4 = 0) + (SELECT count(*) FROM newf) AS processed,
+                  (SELECT count(*) FROM media_files WHERE id % 4 <> 0) AS skipped,
+                  (SELECT count(*) FROM reanalyzed WHERE touched AND is_corrupted)
+                    + (SELECT count(*) FROM new_rows WHERE is_corrupted) AS corrupted,
+                  0 AS errors""", *ctes)
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -522,4 +635,5 @@ def sql() -> dict[str, str]:
     _report_sql(q)
     _dir_sql(q)
     _date_sql(q)
+    _ingest_sql(q)
     return q

@@ -164,3 +164,68 @@ register("date_from_name_plan")(lambda spark, sf: K7.date_from_name_plan(
     fx.album_members(spark, sf), fx.assets(spark, sf), "purchase", 2025))
 register("album_by_resolution_plan")(lambda spark, sf: K8.album_plan(
     fx.assets(spark, sf), "1179x2556", "Screenshots"))
+
+
+# --- ingest -------------------------------------------------------------------------
+
+from . import schema as S  # noqa: E402
+from .operators import ingest as I  # noqa: E402
+from .sinks import catalog_store as CS  # noqa: E402
+
+RUN_CLOCK = oracle.RUN_CLOCK
+LIB_ROOT = "/library"
+
+
+def _scan(spark, sf):
+    return fx.scan_records(spark, sf)
+
+
+def _media_scan(spark, sf):
+    return I.media_inventory(_scan(spark, sf), LIB_ROOT).where("inventory_status = 'media'")
+
+
+register("media_inventory")(lambda spark, sf: I.media_inventory(_scan(spark, sf), LIB_ROOT)
+                            .select("file_path", "inventory_status"))
+register("inventory_counts")(lambda spark, sf: I.inventory_counts(
+    I.media_inventory(_scan(spark, sf), LIB_ROOT, "Camera Uploads")))
+register("content_hash")(lambda spark, sf: I.content_hash(fx.documents_content(spark, sf))
+                         .select("file_path", "file_hash"))
+
+
+@register("probe_json_ingest")
+def q_probe_json_ingest(spark, sf):
+    v = I.video_columns(F.col("probe_json"))
+    cols = ["duration", "width", "height", "codec_name", "codec_long_name", "bit_rate",
+            "format_name", "format_long_name", "frame_rate", "creation_date"]
+    return _scan(spark, sf).where(F.col("probe_json").isNotNull()).select(
+        "file_path", *[v[c].alias(c) for c in cols])
+
+
+register("exif_json_ingest")(lambda spark, sf: _scan(spark, sf).where(
+    F.col("exif_json").isNotNull()).select("file_path", I.exif_date(F.col("exif_json")).alias(
+        "creation_date")))
+register("corruption_classes")(lambda spark, sf: I.analyze(_media_scan(spark, sf), now=RUN_CLOCK)
+                               .where(F.col("error_message").isNotNull())
+                               .select("file_path", "is_corrupted", "error_message"))
+register("incremental_skip")(lambda spark, sf: I.incremental_skip(
+    _media_scan(spark, sf), _cat(spark, sf)).select("file_path"))
+
+_CATALOG_OUT = [c for c in S.MEDIA_COLUMNS if c != "id"]
+
+
+@register("incremental_catalog_build")
+def q_incremental_catalog_build(spark, sf):
+    new_catalog, _ = I.build_catalog(_cat(spark, sf), _scan(spark, sf), LIB_ROOT, now=RUN_CLOCK)
+    return new_catalog.select(*_CATALOG_OUT)
+
+
+@register("catalog_upsert")
+def q_catalog_upsert(spark, sf):
+    rows = I.analyze(_media_scan(spark, sf), now=RUN_CLOCK)
+    return I.upsert(_cat(spark, sf), rows).select(*_CATALOG_OUT)
+
+
+@register("status_counters")
+def q_status_counters(spark, sf):
+    _, status = I.build_catalog(_cat(spark, sf), _scan(spark, sf), LIB_ROOT, now=RUN_CLOCK)
+    return I.status_counters(status)

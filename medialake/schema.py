@@ -51,8 +51,10 @@ CRITICAL_IMAGE_ERRORS = (
     "invalid image file",
 )
 
-# Video probe failure kinds and their catalog messages.
-VIDEO_ERROR_KINDS = ("corrupted", "timeout", "no_stream")
+# Scan-record error kinds: the video probe failed (corrupted output, timeout, other
+# probe failure) or the image decoder failed (alone, or together with the EXIF read).
+VIDEO_ERROR_KINDS = ("corrupted", "timeout", "probe_failed")
+IMAGE_ERROR_KINDS = ("image_error", "image_error_exif_failed")
 
 # Dry-run size estimates: encoded video ~60 % of input, RAW -> JPEG ~30 %.
 VIDEO_ESTIMATE_RATIO = 0.6
@@ -101,6 +103,9 @@ SCAN_RECORDS_SCHEMA = T.StructType([
     T.StructField("content_md5", T.StringType()),
     T.StructField("probe_json", T.StringType()),
     T.StructField("exif_json", T.StringType()),
+    T.StructField("width", T.IntegerType()),
+    T.StructField("height", T.IntegerType()),
+    T.StructField("image_format", T.StringType()),
     T.StructField("error_kind", T.StringType()),
     T.StructField("error_text", T.StringType()),
 ])

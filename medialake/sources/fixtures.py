@@ -91,7 +91,9 @@ def media_files(spark: SparkSession, sf_dir: str, with_content: bool = False) ->
                 WHEN ext = 'jpg' THEN 'JPEG Image' ELSE concat(upper(ext), ' RAW Image') END
            AS format_long_name""",
         "corrupt AS is_corrupted",
-        "IF(corrupt, 'Video file is corrupted or unreadable', NULL) AS error_message",
+        """CASE WHEN NOT corrupt THEN NULL
+                WHEN video THEN 'ffprobe error: moov atom not found'
+                ELSE 'Critical image corruption: cannot identify image file' END AS error_message""",
         "TIMESTAMP_NTZ '2024-01-15 10:30:00' AS analyzed_at",
         "CAST(1600000000 + i * 3600 AS DOUBLE) AS modified_at",
         *(["text AS content"] if with_content else []),
@@ -104,11 +106,14 @@ def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan records of a re-scan: every catalog file, a quarter of them touched again
-    (mtime + 60 s), and one new ``new_{id}.jpg`` file per ten catalog files.
+    """Scan records of a re-scan below ``/library`` (schema ``SCAN_RECORDS_SCHEMA``).
 
-    Probe and EXIF documents are rendered from the catalog columns, so that parsing
-    them back (A7/A8) reproduces the catalog.
+    Every catalog file, a quarter of them touched again (mtime + 60 s); one new
+    ``new_{id}.jpg`` per ten catalog files (some with decoder errors: critical when
+    id % 30 = 0, harmless when id % 20 = 0, harmless but with a failed EXIF read
+    when id % 50 = 0); and per 25 files a hidden file, a file in a hidden directory
+    and a non-media file.  Probe and EXIF documents are rendered from the catalog
+    columns, so parsing them back (A7/A8) reproduces the catalog.
     """
     cat = media_files(spark, sf_dir)
     probe = F.to_json(F.struct(
@@ -122,14 +127,16 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.date_format("creation_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")))
              .alias("tags"),
         ).alias("format"),
-        F.array(F.struct(
-            F.lit("video").alias("codec_type"),
-            F.col("codec_name").alias("codec_name"),
-            F.col("codec_long_name").alias("codec_long_name"),
-            F.col("width").alias("width"),
-            F.col("height").alias("height"),
-            F.format_string("%d/1", F.col("frame_rate").cast("int")).alias("r_frame_rate"),
-        )).alias("streams"),
+        F.array(
+            F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name"),
+                     F.lit(None).cast("string").alias("codec_long_name"),
+                     F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"),
+                     F.lit("0/0").alias("r_frame_rate")),
+            F.struct(F.lit("video").alias("codec_type"), F.col("codec_name").alias("codec_name"),
+                     F.col("codec_long_name").alias("codec_long_name"),
+                     F.col("width").alias("width"), F.col("height").alias("height"),
+                     F.format_string("%d/1", F.col("frame_rate").cast("int")).alias("r_frame_rate")),
+        ).alias("streams"),
     ))
     exif = F.to_json(F.array(F.struct(
         F.date_format("creation_date", "yyyy:MM:dd HH:mm:ss").alias("DateTimeOriginal"),
@@ -137,24 +144,32 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("CreationDate"),
     )))
     is_video = F.col("media_type") == "video"
+    ok = ~F.col("is_corrupted")
     existing = cat.select(
         "file_path",
         "file_size",
         (F.col("modified_at") + F.when(F.col("id") % 4 == 0, 60.0).otherwise(0.0))
         .alias("modified_at"),
         F.col("file_hash").alias("content_md5"),
-        F.when(is_video & ~F.col("is_corrupted"), probe).alias("probe_json"),
-        F.when(~is_video & ~F.col("is_corrupted"), exif).alias("exif_json"),
-        F.when(F.col("is_corrupted"),
-               F.when(is_video, F.lit("corrupted")).otherwise(F.lit("image_error")))
+        F.when(is_video & ok, probe).alias("probe_json"),
+        F.when(~is_video & ok, exif).alias("exif_json"),
+        F.when(~is_video & ok, F.col("width")).alias("width"),
+        F.when(~is_video & ok, F.col("height")).alias("height"),
+        F.when(~is_video & ok & (F.col("format_name") == "jpeg"), F.lit("JPEG")).alias("image_format"),
+        F.when(~ok, F.when(is_video, F.lit("corrupted")).otherwise(F.lit("image_error")))
         .alias("error_kind"),
-        F.when(F.col("is_corrupted"),
-               F.when(is_video, F.lit("moov atom not found"))
+        F.when(~ok, F.when(is_video, F.lit("moov atom not found"))
                .otherwise(F.lit("cannot identify image file")))
         .alias("error_text"),
     )
-    new = cat.where(F.col("id") % 10 == 0).select(
-        F.concat(P.dirname(F.col("file_path")), F.lit("/new_"), F.col("id"), F.lit(".jpg"))
+    i = F.col("id")
+    new_kind = (F.when(i % 30 == 0, F.lit("image_error"))
+                .when(i % 50 == 0, F.lit("image_error_exif_failed"))
+                .when(i % 20 == 0, F.lit("image_error")))
+    new_text = (F.when(i % 30 == 0, F.lit("image file is truncated (17 bytes not processed)"))
+                .when((i % 50 == 0) | (i % 20 == 0), F.lit("unknown EXIF orientation tag")))
+    new = cat.where(i % 10 == 0).select(
+        F.concat(P.dirname(F.col("file_path")), F.lit("/new_"), i, F.lit(".jpg"))
         .alias("file_path"),
         "file_size",
         (F.col("modified_at") + 7.0).alias("modified_at"),
@@ -165,10 +180,31 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("2023:03:20 10:15:00").alias("CreateDate"),
             F.lit(None).cast("string").alias("CreationDate"),
         ))).alias("exif_json"),
-        F.lit(None).cast("string").alias("error_kind"),
-        F.lit(None).cast("string").alias("error_text"),
+        F.lit(4000).alias("width"),
+        F.lit(3000).alias("height"),
+        F.lit("JPEG").alias("image_format"),
+        new_kind.alias("error_kind"),
+        new_text.alias("error_text"),
     )
-    return existing.unionByName(new)
+    side = cat.where(i % 25 == 0)
+    d = P.dirname(F.col("file_path"))
+    extras = [
+        F.concat(d, F.lit("/.DS_Store_"), i),                       # hidden file
+        F.concat(d, F.lit("/.thumbnails/t_"), i, F.lit(".jpg")),     # file in hidden dir
+        F.concat(d, F.lit("/notes_"), i, F.lit(".txt")),             # not media
+    ]
+    noise = side.select(F.explode(F.array(*extras)).alias("file_path"),
+                        F.lit(100).cast("bigint").alias("file_size"),
+                        F.col("modified_at"),
+                        F.lit(None).cast("string").alias("content_md5"),
+                        F.lit(None).cast("string").alias("probe_json"),
+                        F.lit(None).cast("string").alias("exif_json"),
+                        F.lit(None).cast("int").alias("width"),
+                        F.lit(None).cast("int").alias("height"),
+                        F.lit(None).cast("string").alias("image_format"),
+                        F.lit(None).cast("string").alias("error_kind"),
+                        F.lit(None).cast("string").alias("error_text"))
+    return existing.unionByName(new).unionByName(noise)
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
