@@ -229,3 +229,19 @@ def q_catalog_upsert(spark, sf):
 def q_status_counters(spark, sf):
     _, status = I.build_catalog(_cat(spark, sf), _scan(spark, sf), LIB_ROOT, now=RUN_CLOCK)
     return I.status_counters(status)
+
+
+@register("stream_catalog_upsert")
+def q_stream_catalog_upsert(spark, sf):
+    """S1 end to end: land the scan records as files, stream them into a versioned
+    catalog seeded with the current catalog, return the final version."""
+    import uuid
+    from .session import shared_path
+    from .streaming import catalog_stream as ST
+    run = shared_path(spark, "stream-" + uuid.uuid4().hex)
+    records_dir, base, ckpt = f"{run}/records", f"{run}/catalog", f"{run}/checkpoint"
+    CS.write_version(_cat(spark, sf), base, 0)
+    _scan(spark, sf).repartition(4).write.parquet(records_dir)
+    q = ST.start(spark, records_dir, base, ckpt, LIB_ROOT, now=RUN_CLOCK, max_files_per_trigger=1)
+    q.awaitTermination()
+    return CS.read_current(spark, base).select(*_CATALOG_OUT)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .landing import landed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,17 @@ _EXT = """CASE
     ELSE 'mpg' END"""
 
 
-def media_files(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
+def _src(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media catalog as a stored table (landed once per source version)."""
+    return landed(spark, "media_files", [_src(sf_dir, "documents")],
+                  lambda: media_files_view(spark, sf_dir))
+
+
+def media_files_view(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
     """The media catalog (one row per document), schema ``schema.MEDIA_FILES_SCHEMA``.
 
     ``with_content`` appends the document text as ``content`` (the file bytes), so
@@ -102,10 +113,16 @@ def media_files(spark: SparkSession, sf_dir: str, with_content: bool = False) ->
 
 def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File content per catalog path: the document text stands in for the bytes."""
-    return media_files(spark, sf_dir, with_content=True).select("file_path", "content")
+    return media_files_view(spark, sf_dir, with_content=True).select("file_path", "content")
 
 
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan records as a stored table (landed once per source version)."""
+    return landed(spark, "scan_records", [_src(sf_dir, "documents")],
+                  lambda: scan_records_view(spark, sf_dir))
+
+
+def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan records of a re-scan below ``/library`` (schema ``SCAN_RECORDS_SCHEMA``).
 
     Every catalog file, a quarter of them touched again (mtime + 60 s); one new
@@ -247,6 +264,11 @@ def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- assets of the photo server, from events --------------------------------------
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asset records as a stored table (landed once per source version)."""
+    return landed(spark, "assets", [_src(sf_dir, "events")], lambda: assets_view(spark, sf_dir))
+
+
+def assets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset records (one per event), schema ``schema.ASSET_SCHEMA`` plus ``album``."""
     ev = table(spark, sf_dir, "events")
     e = F.col("event_id")

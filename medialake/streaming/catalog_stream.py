@@ -30,10 +30,11 @@ def process_batch(batch: DataFrame, batch_id: int, catalog_base: str, root: str,
 
 
 def start(spark: SparkSession, records_dir: str, catalog_base: str, checkpoint: str,
-          root: str, now: str | None = None, available_now: bool = True):
+          root: str, now: str | None = None, available_now: bool = True,
+          max_files_per_trigger: int = 64):
     """Start the stream; with ``available_now`` it processes what is there and stops."""
     stream = (spark.readStream.schema(S.SCAN_RECORDS_SCHEMA)
-              .option("maxFilesPerTrigger", 64).parquet(records_dir))
+              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(records_dir))
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: process_batch(df, bid, catalog_base, root, now))
               .option("checkpointLocation", checkpoint))
