@@ -599,6 +599,159 @@ def _ingest_sql(q: dict[str, str]) -> None:
                   0 AS errors""", *ctes)
 
 
+# --- plans ----------------------------------------------------------------------------
+
+_INVENTORY = f"""inventory AS (
+  SELECT file_path, file_size FROM media_files WHERE id % 9 <> 0
+  UNION ALL
+  SELECT {dirname_sql('file_path')} || '/' || {stem_sql('file_path')} || '_jpg.jpg',
+         CAST(file_size * 3 / 10 AS BIGINT)
+  FROM media_files WHERE id % 5 = 0 AND lower({ext_sql('file_path')}) IN ('.dng', '.cr2', '.nef')
+)"""
+_LISTED = """listed AS (SELECT id, file_path FROM media_files WHERE id % 2 = 0)"""
+
+
+def _plan_sql(q: dict[str, str]) -> None:
+    base = (_INVENTORY, _LISTED)
+    q["file_list_scan"] = with_media("SELECT file_path FROM listed", *base)
+    q["missing_files"] = with_media(
+        "SELECT file_path FROM listed WHERE file_path NOT IN (SELECT file_path FROM inventory)", *base)
+    q["directory_list_union"] = with_media(
+        f"SELECT {dirname_sql('file_path')} AS dir_path FROM listed UNION ALL SELECT '/library'", *base)
+    d = dirname_sql("l.file_path")
+    q["deletion_plan"] = with_media(
+        f"""SELECT l.file_path AS input_path,
+                   CASE WHEN i.file_path IS NULL THEN 'missing' ELSE 'delete' END AS status,
+                   i.file_size AS original_size,
+                   length({d}) - length(replace({d}, '/', '')) AS depth, {d} AS dir,
+                   {basename_sql('l.file_path')} AS name
+            FROM listed l LEFT JOIN inventory i USING (file_path)
+            WHERE contains(l.file_path, 'Camera Uploads')""", *base)
+    q["deletion_totals"] = with_media(
+        """SELECT count(i.file_path) AS files_to_delete,
+                  CAST(coalesce(sum(i.file_size), 0) AS BIGINT) AS bytes_to_free,
+                  count(*) - count(i.file_path) AS missing
+           FROM listed l LEFT JOIN inventory i USING (file_path)
+           WHERE contains(l.file_path, 'Camera Uploads')""", *base)
+    q["empty_dirs"] = with_media(
+        f"""SELECT DISTINCT e AS dir_path, len(list_filter(string_split(e, '/'), lambda x: x <> '')) + 1 AS parts
+            FROM (SELECT {dirname_sql('file_path')} || '/empty' || id AS e FROM media_files WHERE id % 50 = 0)
+            WHERE NOT EXISTS (SELECT 1 FROM media_files m
+                              WHERE {dirname_sql('m.file_path')} = e
+                                 OR starts_with({dirname_sql('m.file_path')}, e || '/'))""")
+    enc = f"""SELECT l.file_path AS input_path,
+                     {dirname_sql('l.file_path')} || '/' || {stem_sql('l.file_path')} || '_encoded'
+                       || {ext_sql('l.file_path')} AS output_path,
+                     'encode' AS status, i.file_size AS original_size,
+                     i.file_size * CAST(0.6 AS DOUBLE) AS estimated_size, false AS output_exists
+              FROM listed l JOIN inventory i USING (file_path)"""
+    q["encode_plan"] = with_media(enc, *base)
+    q["encode_totals"] = with_media(
+        """SELECT count(*) AS successes, 0 AS skipped, 0 AS errors,
+                  CAST(coalesce(sum(original_size), 0) AS BIGINT) AS original_bytes,
+                  round(coalesce(sum(estimated_size), 0.0), 2) AS estimated_bytes,
+                  CASE WHEN sum(original_size) > 0 THEN
+                    round((sum(original_size) - sum(estimated_size)) / sum(original_size) * 100, 6)
+                  ELSE 0.0 END AS percent_saved
+           FROM enc""", *base, f"enc AS ({enc})")
+    raw = f"""SELECT m.file_path AS input_path,
+                     CASE WHEN is_raw THEN {dirname_sql('m.file_path')} || '/' || {stem_sql('m.file_path')}
+                          || '_jpg.jpg' END AS output_path,
+                     i.file_size AS original_size, is_raw
+              FROM (SELECT *, lower({ext_sql('file_path')}) IN ({RAW_SQL}) AS is_raw FROM media_files
+                    WHERE media_type = 'image' AND NOT is_corrupted) m
+              JOIN inventory i USING (file_path)"""
+    rawp = """SELECT r.input_path, r.output_path,
+                     CASE WHEN NOT r.is_raw THEN 'filtered' WHEN o.file_path IS NOT NULL THEN 'skipped'
+                          ELSE 'convert' END AS status,
+                     r.original_size,
+                     CASE WHEN r.is_raw AND o.file_path IS NULL THEN r.original_size * CAST(0.3 AS DOUBLE) END AS estimated_size,
+                     o.file_path IS NOT NULL AS output_exists
+              FROM raw r LEFT JOIN inventory o ON o.file_path = r.output_path"""
+    q["raw_convert_plan"] = with_media(rawp, *base, f"raw AS ({raw})")
+    q["raw_convert_totals"] = with_media(
+        """SELECT count(*) FILTER (WHERE status = 'convert') AS successes,
+                  count(*) FILTER (WHERE status = 'skipped') AS skipped, 0 AS errors,
+                  CAST(coalesce(sum(original_size) FILTER (WHERE status = 'convert'), 0) AS BIGINT) AS original_bytes,
+                  round(coalesce(sum(estimated_size) FILTER (WHERE status = 'convert'), 0.0), 2) AS estimated_bytes,
+                  CASE WHEN sum(original_size) FILTER (WHERE status = 'convert') > 0 THEN
+                    round((sum(original_size) FILTER (WHERE status = 'convert')
+                           - sum(estimated_size) FILTER (WHERE status = 'convert'))
+                          / sum(original_size) FILTER (WHERE status = 'convert') * 100, 6)
+                  ELSE 0.0 END AS percent_saved
+           FROM rawp""", *base, f"raw AS ({raw})", f"rawp AS ({rawp})")
+    plan_size = lambda x: size_label_sql(x, ("B", "KB", "MB", "GB"), "TB")
+    q["conversion_log"] = with_media(
+        f"""SELECT input_path, output_path,
+                   'CONVERT_SUCCESS: ' || input_path || ' -> ' || output_path || ' | Size: '
+                   || {plan_size('original_size')} || ' -> ' || {plan_size('estimated_size')}
+                   || ' (-' || printf('%.1f', round_even((original_size - estimated_size) / original_size * 100, 1))
+                   || '%) | Resolution: Unknown | Duration: 00:00' AS message
+            FROM rawp WHERE status = 'convert'""", *base, f"raw AS ({raw})", f"rawp AS ({rawp})")
+    c8 = f"""SELECT file_path, file_name, media_type,
+                    coalesce({ts_text_sql(path_date_sql('file_path'))}, {epoch_text_sql('modified_at')}) AS suggested
+             FROM media_files WHERE creation_date IS NULL AND NOT is_corrupted"""
+    q["suggestion_list_scan"] = with_media("SELECT file_path, suggested FROM c8", *base, f"c8 AS ({c8})")
+    k6 = f"""SELECT c.file_path AS input_path, c.suggested,
+                    CASE WHEN lower({ext_sql('c.file_path')}) IN ('.mpg', '.mpeg', '.m2v', '.vob', '.dat')
+                         THEN 'unsupported_format' ELSE 'update' END AS status,
+                    CASE WHEN lower({ext_sql('c.file_path')}) IN ('.mpg', '.mpeg', '.m2v', '.vob', '.dat') THEN NULL
+                         WHEN c.media_type = 'image' THEN 'EXIF' ELSE 'Video Metadata' END AS method
+             FROM c8 c WHERE c.file_path IN (SELECT file_path FROM inventory)"""
+    q["creation_time_plan"] = with_media(k6, *base, f"c8 AS ({c8})")
+    q["creation_time_counters"] = with_media(
+        """SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'update') AS updated,
+                  0 AS skipped_has_metadata, 0 AS skipped_no_pattern,
+                  count(*) FILTER (WHERE status = 'unsupported_format') AS unsupported_format
+           FROM k6""", *base, f"c8 AS ({c8})", f"k6 AS ({k6})")
+    fl = f"""SELECT file_path AS source_path, file_name AS target_name, false AS renamed,
+                    '/library/' || file_name AS target_path, file_size
+             FROM media_files WHERE starts_with(file_path, '/library/')
+               AND {dirname_sql('file_path')} <> '/library'"""
+    q["flatten_plan"] = with_media(
+        "SELECT source_path, target_name, renamed, target_path FROM fl", f"fl AS ({fl})")
+    q["move_totals"] = with_media(
+        "SELECT count(*) AS moved, 0 AS conflicts, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size FROM fl",
+        f"fl AS ({fl})")
+    old_where = (f"NOT is_corrupted AND media_type = 'video' AND (codec_name IN ({OLD_CODECS_SQL}) "
+                 f"OR format_name IN ({OLD_FORMATS_SQL}))")
+    res = "CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR)"
+    rule = "#" + "=" * 100
+    body = f"""SELECT 1 AS section,
+                 '# ' || upper(coalesce(media_type, 'N/A')) || ' | ' || {size_label_sql('file_size')} || ' | '
+                 || CASE WHEN duration IS NOT NULL AND duration <> 0 THEN {duration_label_sql('duration')} ELSE 'N/A' END
+                 || ' | ' || CASE WHEN bit_rate IS NOT NULL AND bit_rate <> 0 THEN {bitrate_label_sql('bit_rate')} ELSE 'N/A' END
+                 || ' | ' || coalesce(nullif({res}, ''), 'N/A') || ' | ' || coalesce(nullif(codec_name, ''), 'N/A')
+                 || chr(10) || file_path || chr(10) AS block
+               FROM media_files WHERE {old_where}"""
+    stats = f"""SELECT count(*) AS n, count(*) FILTER (WHERE media_type = 'video') AS v,
+                       count(*) FILTER (WHERE media_type = 'image') AS i,
+                       coalesce(sum(file_size), 0) AS size, coalesce(sum(duration), 0.0) AS dur
+                FROM media_files WHERE {old_where}"""
+    q["export_list"] = with_media(
+        f"""{body}
+            UNION ALL
+            SELECT 0, '# List of video files with outdated codecs/formats' || chr(10) || '# Found ' || n
+                      || ' files' || chr(10) || '# Created: 2024-01-15 10:30:00' || chr(10) || '#' || chr(10)
+                      || '# Format: file_path | type | size | duration | bitrate | resolution | codec' || chr(10)
+                      || '{rule}' || chr(10) FROM st
+            UNION ALL
+            SELECT 2, '{rule}' || chr(10) || '# SUMMARY:' || chr(10) || '# Total files: ' || n
+                      || CASE WHEN v > 0 OR i > 0 THEN printf(' (Videos: %d, Images: %d)', v, i) ELSE '' END
+                      || chr(10) || '# Total size: ' || {size_label_sql('size')}
+                      || CASE WHEN dur > 0 THEN chr(10) || '# Total duration: ' || {duration_label_sql('dur')} ELSE '' END
+            FROM st""", f"st AS ({stats})")
+    q["format_labels"] = with_media(
+        f"""SELECT file_path, {size_label_sql('file_size')} AS size_label,
+                   {plan_size('file_size')} AS plan_size_label,
+                   {bitrate_label_sql('bit_rate')} AS bitrate_label,
+                   {duration_label_sql('duration')} AS duration_label,
+                   left(file_hash, 16) AS short_hash,
+                   CASE WHEN codec_name IS NULL OR codec_name = '' THEN 'N/A' ELSE left(codec_name, 7) END AS short_codec,
+                   CASE WHEN is_corrupted THEN 'BAD' ELSE 'OK' END AS status
+            FROM media_files""")
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -636,4 +789,5 @@ def sql() -> dict[str, str]:
     _dir_sql(q)
     _date_sql(q)
     _ingest_sql(q)
+    _plan_sql(q)
     return q

@@ -140,6 +140,8 @@ def q_root_directories(spark, sf):
 # --- dates and assets -------------------------------------------------------------
 
 from .functions import dates as D  # noqa: E402
+from .functions import formats as FM  # noqa: E402
+from .functions import paths as P  # noqa: E402
 from .operators import assets as A  # noqa: E402
 from .plans import album_by_resolution as K8  # noqa: E402
 from .plans import date_from_name as K7  # noqa: E402
@@ -245,3 +247,103 @@ def q_stream_catalog_upsert(spark, sf):
     q = ST.start(spark, records_dir, base, ckpt, LIB_ROOT, now=RUN_CLOCK, max_files_per_trigger=1)
     q.awaitTermination()
     return CS.read_current(spark, base).select(*_CATALOG_OUT)
+
+
+# --- plans ----------------------------------------------------------------------------
+
+from .plans import common as PC  # noqa: E402
+from .plans import conversion as CV  # noqa: E402
+from .plans import creation_time as K6  # noqa: E402
+from .plans import deletion as K1  # noqa: E402
+from .plans import empty_dirs as K3  # noqa: E402
+from .plans import flatten as K2  # noqa: E402
+from .sinks import text as TX  # noqa: E402
+from .sources import lists as L  # noqa: E402
+
+
+def _listed(spark, sf):
+    return L.parse_file_list(fx.file_list_lines(spark, sf))
+
+
+def _inv(spark, sf):
+    return fx.inventory(spark, sf)
+
+
+register("file_list_scan")(_listed)
+register("missing_files")(lambda spark, sf: PC.split_existing(_listed(spark, sf), _inv(spark, sf))[1])
+register("directory_list_union")(lambda spark, sf: _listed(spark, sf).select(
+    P.dirname(F.col("file_path")).alias("dir_path")).unionByName(
+    spark.range(1).select(F.lit(LIB_ROOT).alias("dir_path"))))
+register("deletion_plan")(lambda spark, sf: K1.deletion_plan(
+    _listed(spark, sf), _inv(spark, sf), "Camera Uploads"))
+register("deletion_totals")(lambda spark, sf: K1.deletion_totals(K1.deletion_plan(
+    _listed(spark, sf), _inv(spark, sf), "Camera Uploads")))
+register("empty_dirs")(lambda spark, sf: K3.empty_directories(
+    fx.directory_entries(spark, sf), _cat(spark, sf), LIB_ROOT))
+
+
+def _encode(spark, sf):
+    return CV.encode_plan(_listed(spark, sf), _inv(spark, sf), _cat(spark, sf), "_encoded")
+
+
+def _raw_plan(spark, sf):
+    images = _cat(spark, sf).where("media_type = 'image' AND NOT is_corrupted").select("file_path")
+    return CV.raw_convert_plan(images, _inv(spark, sf), _cat(spark, sf), "_jpg")
+
+
+register("encode_plan")(lambda spark, sf: _encode(spark, sf).select(
+    "input_path", "output_path", "status", "original_size", "estimated_size", "output_exists"))
+register("encode_totals")(lambda spark, sf: PC.conversion_totals(_encode(spark, sf), "encode"))
+register("raw_convert_plan")(lambda spark, sf: _raw_plan(spark, sf).select(
+    "input_path", "output_path", "status", "original_size", "estimated_size", "output_exists"))
+register("raw_convert_totals")(lambda spark, sf: PC.conversion_totals(_raw_plan(spark, sf), "convert"))
+register("conversion_log")(lambda spark, sf: TX.conversion_log(_raw_plan(spark, sf)).select(
+    "input_path", "output_path", "message"))
+
+
+def _suggestions(spark, sf):
+    """B2 -> A6 round trip: the missing-date export is written as a suggestion list
+    into the shared folder and parsed back with its line numbers."""
+    import uuid
+    from .session import shared_path
+    rows = rp.no_creation_date(_cat(spark, sf)).join(
+        _cat(spark, sf).select("file_path", "modified_at"), "file_path")
+    out = shared_path(spark, "exports", "no-metadata-" + uuid.uuid4().hex)
+    TX.write_blocks(TX.export_blocks(rows, "files without creation_date metadata",
+                                     with_dates=True), out)
+    return L.read_suggestion_list(spark, out)
+
+
+register("suggestion_list_scan")(lambda spark, sf: _suggestions(spark, sf).select(
+    "file_path", D.ts_text(F.col("suggested")).alias("suggested")))
+
+
+def _k6(spark, sf):
+    return K6.creation_time_plan(_suggestions(spark, sf), _inv(spark, sf), _cat(spark, sf))
+
+
+register("creation_time_plan")(lambda spark, sf: _k6(spark, sf).select(
+    "input_path", D.ts_text(F.col("suggested")).alias("suggested"), "status", "method"))
+register("creation_time_counters")(lambda spark, sf: K6.creation_time_counters(_k6(spark, sf)))
+register("flatten_plan")(lambda spark, sf: K2.flatten_plan(
+    _cat(spark, sf).select("file_path", "file_size"), LIB_ROOT,
+    fx.directory_entries(spark, sf)).select("source_path", "target_name", "renamed", "target_path"))
+register("move_totals")(lambda spark, sf: K2.move_totals(K2.flatten_plan(
+    _cat(spark, sf).select("file_path", "file_size"), LIB_ROOT, fx.directory_entries(spark, sf))))
+
+
+@register("export_list")
+def q_export_list(spark, sf):
+    rows = rp.outdated_videos(_cat(spark, sf))
+    return TX.export_blocks(rows, "video files with outdated codecs/formats").select(
+        "section", "block")
+
+
+register("format_labels")(lambda spark, sf: _cat(spark, sf).select(
+    "file_path", FM.file_size_label(F.col("file_size")).alias("size_label"),
+    FM.plan_size_label(F.col("file_size")).alias("plan_size_label"),
+    FM.bitrate_label(F.col("bit_rate")).alias("bitrate_label"),
+    FM.duration_label(F.col("duration")).alias("duration_label"),
+    FM.short_hash(F.col("file_hash")).alias("short_hash"),
+    FM.short_codec(F.col("codec_name"), 7).alias("short_codec"),
+    FM.status_label(F.col("is_corrupted")).alias("status")))
