@@ -6,8 +6,8 @@ aggregates (partial aggregation before the shuffle): the original of a group is
 ``min(struct(matches_pattern, file_path))``, which equals the reference's rule
 (first path without a pattern, else the first path).  Files are joined back to
 their group on ``file_hash``; the group side has one row per hash, and AQE's skew
-join splits a hot hash on the file side.  Only the presentation numbering (copy
-``j`` inside a group) needs an ordered window per group.
+join splits a hot hash on the file side.  The report's copy numbers come from a
+range-partitioned global numbering, not from a window per hash.
 """
 
 from __future__ import annotations
@@ -76,11 +76,17 @@ def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None)
     ``group_no`` orders groups by descending size (hash breaks ties; the reference
     leaves them unordered) and counts groups later left out; ``copy_no`` is 0 for
     the original and j for COPY j, in the order (matches_pattern, file_path).
+
+    Copy numbers come from one global numbering in (hash, matches, path) order
+    minus the position of the group's first member (a partial aggregate), so a
+    hot hash is spread over the range-partitioned sort instead of one window task.
     """
     members = classify_duplicates(catalog, patterns)
-    from pyspark.sql import Window  # local: only this report needs an ordered window
-    w = Window.partitionBy("file_hash").orderBy("matches_pattern", "file_path")
-    members = members.withColumn("copy_no", F.row_number().over(w) - 1)
+    pos = global_row_number(members, [F.col("file_hash"), F.col("matches_pattern"),
+                                      F.col("file_path")], "_pos")
+    starts = pos.groupBy("file_hash").agg(F.min("_pos").alias("_start"))
+    members = (pos.join(starts, "file_hash")
+               .withColumn("copy_no", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
     numbered = global_row_number(duplicate_groups(catalog).select("file_hash", "file_count"),
                                  [F.col("file_count").desc(), F.col("file_hash")], "group_no")
     return members.join(numbered.select("file_hash", "group_no"), "file_hash")

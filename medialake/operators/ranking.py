@@ -17,18 +17,18 @@ _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record numbe
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """Append a 1-based row number in ``order`` (which must be a total order)."""
-    ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS))
-               .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
+    ordered = df.orderBy(*order).withColumn("_gr_mid", F.monotonically_increasing_id())
+    ordered = (ordered.withColumn("_gr_pid", F.shiftright(F.col("_gr_mid"), _LOW_BITS))
+               .withColumn("_gr_pos", F.col("_gr_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
     # One row per non-empty partition: bounded by the partition count, safe to broadcast.
-    sizes = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ordered.groupBy("_gr_pid").agg(F.count(F.lit(1)).alias("_gr_n"))
     offsets = sizes.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    return (ordered.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos") + 1)
-            .drop("_mid", "_pid", "_pos", "_off"))
+        "_gr_pid",
+        (F.sum("_gr_n").over(Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .alias("_gr_off"))
+    return (ordered.join(F.broadcast(offsets), "_gr_pid")
+            .withColumn(name, F.coalesce(F.col("_gr_off"), F.lit(0)) + F.col("_gr_pos") + 1)
+            .drop("_gr_mid", "_gr_pid", "_gr_pos", "_gr_off"))
 
 
 def rank_top_k(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -244,3 +244,51 @@ def no_creation_date(catalog: DataFrame) -> DataFrame:
     return rows.select(*REPORT_COLUMNS, path_date.alias("path_date"),
                        mtime_date.alias("mtime_date"),
                        F.coalesce(path_date, mtime_date).alias("suggested_date"))
+
+
+# --- ad-hoc filters and examples ---------------------------------------------------------
+
+def adhoc_filter(catalog: DataFrame, min_size: int | None = None, max_size: int | None = None,
+                 media_type: str | None = None, date_from=None, date_to=None,
+                 pattern: str | None = None) -> DataFrame:
+    """The documented ad-hoc filters (size range, media type, creation-date range,
+    path substring) as one pushed-down predicate."""
+    cond = F.lit(True)
+    if min_size is not None:
+        cond = cond & (F.col("file_size") >= min_size)
+    if max_size is not None:
+        cond = cond & (F.col("file_size") <= max_size)
+    if media_type:
+        cond = cond & (F.col("media_type") == media_type)
+    if date_from is not None:
+        cond = cond & (F.col("creation_date") >= F.lit(date_from).cast("timestamp_ntz"))
+    if date_to is not None:
+        cond = cond & (F.col("creation_date") < F.lit(date_to).cast("timestamp_ntz"))
+    if pattern:
+        cond = cond & F.col("file_path").contains(F.lit(pattern))
+    return catalog.where(cond)
+
+
+def examples_per_group(rows: DataFrame, group_col, n: int) -> DataFrame:
+    """The first ``n`` rows per group in F1 order (deepest directory first).
+
+    A per-group window with a rank cut-off: Spark plans it as a window group
+    limit, which keeps only ``n`` rows per group before the shuffle.
+    """
+    from pyspark.sql import Window
+    g = F.col(group_col) if isinstance(group_col, str) else group_col
+    d = P.dirname(F.col("file_path"))
+    w = Window.partitionBy(g).orderBy(P.depth(d).desc(), d, P.basename(F.col("file_path")))
+    return (rows.withColumn("_g", g).withColumn("example_no", F.row_number().over(w))
+            .where(F.col("example_no") <= n).drop("_g"))
+
+
+def depth_order_numbers(rows: DataFrame) -> DataFrame:
+    """F1 as numbers: each row's 1-based position in the deepest-first order (a
+    distributed global numbering, so the order itself can be checked)."""
+    from .ranking import global_row_number
+    d = P.dirname(F.col("file_path"))
+    keyed = rows.withColumn("_k1", -P.depth(d)).withColumn("_k2", d) \
+        .withColumn("_k3", P.basename(F.col("file_path")))
+    return global_row_number(keyed, [F.col("_k1"), F.col("_k2"), F.col("_k3")], "position") \
+        .drop("_k1", "_k2", "_k3")

