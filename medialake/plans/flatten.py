@@ -10,8 +10,8 @@ trailing ``_<n>`` groups removed) can ever collide, since renaming only appends
 
 * a key with one moving file and no existing entry: the name is free (native);
 * a key whose moving files all have the same name and no existing entry: the
-  k-th file in path order gets ``stem_k`` (native window per name; sort-based, so
-  a hot name spills instead of failing);
+  k-th file in path order gets ``stem_k`` (a global numbering, so a hot name is
+  spread over the range-partitioned sort);
 * any other key: the sequential rule per group in ``applyInPandas``.  These
   groups mix different names that collide, which keeps them small.
 """
@@ -19,10 +19,11 @@ trailing ``_<n>`` groups removed) can ever collide, since renaming only appends
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators.ranking import global_row_number
 
 _ROOT_STEM = r"(_[1-9][0-9]*)+$"
 
@@ -88,9 +89,13 @@ def flatten_plan(files: DataFrame, target: str, dirs: DataFrame | None = None) -
              .withColumn("n_exist", F.coalesce("n_exist", F.lit(0))))
     tagged = moves.join(stats, keys)
     simple = tagged.where((F.col("n_exist") == 0) & (F.col("n_names") == 1))
-    w = Window.partitionBy("target", "file_name").orderBy("source_path")
-    k = F.row_number().over(w) - 1
-    simple = simple.select(
+    # k-th file of a repeated name: global numbering in (target, name, source) order
+    # minus the position of the name's first file -- no per-name window task.
+    pos = global_row_number(simple, [F.col("target"), F.col("file_name"), F.col("source_path")],
+                            "_pos")
+    first = pos.groupBy("target", "file_name").agg(F.min("_pos").alias("_first"))
+    k = F.col("_pos") - F.col("_first")
+    simple = pos.join(first, ["target", "file_name"]).select(
         "target", "source_path", "file_size", "file_name",
         F.when(k == 0, F.col("file_name"))
         .otherwise(F.concat(P.stem(F.col("file_name")), F.lit("_"), k.cast("string"),
