@@ -6,8 +6,8 @@ aggregates (partial aggregation before the shuffle): the original of a group is
 ``min(struct(matches_pattern, file_path))``, which equals the reference's rule
 (first path without a pattern, else the first path).  Files are joined back to
 their group on ``file_hash``; the group side has one row per hash, and AQE's skew
-join splits a hot hash on the file side.  The report's copy numbers come from a
-range-partitioned global numbering, not from a window per hash.
+join splits a hot hash on the file side.  The report's copy numbers use a window
+only for groups of bounded size (``ranking.rank_within``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number
+from .ranking import global_row_number, rank_within
 
 
 def matches_any(path: Column, patterns: Sequence[str] | None) -> Column:
@@ -77,16 +77,12 @@ def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None)
     leaves them unordered) and counts groups later left out; ``copy_no`` is 0 for
     the original and j for COPY j, in the order (matches_pattern, file_path).
 
-    Copy numbers come from one global numbering in (hash, matches, path) order
-    minus the position of the group's first member (a partial aggregate), so a
-    hot hash is spread over the range-partitioned sort instead of one window task.
+    Copy numbers use a window for groups of bounded size and, for hot hashes, a
+    global numbering in (hash, matches, path) order minus the group's first
+    position (``ranking.rank_within``), so no task holds an unbounded group.
     """
-    members = classify_duplicates(catalog, patterns)
-    pos = global_row_number(members, [F.col("file_hash"), F.col("matches_pattern"),
-                                      F.col("file_path")], "_pos")
-    starts = pos.groupBy("file_hash").agg(F.min("_pos").alias("_start"))
-    members = (pos.join(starts, "file_hash")
-               .withColumn("copy_no", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
+    members = rank_within(classify_duplicates(catalog, patterns), ["file_hash"],
+                          ["matches_pattern", "file_path"], "file_count", "copy_no")
     numbered = global_row_number(duplicate_groups(catalog).select("file_hash", "file_count"),
                                  [F.col("file_count").desc(), F.col("file_hash")], "group_no")
     return members.join(numbered.select("file_hash", "group_no"), "file_hash")

@@ -39,3 +39,32 @@ def rank_top_k(df: DataFrame, order: list[Column], k: int, name: str = "rank") -
     """
     top = df.orderBy(*order).limit(k)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+# Groups up to this many rows are ranked with an ordinary window (one task per
+# group, bounded); larger ones through the global numbering.
+WINDOW_GROUP_LIMIT = 1_000_000
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], size_col: str,
+                name: str = "rank", limit: int | None = None) -> DataFrame:
+    """0-based position of each row inside its ``keys`` group, in ``order``.
+
+    ``size_col`` holds the group's row count (known from an earlier aggregate).
+    Groups of at most ``limit`` rows use a window; bigger (hot) groups use the
+    distributed global numbering minus the group's first position, so no task
+    ever holds more than ``limit`` rows of one group.  The hot branch is only
+    planned when a one-row check finds such a group.
+    """
+    limit = WINDOW_GROUP_LIMIT if limit is None else limit
+    small = df.where(F.col(size_col) <= limit)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = small.withColumn(name, F.row_number().over(w) - 1)
+    big = df.where(F.col(size_col) > limit)
+    if big.limit(1).count() == 0:
+        return out
+    pos = global_row_number(big, [F.col(k) for k in keys + order], "_rw_pos")
+    first = pos.groupBy(*keys).agg(F.min("_rw_pos").alias("_rw_first"))
+    hot = (pos.join(first, keys).withColumn(name, F.col("_rw_pos") - F.col("_rw_first"))
+           .drop("_rw_pos", "_rw_first"))
+    return out.unionByName(hot)

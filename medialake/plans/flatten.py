@@ -4,16 +4,22 @@ A file keeps its name unless that name is taken -- by an entry already in the
 target (file or directory) or by a file placed before it (in source-path order);
 then it becomes ``stem_1.ext``, ``stem_2.ext`` ... (the first free one).
 
-Only names that share the target, the extension and the *root stem* (the stem with
-trailing ``_<n>`` groups removed) can ever collide, since renaming only appends
-``_<n>``.  So the work is split by that key:
-
-* a key with one moving file and no existing entry: the name is free (native);
-* a key whose moving files all have the same name and no existing entry: the
-  k-th file in path order gets ``stem_k`` (a global numbering, so a hot name is
-  spread over the range-partitioned sort);
-* any other key: the sequential rule per group in ``applyInPandas``.  These
-  groups mix different names that collide, which keeps them small.
+Renaming only appends ``_<n>``, so a name ``s`` can only collide with ``s_<n>``:
+names interact along parent links between *present* names of the same target and
+extension.  The key of a name is the top of its chain of present parents (see
+``_components``); keys are small unless a library has thousands of names that
+are all ``_<n>`` variants of one present name.  Per key:
+
+* each key has a *dominant* name (its most frequent one).  The dominant files
+  are ranked natively (a global numbering, so a hot name is spread over the
+  range-partitioned sort); with no other name and no existing entry, the file of
+  rank k gets ``stem_k`` (rank 0 keeps the name);
+* otherwise the few *other* members (other names, existing entries) are replayed
+  in source order in ``applyInPandas``, with the dominant files in between
+  counted rather than listed.  The replay returns the others' new names and the
+  dominant files' slots as runs (rank range -> offset), joined back natively.
+  Exact for any key; only a key with several huge *different* names would make
+  the replay group large.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators.ranking import global_row_number
+from ..operators.ranking import rank_within
+from ..session import cut_lineage
 
 _ROOT_STEM = r"(_[1-9][0-9]*)+$"
 
@@ -51,64 +58,191 @@ def _existing_names(files: DataFrame, dirs: DataFrame | None, target: str) -> Da
     return direct.distinct().select(F.lit(t).alias("target"), "file_name")
 
 
-def _key(df: DataFrame) -> DataFrame:
-    stem = P.stem(F.col("file_name"))
+def _components(moves: DataFrame, existing: DataFrame) -> DataFrame:
+    """Key of every present name: (target, ext, root) where root is the top of the
+    name's chain of *present* parents.
+
+    A name ``s`` can only collide with ``s_<n>`` (its candidates are ``s`` and
+    ``s_<n>``), so names interact only along parent links ``s_<n> -> s`` where
+    both are present (moving or already in the target).  ``IMG_5`` and ``IMG_6``
+    stay apart unless ``IMG`` itself is present.  Each name has as many parents as
+    trailing ``_<n>`` groups (a handful), so this is a small explode and two equi
+    joins.
+    """
+    present = (moves.select("target", "ext", "stem").unionByName(
+        existing.select("target", "ext", "stem")).distinct())
+    tail = F.regexp_extract(F.col("stem"), _ROOT_STEM, 0)
+    base = F.substring(F.col("stem"), 1, F.length(F.col("stem")) - F.length(tail))
+    groups = F.filter(F.split(tail, "_"), lambda x: x != "")
+    k = F.size(groups)
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.struct(
+        i.alias("lvl"),
+        F.concat(base, F.array_join(F.transform(F.slice(groups, 1, F.greatest(k - i, F.lit(0))),
+                                                lambda g: F.concat(F.lit("_"), g)), "")).alias("a")))
+    anc = present.where(k > 0).select("target", "ext", "stem", F.explode(chain).alias("c")) \
+        .select("target", "ext", "stem", "c.lvl", "c.a")
+    missing = anc.join(present.select("target", "ext", F.col("stem").alias("a")),
+                       ["target", "ext", "a"], "left_anti")
+    first_missing = missing.groupBy("target", "ext", "stem").agg(F.min("lvl").alias("m"))
+    top = (anc.join(first_missing, ["target", "ext", "stem"], "left")
+           .where(F.col("lvl") < F.coalesce(F.col("m"), F.lit(1 << 30)))
+           .groupBy("target", "ext", "stem").agg(F.max_by("a", "lvl").alias("root")))
+    return present.join(top, ["target", "ext", "stem"], "left").select(
+        "target", "ext", "stem", F.coalesce(F.col("root"), F.col("stem")).alias("root_stem"))
+
+
+def _with_parts(df: DataFrame) -> DataFrame:
     return (df.withColumn("ext", P.extension(F.col("file_name")))
-            .withColumn("root_stem", F.regexp_replace(stem, _ROOT_STEM, "")))
-
-
-def _resolve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule for one (target, ext, root stem) group."""
-    taken = set(pdf.loc[pdf["existing"], "file_name"])
-    moving = pdf[~pdf["existing"]].sort_values("source_path")
-    out = []
-    for row in moving.itertuples(index=False):
+            .withColumn("stem", P.stem(F.col("file_name"))))
+
+
+def _split_name(name: str) -> tuple[str, str]:
+    dot = name.rfind(".")
+    return (name[:dot], name[dot:]) if dot > 0 and name[:dot].strip(".") else (name, "")
+
+
+def _simulate_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential rule for one (target, ext, root stem) key, with the dominant
+    name's files as counted runs.
+
+    Input rows: ``dom`` (dominant name, its file count), ``exist`` (names already in
+    the target) and ``minor`` (other moving files with ``rel_pos``, their position
+    among all moving files of the key in source order).  Output: the minors' new
+    names and ``piece`` rows: dominant files with rank in [lo, hi) take slot
+    rank + off of the sequence name, name_1, name_2, ...
+    """
+    import bisect
+    import re as _re
+    key = pdf.iloc[0][["target", "ext", "root_stem"]].tolist()
+    dom = pdf[pdf["kind"] == "dom"].iloc[0]
+    d_name, n_dom = dom["file_name"], int(dom["n"])
+    d_stem, d_ext = _split_name(d_name)
+    seq = _re.compile("^" + _re.escape(d_stem) + r"_([1-9][0-9]*)" + _re.escape(d_ext) + "$")
+
+    def seq_index(name):
+        if name == d_name:
+            return 0
+        m = seq.match(name)
+        return int(m.group(1)) if m else None
+
+    taken = set(pdf.loc[pdf["kind"] == "exist", "file_name"])
+    blocked = sorted(j for j in (seq_index(n) for n in taken) if j is not None)
+    ptr, done, out = 0, 0, []
+
+    def run(count):
+        nonlocal ptr, done
+        while count > 0:
+            i = bisect.bisect_left(blocked, ptr)
+            free = (blocked[i] - ptr) if i < len(blocked) else count
+            if free == 0:
+                ptr += 1
+                continue
+            m = min(count, free)
+            out.append(key + ["piece", None, None, None, None, done, done + m, ptr - done])
+            done, ptr, count = done + m, ptr + m, count - m
+
+    def is_taken(name):
+        j = seq_index(name)
+        return name in taken or (j is not None and j < ptr)
+
+    minors = pdf[pdf["kind"] == "minor"].sort_values("rel_pos")
+    for n_before, row in enumerate(minors.itertuples(index=False)):
+        run(int(row.rel_pos) - n_before - done)
         name = row.file_name
-        if name in taken:
-            dot = name.rfind(".")
-            stem, ext = (name[:dot], name[dot:]) if dot > 0 and name[:dot].strip(".") else (name, "")
-            n = 1
-            while f"{stem}_{n}{ext}" in taken:
-                n += 1
-            name = f"{stem}_{n}{ext}"
+        if is_taken(name):
+            stem, ext = _split_name(name)
+            k = 1
+            while is_taken(f"{stem}_{k}{ext}"):
+                k += 1
+            name = f"{stem}_{k}{ext}"
         taken.add(name)
-        out.append((row.target, row.source_path, row.file_size, row.file_name, name))
-    return pd.DataFrame(out, columns=["target", "source_path", "file_size", "file_name",
-                                      "target_name"])
+        j = seq_index(name)
+        if j is not None and j >= ptr:
+            bisect.insort(blocked, j)
+        out.append(key + ["minor", row.source_path, int(row.file_size), row.file_name, name,
+                          None, None, None])
+    run(n_dom - done)
+    return pd.DataFrame(out, columns=["target", "ext", "root_stem", "kind", "source_path",
+                                      "file_size", "file_name", "target_name", "lo", "hi", "off"])
+
+
+SIM_SCHEMA = ("target string, ext string, root_stem string, kind string, source_path string, "
+              "file_size bigint, file_name string, target_name string, lo bigint, hi bigint, "
+              "off bigint")
+
+
+def _slot_name(name, slot):
+    stem, ext = P.stem(name), P.extension(name)
+    return F.when(slot == 0, name).otherwise(F.concat(stem, F.lit("_"), slot.cast("string"), ext))
 
 
 def flatten_plan(files: DataFrame, target: str, dirs: DataFrame | None = None) -> DataFrame:
     """One row per moved file: source, size, old and new name, ``renamed`` flag and
     the new path."""
-    moves = _key(_moves(files, target))
-    existing = _key(_existing_names(files, dirs, target))
     keys = ["target", "ext", "root_stem"]
-    stats = (moves.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_move"),
-                                       F.countDistinct("file_name").alias("n_names"))
-             .join(existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_exist")), keys, "left")
-             .withColumn("n_exist", F.coalesce("n_exist", F.lit(0))))
-    tagged = moves.join(stats, keys)
-    simple = tagged.where((F.col("n_exist") == 0) & (F.col("n_names") == 1))
-    # k-th file of a repeated name: global numbering in (target, name, source) order
-    # minus the position of the name's first file -- no per-name window task.
-    pos = global_row_number(simple, [F.col("target"), F.col("file_name"), F.col("source_path")],
-                            "_pos")
-    first = pos.groupBy("target", "file_name").agg(F.min("_pos").alias("_first"))
-    k = F.col("_pos") - F.col("_first")
-    simple = pos.join(first, ["target", "file_name"]).select(
-        "target", "source_path", "file_size", "file_name",
-        F.when(k == 0, F.col("file_name"))
-        .otherwise(F.concat(P.stem(F.col("file_name")), F.lit("_"), k.cast("string"),
-                            P.extension(F.col("file_name")))).alias("target_name"))
-    mixed_keys = stats.where((F.col("n_exist") > 0) | (F.col("n_names") > 1)).select(*keys)
-    mixed_moves = tagged.join(mixed_keys, keys, "left_semi").select(
-        *keys, "source_path", "file_size", "file_name", F.lit(False).alias("existing"))
-    mixed_exist = existing.join(mixed_keys, keys, "left_semi").select(
-        *keys, F.lit(None).cast("string").alias("source_path"),
-        F.lit(None).cast("bigint").alias("file_size"), "file_name", F.lit(True).alias("existing"))
-    resolved = (mixed_moves.unionByName(mixed_exist)
-                .groupBy(*keys).applyInPandas(_resolve_group, PLAN_SCHEMA))
-    plan = simple.unionByName(resolved)
+    moves = _with_parts(_moves(files, target))
+    existing = _with_parts(_existing_names(files, dirs, target))
+    # The key table (one row per distinct name) feeds several branches: write it
+    # once to the shared folder instead of re-deriving it in each branch.
+    comp = cut_lineage(_components(moves, existing), "flatten-keys")
+    moves = moves.join(comp, ["target", "ext", "stem"]).drop("stem")
+    existing = existing.join(comp, ["target", "ext", "stem"]).drop("stem")
+    per_name = moves.groupBy(*keys, "file_name").agg(F.count(F.lit(1)).alias("n"))
+    # Dominant name of a key: the most frequent one (ties: the smallest name).
+    dom = per_name.groupBy(*keys).agg(
+        F.min_by(F.struct("file_name", "n"), F.struct(-F.col("n"), F.col("file_name"))).alias("d"),
+        F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_move"))
+    dom = dom.select(*keys, F.col("d.file_name").alias("dom_name"), F.col("d.n").alias("n_dom"),
+                     "n_names", "n_move")
+    n_exist = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_exist"))
+    stats = dom.join(n_exist, keys, "left").withColumn("sim", F.col("n_exist").isNotNull()
+                                                       | (F.col("n_names") > 1))
+    # Every later step reads these two tables several times: cut the lineage once
+    # (reliable checkpoint in the shared folder).
+    tagged = cut_lineage(moves.join(stats.select(*keys, "dom_name", "n_dom", "n_move", "sim"),
+                                    keys), "flatten-moves")
+    stats = tagged.select(*keys, "dom_name", "n_dom", "n_move", "sim").distinct()
+    is_dom = F.col("file_name") == F.col("dom_name")
+
+    # Rank of each dominant file among the key's dominant files (source order);
+    # a name that occurs once has rank 0 without any numbering.
+    doms = tagged.where(is_dom)
+    single = doms.where(F.col("n_dom") == 1).withColumn("rank", F.lit(0).cast("bigint"))
+    repeated = rank_within(doms.where(F.col("n_dom") > 1), keys, ["source_path"], "n_dom")
+    doms = single.unionByName(repeated.withColumn("rank", F.col("rank").cast("bigint")))
+    dom_plain = doms.where("NOT sim").withColumn("slot", F.col("rank"))
+    out_cols = ["target", "source_path", "file_size", "file_name"]
+    sim_keys = stats.where("sim")
+    if sim_keys.limit(1).count() == 0:  # one-row check: no key needs the replay
+        dom_out = dom_plain.select(*out_cols, "slot")
+        minor_out = None
+    else:
+        # Keys with other names or existing entries: replay the few non-dominant members.
+        sim_moves = tagged.where(F.col("sim"))
+        ranked = rank_within(sim_moves, keys, ["source_path"], "n_move", "rel_pos")
+        minors = ranked.where(~is_dom).select(
+            *keys, F.lit("minor").alias("kind"), "source_path", "file_size", "file_name",
+            F.col("rel_pos").cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
+        ex = existing.join(sim_keys.select(*keys), keys, "left_semi").select(
+            *keys, F.lit("exist").alias("kind"), F.lit(None).cast("string").alias("source_path"),
+            F.lit(None).cast("bigint").alias("file_size"), "file_name",
+            F.lit(None).cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
+        dm = sim_keys.select(*keys, F.lit("dom").alias("kind"),
+                             F.lit(None).cast("string").alias("source_path"),
+                             F.lit(None).cast("bigint").alias("file_size"),
+                             F.col("dom_name").alias("file_name"),
+                             F.lit(None).cast("bigint").alias("rel_pos"), F.col("n_dom").alias("n"))
+        sim = (minors.unionByName(ex).unionByName(dm).groupBy(*keys)
+               .applyInPandas(_simulate_group, SIM_SCHEMA))
+        minor_out = sim.where("kind = 'minor'").select(*out_cols, "target_name")
+        pieces = sim.where("kind = 'piece'").select(*keys, "lo", "hi", "off")
+        dom_sim = (doms.where("sim").join(pieces, keys)
+                   .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+                   .withColumn("slot", F.col("rank") + F.col("off")))
+        dom_out = dom_sim.select(*out_cols, "slot").unionByName(dom_plain.select(*out_cols, "slot"))
+    dom_out = dom_out.select(*out_cols, _slot_name(F.col("file_name"), F.col("slot"))
+                             .alias("target_name"))
+    plan = dom_out if minor_out is None else dom_out.unionByName(minor_out)
     return plan.select("*", (F.col("target_name") != F.col("file_name")).alias("renamed"),
                        F.concat(F.col("target"), F.lit("/"), F.col("target_name")).alias("target_path"))
 

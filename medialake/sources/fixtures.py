@@ -225,6 +225,12 @@ def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The on-disk inventory as a stored table (landed once per source version)."""
+    return landed(spark, "inventory", [_src(sf_dir, "documents")],
+                  lambda: inventory_view(spark, sf_dir))
+
+
+def inventory_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that exist on disk: catalog rows with id % 9 <> 0, plus the ``_jpg.jpg``
     output of every fifth RAW file (so that skip-existing has work to do)."""
     cat = media_files(spark, sf_dir)
@@ -251,6 +257,12 @@ def file_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory listing as a stored table (landed once per source version)."""
+    return landed(spark, "directory_entries", [_src(sf_dir, "documents")],
+                  lambda: directory_entries_view(spark, sf_dir))
+
+
+def directory_entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories on disk for the empty-directory plan: every ancestor of every
     catalog path (below the root ``/library``), plus ``{dir}/empty{id}`` for id % 50 = 0."""
     cat = media_files(spark, sf_dir)

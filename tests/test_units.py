@@ -275,3 +275,40 @@ def test_global_row_number(spark):
     got = global_row_number(df, [F.col("c").desc(), F.col("k")], "n").collect()
     expect = sorted(vals, key=lambda t: (-t[0], t[1]))
     assert sorted((r.n, r.c, r.k) for r in got) == [(i + 1, c, k) for i, (c, k) in enumerate(expect)]
+
+
+def test_flatten_hot_name_with_collisions(spark):
+    files = [(f"/t/d{i:04d}/a.jpg", 1) for i in range(300)]
+    files += [("/t/d0100/x/a_1.jpg", 1), ("/t/d0200/a_5.jpg", 1), ("/t/d0250/a_5_1.jpg", 1),
+              ("/t/e/a.png", 1)]
+    existing = [("/t/a_3.jpg", 1), ("/t/a_2.jpg", 1)]
+    df = spark.createDataFrame(files + existing, "file_path string, file_size bigint")
+    plan = {r.source_path: r.target_name for r in K2.flatten_plan(df, "/t").collect()}
+    expect = py_flatten(["a_3.jpg", "a_2.jpg"], [(p, p.rsplit("/", 1)[1]) for p, _ in files])
+    assert plan == expect
+
+
+def test_rank_within_hot_groups(spark, monkeypatch):
+    from medialake.operators import ranking
+    rnd = random.Random(9)
+    rows = [("hot", f"p{rnd.randrange(10**6):07d}") for _ in range(400)] + \
+        [(f"g{i % 7}", f"p{i:04d}") for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, p string").dropDuplicates(["k", "p"])
+    sizes = df.groupBy("k").count().withColumnRenamed("count", "n")
+    df = df.join(sizes, "k")
+    monkeypatch.setattr(ranking, "WINDOW_GROUP_LIMIT", 50)
+    got = {(r.k, r.p): r.rank for r in ranking.rank_within(df, ["k"], ["p"], "n").collect()}
+    expect = {}
+    for k in {k for k, _ in got}:
+        for i, (_, p) in enumerate(sorted(x for x in got if x[0] == k)):
+            expect[(k, p)] = i
+    assert got == expect
+
+
+def test_flatten_hot_path(spark, monkeypatch):
+    from medialake.operators import ranking
+    monkeypatch.setattr(ranking, "WINDOW_GROUP_LIMIT", 20)
+    files = [(f"/t/d{i:03d}/a.jpg", 1) for i in range(120)] + [("/t/d050/z/a_1.jpg", 1)]
+    df = spark.createDataFrame(files + [("/t/a_2.jpg", 1)], "file_path string, file_size bigint")
+    plan = {r.source_path: r.target_name for r in K2.flatten_plan(df, "/t").collect()}
+    assert plan == py_flatten(["a_2.jpg"], [(p, p.rsplit("/", 1)[1]) for p, _ in files])
