@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as FM
 from ..functions import paths as P
+from ..session import cut_lineage
 
 STAT_COLS = ["total_files", "images", "videos", "other_files", "total_size"]
 
@@ -64,7 +65,9 @@ def directory_tree(catalog: DataFrame, root: str | None = None) -> DataFrame:
     total_files, images, videos, other_files, total_size (recursive),
     subdirs_count, parent_path (NULL at the root).
     """
-    direct = direct_stats(catalog)
+    # One row per directory, read by four branches below: write it once (one scan
+    # of the catalog instead of one per branch).
+    direct = cut_lineage(direct_stats(catalog), "dir-direct")
     if root is None:
         root = common_root(direct)
     rd = _root_depth(root)

@@ -22,6 +22,16 @@ def split_existing(listed: DataFrame, inventory: DataFrame, path_col: str = "fil
     return (listed.join(inv, path_col, "left_semi"), listed.join(inv, path_col, "left_anti"))
 
 
+def mark_existing(listed: DataFrame, inventory: DataFrame, path_col: str = "file_path") -> DataFrame:
+    """J3 in one pass: ``exists`` flag and on-disk ``original_size`` from a single
+    left join (inventory paths are unique), so the list is read once."""
+    inv = inventory.select(F.col("file_path").alias(path_col),
+                           F.col("file_size").alias("original_size"),
+                           F.lit(True).alias("exists"))
+    return (listed.join(inv, path_col, "left")
+            .withColumn("exists", F.coalesce(F.col("exists"), F.lit(False))))
+
+
 def with_size(listed: DataFrame, inventory: DataFrame, path_col: str = "file_path") -> DataFrame:
     """Attach the on-disk size (inventory keys are unique paths)."""
     inv = inventory.select(F.col("file_path").alias(path_col), F.col("file_size").alias("original_size"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .common import split_existing, with_size
+from .common import mark_existing
 
 
 def deletion_plan(listed: DataFrame, inventory: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -18,10 +18,8 @@ def deletion_plan(listed: DataFrame, inventory: DataFrame, pattern: str | None =
     the size on disk, and the F1 sort keys (``depth``, ``dir``, ``name``)."""
     if pattern:
         listed = listed.where(F.col("file_path").contains(F.lit(pattern)))
-    existing, missing = split_existing(listed, inventory)
-    rows = (with_size(existing, inventory).withColumn("status", F.lit("delete"))
-            .unionByName(missing.withColumn("original_size", F.lit(None).cast("bigint"))
-                         .withColumn("status", F.lit("missing"))))
+    rows = mark_existing(listed, inventory).withColumn(
+        "status", F.when(F.col("exists"), F.lit("delete")).otherwise(F.lit("missing")))
     d = P.dirname(F.col("file_path"))
     return rows.select(F.col("file_path").alias("input_path"), "status", "original_size",
                        P.depth(d).alias("depth"), d.alias("dir"),

@@ -131,7 +131,8 @@ def q_common_root(spark, sf):
 
 @register("root_directories")
 def q_root_directories(spark, sf):
-    direct = dr.direct_stats(_cat(spark, sf))
+    from .session import cut_lineage
+    direct = cut_lineage(dr.direct_stats(_cat(spark, sf)), "dir-direct")
     root = direct.agg(dr.common_root_expr(direct).alias("root")).scalar()
     dirs = direct.where(F.col("dir_path") != root).select("dir_path")
     return dr.root_directories(dirs)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import formats as FM
 from ..functions import paths as P
+from ..session import cut_lineage
 
 RULE = "#" + "=" * 100
 
@@ -131,8 +132,9 @@ def duplicates_report_blocks(report: DataFrame, pattern: str | None = None,
     keep their number.  Every line is its own row, so a huge group spreads over
     the sort's partitions."""
     matches = F.lit(True) if not pattern else F.col("file_path").contains(F.lit(pattern))
-    rows = report.withColumn("_match", matches).withColumn(
-        "_delete", (F.col("copy_no") > 0) & F.col("_match"))
+    # The numbered rows feed six kinds of blocks: write them once.
+    rows = cut_lineage(report.withColumn("_match", matches).withColumn(
+        "_delete", (F.col("copy_no") > 0) & F.col("_match")), "dup-report")
     per_group = rows.groupBy("file_hash", "group_no").agg(
         F.count(F.lit(1)).alias("n"), F.max("file_size").alias("gsize"),
         F.count_if("_delete").alias("n_delete"))
