@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import dates as D
 from ..functions import paths as P
+from ..session import cut_lineage
 
 
 def _root_prefix(root: str) -> str:
@@ -233,15 +234,13 @@ def build_catalog(catalog: DataFrame, scan: DataFrame, root: str, pattern: str |
     freshness test drops, else the analysis outcome (ok / corrupted / error)."""
     inv = media_inventory(scan, root, pattern).where(F.col("inventory_status") == "media")
     todo = incremental_skip(inv, catalog, force)
-    rows = analyze(newest_per_path(todo), skip_hash=skip_hash, now=now)
+    # The parsed rows feed both the upsert and the status table: write them once.
+    rows = cut_lineage(analyze(newest_per_path(todo), skip_hash=skip_hash, now=now),
+                       "analyzed")
     new_catalog = upsert(catalog, rows)
-    todo_paths = todo.select("file_path", F.lit(True).alias("_todo")).distinct()
     status = (inv.select("file_path").distinct()
-              .join(todo_paths, "file_path", "left")
               .join(rows.select("file_path", "outcome"), "file_path", "left")
-              .select("file_path",
-                      F.when(F.col("_todo").isNull(), F.lit("skipped"))
-                      .otherwise(F.col("outcome")).alias("status")))
+              .select("file_path", F.coalesce(F.col("outcome"), F.lit("skipped")).alias("status")))
     return new_catalog, status
 
 
