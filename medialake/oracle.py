@@ -722,7 +722,7 @@ def _plan_sql(q: dict[str, str]) -> None:
                  || CASE WHEN duration IS NOT NULL AND duration <> 0 THEN {duration_label_sql('duration')} ELSE 'N/A' END
                  || ' | ' || CASE WHEN bit_rate IS NOT NULL AND bit_rate <> 0 THEN {bitrate_label_sql('bit_rate')} ELSE 'N/A' END
                  || ' | ' || coalesce(nullif({res}, ''), 'N/A') || ' | ' || coalesce(nullif(codec_name, ''), 'N/A')
-                 || chr(10) || file_path || chr(10) AS block
+                 || chr(10) || file_path || chr(10) || chr(10) AS block
                FROM media_files WHERE {old_where}"""
     stats = f"""SELECT count(*) AS n, count(*) FILTER (WHERE media_type = 'video') AS v,
                        count(*) FILTER (WHERE media_type = 'image') AS i,
@@ -734,12 +734,13 @@ def _plan_sql(q: dict[str, str]) -> None:
             SELECT 0, '# List of video files with outdated codecs/formats' || chr(10) || '# Found ' || n
                       || ' files' || chr(10) || '# Created: 2024-01-15 10:30:00' || chr(10) || '#' || chr(10)
                       || '# Format: file_path | type | size | duration | bitrate | resolution | codec' || chr(10)
-                      || '{rule}' || chr(10) FROM st
+                      || '{rule}' || chr(10) || chr(10) FROM st
             UNION ALL
             SELECT 2, '{rule}' || chr(10) || '# SUMMARY:' || chr(10) || '# Total files: ' || n
                       || CASE WHEN v > 0 OR i > 0 THEN printf(' (Videos: %d, Images: %d)', v, i) ELSE '' END
                       || chr(10) || '# Total size: ' || {size_label_sql('size')}
                       || CASE WHEN dur > 0 THEN chr(10) || '# Total duration: ' || {duration_label_sql('dur')} ELSE '' END
+                      || chr(10)
             FROM st""", f"st AS ({stats})")
     q["format_labels"] = with_media(
         f"""SELECT file_path, {size_label_sql('file_size')} AS size_label,

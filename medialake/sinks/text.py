@@ -36,7 +36,8 @@ def export_blocks(rows: DataFrame, export_type: str, short: bool = False,
     """
     keys = _depth_keys(F.col("file_path"))
     if short:
-        body = rows.select(F.lit(1).alias("section"), *keys, F.col("file_path").alias("block"))
+        body = rows.select(F.lit(1).alias("section"), *keys,
+                           F.concat(F.col("file_path"), F.lit("\n")).alias("block"))
         return body
     na = lambda c: F.coalesce(c, F.lit("N/A"))
     dur = F.when(F.col("duration").isNotNull() & (F.col("duration") != 0),
@@ -59,9 +60,9 @@ def export_blocks(rows: DataFrame, export_type: str, short: bool = False,
                 .when(pd_.isNotNull(), F.concat(F.lit("# From path:\nCREATION_TIME "), pd_, F.lit("\n")))
                 .when(md.isNotNull(), F.concat(F.lit("# From mtime:\nCREATION_TIME "), md, F.lit("\n")))
                 .otherwise(F.lit("")))
-        block = F.concat(head, F.lit("\n"), F.col("file_path"), F.lit("\n"), sugg)
+        block = F.concat(head, F.lit("\n"), F.col("file_path"), F.lit("\n"), sugg, F.lit("\n"))
     else:
-        block = F.concat(head, F.lit("\n"), F.col("file_path"), F.lit("\n"))
+        block = F.concat(head, F.lit("\n"), F.col("file_path"), F.lit("\n\n"))
     body = rows.select(F.lit(1).alias("section"), *keys, block.alias("block"))
 
     stats = rows.agg(F.count(F.lit(1)).alias("n"),
@@ -76,7 +77,7 @@ def export_blocks(rows: DataFrame, export_type: str, short: bool = False,
         F.lit(f"# List of {export_type}\n# Found "), F.col("n").cast("string"),
         F.lit(f" files\n# Created: {now}\n"),
         F.lit(f"# Criteria: {criteria}\n" if criteria else ""),
-        F.lit(f"#\n{fmt_line}\n{RULE}\n")).alias("block"))
+        F.lit(f"#\n{fmt_line}\n{RULE}\n\n")).alias("block"))
     summary = stats.select(F.lit(2).alias("section"), F.lit(0).alias("k1"), F.lit("").alias("k2"),
                            F.lit("").alias("k3"), F.concat(
         F.lit(f"{RULE}\n# SUMMARY:\n# Total files: "), F.col("n").cast("string"),
@@ -84,15 +85,17 @@ def export_blocks(rows: DataFrame, export_type: str, short: bool = False,
             " (Videos: %d, Images: %d)", F.col("v"), F.col("i"))).otherwise(F.lit("")),
         F.lit("\n# Total size: "), FM.file_size_label(F.col("size")),
         F.when(F.col("dur") > 0, F.concat(F.lit("\n# Total duration: "),
-                                          FM.duration_label(F.col("dur")))).otherwise(F.lit(""))
-    ).alias("block"))
+                                          FM.duration_label(F.col("dur")))).otherwise(F.lit("")),
+        F.lit("\n")).alias("block"))
     return header.unionByName(body).unionByName(summary)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Write blocks in order as text part files (one block may span lines)."""
+    """Write blocks in order as text part files.  Blocks carry their own newlines;
+    the text writer ends every row with one, so one trailing newline is dropped
+    first and the part files concatenate to the exact report."""
     (blocks.orderBy("section", "k1", "k2", "k3")
-     .select(F.regexp_replace("block", r"\n$", "").alias("value"))
+     .select(F.regexp_replace("block", r"\n\z", "").alias("value"))
      .write.mode("overwrite").text(path))
 
 

@@ -128,3 +128,50 @@ def test_directory_tree(lib):
         ("/lib/mixed_content", 12)]
     assert top[0].remaining_dirs == 19
     assert dr.common_root(dr.direct_stats(lib)) == "/lib"
+
+
+GOLDEN_CORRUPTED = """# List of corrupted files
+# Found 4 files
+# Created: 2024-01-15 10:30:00
+#
+# Format: file_path | type | size | duration | bitrate | resolution | codec
+#====================================================================================================
+
+# IMAGE | 34.0 B | N/A | N/A | N/A | N/A
+/lib/photos/no_metadata/corrupted.jpg
+
+# VIDEO | 36.0 B | N/A | N/A | N/A | N/A
+/lib/videos/corrupted/broken1.mp4
+
+# VIDEO | 36.0 B | N/A | N/A | N/A | N/A
+/lib/videos/corrupted/broken2.avi
+
+# IMAGE | 34.0 B | N/A | N/A | N/A | N/A
+/lib/mixed_content/broken.jpg
+
+#====================================================================================================
+# SUMMARY:
+# Total files: 4 (Videos: 2, Images: 2)
+# Total size: 140.0 B
+"""
+
+
+def _written_text(spark, blocks):
+    import glob
+    import tempfile
+    from medialake.sinks import text as TX
+    out = tempfile.mkdtemp(prefix="ml-export-", dir="/tmp") + "/export"
+    TX.write_blocks(blocks, out)
+    return "".join(open(f).read() for f in sorted(glob.glob(out + "/part-*")))
+
+
+def test_export_list_matches_golden_bytes(spark, lib):
+    from medialake.sinks import text as TX
+    blocks = TX.export_blocks(rp.corrupted_files(lib), "corrupted files")
+    assert _written_text(spark, blocks) == GOLDEN_CORRUPTED
+    old = _written_text(spark, TX.export_blocks(rp.outdated_videos(lib),
+                                                "video files with outdated codecs/formats"))
+    assert old.endswith("# Total files: 2 (Videos: 2, Images: 0)\n# Total size: 29.1 KB\n"
+                        "# Total duration: 00:02\n")
+    assert "# VIDEO | 14.6 KB | 00:01 | 119.3 kbit/s | 160x120 | mjpeg\n" \
+           "/lib/videos/legacy/ancient_clip.avi\n\n" in old
