@@ -71,6 +71,15 @@ def read_binary_hashes(spark, root: str, size_limit: int = 1 << 30) -> DataFrame
                         F.md5("content").alias("file_hash"))
 
 
+def with_file_hashes(scan: DataFrame, spark, root: str, size_limit: int = 1 << 30) -> DataFrame:
+    """A2 as the reference computes it: MD5 of the bytes for files below the size
+    limit (``binaryFile``), the scan record's ``content_md5`` for larger ones."""
+    hashes = read_binary_hashes(spark, root, size_limit).withColumnRenamed("file_hash", "_md5")
+    return (scan.join(hashes, "file_path", "left")
+            .withColumn("content_md5", F.coalesce(F.col("_md5"), F.col("content_md5")))
+            .drop("_md5"))
+
+
 def incremental_skip(scan: DataFrame, catalog: DataFrame, force: bool = False) -> DataFrame:
     """Drop a scanned file when the catalog already holds that path with
     ``modified_at >= mtime``; ``force`` keeps everything."""
@@ -228,11 +237,14 @@ def upsert(catalog: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def build_catalog(catalog: DataFrame, scan: DataFrame, root: str, pattern: str | None = None,
-                  force: bool = False, skip_hash: bool = False, now: str | None = None
-                  ) -> tuple[DataFrame, DataFrame]:
+                  force: bool = False, skip_hash: bool = False, now: str | None = None,
+                  max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new catalog, per-file status).  Status is ``skipped`` for files the
     freshness test drops, else the analysis outcome (ok / corrupted / error)."""
     inv = media_inventory(scan, root, pattern).where(F.col("inventory_status") == "media")
+    if max_files:
+        # the first n files found (by path; the walker's order is unspecified).
+        inv = inv.orderBy("file_path").limit(max_files)
     todo = incremental_skip(inv, catalog, force)
     # The parsed rows feed both the upsert and the status table: write them once.
     rows = cut_lineage(analyze(newest_per_path(todo), skip_hash=skip_hash, now=now),

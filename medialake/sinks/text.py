@@ -185,3 +185,8 @@ def duplicates_report_blocks(report: DataFrame, pattern: str | None = None,
 def write_ordered(blocks: DataFrame, keys: list[str], path: str) -> None:
     """Write blocks sorted by ``keys`` as text part files."""
     blocks.orderBy(*keys).select(F.col("block").alias("value")).write.mode("overwrite").text(path)
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """B7 sink: append the conversion records to a Parquet log (one file set per run)."""
+    log.write.mode("append").parquet(path)

@@ -77,3 +77,26 @@ def test_stream_batches_are_idempotent(spark, lib):
     ST.process_batch(_scan_from(lib, -100.0), 1, base, "/lib", now="2024-03-01 00:00:00")
     v2 = CS.read_current(spark, base)
     assert v2.where("analyzed_at = TIMESTAMP_NTZ '2024-03-01 00:00:00'").count() == 0
+
+
+def test_max_files_and_root_slash(spark, lib):
+    from medialake.operators import directories as dr
+    cat, status = I.build_catalog(lib, _scan_from(lib, 5.0), "/lib", now="2024-02-01 00:00:00",
+                                  max_files=5)
+    assert I.status_counters(status).first().processed == 5
+    files = spark.createDataFrame(
+        [(f"/{d}/f{i}.jpg", 10, "image", False) for d in ("a", "b/c") for i in range(3)],
+        "file_path string, file_size bigint, media_type string, is_corrupted boolean")
+    tree = {r.dir_path: (r.total_files, r.subdirs_count) for r in dr.directory_tree(files).collect()}
+    assert tree == {"/": (6, 2), "/a": (3, 0), "/b": (3, 1), "/b/c": (3, 0)}
+
+
+def test_conversion_log_append(spark, lib):
+    from medialake.sinks import text as TX
+    listed = lib.where("media_type = 'image'").select("file_path")
+    log = TX.conversion_log(CV.raw_convert_plan(listed, _inventory(lib), lib))
+    path = tempfile.mkdtemp(prefix="ml-log-", dir="/tmp") + "/log"
+    TX.append_log(log, path)
+    TX.append_log(log, path)
+    assert spark.read.parquet(path).count() == 2 * log.count() == 18
+    assert log.first().message.startswith("CONVERT_SUCCESS: /lib/")
