@@ -92,9 +92,14 @@ def incremental_skip(scan: DataFrame, catalog: DataFrame, force: bool = False) -
 
 # --- parsing and classification ---------------------------------------------------
 
-def video_columns(probe_json: Column) -> dict[str, Column]:
-    """Typed video metadata from the probe JSON (first ``video`` stream)."""
-    doc = F.from_json(probe_json, S.PROBE_SCHEMA)
+def parse_probe(probe_json: Column) -> Column:
+    return F.from_json(probe_json, S.PROBE_SCHEMA)
+
+
+def video_columns(doc: Column) -> dict[str, Column]:
+    """Typed video metadata from a parsed probe document (first ``video``
+    stream).  Parse once (``parse_probe``) into a column and pass that column, so
+    the JSON is not re-parsed for every field."""
     vs = F.get(F.filter(doc["streams"], lambda s: s["codec_type"] == "video"), 0)
     fmt = doc["format"]
     dur_txt = F.coalesce(fmt["duration"], F.lit("0"))
@@ -131,91 +136,113 @@ def _critical(text: Column) -> Column:
     return cond
 
 
+_VIDEO_FIELDS = ["duration", "width", "height", "codec_name", "codec_long_name", "bit_rate",
+                 "format_name", "format_long_name", "frame_rate", "creation_date"]
+
+
 def analyze(records: DataFrame, skip_hash: bool = False, now: str | None = None) -> DataFrame:
     """C11 + C12 + A7 + A8 + A2: scan records -> catalog rows (without ``id``) plus
     ``outcome`` (``ok`` / ``corrupted`` / ``error``).
 
+    Staged projections: the JSON documents are parsed once, the video fields and
+    the error flags computed once, and only then combined (Catalyst keeps the
+    stages apart because they hold non-cheap expressions used several times).
     ``now`` fixes ``analyzed_at`` (``yyyy-MM-dd HH:mm:ss``) for deterministic runs.
     """
     ext = P.lower_extension(F.col("file_path"))
-    is_video = ext.isin(*S.VIDEO_EXTENSIONS)
-    is_raw = ext.isin(*S.RAW_EXTENSIONS)
-    is_image = ext.isin(*S.IMAGE_EXTENSIONS)
-    kind, text = F.col("error_kind"), F.coalesce(F.col("error_text"), F.lit(""))
-    v = video_columns(F.col("probe_json"))
-    vid_msg = (F.when(kind == "corrupted", F.concat(F.lit("ffprobe error: "), text))
-               .when(kind == "timeout", F.lit("ffprobe timeout (30s)"))
-               .when(kind == "probe_failed", F.concat(F.lit("Subprocess error: "), text))
-               .when(~v["_doc_ok"], F.lit("JSON decode error"))
-               .when(~v["_has_video"], F.lit("No video stream found in file")))
-    vid_err = (F.when(v["duration"].isNull(),
-                      F.format_string("Processing error: could not convert string to float: '%s'",
-                                      v["_dur_txt"]))
-               .when(v["bit_rate"].isNull(),
-                     F.format_string("Processing error: invalid literal for int() with base 10: '%s'",
-                                     v["_br_txt"])))
-    ext_name = F.substring(ext, 2, 1 << 20)
-    pil_fail = F.coalesce(kind.isin(*S.IMAGE_ERROR_KINDS), F.lit(False)) & ~is_raw
-    critical = pil_fail & _critical(F.col("error_text"))
-    exif_failed = F.coalesce(kind == "image_error_exif_failed", F.lit(False))
-    img_msg = (F.when(critical, F.concat(F.lit("Critical image corruption: "), text))
-               .when(pil_fail & exif_failed,
-                     F.concat(F.lit("PIL error (continuing with exiftool): "), text,
-                              F.lit(" | Exiftool also failed")))
-               .when(pil_fail, F.concat(F.lit("PIL error (continuing with exiftool): "), text)))
-    img_corrupt = critical | (pil_fail & exif_failed)
-    img_ok_dims = ~is_raw & ~pil_fail
-    unsupported = ~is_video & ~is_image
-
-    corrupted = (F.when(unsupported, F.lit(True))
-                 .when(is_video, vid_msg.isNotNull() | vid_err.isNotNull())
-                 .otherwise(img_corrupt))
-    message = (F.when(unsupported, F.concat(F.lit("Processing error: Unsupported file type: "), ext))
-               .when(is_video, F.coalesce(vid_msg, vid_err))
-               .otherwise(img_msg))
-    outcome = (F.when(unsupported | (is_video & vid_msg.isNull() & vid_err.isNotNull()), F.lit("error"))
-               .when(corrupted, F.lit("corrupted")).otherwise(F.lit("ok")))
-    video_ok = is_video & ~corrupted
-    image_ok = is_image & ~img_corrupt & ~unsupported
+    parsed = records.select(
+        "*", ext.alias("_ext"), parse_probe(F.col("probe_json")).alias("_doc"),
+        D.exif_creation_date(F.from_json(F.col("exif_json"), S.EXIF_SCHEMA)).alias("_exif_date"))
+    v = video_columns(F.col("_doc"))
+    kind = F.col("error_kind")
+    stage2 = parsed.select(
+        "*",
+        F.col("_ext").isin(*S.VIDEO_EXTENSIONS).alias("_is_video"),
+        F.col("_ext").isin(*S.RAW_EXTENSIONS).alias("_is_raw"),
+        F.col("_ext").isin(*S.IMAGE_EXTENSIONS).alias("_is_image"),
+        *[v[c].alias("_v_" + c) for c in _VIDEO_FIELDS],
+        v["_doc_ok"].alias("_doc_ok"), v["_has_video"].alias("_has_video"),
+        v["_dur_txt"].alias("_dur_txt"), v["_br_txt"].alias("_br_txt"),
+        F.coalesce(kind.isin(*S.IMAGE_ERROR_KINDS), F.lit(False)).alias("_img_err"),
+        F.coalesce(kind == "image_error_exif_failed", F.lit(False)).alias("_exif_failed"),
+        _critical(F.col("error_text")).alias("_critical_text"))
+    text = F.coalesce(F.col("error_text"), F.lit(""))
+    c = F.col
+    pil_fail = c("_img_err") & ~c("_is_raw")
+    critical = pil_fail & c("_critical_text")
+    stage3 = stage2.select(
+        "*",
+        (F.when(kind == "corrupted", F.concat(F.lit("ffprobe error: "), text))
+         .when(kind == "timeout", F.lit("ffprobe timeout (30s)"))
+         .when(kind == "probe_failed", F.concat(F.lit("Subprocess error: "), text))
+         .when(~c("_doc_ok"), F.lit("JSON decode error"))
+         .when(~c("_has_video"), F.lit("No video stream found in file"))).alias("_vid_msg"),
+        (F.when(c("_v_duration").isNull(),
+                F.format_string("Processing error: could not convert string to float: '%s'",
+                                c("_dur_txt")))
+         .when(c("_v_bit_rate").isNull(),
+               F.format_string("Processing error: invalid literal for int() with base 10: '%s'",
+                               c("_br_txt")))).alias("_vid_err"),
+        (F.when(critical, F.concat(F.lit("Critical image corruption: "), text))
+         .when(pil_fail & c("_exif_failed"),
+               F.concat(F.lit("PIL error (continuing with exiftool): "), text,
+                        F.lit(" | Exiftool also failed")))
+         .when(pil_fail, F.concat(F.lit("PIL error (continuing with exiftool): "), text)))
+        .alias("_img_msg"),
+        (critical | (pil_fail & c("_exif_failed"))).alias("_img_corrupt"),
+        (~c("_is_raw") & ~pil_fail).alias("_img_ok_dims"),
+        (~c("_is_video") & ~c("_is_image")).alias("_unsupported"))
+    corrupted = (F.when(c("_unsupported"), F.lit(True))
+                 .when(c("_is_video"), c("_vid_msg").isNotNull() | c("_vid_err").isNotNull())
+                 .otherwise(c("_img_corrupt")))
+    stage4 = stage3.select(
+        "*", corrupted.alias("_corrupted"),
+        (F.when(c("_unsupported"), F.concat(F.lit("Processing error: Unsupported file type: "),
+                                            c("_ext")))
+         .when(c("_is_video"), F.coalesce(c("_vid_msg"), c("_vid_err")))
+         .otherwise(c("_img_msg"))).alias("_message"),
+        (F.when(c("_unsupported") | (c("_is_video") & c("_vid_msg").isNull()
+                                     & c("_vid_err").isNotNull()), F.lit("error"))
+         .when(corrupted, F.lit("corrupted")).otherwise(F.lit("ok"))).alias("_outcome"))
+    video_ok = c("_is_video") & ~c("_corrupted")
+    image_ok = c("_is_image") & ~c("_img_corrupt") & ~c("_unsupported")
+    ext_name = F.substring(c("_ext"), 2, 1 << 20)
+    has_fmt = c("image_format").isNotNull() & c("_img_ok_dims")
+    img_format = F.when(has_fmt, F.lower("image_format")).otherwise(ext_name)
+    img_long = (F.when(c("_is_raw"), F.concat(F.upper(ext_name), F.lit(" RAW Image")))
+                .when(has_fmt, F.concat(c("image_format"), F.lit(" Image")))
+                .otherwise(F.concat(F.upper(ext_name), F.lit(" Image"))))
+    analyzed_at = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
 
     def vcol(name):
-        return F.when(video_ok, v[name])
+        return F.when(video_ok, c("_v_" + name))
 
-    img_format = F.when(F.col("image_format").isNotNull() & img_ok_dims, F.lower("image_format")) \
-        .otherwise(ext_name)
-    img_long = (F.when(is_raw, F.concat(F.upper(ext_name), F.lit(" RAW Image")))
-                .when(F.col("image_format").isNotNull() & img_ok_dims,
-                      F.concat(F.col("image_format"), F.lit(" Image")))
-                .otherwise(F.concat(F.upper(ext_name), F.lit(" Image"))))
-    analyzed_at = (F.lit(now).cast("timestamp_ntz") if now
-                   else F.localtimestamp())
-    out = records.select(
+    return stage4.select(
         "file_path",
-        P.basename(F.col("file_path")).alias("file_name"),
+        P.basename(c("file_path")).alias("file_name"),
         "file_size",
         (F.lit(None).cast("string") if skip_hash else
-         F.when(~corrupted, F.col("content_md5"))).alias("file_hash"),
-        F.when(is_video, F.lit("video")).otherwise(F.lit("image")).alias("media_type"),
-        F.when(video_ok, v["creation_date"])
-        .when(image_ok, exif_date(F.col("exif_json"))).alias("creation_date"),
+         F.when(~c("_corrupted"), c("content_md5"))).alias("file_hash"),
+        F.when(c("_is_video"), F.lit("video")).otherwise(F.lit("image")).alias("media_type"),
+        F.when(video_ok, c("_v_creation_date")).when(image_ok, c("_exif_date")).alias("creation_date"),
         vcol("duration").alias("duration"),
-        F.when(video_ok, v["width"]).when(image_ok & img_ok_dims, F.col("width")).alias("width"),
-        F.when(video_ok, v["height"]).when(image_ok & img_ok_dims, F.col("height")).alias("height"),
+        F.when(video_ok, c("_v_width")).when(image_ok & c("_img_ok_dims"), c("width")).alias("width"),
+        F.when(video_ok, c("_v_height")).when(image_ok & c("_img_ok_dims"), c("height")).alias("height"),
         vcol("codec_name").alias("codec_name"),
         vcol("codec_long_name").alias("codec_long_name"),
         vcol("bit_rate").alias("bit_rate"),
         vcol("frame_rate").alias("frame_rate"),
         # Images keep the extension-derived format even when corrupted (the
         # reference fills it in before decoding); corrupted videos keep nothing.
-        F.when(video_ok, v["format_name"]).when(is_image, img_format).alias("format_name"),
-        F.when(video_ok, v["format_long_name"]).when(is_image, img_long).alias("format_long_name"),
-        corrupted.alias("is_corrupted"),
-        message.alias("error_message"),
+        F.when(video_ok, c("_v_format_name")).when(c("_is_image"), img_format).alias("format_name"),
+        F.when(video_ok, c("_v_format_long_name")).when(c("_is_image"), img_long)
+        .alias("format_long_name"),
+        c("_corrupted").alias("is_corrupted"),
+        c("_message").alias("error_message"),
         analyzed_at.alias("analyzed_at"),
         "modified_at",
-        outcome.alias("outcome"),
+        c("_outcome").alias("outcome"),
     )
-    return out
 
 
 def newest_per_path(rows: DataFrame, order_col: str = "modified_at") -> DataFrame:

@@ -197,11 +197,12 @@ register("content_hash")(lambda spark, sf: I.content_hash(fx.documents_content(s
 
 @register("probe_json_ingest")
 def q_probe_json_ingest(spark, sf):
-    v = I.video_columns(F.col("probe_json"))
     cols = ["duration", "width", "height", "codec_name", "codec_long_name", "bit_rate",
             "format_name", "format_long_name", "frame_rate", "creation_date"]
-    return _scan(spark, sf).where(F.col("probe_json").isNotNull()).select(
-        "file_path", *[v[c].alias(c) for c in cols])
+    docs = _scan(spark, sf).where(F.col("probe_json").isNotNull()).select(
+        "file_path", I.parse_probe(F.col("probe_json")).alias("doc"))
+    v = I.video_columns(F.col("doc"))
+    return docs.select("file_path", *[v[c].alias(c) for c in cols])
 
 
 register("exif_json_ingest")(lambda spark, sf: _scan(spark, sf).where(
