@@ -239,11 +239,11 @@ def no_creation_date(catalog: DataFrame) -> DataFrame:
     (path first, as the suggestion list writes it)."""
     from ..functions import dates as D
     rows = with_resolution(valid(catalog).where(F.col("creation_date").isNull()))
-    path_date = D.ts_text(D.datetime_from_path(F.col("file_path")))
-    mtime_date = D.ts_text(D.epoch_to_naive_utc(F.col("modified_at")))
-    return rows.select(*REPORT_COLUMNS, path_date.alias("path_date"),
-                       mtime_date.alias("mtime_date"),
-                       F.coalesce(path_date, mtime_date).alias("suggested_date"))
+    # Two stages: the path rules run once per row, then the suggestion reuses them.
+    dated = rows.select(*REPORT_COLUMNS,
+                        D.ts_text(D.datetime_from_path(F.col("file_path"))).alias("path_date"),
+                        D.ts_text(D.epoch_to_naive_utc(F.col("modified_at"))).alias("mtime_date"))
+    return dated.withColumn("suggested_date", F.coalesce("path_date", "mtime_date"))
 
 
 # --- ad-hoc filters and examples ---------------------------------------------------------
