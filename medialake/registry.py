@@ -144,8 +144,8 @@ from .functions import dates as D  # noqa: E402
 from .functions import formats as FM  # noqa: E402
 from .functions import paths as P  # noqa: E402
 from .operators import assets as A  # noqa: E402
-from .plans import album_by_resolution as K8  # noqa: E402
-from .plans import date_from_name as K7  # noqa: E402
+from .plans import resolution_album as K8  # noqa: E402
+from .plans import name_dates as K7  # noqa: E402
 
 register("datetime_from_path")(lambda spark, sf: _cat(spark, sf).select(
     "file_path", D.ts_text(D.datetime_from_path(F.col("file_path"))).alias("path_date")))
@@ -354,7 +354,7 @@ register("format_labels")(lambda spark, sf: _cat(spark, sf).select(
 # --- remaining inventory items ------------------------------------------------------------
 
 from .functions import media as MD  # noqa: E402
-from .plans import album_by_resolution as _K8  # noqa: E402
+from .plans import resolution_album as _K8  # noqa: E402
 from .operators import directories as _dr  # noqa: E402
 
 register("media_type_of")(lambda spark, sf: _scan(spark, sf).select(

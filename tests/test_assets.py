@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from medialake import schema as S
 from medialake.operators import assets as A
 from medialake.operators import ingest as I
-from medialake.plans import album_by_resolution as K8
-from medialake.plans import date_from_name as K7
+from medialake.plans import resolution_album as K8
+from medialake.plans import name_dates as K7
 
 
 def _assets(spark):
