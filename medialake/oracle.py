@@ -343,7 +343,7 @@ def _dir_sql(q: dict[str, str]) -> None:
         *_DIR_CTES)
     plural = lambda n, w: f"CAST({n} AS VARCHAR) || ' {w}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END"
     q["tree_preorder"] = with_media(
-        f"""SELECT dir_path, string_split(dir_path, '/') AS order_key,
+        f"""SELECT dir_path, row_number() OVER (ORDER BY string_split(dir_path, '/')) AS position,
                   dir_path || '/ ' || CASE WHEN total_files = 0 THEN '[empty]' ELSE
                     '[' || concat_ws(', ',
                        CASE WHEN subdirs_count > 0 THEN {plural('subdirs_count', 'dir')} END,

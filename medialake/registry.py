@@ -120,7 +120,12 @@ register("dir_subdir_count")(lambda spark, sf: _tree(spark, sf).where("subdirs_c
 register("dir_parent_edges")(lambda spark, sf: _tree(spark, sf).where("parent_path IS NOT NULL")
                              .select("parent_path", "dir_path"))
 register("largest_dirs")(lambda spark, sf: dr.largest_dirs(_tree(spark, sf), 5))
-register("tree_preorder")(lambda spark, sf: dr.tree_lines(dr.preorder(_tree(spark, sf))))
+@register("tree_preorder")
+def q_tree_preorder(spark, sf):
+    """F7 + B4 lines with each directory's position in the tree pre-order."""
+    from .operators.ranking import global_row_number
+    lines = dr.tree_lines(_tree(spark, sf))
+    return global_row_number(lines, [F.col("order_key")], "position").drop("order_key")
 
 
 @register("common_root")
