@@ -272,19 +272,25 @@ def _listed(spark, sf):
     return L.parse_file_list(fx.file_list_lines(spark, sf))
 
 
+def _listed_raw(spark, sf):
+    """The deletion and directory-list readers strip and skip comments but do not
+    NFC-normalise."""
+    return L.parse_file_list(fx.file_list_lines(spark, sf), normalize=False)
+
+
 def _inv(spark, sf):
     return fx.inventory(spark, sf)
 
 
 register("file_list_scan")(_listed)
 register("missing_files")(lambda spark, sf: PC.split_existing(_listed(spark, sf), _inv(spark, sf))[1])
-register("directory_list_union")(lambda spark, sf: _listed(spark, sf).select(
+register("directory_list_union")(lambda spark, sf: _listed_raw(spark, sf).select(
     P.dirname(F.col("file_path")).alias("dir_path")).unionByName(
     spark.range(1).select(F.lit(LIB_ROOT).alias("dir_path"))))
 register("deletion_plan")(lambda spark, sf: K1.deletion_plan(
-    _listed(spark, sf), _inv(spark, sf), "Camera Uploads"))
+    _listed_raw(spark, sf), _inv(spark, sf), "Camera Uploads"))
 register("deletion_totals")(lambda spark, sf: K1.deletion_totals(K1.deletion_plan(
-    _listed(spark, sf), _inv(spark, sf), "Camera Uploads")))
+    _listed_raw(spark, sf), _inv(spark, sf), "Camera Uploads")))
 register("empty_dirs")(lambda spark, sf: K3.empty_directories(
     fx.directory_entries(spark, sf), _cat(spark, sf), LIB_ROOT))
 
