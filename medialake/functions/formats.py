@@ -129,3 +129,15 @@ def compression_percent(original, output) -> Column:
     """(in - out) / in * 100, 0 when in is 0."""
     o, n = _c(original).cast("double"), _c(output).cast("double")
     return F.when(o > 0, (o - n) / o * 100.0).otherwise(F.lit(0.0))
+
+
+def bitrate_severity(bit_rate) -> Column:
+    """Bitrate above 50 Mbit/s is ``high``."""
+    b = _c(bit_rate)
+    return F.when(b > 50_000_000, F.lit("high")).otherwise(F.lit("normal"))
+
+
+def duration_severity(duration) -> Column:
+    """Longer than an hour is ``long``."""
+    d = _c(duration)
+    return F.when(d > 3600, F.lit("long")).otherwise(F.lit("normal"))

@@ -806,7 +806,9 @@ def _misc_sql(q: dict[str, str]) -> None:
                                     CAST(floor(coalesce(duration, 0.0) - 60 * floor(coalesce(duration, 0.0) / 60)) AS BIGINT))
                    END AS encoder_label,
                    CASE WHEN file_size > 1000000000 THEN 'high' WHEN file_size > 100000000 THEN 'medium'
-                        ELSE 'low' END AS severity
+                        ELSE 'low' END AS severity,
+                   CASE WHEN bit_rate > 50000000 THEN 'high' ELSE 'normal' END AS bitrate_severity,
+                   CASE WHEN duration > 3600 THEN 'long' ELSE 'normal' END AS duration_severity
             FROM media_files""")
     # Duplicate report lines
     res = "coalesce(CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR), 'None')"

@@ -389,7 +389,9 @@ register("format_labels_plans")(lambda spark, sf: _cat(spark, sf).select(
     "file_path", FM.move_size_label(F.col("file_size")).alias("move_size_label"),
     FM.minutes_label(F.col("duration")).alias("minutes_label"),
     FM.encoder_duration_label(F.coalesce(F.col("duration"), F.lit(0.0))).alias("encoder_label"),
-    FM.size_severity(F.col("file_size")).alias("severity")))
+    FM.size_severity(F.col("file_size")).alias("severity"),
+    FM.bitrate_severity(F.col("bit_rate")).alias("bitrate_severity"),
+    FM.duration_severity(F.col("duration")).alias("duration_severity")))
 
 
 @register("export_duplicates_report")
