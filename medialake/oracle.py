@@ -843,6 +843,12 @@ def _misc_sql(q: dict[str, str]) -> None:
                          FROM dup_members m JOIN numbered n USING (file_hash) GROUP BY m.file_hash, n.group_no)""",
         """live AS (SELECT * FROM per_group WHERE n_delete > 0)""",
         """rows_live AS (SELECT m.*, l.group_no FROM dup_members m JOIN live l USING (file_hash))""")
+    q["protected_output_check"] = with_media(
+        f"""SELECT a.file_path AS input_path, t.output_path FROM media_files a
+            JOIN (SELECT file_path,
+                         {dirname_sql('file_path')} || '/' || {stem_sql('file_path')} || '_720p'
+                         || {ext_sql('file_path')} AS output_path FROM media_files) t USING (file_path)
+            WHERE t.output_path IN (SELECT file_path FROM media_files)""")
     q["export_dir_tree"] = (
         "SELECT 1 AS section, line AS block FROM (" + q["tree_preorder"] + ")\nUNION ALL\n" +
         "SELECT * FROM (" + with_media(f"""SELECT 0, '# Directory Structure Analysis' || chr(10) || '# Created: 2024-01-15 10:30:00'

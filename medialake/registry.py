@@ -403,3 +403,12 @@ def q_export_duplicates_report(spark, sf):
 @register("export_dir_tree")
 def q_export_dir_tree(spark, sf):
     return TX.tree_blocks(_dr.tree_lines(_tree(spark, sf))).select("section", "block")
+
+
+@register("protected_output_check")
+def q_protected_output_check(spark, sf):
+    """J4 as a table: encode tasks (suffix ``_720p``) over the whole catalog whose
+    output path is already a catalogued file -- the rows that make a run abort."""
+    tasks = _cat(spark, sf).select(F.col("file_path").alias("input_path"),
+                                   P.output_path(F.col("file_path"), "_720p").alias("output_path"))
+    return PC.protected_outputs(tasks, _cat(spark, sf))
