@@ -75,3 +75,17 @@ def test_binary_hashes_match_hashlib(spark):
     assert got == {"a.jpg": hashlib.md5(data["a.jpg"]).hexdigest()}
     df = spark.createDataFrame([("x", "héllo")], "file_path string, content string")
     assert I.content_hash(df).first().file_hash == hashlib.md5("héllo".encode()).hexdigest()
+
+
+def test_with_file_hashes_prefers_bytes_below_limit(spark):
+    folder = tempfile.mkdtemp(prefix="ml-hash-", dir="/tmp")
+    small, big = os.path.join(folder, "s.jpg"), os.path.join(folder, "b.mp4")
+    with open(small, "wb") as fh:
+        fh.write(b"x" * 10)
+    with open(big, "wb") as fh:
+        fh.write(b"y" * 5000)
+    scan = spark.createDataFrame([(small, "stale"), (big, "from-scan")],
+                                 "file_path string, content_md5 string")
+    got = {r.file_path: r.content_md5 for r in
+           I.with_file_hashes(scan, spark, folder, size_limit=1000).collect()}
+    assert got == {small: hashlib.md5(b"x" * 10).hexdigest(), big: "from-scan"}
