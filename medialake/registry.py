@@ -13,8 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from . import schema as S
+from .functions import dates as D
+from .functions import formats as FM
+from .functions import media as MD
+from .functions import paths as P
+from .operators import assets as A
+from .operators import directories as dr
 from .operators import duplicates as dup
+from .operators import ingest as I
+from .operators import reports as rp
+from .plans import common as PC
+from .plans import conversion as CV
+from .plans import creation_time as K6
+from .plans import deletion as K1
+from .plans import empty_dirs as K3
+from .plans import flatten as K2
+from .plans import name_dates as K7
+from .plans import resolution_album as K8
+from .sinks import catalog_store as CS
+from .sinks import text as TX
 from .sources import fixtures as fx
+from .sources import lists as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -66,8 +86,6 @@ def q_wasted_space(spark, sf):
 
 # --- catalog reports ---------------------------------------------------------------
 
-from .operators import reports as rp  # noqa: E402
-
 
 def _cat(spark, sf):
     return fx.media_files(spark, sf)
@@ -106,8 +124,6 @@ for _name, _fn in _SIMPLE.items():
 
 # --- directory rollup -----------------------------------------------------------
 
-from .operators import directories as dr  # noqa: E402
-
 
 def _tree(spark, sf):
     return dr.directory_tree(_cat(spark, sf))
@@ -145,12 +161,6 @@ def q_root_directories(spark, sf):
 
 # --- dates and assets -------------------------------------------------------------
 
-from .functions import dates as D  # noqa: E402
-from .functions import formats as FM  # noqa: E402
-from .functions import paths as P  # noqa: E402
-from .operators import assets as A  # noqa: E402
-from .plans import resolution_album as K8  # noqa: E402
-from .plans import name_dates as K7  # noqa: E402
 
 register("datetime_from_path")(lambda spark, sf: _cat(spark, sf).select(
     "file_path", D.ts_text(D.datetime_from_path(F.col("file_path"))).alias("path_date")))
@@ -176,9 +186,6 @@ register("album_by_resolution_plan")(lambda spark, sf: K8.album_plan(
 
 # --- ingest -------------------------------------------------------------------------
 
-from . import schema as S  # noqa: E402
-from .operators import ingest as I  # noqa: E402
-from .sinks import catalog_store as CS  # noqa: E402
 
 RUN_CLOCK = oracle.RUN_CLOCK
 LIB_ROOT = "/library"
@@ -258,15 +265,6 @@ def q_stream_catalog_upsert(spark, sf):
 
 # --- plans ----------------------------------------------------------------------------
 
-from .plans import common as PC  # noqa: E402
-from .plans import conversion as CV  # noqa: E402
-from .plans import creation_time as K6  # noqa: E402
-from .plans import deletion as K1  # noqa: E402
-from .plans import empty_dirs as K3  # noqa: E402
-from .plans import flatten as K2  # noqa: E402
-from .sinks import text as TX  # noqa: E402
-from .sources import lists as L  # noqa: E402
-
 
 def _listed(spark, sf):
     return L.parse_file_list(fx.file_list_lines(spark, sf))
@@ -364,9 +362,6 @@ register("format_labels")(lambda spark, sf: _cat(spark, sf).select(
 
 # --- remaining inventory items ------------------------------------------------------------
 
-from .functions import media as MD  # noqa: E402
-from .plans import resolution_album as _K8  # noqa: E402
-from .operators import directories as _dr  # noqa: E402
 
 register("media_type_of")(lambda spark, sf: _scan(spark, sf).select(
     "file_path", MD.media_kind(F.col("file_path")).alias("kind")))
@@ -382,7 +377,7 @@ register("depth_order")(lambda spark, sf: rp.depth_order_numbers(
 register("date_changes")(lambda spark, sf: K7.date_changes(K7.date_from_name_plan(
     fx.album_members(spark, sf), fx.assets(spark, sf), "purchase", 2025)))
 register("parse_resolution")(lambda spark, sf: fx.assets(spark, sf).select(
-    "id", _K8.resolution_column(F.concat_ws("X", F.col("exifInfo.exifImageWidth"),
+    "id", K8.resolution_column(F.concat_ws("X", F.col("exifInfo.exifImageWidth"),
                                             F.col("exifInfo.exifImageHeight"))).alias("r"))
     .select("id", F.col("r.width").alias("width"), F.col("r.height").alias("height")))
 register("format_labels_plans")(lambda spark, sf: _cat(spark, sf).select(
@@ -402,7 +397,7 @@ def q_export_duplicates_report(spark, sf):
 
 @register("export_dir_tree")
 def q_export_dir_tree(spark, sf):
-    return TX.tree_blocks(_dr.tree_lines(_tree(spark, sf))).select("section", "block")
+    return TX.tree_blocks(dr.tree_lines(_tree(spark, sf))).select("section", "block")
 
 
 @register("protected_output_check")
