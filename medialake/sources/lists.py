@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import make_ts
+from ..session import cut_lineage
 
 # Python's str.strip() whitespace, as far as it occurs in text lists.
 STRIP_CHARS = " \t\n\r\x0b\x0c"
@@ -102,5 +103,9 @@ def attach_suggestions(lines: DataFrame, window: int = 4) -> DataFrame:
 
 
 def read_suggestion_list(spark: SparkSession, path: str, window: int = 4) -> DataFrame:
-    """``(file_path, suggested)`` per path line of suggestion-list files."""
-    return attach_suggestions(numbered_lines(spark, path), window)
+    """``(file_path, suggested)`` per path line of suggestion-list files.
+
+    The numbered lines feed the path side and the ``CREATION_TIME`` side of the
+    attach step: they are written once (shared folder) instead of re-reading and
+    re-numbering the text for each side."""
+    return attach_suggestions(cut_lineage(numbered_lines(spark, path), "numbered-lines"), window)
