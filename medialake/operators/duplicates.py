@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import global_row_number, rank_within
 
 
@@ -51,23 +52,31 @@ def duplicate_groups(catalog: DataFrame) -> DataFrame:
             .withColumn("wasted_bytes", F.col("group_size") * (F.col("file_count") - 1)))
 
 
+def _group_table(files: DataFrame) -> DataFrame:
+    """One row per duplicate hash: member count, largest size and the original."""
+    return (files.groupBy("file_hash")
+            .agg(F.count(F.lit(1)).alias("file_count"),
+                 F.max("file_size").alias("group_size"),
+                 F.min(F.struct("matches_pattern", "file_path")).alias("first"))
+            .where(F.col("file_count") >= 2)
+            .select("file_hash", "file_count", "group_size",
+                    F.col("first.file_path").alias("original_path")))
+
+
+def _classified(files: DataFrame, groups: DataFrame) -> DataFrame:
+    return (files.join(groups.select("file_hash", "file_count", "original_path"), "file_hash")
+            .withColumn("is_original", F.col("file_path") == F.col("original_path"))
+            .drop("original_path"))
+
+
 def classify_duplicates(catalog: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
     """Every member of every duplicate group with its role.
 
-    Columns: file_hash, file_path, file_name, file_size, duration, bit_rate, width,
-    height, codec_name, matches_pattern, is_original.
+    Columns: the catalog columns, matches_pattern, file_count, is_original.
     """
     files = hashed_files(catalog).withColumn(
         "matches_pattern", matches_any(F.col("file_path"), patterns))
-    groups = (files.groupBy("file_hash")
-              .agg(F.count(F.lit(1)).alias("file_count"),
-                   F.min(F.struct("matches_pattern", "file_path")).alias("first"))
-              .where(F.col("file_count") >= 2)
-              .select("file_hash", "file_count",
-                      F.col("first.file_path").alias("original_path")))
-    return (files.join(groups, "file_hash")
-            .withColumn("is_original", F.col("file_path") == F.col("original_path"))
-            .drop("original_path"))
+    return _classified(files, _group_table(files))
 
 
 def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
@@ -77,13 +86,18 @@ def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None)
     leaves them unordered) and counts groups later left out; ``copy_no`` is 0 for
     the original and j for COPY j, in the order (matches_pattern, file_path).
 
+    The group table (one row per hash) is written once and serves both the
+    classification join and the group numbering, so the catalog is scanned twice.
     Copy numbers use a window for groups of bounded size and, for hot hashes, a
     global numbering in (hash, matches, path) order minus the group's first
     position (``ranking.rank_within``), so no task holds an unbounded group.
     """
-    members = rank_within(classify_duplicates(catalog, patterns), ["file_hash"],
+    files = hashed_files(catalog).withColumn(
+        "matches_pattern", matches_any(F.col("file_path"), patterns))
+    groups = cut_lineage(_group_table(files), "dup-groups")
+    members = rank_within(_classified(files, groups), ["file_hash"],
                           ["matches_pattern", "file_path"], "file_count", "copy_no")
-    numbered = global_row_number(duplicate_groups(catalog).select("file_hash", "file_count"),
+    numbered = global_row_number(groups.select("file_hash", "file_count"),
                                  [F.col("file_count").desc(), F.col("file_hash")], "group_no")
     return members.join(numbered.select("file_hash", "group_no"), "file_hash")
 
