@@ -98,13 +98,15 @@ def directory_tree(catalog: DataFrame, root: str | None = None) -> DataFrame:
     tree = (rollup.join(d, "dir_path", "left")
             .join(subdirs, "dir_path", "left")
             .join(parents, "dir_path", "left"))
-    return tree.select(
+    # One row per directory, read by every consumer (tree lines, numbering, top-k):
+    # written once.
+    return cut_lineage(tree.select(
         "dir_path", P.depth(F.col("dir_path")).alias("depth"),
         F.coalesce("direct_files", F.lit(0)).cast("bigint").alias("direct_files"),
         F.coalesce("direct_size", F.lit(0)).cast("bigint").alias("direct_size"),
         *STAT_COLS,
         F.coalesce("subdirs_count", F.lit(0)).cast("bigint").alias("subdirs_count"),
-        "parent_path")
+        "parent_path"), "dir-tree")
 
 
 def root_directories(dirs: DataFrame, direct: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths as P
-from .common import check_protected, mark_existing_outputs, split_existing, with_size
+from .common import check_protected, mark_existing, mark_existing_outputs
 
 
 def encode_plan(listed: DataFrame, inventory: DataFrame, catalog: DataFrame | None = None,
@@ -20,8 +20,8 @@ def encode_plan(listed: DataFrame, inventory: DataFrame, catalog: DataFrame | No
                 skip_existing: bool = True) -> DataFrame:
     if pattern:
         listed = listed.where(F.col("file_path").contains(F.lit(pattern)))
-    existing, _ = split_existing(listed, inventory)
-    tasks = with_size(existing, inventory).select(
+    existing = mark_existing(listed, inventory).where("exists")
+    tasks = existing.select(
         F.col("file_path").alias("input_path"),
         P.output_path(F.col("file_path"), suffix).alias("output_path"),
         "original_size", F.lit("encode").alias("status"))
@@ -36,10 +36,10 @@ def raw_convert_plan(listed: DataFrame, inventory: DataFrame, catalog: DataFrame
                      suffix: str = "_jpg", pattern: str | None = None,
                      skip_existing: bool = True) -> DataFrame:
     """K5; non-RAW files get status ``filtered`` (the reference counts them)."""
-    existing, _ = split_existing(listed, inventory)
+    existing = mark_existing(listed, inventory).where("exists")
     is_raw = P.lower_extension(F.col("file_path")).isin(*S.RAW_EXTENSIONS)
     keep = is_raw if not pattern else (is_raw & F.col("file_path").contains(F.lit(pattern)))
-    rows = with_size(existing, inventory).withColumn(
+    rows = existing.withColumn(
         "status", F.when(keep, F.lit("convert")).otherwise(F.lit("filtered")))
     tasks = rows.select(F.col("file_path").alias("input_path"),
                         F.when(keep, P.output_path(F.col("file_path"), suffix, ".jpg"))
