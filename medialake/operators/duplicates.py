@@ -116,11 +116,18 @@ def copies_to_delete(catalog: DataFrame, patterns: Sequence[str] | None = None)
 def wasted_space(catalog: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
     """D5 summary, one row: groups, copies, wasted bytes over all groups (as the
     reference counts it, also groups the filter leaves out), files to delete and
-    the wasted bytes of groups that still have a file to delete."""
-    groups = duplicate_groups(catalog)
-    deletions = copies_to_delete(catalog, patterns)
-    per_group = deletions.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_delete"))
-    g = groups.join(per_group, "file_hash", "left")
+    the wasted bytes of groups that still have a file to delete.
+
+    One group definition serves the totals and the classification."""
+    files = hashed_files(catalog).withColumn(
+        "matches_pattern", matches_any(F.col("file_path"), patterns))
+    groups = _group_table(files)
+    copies = _classified(files, groups).where(~F.col("is_original"))
+    if patterns:
+        copies = copies.where(F.col("file_path").contains(F.lit(patterns[0])))
+    per_group = copies.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_delete"))
+    g = (groups.withColumn("wasted_bytes", F.col("group_size") * (F.col("file_count") - 1))
+         .join(per_group, "file_hash", "left"))
     return g.agg(
         F.count(F.lit(1)).alias("duplicate_groups"),
         F.coalesce(F.sum(F.col("file_count") - 1), F.lit(0)).cast("bigint").alias("copies"),
