@@ -10,6 +10,8 @@ rules (see ``medialake.oracle``).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from ..functions import paths as P
 from .landing import landed
 
 
+# Version of the rules below: a change to this module lands the tables again.
+with open(__file__, "rb") as _fh:
+    RULES_VERSION = hashlib.sha1(_fh.read()).hexdigest()[:12]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -52,7 +59,7 @@ def _src(sf_dir: str, name: str) -> str:
 def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media catalog as a stored table (landed once per source version)."""
     return landed(spark, "media_files", [_src(sf_dir, "documents")],
-                  lambda: media_files_view(spark, sf_dir))
+                  lambda: media_files_view(spark, sf_dir), RULES_VERSION)
 
 
 def media_files_view(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
@@ -119,7 +126,7 @@ def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan records as a stored table (landed once per source version)."""
     return landed(spark, "scan_records", [_src(sf_dir, "documents")],
-                  lambda: scan_records_view(spark, sf_dir))
+                  lambda: scan_records_view(spark, sf_dir), RULES_VERSION)
 
 
 def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +234,7 @@ def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The on-disk inventory as a stored table (landed once per source version)."""
     return landed(spark, "inventory", [_src(sf_dir, "documents")],
-                  lambda: inventory_view(spark, sf_dir))
+                  lambda: inventory_view(spark, sf_dir), RULES_VERSION)
 
 
 def inventory_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +266,7 @@ def file_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory listing as a stored table (landed once per source version)."""
     return landed(spark, "directory_entries", [_src(sf_dir, "documents")],
-                  lambda: directory_entries_view(spark, sf_dir))
+                  lambda: directory_entries_view(spark, sf_dir), RULES_VERSION)
 
 
 def directory_entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +284,8 @@ def directory_entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset records as a stored table (landed once per source version)."""
-    return landed(spark, "assets", [_src(sf_dir, "events")], lambda: assets_view(spark, sf_dir))
+    return landed(spark, "assets", [_src(sf_dir, "events")],
+                  lambda: assets_view(spark, sf_dir), RULES_VERSION)
 
 
 def assets_view(spark: SparkSession, sf_dir: str) -> DataFrame:

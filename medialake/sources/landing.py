@@ -36,9 +36,12 @@ def source_stamp(spark: SparkSession, paths: list[str]) -> str:
 
 
 def landed(spark: SparkSession, name: str, sources: list[str],
-           build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` built by ``build()`` from ``sources``, landed once."""
-    key = source_stamp(spark, sources)
+           build: Callable[[], DataFrame], version: str = "") -> DataFrame:
+    """The table ``name`` built by ``build()`` from ``sources``, landed once.
+
+    ``version`` identifies the rules that build the table (changing the rules
+    lands a new copy even when the checkpoint folder outlives the job)."""
+    key = hashlib.sha1((source_stamp(spark, sources) + "|" + version).encode()).hexdigest()[:20]
     final = shared_path(spark, "landed", key, name)
     fs, final_p, jvm = _fs(spark, final)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(final_p, "_SUCCESS")):
