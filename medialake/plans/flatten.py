@@ -198,7 +198,7 @@ def flatten_plan(files: DataFrame, target: str, dirs: DataFrame | None = None) -
     stats = dom.join(n_exist, keys, "left").withColumn("sim", F.col("n_exist").isNotNull()
                                                        | (F.col("n_names") > 1))
     # Every later step reads these two tables several times: cut the lineage once
-    # (reliable checkpoint in the shared folder).
+    # (a table written to the shared folder).
     tagged = cut_lineage(moves.join(stats.select(*keys, "dom_name", "n_dom", "n_move", "sim"),
                                     keys), "flatten-moves")
     stats = tagged.select(*keys, "dom_name", "n_dom", "n_move", "sim").distinct()
