@@ -34,21 +34,28 @@ def main():
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     qs = queries()
     names = only or [n for n in HEADLINE if n in qs]
-    times = {}
+    times, errors = {}, {}
     for name in names:
         fn = qs[name]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        best = None
-        for _ in range(2):
-            t0 = time.time()
+        try:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.time() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
-    total = round(sum(times.values()), 3)
+            best = None
+            for _ in range(2):
+                t0 = time.time()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.time() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+        except Exception as exc:  # noqa: BLE001 -- one failure must not hide the rest
+            times[name] = None
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+    total = round(sum(v for v in times.values() if v is not None), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
-                      "queries": times, "sf": sf}))
+    out = {"metric": "headline_queries_total", "value": total, "unit": "sec",
+           "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
