@@ -858,6 +858,51 @@ def _misc_sql(q: dict[str, str]) -> None:
                           || chr(10) || '{rule}' || chr(10) FROM dfull""", *_DIR_CTES) + ")")
 
 
+# --- one query per remaining SURVEY §2 name --------------------------------------------
+
+def _names_sql(q: dict[str, str]) -> None:
+    q["album_lookup"] = with_assets(
+        "SELECT 'album-' || album AS album_id, album AS albumName, count(*) AS assets "
+        "FROM assets WHERE album = 'purchase' GROUP BY album")
+    q["path_pattern_filter"] = with_media(
+        "SELECT count(*) AS before, count(*) FILTER (WHERE contains(file_path, 'Camera Uploads')) AS after "
+        "FROM media_files")
+    hidden = f"""SELECT file_path, status = 'hidden_dir' AS in_hidden_dir,
+                        starts_with({basename_sql('file_path')}, '.') AS hidden_file
+                 FROM ({q["media_inventory"]}) t(file_path, status)"""
+    q["hidden_filter"] = hidden
+    sup = ", ".join(f"'{e}'" for e in _S.SUPPORTED_EXTENSIONS)
+    q["supported_media_filter"] = (
+        f"SELECT file_path, lower({ext_sql('file_path')}) IN ({sup}) AS supported "
+        f"FROM ({q['media_inventory']}) t(file_path, status)")
+    img = ", ".join(f"'{e}'" for e in _S.IMAGE_EXTENSIONS)
+    vid = ", ".join(f"'{e}'" for e in _S.VIDEO_EXTENSIONS)
+    nodate = ", ".join(f"'{e}'" for e in _S.NO_DATE_METADATA_EXTENSIONS)
+    q["metadata_writable"] = with_media(
+        f"""SELECT file_path, CASE WHEN lower({ext_sql('file_path')}) IN ({nodate}) THEN 'unsupported_format'
+                                   WHEN lower({ext_sql('file_path')}) IN ({img}) THEN 'EXIF'
+                                   WHEN lower({ext_sql('file_path')}) IN ({vid}) THEN 'Video Metadata'
+                                   ELSE 'Unknown' END AS method
+            FROM media_files""")
+    cc = q["corruption_classes"]
+    q["image_corruption_class"] = (
+        f"SELECT * FROM ({cc}) WHERE NOT (lower(regexp_extract(file_path, '\\.([^./]*)$', 1)) "
+        f"IN ('mp4', 'avi', 'mpg'))")
+    q["video_corruption_class"] = (
+        f"SELECT * FROM ({cc}) WHERE lower(regexp_extract(file_path, '\\.([^./]*)$', 1)) "
+        f"IN ('mp4', 'avi', 'mpg')")
+    q["listed_existing_split"] = with_media(
+        """SELECT l.file_path, i.file_path IS NOT NULL AS exists, i.file_size AS original_size
+           FROM listed l LEFT JOIN inventory i USING (file_path)""", _INVENTORY, _LISTED)
+    q["has_creation_metadata"] = with_media(
+        "SELECT l.file_path, m.creation_date IS NOT NULL AS has_metadata "
+        "FROM listed l JOIN media_files m USING (file_path)", _LISTED)
+    q["duplicate_detail"] = with_media(
+        f"""SELECT file_hash, file_path, file_size, duration, bit_rate,
+                   CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS resolution, codec_name
+            FROM dup_members""", _HASHED, _DUP_GROUPS, _DUP_MEMBERS)
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["duplicate_groups"] = with_media(
@@ -897,4 +942,5 @@ def sql() -> dict[str, str]:
     _ingest_sql(q)
     _plan_sql(q)
     _misc_sql(q)
+    _names_sql(q)
     return q

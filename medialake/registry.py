@@ -407,3 +407,46 @@ def q_protected_output_check(spark, sf):
     tasks = _cat(spark, sf).select(F.col("file_path").alias("input_path"),
                                    P.output_path(F.col("file_path"), "_720p").alias("output_path"))
     return PC.protected_outputs(tasks, _cat(spark, sf))
+
+
+# --- one query per remaining SURVEY §2 name --------------------------------------------
+
+@register("album_lookup")
+def q_album_lookup(spark, sf):
+    """The album called 'purchase' (error if absent) with its member count."""
+    members = fx.album_members(spark, sf).where(F.col("albumName") == "purchase")
+    if members.limit(1).count() == 0:
+        raise ValueError("Album 'purchase' not found")
+    return members.groupBy("album_id", "albumName").agg(F.count(F.lit(1)).alias("assets"))
+
+
+@register("path_pattern_filter")
+def q_path_pattern_filter(spark, sf):
+    """Catalog files before and after the case-sensitive substring filter."""
+    cat = _cat(spark, sf)
+    return cat.agg(F.count(F.lit(1)).alias("before"),
+                   F.count_if(F.col("file_path").contains(F.lit("Camera Uploads"))).alias("after"))
+
+
+register("hidden_filter")(lambda spark, sf: I.media_inventory(_scan(spark, sf), LIB_ROOT).select(
+    "file_path", (F.col("inventory_status") == "hidden_dir").alias("in_hidden_dir"),
+    P.basename(F.col("file_path")).startswith(".").alias("hidden_file")))
+register("supported_media_filter")(lambda spark, sf: _scan(spark, sf).select(
+    "file_path", MD.is_supported(F.col("file_path")).alias("supported")))
+register("metadata_writable")(lambda spark, sf: _cat(spark, sf).select(
+    "file_path", K6.write_method(F.col("file_path")).alias("method")))
+register("image_corruption_class")(lambda spark, sf: I.analyze(_media_scan(spark, sf), now=RUN_CLOCK)
+                                   .where("media_type = 'image' AND error_message IS NOT NULL")
+                                   .select("file_path", "is_corrupted", "error_message"))
+register("video_corruption_class")(lambda spark, sf: I.analyze(_media_scan(spark, sf), now=RUN_CLOCK)
+                                   .where("media_type = 'video' AND error_message IS NOT NULL")
+                                   .select("file_path", "is_corrupted", "error_message"))
+register("listed_existing_split")(lambda spark, sf: PC.mark_existing(
+    _listed(spark, sf), _inv(spark, sf)).select("file_path", "exists", "original_size"))
+register("has_creation_metadata")(lambda spark, sf: _listed(spark, sf).join(
+    _cat(spark, sf).select("file_path", F.col("creation_date").isNotNull().alias("has_metadata")),
+    "file_path", "left").select("file_path", F.coalesce("has_metadata", F.lit(False))
+                                .alias("has_metadata")))
+register("duplicate_detail")(lambda spark, sf: rp.with_resolution(
+    dup.classify_duplicates(_cat(spark, sf), PAT)).select(
+    "file_hash", "file_path", "file_size", "duration", "bit_rate", "resolution", "codec_name"))
