@@ -885,12 +885,9 @@ def _names_sql(q: dict[str, str]) -> None:
                                    ELSE 'Unknown' END AS method
             FROM media_files""")
     cc = q["corruption_classes"]
-    q["image_corruption_class"] = (
-        f"SELECT * FROM ({cc}) WHERE NOT (lower(regexp_extract(file_path, '\\.([^./]*)$', 1)) "
-        f"IN ('mp4', 'avi', 'mpg'))")
-    q["video_corruption_class"] = (
-        f"SELECT * FROM ({cc}) WHERE lower(regexp_extract(file_path, '\\.([^./]*)$', 1)) "
-        f"IN ('mp4', 'avi', 'mpg')")
+    is_video = f"lower({ext_sql('file_path')}) IN ({vid})"
+    q["image_corruption_class"] = f"SELECT * FROM ({cc}) WHERE NOT ({is_video})"
+    q["video_corruption_class"] = f"SELECT * FROM ({cc}) WHERE {is_video}"
     q["listed_existing_split"] = with_media(
         """SELECT l.file_path, i.file_path IS NOT NULL AS exists, i.file_size AS original_size
            FROM listed l LEFT JOIN inventory i USING (file_path)""", _INVENTORY, _LISTED)
