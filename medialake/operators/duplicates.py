@@ -88,15 +88,15 @@ def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None)
 
     The group table (one row per hash) is written once and serves both the
     classification join and the group numbering, so the catalog is scanned twice.
-    Copy numbers use a window for groups of bounded size and, for hot hashes, a
-    global numbering in (hash, matches, path) order minus the group's first
-    position (``ranking.rank_within``), so no task holds an unbounded group.
+    Copy numbers are the global numbering in (hash, matches, path) order minus the
+    group's first position (``ranking.rank_within``), for groups of every size, so no
+    task holds an unbounded group.
     """
     files = hashed_files(catalog).withColumn(
         "matches_pattern", matches_any(F.col("file_path"), patterns))
     groups = cut_lineage(_group_table(files), "dup-groups")
     members = rank_within(_classified(files, groups), ["file_hash"],
-                          ["matches_pattern", "file_path"], "file_count", "copy_no")
+                          ["matches_pattern", "file_path"], "copy_no")
     numbered = global_row_number(groups.select("file_hash", "file_count"),
                                  [F.col("file_count").desc(), F.col("file_hash")], "group_no")
     return members.join(numbered.select("file_hash", "group_no"), "file_hash")

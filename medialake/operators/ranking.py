@@ -1,10 +1,10 @@
 """Distributed numbering helpers.
 
 ``global_row_number`` numbers rows in a total order without an unpartitioned
-window (which would pull every row into one task): the sort is range-partitioned,
-``monotonically_increasing_id`` gives each row its partition and position within
-it, and a per-partition count (one row per partition, a proven size bound) turns
-positions into global numbers through a broadcast join.
+window (which would pull every row into one task).  The range-partitioned sort is
+planned and run once: its rows are stored together with the partition number and
+the position that they had in it, so the per-partition counts and the rows they are
+joined to always speak of the same partitioning.
 """
 
 from __future__ import annotations
@@ -12,22 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialake.session import cut_lineage
+
 _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """Append a 1-based row number in ``order`` (which must be a total order)."""
-    ordered = df.orderBy(*order).withColumn("_gr_mid", F.monotonically_increasing_id())
-    ordered = (ordered.withColumn("_gr_pid", F.shiftright(F.col("_gr_mid"), _LOW_BITS))
-               .withColumn("_gr_pos", F.col("_gr_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
+    stored = cut_lineage(
+        df.orderBy(*order).withColumn("_gr_mid", F.monotonically_increasing_id()), "numbered")
+    stored = (stored.withColumn("_gr_pid", F.shiftright(F.col("_gr_mid"), _LOW_BITS))
+              .withColumn("_gr_pos", F.col("_gr_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
     # One row per non-empty partition: bounded by the partition count, safe to broadcast.
-    sizes = ordered.groupBy("_gr_pid").agg(F.count(F.lit(1)).alias("_gr_n"))
+    sizes = stored.groupBy("_gr_pid").agg(F.count(F.lit(1)).alias("_gr_n"))
     offsets = sizes.select(
         "_gr_pid",
-        (F.sum("_gr_n").over(Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_gr_off"))
-    return (ordered.join(F.broadcast(offsets), "_gr_pid")
-            .withColumn(name, F.coalesce(F.col("_gr_off"), F.lit(0)) + F.col("_gr_pos") + 1)
+        F.coalesce(F.sum("_gr_n").over(
+            Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias("_gr_off"))
+    number = F.coalesce(F.col("_gr_off"), F.raise_error(F.lit("partition without an offset")))
+    return (stored.join(F.broadcast(offsets), "_gr_pid", "left")
+            .withColumn(name, number.cast("long") + F.col("_gr_pos") + 1)
             .drop("_gr_mid", "_gr_pid", "_gr_pos", "_gr_off"))
 
 
@@ -41,30 +46,16 @@ def rank_top_k(df: DataFrame, order: list[Column], k: int, name: str = "rank") -
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-# Groups up to this many rows are ranked with an ordinary window (one task per
-# group, bounded); larger ones through the global numbering.
-WINDOW_GROUP_LIMIT = 1_000_000
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list[str], size_col: str,
-                name: str = "rank", limit: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str],
+                name: str = "rank") -> DataFrame:
     """0-based position of each row inside its ``keys`` group, in ``order``.
 
-    ``size_col`` holds the group's row count (known from an earlier aggregate).
-    Groups of at most ``limit`` rows use a window; bigger (hot) groups use the
-    distributed global numbering minus the group's first position, so no task
-    ever holds more than ``limit`` rows of one group.  The hot branch is only
-    planned when a one-row check finds such a group.
+    One path for groups of every size: the global number minus the number of the
+    group's first row, so no task ever needs a whole group.  The one-row-per-group
+    side is stored before the join, which leaves a plain exchange on both sides; AQE
+    can then split the partition of a hot group.
     """
-    limit = WINDOW_GROUP_LIMIT if limit is None else limit
-    small = df.where(F.col(size_col) <= limit)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = small.withColumn(name, F.row_number().over(w) - 1)
-    big = df.where(F.col(size_col) > limit)
-    if big.limit(1).count() == 0:
-        return out
-    pos = global_row_number(big, [F.col(k) for k in keys + order], "_rw_pos")
-    first = pos.groupBy(*keys).agg(F.min("_rw_pos").alias("_rw_first"))
-    hot = (pos.join(first, keys).withColumn(name, F.col("_rw_pos") - F.col("_rw_first"))
-           .drop("_rw_pos", "_rw_first"))
-    return out.unionByName(hot)
+    pos = global_row_number(df, [F.col(k) for k in keys + order], "_rw_pos")
+    first = cut_lineage(pos.groupBy(*keys).agg(F.min("_rw_pos").alias("_rw_first")), "firsts")
+    return (pos.join(first, keys).withColumn(name, F.col("_rw_pos") - F.col("_rw_first"))
+            .drop("_rw_pos", "_rw_first"))

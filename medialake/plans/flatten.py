@@ -85,7 +85,7 @@ def _components(moves: DataFrame, existing: DataFrame) -> DataFrame:
                        ["target", "ext", "a"], "left_anti")
     first_missing = missing.groupBy("target", "ext", "stem").agg(F.min("lvl").alias("m"))
     top = (anc.join(first_missing, ["target", "ext", "stem"], "left")
-           .where(F.col("lvl") < F.coalesce(F.col("m"), F.lit(1 << 30)))
+           .where(F.col("m").isNull() | (F.col("lvl") < F.col("m")))
            .groupBy("target", "ext", "stem").agg(F.max_by("a", "lvl").alias("root")))
     return present.join(top, ["target", "ext", "stem"], "left").select(
         "target", "ext", "stem", F.coalesce(F.col("root"), F.col("stem")).alias("root_stem"))
@@ -208,41 +208,37 @@ def flatten_plan(files: DataFrame, target: str, dirs: DataFrame | None = None) -
     # a name that occurs once has rank 0 without any numbering.
     doms = tagged.where(is_dom)
     single = doms.where(F.col("n_dom") == 1).withColumn("rank", F.lit(0).cast("bigint"))
-    repeated = rank_within(doms.where(F.col("n_dom") > 1), keys, ["source_path"], "n_dom")
+    repeated = rank_within(doms.where(F.col("n_dom") > 1), keys, ["source_path"])
     doms = single.unionByName(repeated.withColumn("rank", F.col("rank").cast("bigint")))
     dom_plain = doms.where("NOT sim").withColumn("slot", F.col("rank"))
     out_cols = ["target", "source_path", "file_size", "file_name"]
     sim_keys = stats.where("sim")
-    if sim_keys.limit(1).count() == 0:  # one-row check: no key needs the replay
-        dom_out = dom_plain.select(*out_cols, "slot")
-        minor_out = None
-    else:
-        # Keys with other names or existing entries: replay the few non-dominant members.
-        sim_moves = tagged.where(F.col("sim"))
-        ranked = rank_within(sim_moves, keys, ["source_path"], "n_move", "rel_pos")
-        minors = ranked.where(~is_dom).select(
-            *keys, F.lit("minor").alias("kind"), "source_path", "file_size", "file_name",
-            F.col("rel_pos").cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
-        ex = existing.join(sim_keys.select(*keys), keys, "left_semi").select(
-            *keys, F.lit("exist").alias("kind"), F.lit(None).cast("string").alias("source_path"),
-            F.lit(None).cast("bigint").alias("file_size"), "file_name",
-            F.lit(None).cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
-        dm = sim_keys.select(*keys, F.lit("dom").alias("kind"),
-                             F.lit(None).cast("string").alias("source_path"),
-                             F.lit(None).cast("bigint").alias("file_size"),
-                             F.col("dom_name").alias("file_name"),
-                             F.lit(None).cast("bigint").alias("rel_pos"), F.col("n_dom").alias("n"))
-        sim = (minors.unionByName(ex).unionByName(dm).groupBy(*keys)
-               .applyInPandas(_simulate_group, SIM_SCHEMA))
-        minor_out = sim.where("kind = 'minor'").select(*out_cols, "target_name")
-        pieces = sim.where("kind = 'piece'").select(*keys, "lo", "hi", "off")
-        dom_sim = (doms.where("sim").join(pieces, keys)
-                   .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-                   .withColumn("slot", F.col("rank") + F.col("off")))
-        dom_out = dom_sim.select(*out_cols, "slot").unionByName(dom_plain.select(*out_cols, "slot"))
+    # Keys with other names or existing entries: replay the few non-dominant members.
+    sim_moves = tagged.where(F.col("sim"))
+    ranked = rank_within(sim_moves, keys, ["source_path"], "rel_pos")
+    minors = ranked.where(~is_dom).select(
+        *keys, F.lit("minor").alias("kind"), "source_path", "file_size", "file_name",
+        F.col("rel_pos").cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
+    ex = existing.join(sim_keys.select(*keys), keys, "left_semi").select(
+        *keys, F.lit("exist").alias("kind"), F.lit(None).cast("string").alias("source_path"),
+        F.lit(None).cast("bigint").alias("file_size"), "file_name",
+        F.lit(None).cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
+    dm = sim_keys.select(*keys, F.lit("dom").alias("kind"),
+                         F.lit(None).cast("string").alias("source_path"),
+                         F.lit(None).cast("bigint").alias("file_size"),
+                         F.col("dom_name").alias("file_name"),
+                         F.lit(None).cast("bigint").alias("rel_pos"), F.col("n_dom").alias("n"))
+    sim = (minors.unionByName(ex).unionByName(dm).groupBy(*keys)
+           .applyInPandas(_simulate_group, SIM_SCHEMA))
+    minor_out = sim.where("kind = 'minor'").select(*out_cols, "target_name")
+    pieces = sim.where("kind = 'piece'").select(*keys, "lo", "hi", "off")
+    dom_sim = (doms.where("sim").join(pieces, keys)
+               .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+               .withColumn("slot", F.col("rank") + F.col("off")))
+    dom_out = dom_sim.select(*out_cols, "slot").unionByName(dom_plain.select(*out_cols, "slot"))
     dom_out = dom_out.select(*out_cols, _slot_name(F.col("file_name"), F.col("slot"))
                              .alias("target_name"))
-    plan = dom_out if minor_out is None else dom_out.unionByName(minor_out)
+    plan = dom_out.unionByName(minor_out)
     return plan.select("*", (F.col("target_name") != F.col("file_name")).alias("renamed"),
                        F.concat(F.col("target"), F.lit("/"), F.col("target_name")).alias("target_path"))
 

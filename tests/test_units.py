@@ -277,6 +277,26 @@ def test_global_row_number(spark):
     assert sorted((r.n, r.c, r.k) for r in got) == [(i + 1, c, k) for i, (c, k) in enumerate(expect)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_global_row_number_wide_rows_small_partitions(spark, adaptive):
+    n = 400_000
+    conf = {"spark.sql.adaptive.enabled": adaptive,
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(n, numPartitions=7).select(
+            ((F.col("id") * 7919) % n).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 4)
+            .alias("payload"))
+        got = global_row_number(df, [F.col("k")], "n").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") != F.col("k") + 1).alias("bad"))
+        assert tuple(got.first()) == (n, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_flatten_hot_name_with_collisions(spark):
     files = [(f"/t/d{i:04d}/a.jpg", 1) for i in range(300)]
     files += [("/t/d0100/x/a_1.jpg", 1), ("/t/d0200/a_5.jpg", 1), ("/t/d0250/a_5_1.jpg", 1),
@@ -288,16 +308,13 @@ def test_flatten_hot_name_with_collisions(spark):
     assert plan == expect
 
 
-def test_rank_within_hot_groups(spark, monkeypatch):
+def test_rank_within_hot_groups(spark):
     from medialake.operators import ranking
     rnd = random.Random(9)
     rows = [("hot", f"p{rnd.randrange(10**6):07d}") for _ in range(400)] + \
         [(f"g{i % 7}", f"p{i:04d}") for i in range(70)]
     df = spark.createDataFrame(rows, "k string, p string").dropDuplicates(["k", "p"])
-    sizes = df.groupBy("k").count().withColumnRenamed("count", "n")
-    df = df.join(sizes, "k")
-    monkeypatch.setattr(ranking, "WINDOW_GROUP_LIMIT", 50)
-    got = {(r.k, r.p): r.rank for r in ranking.rank_within(df, ["k"], ["p"], "n").collect()}
+    got = {(r.k, r.p): r.rank for r in ranking.rank_within(df, ["k"], ["p"]).collect()}
     expect = {}
     for k in {k for k, _ in got}:
         for i, (_, p) in enumerate(sorted(x for x in got if x[0] == k)):
@@ -305,9 +322,7 @@ def test_rank_within_hot_groups(spark, monkeypatch):
     assert got == expect
 
 
-def test_flatten_hot_path(spark, monkeypatch):
-    from medialake.operators import ranking
-    monkeypatch.setattr(ranking, "WINDOW_GROUP_LIMIT", 20)
+def test_flatten_hot_path(spark):
     files = [(f"/t/d{i:03d}/a.jpg", 1) for i in range(120)] + [("/t/d050/z/a_1.jpg", 1)]
     df = spark.createDataFrame(files + [("/t/a_2.jpg", 1)], "file_path string, file_size bigint")
     plan = {r.source_path: r.target_name for r in K2.flatten_plan(df, "/t").collect()}
