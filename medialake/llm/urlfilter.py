@@ -84,9 +84,12 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple] = RULES) ->
 def char_ngrams(col: Column, mark: str) -> Column:
     """Marked character n-grams of ``<col>``; the angle brackets stand for its ends."""
     text = F.concat(F.lit("<"), col, F.lit(">"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))),
-                         lambda i, n=n: F.concat(F.lit(f"{mark}{n}"), F.substring(text, i, F.lit(n))))
-             for n in NGRAMS]
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"{mark}{n}"), F.substring(text, i, F.lit(n))))
+
+    grams = [of_length(n) for n in NGRAMS]
     return F.concat(*grams)
 
 
