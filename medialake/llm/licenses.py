@@ -7,9 +7,9 @@ shingles of the template that stand in the text around the window (as far to bot
 template is long) are then counted: containment of ``CONTAINMENT`` or more is a match.
 
 Bands of one row: two windows of shingle similarity s meet in one of b bands with probability
-1 - (1 - s)^b.  A notice of five words inside a window of twelve has s = 4/11, found at b = 16
-with 0.999 per window, and every notice of up to nine words lies whole in at least one window;
-longer templates are cut into windows at every word, so a copy has several windows of s near 1.
+1 - (1 - s)^b.  A notice of five words inside a window of eight has s = 4/7, found at b = 8 with
+0.999 per window, and lies whole in two windows; longer templates are cut into windows at every
+word, so a copy has windows of s = 6/7 or 1.
 
 Scale: one scan; windows exist only inside generated code, and what is shuffled are the matches.
 The bands of the templates (a bounded list, checked) are broadcast.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.session import cut_lineage
@@ -31,7 +31,7 @@ from medialake.session import cut_lineage
 from .common import fits_broadcast
 from .decontaminate import word_hashes
 
-WIDTH, STRIDE, BANDS = 12, 4, 16
+WIDTH, STRIDE, BANDS = 8, 2, 8
 CONTAINMENT = 0.8
 
 # Notices as they are published with the licenses (fixed values).
@@ -63,29 +63,40 @@ TEMPLATES = (
 _MASKS = [(i * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 63) for i in range(1, BANDS + 1)]
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the two-word shingles, in order (of a single word: of the word alone)."""
-    words = word_hashes(text)
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))),
-                       lambda a, b: F.xxhash64(a, b))
-    return F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.least(F.size(words), F.lit(1))))
+def shingled(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``_g``: hashes of the two-word shingles in order, and of the last word alone.
 
+    The words are a column of their own, so that they are made once per text.
+    """
+    return (texts.select(*keep, word_hashes(F.col(text)).alias("_w"))
+            .select(*keep, F.expr("transform(_w, (x, i) -> xxhash64(x, get(_w, i + 1)))").alias("_g"))
+            .where(F.size("_g") > 0))
 
-def _minima(shingle_col: str, start: Column) -> Column:
-    """The window's band values: the hash that is least under each mask."""
-    at = [F.get(F.col(shingle_col), start + i) for i in range(WIDTH - 1)]
-    return F.array(*[F.least(*[a.bitwiseXOR(F.lit(m)) for a in at]) for m in _MASKS])
+
+def _banded(windows: DataFrame, shingle_col: str, start: str) -> DataFrame:
+    """One row per window and band: the hash that is least under the band's mask.
+
+    The shingles and minima are columns of plain projections, which keeps the generated code
+    small enough to be compiled.
+    """
+    cols = windows.columns
+    at = [f"_a{i}" for i in range(WIDTH - 1)]
+    least = [F.least(*[F.col(a).bitwiseXOR(F.lit(m)) for a in at]) for m in _MASKS]
+    return (windows.select(*cols, *[F.get(F.col(shingle_col), F.col(start) + i).alias(a) for i, a in enumerate(at)])
+            .select(*cols, *[x.alias(f"_b{i}") for i, x in enumerate(least)])
+            .select(*cols, F.posexplode(F.array(*[f"_b{i}" for i in range(BANDS)])).alias("band", "value")))
 
 
 def template_bands(spark, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Stored: band, value, template, shingles (distinct), n_words."""
-    rows = spark.createDataFrame(list(templates), "template string, text string").select(
-        "template", shingles(F.col("text")).alias("_g")).where(F.size("_g") > 0)
+    rows = shingled(spark.createDataFrame(list(templates), "template string, text string"), "text", ["template"])
+    # The last word alone is a shingle of one-word templates only.
+    rows = rows.withColumn("_g", F.slice("_g", F.lit(1), F.greatest(F.size("_g") - 1, F.lit(1))))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_g") - (WIDTH - 1), F.lit(0)))
     cut = rows.select("template", F.array_distinct("_g").alias("shingles"), F.size("_g").alias("length"), "_g",
                       F.explode(starts).alias("_i"))
-    return cut_lineage(cut.select("template", "shingles", "length", F.posexplode(
-        _minima("_g", F.col("_i"))).alias("band", "value")).distinct(), "license-bands")
+    return cut_lineage(_banded(cut, "_g", "_i").select("template", "shingles", "length", "band", "value").distinct(),
+                       "license-bands")
 
 
 def find_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, *,
@@ -94,13 +105,10 @@ def find_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     first_window, n_windows."""
     bands = template_bands(docs.sparkSession, templates)
     bands = F.broadcast(bands) if fits_broadcast(bands, 8192) else bands
-    read = (docs.select(*keep, shingles(F.col(text)).alias("_g"))
-            .withColumn("_row", F.monotonically_increasing_id()).where(F.size("_g") > 0))
+    read = shingled(docs, text, list(keep)).withColumn("_row", F.monotonically_increasing_id())
     starts = F.sequence(F.lit(0), F.greatest(F.size("_g") - 1, F.lit(0)), F.lit(STRIDE))
     windows = read.select("_row", *keep, "_g", F.explode(starts).alias("_i"))
-    valued = windows.select("_row", *keep, "_g", "_i", F.posexplode(
-        _minima("_g", F.col("_i"))).alias("band", "value"))
-    met = valued.join(bands, ["band", "value"])
+    met = _banded(windows, "_g", "_i").join(bands, ["band", "value"])
     first = F.greatest(F.col("_i") - F.col("length"), F.lit(0))
     around = F.slice("_g", first + 1, F.col("_i") - first + F.col("length") + WIDTH)
     shared = F.size(F.array_intersect("shingles", around)) / F.size("shingles")
