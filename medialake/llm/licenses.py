@@ -66,11 +66,11 @@ _MASKS = [(i * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 63) for i in range(1, BAN
 def shingled(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``_g``: hashes of the two-word shingles in order, and of the last word alone.
 
-    The words are a column of their own, so that they are made once per text.
+    The words are a column of their own, so that they are made once per text.  No filter may
+    stand on ``_g``: it would be pushed below and make the words anew for every word.
     """
     return (texts.select(*keep, word_hashes(F.col(text)).alias("_w"))
-            .select(*keep, F.expr("transform(_w, (x, i) -> xxhash64(x, get(_w, i + 1)))").alias("_g"))
-            .where(F.size("_g") > 0))
+            .select(*keep, F.expr("transform(_w, (x, i) -> xxhash64(x, get(_w, i + 1)))").alias("_g")))
 
 
 def _banded(windows: DataFrame, shingle_col: str, start: str) -> DataFrame:
@@ -91,7 +91,8 @@ def template_bands(spark, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
     """Stored: band, value, template, shingles (distinct), n_words."""
     rows = shingled(spark.createDataFrame(list(templates), "template string, text string"), "text", ["template"])
     # The last word alone is a shingle of one-word templates only.
-    rows = rows.withColumn("_g", F.slice("_g", F.lit(1), F.greatest(F.size("_g") - 1, F.lit(1))))
+    rows = cut_lineage(rows.withColumn("_g", F.slice("_g", F.lit(1), F.greatest(F.size("_g") - 1, F.lit(1)))),
+                       "license-templates").where(F.size("_g") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("_g") - (WIDTH - 1), F.lit(0)))
     cut = rows.select("template", F.array_distinct("_g").alias("shingles"), F.size("_g").alias("length"), "_g",
                       F.explode(starts).alias("_i"))
