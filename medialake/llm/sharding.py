@@ -1,9 +1,10 @@
 """Sharding by proportional stratified interleaving (native).
 
 Rows of each source are put into a seeded random order; row number r (from 0) of a source
-of n rows has the fraction (2r+1)/(2n).  Sorted by fraction, the sources interleave in
+of n rows has the fraction (r + u) / n, where u in (0, 1) is a phase of the source's own, so
+that sources of one size do not move in step.  Sorted by fraction, the sources interleave in
 proportion, so cutting the order into equal pieces gives every shard the corpus's mixture:
-each shard has, of every source, the proportional number of rows up to one.
+each shard has, of every source, nearly the proportional number of rows (ends of a shard may be off by a row or two).
 
 Scale: no window covers a source or the whole table.  The seeded order is that of an MD5
 digest, so its first hex digits deal a source's rows evenly over ``BUCKETS`` buckets; ranks
@@ -38,6 +39,7 @@ def _offsets(counts: DataFrame, part: list[str], bucket: str, off: str) -> DataF
 def _keyed(rows: DataFrame, source: str, id_col: str, seed: str) -> DataFrame:
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return (rows.withColumn("_sk", null_tag(F.col(source))).withColumn("_h", digest)
+            .withColumn("_u", (F.conv(F.substring(F.md5("_sk"), 1, 8), 16, 10).cast("long") + 0.5) / (1 << 32))
             .withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))
 
 
@@ -59,11 +61,11 @@ def interleave(rows: DataFrame, n_shards: int = 24, *, source: str = "source",
         in_bucket = Window.partitionBy("_sk", "_b").orderBy("_h", F.col(id_col), "_tie")
         ranked = (part.join(per_bucket, ["_sk", "_b"])
                   .withColumn("_r", F.row_number().over(in_bucket).cast("long") - 1 + F.col("_off")))
-        return (ranked.withColumn("_frac", (2 * F.col("_r") + 1) / (2 * F.col("_n")))
-                .withColumn("_fb", F.floor(F.col("_frac") * BUCKETS).cast("int")))
+        return (ranked.withColumn("_frac", (F.col("_r") + F.col("_u")) / F.col("_n"))
+                .withColumn("_fb", F.least(F.floor(F.col("_frac") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")))
 
     # The counts need no other column, so this pass reads and moves slim rows only.
-    slim = fractions(keyed.select("_sk", "_b", "_h", id_col, "_tie"))
+    slim = fractions(keyed.select("_sk", "_u", "_b", "_h", id_col, "_tie"))
     starts = cut_lineage(_offsets(slim.groupBy("_fb").agg(F.count(F.lit(1)).alias("_c")),
                                   [], "_fb", "_goff"), "shard-starts")  # BUCKETS rows at most
     total = starts.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n")).first()["n"]
