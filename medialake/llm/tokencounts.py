@@ -27,7 +27,7 @@ from medialake.session import cut_lineage
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: GPT-2's published splitting pattern, the one that the byte-level vocabularies were made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 64
 
 _encodings: dict[str, object] = {}  # per worker process
 
