@@ -38,51 +38,6 @@ def py_duration(d):
     return f"{h:02d}:{m:02d}:{s:02d}" if h > 0 else f"{m:02d}:{s:02d}"
 
 
-def py_dt(*g):
-    try:
-        return datetime(*[int(x) for x in g])
-    except ValueError:
-        return None
-
-
-def py_path_date(path):
-    name = path.rsplit("/", 1)[-1]
-    for pat in D.PATH_NAME_PATTERNS:
-        m = re.search(pat, name, re.ASCII)
-        if m and (dt := py_dt(*m.groups())):
-            return dt
-    parts = ["/"] + [p for p in path.split("/") if p]
-    for p in parts:
-        m = re.search(D.PATH_DAY_PATTERN, p, re.ASCII)
-        if m and (dt := py_dt(*m.groups())):
-            return dt
-    for p in parts:
-        m = re.search(D.PATH_MONTH_PATTERN, p, re.ASCII)
-        if m and (dt := py_dt(m.group(1), m.group(2), 1)):
-            return dt
-    for p in parts:
-        if re.match(D.PATH_YEAR_PATTERN, p, re.ASCII) and 1900 <= int(p) <= 2030:
-            return datetime(int(p), 1, 1)
-    return None
-
-
-def py_name_date(name):
-    for pat in D.NAME_PATTERNS:
-        m = re.search(pat, name, re.IGNORECASE | re.ASCII)
-        if not m:
-            continue
-        g = m.groups()
-        if g[0] in ("IMG", "VID"):
-            dt = py_dt(*g[1:7])
-        elif g[0].lower() in ("img", "vid"):
-            dt = None
-        else:
-            dt = py_dt(*g[:6])
-        if dt:
-            return dt
-    return None
-
-
 def py_flatten(existing, moves):
     taken, out = set(existing), {}
     for src, name in sorted(moves):
@@ -99,29 +54,6 @@ def py_flatten(existing, moves):
     return out
 
 
-def py_suggestions(lines):
-    """Path lines with the first CREATION_TIME line in the next four lines, before
-    the next path line."""
-    out, i = [], 0
-    while i < len(lines):
-        line = lines[i].strip()
-        if not line or line.startswith("#") or line.startswith("CREATION_TIME"):
-            i += 1
-            continue
-        sugg, j = None, i + 1
-        while j < len(lines) and j < i + 5:
-            nxt = lines[j].strip()
-            if nxt and not nxt.startswith("#") and not nxt.startswith("CREATION_TIME"):
-                break
-            if nxt.startswith("CREATION_TIME "):
-                sugg = datetime.strptime(nxt[len("CREATION_TIME "):].strip(), "%Y-%m-%d %H:%M:%S")
-                break
-            j += 1
-        out.append((line, sugg))
-        i = j if j > i + 1 else i + 1
-    return out
-
-
 # --- tests ------------------------------------------------------------------------------
 
 def test_size_and_duration_labels(spark):
@@ -159,30 +91,69 @@ def test_path_helpers(spark):
         assert (r.s, r.e) == os.path.splitext(os.path.basename(c))
 
 
-def test_path_dates_against_brute_force(spark):
-    rnd = random.Random(3)
-    comps = ["2019", "1899", "2031", "0000", "2013.06.xx - trip", "2013.13.xx", "2020.09.13-event",
-             "2020.02.30 x", "photos", "a2014b", "2014.05.yy"]
-    names = ["2015-12-27 19-22-41.MP4", "2015-12-27_19-22-41.jpg", "2015-02-30 10-00-00.jpg",
-             "20151227_192241.jpg", "2015-12-27T19:22:41.mp4", "2015-12-27 19:22:60.jpg",
-             "IMG_001.jpg", "0000-01-01 00-00-00.jpg", "2015-12-27 24-00-00.jpg", "x.jpg",
-             "VID_20211305_122219_1.mp4"]
-    paths = ["/" + "/".join(rnd.sample(comps, rnd.randint(0, 3)) + [rnd.choice(names)])
-             for _ in range(400)]
-    df = spark.createDataFrame([(p,) for p in paths], "p string")
+# Path -> date read from it, worked out by hand.
+PATH_DATES = [
+    ("/x/2015-12-27 19-22-41.MP4", datetime(2015, 12, 27, 19, 22, 41)),
+    ("/x/2015-12-27_19-22-41.jpg", datetime(2015, 12, 27, 19, 22, 41)),
+    ("/x/20151227_192241.jpg", datetime(2015, 12, 27, 19, 22, 41)),
+    ("/x/2015-12-27T19:22:41.mp4", datetime(2015, 12, 27, 19, 22, 41)),
+    ("/2019/2015-12-27 19-22-41.MP4", datetime(2015, 12, 27, 19, 22, 41)),  # the name comes first
+    ("/2019/2015-02-30 10-00-00.jpg", datetime(2019, 1, 1)),  # no such day: on to the folders
+    ("/x/2015-12-27 24-00-00.jpg", None),
+    ("/x/VID_20211305_122219_1.mp4", None),
+    ("/2020.09.13-event/x.jpg", datetime(2020, 9, 13)),
+    ("/2020.02.30 x/2018/x.jpg", datetime(2020, 2, 1)),  # no such day, but year.month.word
+    ("/2013.06.xx - trip/x.jpg", datetime(2013, 6, 1)),
+    ("/2019/2013.06.xx - trip/x.jpg", datetime(2013, 6, 1)),  # month folders before year folders
+    ("/2013.06.xx/2020.09.13/x.jpg", datetime(2020, 9, 13)),  # day folders before month folders
+    ("/2013.13.xx/x.jpg", None), ("/2019/x.jpg", datetime(2019, 1, 1)),
+    ("/1899/x.jpg", None), ("/1900/x.jpg", datetime(1900, 1, 1)),
+    ("/2030/x.jpg", datetime(2030, 1, 1)), ("/2031/x.jpg", None),
+    ("/a2014b/x.jpg", None), ("/x/0000-01-01 00-00-00.jpg", None), ("/photos/IMG_001.jpg", None),
+]
+
+# File name -> date.
+NAME_DATES = [
+    ("2018-03-10 21-30-06.JPG", datetime(2018, 3, 10, 21, 30, 6)),
+    ("2018-03-10_21-30-06.jpg", datetime(2018, 3, 10, 21, 30, 6)),
+    ("20180310_213006.JPG", datetime(2018, 3, 10, 21, 30, 6)),
+    ("2018-03-10T21:30:06.mp4", datetime(2018, 3, 10, 21, 30, 6)),
+    ("2018-03-10t21:30:06.MP4", datetime(2018, 3, 10, 21, 30, 6)),
+    ("2018-03-10 21:30:06.3gp", datetime(2018, 3, 10, 21, 30, 6)),
+    ("2018-03-10 21-30-06.xyz", datetime(2018, 3, 10, 21, 30, 6)),
+    ("IMG_20180310_213006.jpg", datetime(2018, 3, 10, 21, 30, 6)),
+    ("img_20180310_213006.jpg", datetime(2018, 3, 10, 21, 30, 6)),
+    ("VID_20211305_122219.mp4", None), ("2018-02-30 21-30-06.jpg", None), ("DSC_1.jpg", None),
+    ("2021-01-05 12-22-19.MP4", datetime(2021, 1, 5, 12, 22, 19)),
+]
+
+# The lines of one suggestion list, and the (path, date) rows that it stands for.
+SUGGESTION_LINES = [
+    "/a/one.jpg", "CREATION_TIME 2016-01-02 03:04:05",
+    "/a/two.jpg", "# note", "", "# note", "CREATION_TIME 2016-02-02 00:00:00",  # the fourth line after
+    "/a/three.jpg", "# 1", "# 2", "# 3", "# 4", "CREATION_TIME 2016-03-02 00:00:00",  # one too late
+    "/a/four.jpg", "/a/five.jpg", "CREATION_TIME 2016-04-02 00:00:00",  # a path between
+    "/a/six.jpg", "# CREATION_TIME 2000-01-01 00:00:00",
+    "", "CREATION_TIME 2016-05-02 00:00:00", "CREATION_TIME 2016-06-02 00:00:00",  # the first counts
+    "/a/seven.jpg",
+]
+SUGGESTIONS = [
+    ("/a/one.jpg", datetime(2016, 1, 2, 3, 4, 5)), ("/a/two.jpg", datetime(2016, 2, 2)),
+    ("/a/three.jpg", None), ("/a/four.jpg", None), ("/a/five.jpg", datetime(2016, 4, 2)),
+    ("/a/six.jpg", datetime(2016, 5, 2)), ("/a/seven.jpg", None),
+]
+
+
+def test_path_dates(spark):
+    df = spark.createDataFrame([(p,) for p, _ in PATH_DATES], "p string")
     got = [r.d for r in df.select(D.datetime_from_path(F.col("p")).alias("d")).collect()]
-    assert got == [py_path_date(p) for p in paths]
+    assert list(zip([p for p, _ in PATH_DATES], got)) == PATH_DATES
 
 
-def test_name_dates_against_brute_force(spark):
-    names = ["2018-03-10 21-30-06.JPG", "2018-03-10_21-30-06.jpg", "20180310_213006.JPG",
-             "2018-03-10T21:30:06.mp4", "2018-03-10t21:30:06.MP4", "IMG_20180310_213006.jpg",
-             "img_20180310_213006.jpg", "VID_20211305_122219.mp4", "2018-02-30 21-30-06.jpg",
-             "2018-03-10 21:30:06.3gp", "DSC_1.jpg", "2018-03-10 21-30-06.xyz",
-             "x 2018-13-10 21-30-06.jpg 2019-01-02 03-04-05", "2021-01-05 12-22-19.MP4"]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
+def test_name_dates(spark):
+    df = spark.createDataFrame([(n,) for n, _ in NAME_DATES], "n string")
     got = [r.d for r in df.select(D.datetime_from_filename(F.col("n")).alias("d")).collect()]
-    assert got == [py_name_date(n) for n in names]
+    assert list(zip([n for n, _ in NAME_DATES], got)) == NAME_DATES
 
 
 def test_exif_and_iso(spark):
@@ -225,28 +196,13 @@ def test_flatten_hot_name_stays_native(spark):
     assert K2.move_totals(plan).first().conflicts == 499
 
 
-def test_suggestion_list_against_brute_force(spark):
-    rnd = random.Random(5)
+def test_suggestion_list(spark):
     folder = tempfile.mkdtemp(prefix="ml-sugg-", dir="/tmp")
     expect = []
     for f in range(3):
-        lines = []
-        for k in range(200):
-            kind = rnd.random()
-            if kind < 0.5:
-                lines.append(f"/lib/f{f}/file{k}.jpg")
-            elif kind < 0.7:
-                lines.append(f"CREATION_TIME 2016-{rnd.randint(1, 12)}-{rnd.randint(1, 28)} "
-                             f"{rnd.randint(0, 23)}:0{rnd.randint(0, 9)}:00")
-            elif kind < 0.8:
-                lines.append("# CREATION_TIME 2000-01-01 00:00:00")
-            elif kind < 0.9:
-                lines.append("")
-            else:
-                lines.append("# VIDEO | 1.0 KB | N/A")
         with open(os.path.join(folder, f"list{f}.txt"), "w") as fh:
-            fh.write("\n".join(lines) + "\n")
-        expect += py_suggestions(lines)
+            fh.write("\n".join(x.replace("/a/", f"/lib{f}/") for x in SUGGESTION_LINES) + "\n")
+        expect += [(p.replace("/a/", f"/lib{f}/"), d) for p, d in SUGGESTIONS]
     got = L.read_suggestion_list(spark, folder).collect()
     assert sorted((r.file_path, r.suggested) for r in got) == \
         sorted(expect, key=lambda t: (t[0], t[1] or datetime.min))
