@@ -273,13 +273,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     links = cut_lineage(pairs.select("a", "b", "ta", "tb")
                         .mapInArrow(_verify_batches, "a long, b long"), "omh-links")
 
-    rest = _cross_links(members, components(links), texts)
-    every = cut_lineage(links.unionByName(rest), "omh-links")
-    roots = components(every)
+    near = components(links)
+    far = components(_contracted(_cross_links(members, near, texts), near))
     placed = cut_lineage(
-        signed.select("_id", "digest", "_row", "_text_key").join(node_of, "_text_key")
-        .join(roots, "node", "left").select("_id", "digest", "_row", F.coalesce("root", "node").alias("root")),
-        "omh-placed")
+        signed.select("_id", "digest", "_row", "_text_key")
+        .join(_rooted(_rooted(node_of.withColumn("root", F.col("node")), near), far), "_text_key")
+        .select("_id", "digest", "_row", "root"), "omh-placed")
     classes = cut_lineage(placed.groupBy("root").agg(
         F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"),
         F.count(F.lit(1)).alias("class_size")), "omh-classes")
@@ -288,6 +287,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
         (F.col("_row") == F.col("_first._row")).alias("kept")), "omh-result")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with each ``root`` replaced by the root that ``roots`` has for it, if any."""
+    told = roots.select(F.col("node").alias("root"), F.col("root").alias("_told"))
+    return rows.join(told, "root", "left").withColumn("root", F.coalesce("_told", "root")).drop("_told")
+
+
+def _contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` between the components that ``roots`` names, each once: their components are
+    found without another pass over the links inside."""
+    one = _rooted(links.select(F.col("a").alias("root"), "b"), roots)
+    both = _rooted(one.select(F.col("root").alias("a"), F.col("b").alias("root")), roots)
+    return cut_lineage(both.select("a", F.col("root").alias("b")).distinct(), "omh-far-links")
+
+
 def _cross_links(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of one group that lie in different components (its first node
     has been compared with all)."""
