@@ -175,7 +175,7 @@ def frame_rate(r_frame_rate) -> Column:
 
 def iso_with_offset(ts) -> Column:
     """Naive UTC timestamp as ``yyyy-MM-ddTHH:mm:ss+00:00``."""
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return F.concat(F.replace(ts_text(ts), F.lit(" "), F.lit("T")), F.lit("+00:00"))
 
 
 def epoch_to_naive_utc(seconds) -> Column:
@@ -186,5 +186,9 @@ def epoch_to_naive_utc(seconds) -> Column:
 
 
 def ts_text(ts) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text as the reference prints dates."""
-    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss`` text as the reference prints dates.
+
+    A naive timestamp is cast to text as it is; ``date_format`` would take it through the
+    session zone and shift times that the zone's clock changes skip.
+    """
+    return F.split_part(_c(ts).cast("string"), F.lit("."), F.lit(1))

@@ -49,7 +49,7 @@ def mb_to_bytes(mb: float) -> int:
 def image_format_defaults(path) -> tuple[Column, Column]:
     """Format name and long name from the extension (``jpg``/``JPG Image``;
     RAW: ``dng``/``DNG RAW Image``)."""
-    ext = F.substring(P.lower_extension(path), 2, 1 << 20)
+    ext = F.substr(P.lower_extension(path), F.lit(2))
     raw = P.lower_extension(path).isin(*S.RAW_EXTENSIONS)
     return ext, F.when(raw, F.concat(F.upper(ext), F.lit(" RAW Image"))).otherwise(
         F.concat(F.upper(ext), F.lit(" Image")))

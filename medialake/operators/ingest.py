@@ -13,6 +13,12 @@ All steps are narrow projections except J2 and B1, which shuffle once on
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +41,7 @@ def media_inventory(scan: DataFrame, root: str, pattern: str | None = None) -> D
     """
     prefix = _root_prefix(root)
     rel = F.when(F.col("file_path").startswith(prefix),
-                 F.substring(F.col("file_path"), len(prefix) + 1, 1 << 30)) \
+                 F.substr(F.col("file_path"), F.lit(len(prefix) + 1))) \
         .otherwise(F.col("file_path"))
     rel_dirs = F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
     hidden_dir = F.exists(rel_dirs, lambda c: c.startswith("."))
@@ -61,20 +67,42 @@ def content_hash(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.withColumn("file_hash", F.md5(F.col(content_col).cast("binary")))
 
 
-def read_binary_hashes(spark, root: str, size_limit: int = 1 << 30) -> DataFrame:
-    """A2 over real files: ``binaryFile`` reads content only for files below
-    ``size_limit`` (the filter is applied before ``content`` is selected); larger
-    files keep the MD5 from their scan record."""
+def _hash_batches(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = []
+        for path in batch.column("path").to_pylist():
+            if path.startswith("file:"):
+                fs, inner = pa_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+            else:
+                fs, inner = pa_fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            md5 = hashlib.md5()
+            with fs.open_input_stream(inner) as fh:
+                while chunk := fh.read(chunk_bytes):
+                    md5.update(chunk)
+            hashes.append(md5.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(hashes, pa.string())],
+                                         ["path", "file_hash"])
+
+
+def read_binary_hashes(spark, root: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """A2 over real files of any size below ``root`` (a local, HDFS or object-store URI that
+    pyarrow can open on the executors).
+
+    ``binaryFile`` only lists the files (its ``content`` column, which must fit in memory, is
+    not read) and packs them into tasks by their size; each task reads its files in chunks of
+    ``chunk_bytes``.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .where(F.col("length") < size_limit))
-    return files.select(F.regexp_replace("path", "^file:", "").alias("file_path"),
-                        F.md5("content").alias("file_hash"))
+             .select("path"))
+    hashed = files.mapInArrow(lambda batches: _hash_batches(batches, chunk_bytes),
+                              "path string, file_hash string")
+    return hashed.select(F.regexp_replace("path", "^file:", "").alias("file_path"), "file_hash")
 
 
-def with_file_hashes(scan: DataFrame, spark, root: str, size_limit: int = 1 << 30) -> DataFrame:
-    """A2 as the reference computes it: MD5 of the bytes for files below the size
-    limit (``binaryFile``), the scan record's ``content_md5`` for larger ones."""
-    hashes = read_binary_hashes(spark, root, size_limit).withColumnRenamed("file_hash", "_md5")
+def with_file_hashes(scan: DataFrame, spark, root: str) -> DataFrame:
+    """A2 as the reference computes it: MD5 of the bytes; the scan record's ``content_md5``
+    only for paths that are not below ``root``."""
+    hashes = read_binary_hashes(spark, root).withColumnRenamed("file_hash", "_md5")
     return (scan.join(hashes, "file_path", "left")
             .withColumn("content_md5", F.coalesce(F.col("_md5"), F.col("content_md5")))
             .drop("_md5"))
@@ -206,7 +234,7 @@ def analyze(records: DataFrame, skip_hash: bool = False, now: str | None = None)
          .when(corrupted, F.lit("corrupted")).otherwise(F.lit("ok"))).alias("_outcome"))
     video_ok = c("_is_video") & ~c("_corrupted")
     image_ok = c("_is_image") & ~c("_img_corrupt") & ~c("_unsupported")
-    ext_name = F.substring(c("_ext"), 2, 1 << 20)
+    ext_name = F.substr(c("_ext"), F.lit(2))
     has_fmt = c("image_format").isNotNull() & c("_img_ok_dims")
     img_format = F.when(has_fmt, F.lower("image_format")).otherwise(ext_name)
     img_long = (F.when(c("_is_raw"), F.concat(F.upper(ext_name), F.lit(" RAW Image")))
@@ -246,17 +274,20 @@ def analyze(records: DataFrame, skip_hash: bool = False, now: str | None = None)
 
 
 def newest_per_path(rows: DataFrame, order_col: str = "modified_at") -> DataFrame:
-    """Within one batch keep the newest row per path (partial aggregation with
-    ``max_by``; a path repeated many times costs one row per map task)."""
-    cols = [c for c in rows.columns if c != "file_path"]
-    best = F.max_by(F.struct(*cols), F.col(order_col))
-    return rows.groupBy("file_path").agg(best.alias("_r")).select("file_path", "_r.*")
+    """Within one batch keep the newest row per path (partial aggregation of one struct;
+    a path repeated many times costs one row per map task).  A NULL ``order_col`` is older
+    than any other; ties go to the greatest of the remaining columns, in their order."""
+    cols = [c for c in rows.columns if c not in ("file_path", order_col)]
+    best = F.max(F.struct(order_col, *cols))
+    return rows.groupBy("file_path").agg(best.alias("_r")).select(
+        *[F.col(c) if c == "file_path" else F.col("_r")[c].alias(c) for c in rows.columns])
 
 
 def upsert(catalog: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """B1: insert-or-replace by ``file_path``; new rows always win."""
+    """B1: insert-or-replace by ``file_path``; new rows always win, and of several new rows
+    for one path the newest (``newest_per_path``)."""
     cols = [c for c in S.MEDIA_COLUMNS if c != "id"]
-    new = new_rows.select(*cols)
+    new = newest_per_path(new_rows.select(*cols))
     kept = catalog.select(*cols).join(new.select("file_path"), "file_path", "left_anti")
     merged = kept.unionByName(new)
     # Surrogate id: stable per path (the reference's autoincrement changes on replace).

@@ -48,7 +48,7 @@ media_files AS (
     CASE WHEN corrupt THEN NULL ELSE md5(text) END AS file_hash,
     CASE WHEN video THEN 'video' ELSE 'image' END AS media_type,
     CASE WHEN i % 3 = 0 OR i % 8 = 4 OR corrupt THEN NULL
-         ELSE TIMESTAMP '2022-05-01 00:00:00' + to_days(CAST(i AS INTEGER)) END AS creation_date,
+         ELSE TIMESTAMP '2022-05-01 00:00:00' + to_days(CAST(i % 3650 AS INTEGER)) END AS creation_date,
     CASE WHEN video AND NOT corrupt THEN CAST(i % 7200 AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS duration,
     CASE WHEN i % 8 = 4 OR corrupt THEN NULL
          ELSE [1920, 1179, 2556, 1280][CAST(i % 4 AS INTEGER) + 1] END AS width,
@@ -608,7 +608,7 @@ _INVENTORY = f"""inventory AS (
          CAST(file_size * 3 / 10 AS BIGINT)
   FROM media_files WHERE id % 5 = 0 AND lower({ext_sql('file_path')}) IN ('.dng', '.cr2', '.nef')
 )"""
-_LISTED = """listed AS (SELECT id, file_path FROM media_files WHERE id % 2 = 0)"""
+_LISTED = """listed AS (SELECT id, file_path FROM media_files)"""
 
 
 def _plan_sql(q: dict[str, str]) -> None:

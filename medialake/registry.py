@@ -256,7 +256,7 @@ def q_stream_catalog_upsert(spark, sf):
     from .streaming import catalog_stream as ST
     run = shared_path(spark, "stream-" + uuid.uuid4().hex)
     records_dir, base, ckpt = f"{run}/records", f"{run}/catalog", f"{run}/checkpoint"
-    CS.write_version(_cat(spark, sf), base, 0)
+    CS.write_version(_cat(spark, sf), base)
     _scan(spark, sf).repartition(4).write.parquet(records_dir)
     q = ST.start(spark, records_dir, base, ckpt, LIB_ROOT, now=RUN_CLOCK, max_files_per_trigger=1)
     q.awaitTermination()

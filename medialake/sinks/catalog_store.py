@@ -1,6 +1,6 @@
 """B1 sink: a catalog stored as versioned Parquet directories.
 
-``<base>/v=<n>`` holds version n.  A new version is written completely next to the
+``<base>/v=<n>`` or ``<base>/v=<n>.<tag>`` holds version n.  A new version is written completely next to the
 current one and only then becomes current (the highest complete version, marked by
 the commit protocol's ``_SUCCESS``), so a reader never sees a half-written catalog
 and no job overwrites the path it reads.
@@ -19,36 +19,47 @@ def _fs(spark: SparkSession, base: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions below ``base`` (one directory listing on the driver)."""
+def _complete(spark: SparkSession, base: str) -> list[tuple[int, str, str]]:
+    """(version, tag, folder) of every complete version below ``base``, in order (one
+    directory listing on the driver)."""
     fs, path, jvm = _fs(spark, base)
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit():
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
+        number, _, tag = name.removeprefix("v=").partition(".")
+        if name.startswith("v=") and number.isdigit() and \
+                fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(number), tag, name))
     return sorted(out)
 
 
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the complete versions below ``base``."""
+    return [number for number, _, _ in _complete(spark, base)]
+
+
+def has_tag(spark: SparkSession, base: str, tag: str) -> bool:
+    """True if a complete version was written under ``tag``."""
+    return any(t == tag for _, t, _ in _complete(spark, base))
+
+
 def read_current(spark: SparkSession, base: str) -> DataFrame:
     """The newest complete version, or an empty catalog."""
-    vs = versions(spark, base)
-    if not vs:
+    found = _complete(spark, base)
+    if not found:
         return spark.createDataFrame([], S.MEDIA_FILES_SCHEMA)
-    return spark.read.schema(S.MEDIA_FILES_SCHEMA).parquet(f"{base.rstrip('/')}/v={vs[-1]}")
-
-
-def write_version(df: DataFrame, base: str, version: int | None = None) -> int:
-    """Write ``df`` as the next version (or the given one, for idempotent replays:
-    an existing complete version with that number is left as it is)."""
-    spark = df.sparkSession
-    vs = versions(spark, base)
-    if version is None:
-        version = (vs[-1] + 1) if vs else 1
-    elif version in vs:
-        return version
-    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/v={version}")
-    return version
+    return spark.read.schema(S.MEDIA_FILES_SCHEMA).parquet(f"{base.rstrip('/')}/{found[-1][2]}")
+
+
+def write_version(df: DataFrame, base: str, tag: str = "") -> int:
+    """Write ``df`` as the version after the newest one; return its number (from 0).
+
+    ``tag`` names the work that made it (letters, digits, ``-`` and ``_``).  It is part of the
+    folder's name, so version and tag become visible in the same moment.
+    """
+    found = _complete(df.sparkSession, base)
+    number = found[-1][0] + 1 if found else 0
+    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/v={number}" + (f".{tag}" if tag else ""))
+    return number

@@ -15,6 +15,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import paths as P
 from .landing import landed
 
@@ -82,7 +83,7 @@ def media_files_view(spark: SparkSession, sf_dir: str, with_content: bool = Fals
         "IF(corrupt, NULL, md5(text)) AS file_hash",
         "IF(video, 'video', 'image') AS media_type",
         """CASE WHEN i % 3 = 0 OR i % 8 = 4 OR corrupt THEN NULL
-                ELSE TIMESTAMP_NTZ '2022-05-01 00:00:00' + make_dt_interval(CAST(i AS INT)) END
+                ELSE TIMESTAMP_NTZ '2022-05-01 00:00:00' + make_dt_interval(CAST(i % 3650 AS INT)) END
            AS creation_date""",
         "IF(video AND NOT corrupt, CAST(i % 7200 AS DOUBLE) + CAST(0.5 AS DOUBLE), NULL) AS duration",
         """CASE WHEN i % 8 = 4 OR corrupt THEN NULL
@@ -148,7 +149,7 @@ def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("format_long_name").alias("format_long_name"),
             F.when(F.col("creation_date").isNotNull(),
                    F.create_map(F.lit("creation_time"),
-                                F.date_format("creation_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")))
+                                F.replace(D.iso_with_offset("creation_date"), F.lit("+00:00"), F.lit(".000000Z"))))
              .alias("tags"),
         ).alias("format"),
         F.array(
@@ -163,7 +164,7 @@ def scan_records_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("streams"),
     ))
     exif = F.to_json(F.array(F.struct(
-        F.date_format("creation_date", "yyyy:MM:dd HH:mm:ss").alias("DateTimeOriginal"),
+        F.replace(D.ts_text("creation_date"), F.lit("-"), F.lit(":")).alias("DateTimeOriginal"),
         F.lit(None).cast("string").alias("CreateDate"),
         F.lit(None).cast("string").alias("CreationDate"),
     )))
@@ -252,9 +253,9 @@ def inventory_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a hand-edited file list: every second catalog path, padded with
+    """Lines of a hand-edited file list: every catalog path, padded with
     whitespace, interleaved with a comment line and a blank line per entry."""
-    cat = media_files(spark, sf_dir).where(F.col("id") % 2 == 0)
+    cat = media_files(spark, sf_dir)
     lines = F.array(
         F.concat(F.lit("# "), F.col("file_name")),
         F.concat(F.lit("  "), F.col("file_path"), F.lit("\t")),
@@ -294,7 +295,7 @@ def assets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     mm = F.lpad((F.lit(1) + e % 13).cast("string"), 2, "0")
     dd = F.lpad((F.lit(1) + e % 31).cast("string"), 2, "0")
-    iso = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    iso = D.iso_with_offset("ts")
     name = (F.when(e % 4 == 0, F.concat(F.lit("IMG_2018"), mm, dd, F.lit("_213006.jpg")))
             .when(e % 4 == 1, F.concat(F.lit("2018-"), mm, F.lit("-"), dd, F.lit(" 21-30-06.JPG")))
             .when(e % 4 == 2, F.concat(F.lit("2021-"), mm, F.lit("-"), dd, F.lit("T12:22:19.mp4")))

@@ -79,7 +79,7 @@ def attach_suggestions(lines: DataFrame, window: int = 4) -> DataFrame:
                                         F.col("text").alias("file_path"))
     cts = typed.where(F.col("text").startswith("CREATION_TIME ")).select(
         "file", F.col("line_no").alias("ct_line"),
-        F.btrim(F.substring(F.col("text"), len("CREATION_TIME ") + 1, 1 << 20),
+        F.btrim(F.substr(F.col("text"), F.lit(len("CREATION_TIME ") + 1)),
                 F.lit(STRIP_CHARS)).alias("ts_text"))
     back = cts.select("*", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("d")) \
         .withColumn("path_line", F.col("ct_line") - F.col("d"))

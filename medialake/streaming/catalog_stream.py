@@ -4,9 +4,10 @@ Scan records land as Parquet files in a folder (one file set per scan batch);
 ``readStream`` picks up new files, and each micro-batch runs the freshness anti
 join (J2) and the upsert (B1) against the current catalog version, writing the
 next version.  The late-data rule is the reference's freshness test: a record
-whose mtime is not newer than the catalog's is dropped.  The version written by
-batch ``b`` is ``b + 1``, so a replayed batch (after a failure between the write
-and the checkpoint commit) finds its version complete and does nothing.
+whose mtime is not newer than the catalog's is dropped.  A version is tagged with the
+query's id (kept in its checkpoint) and the batch id, so a replayed batch (after a failure
+between the write and the checkpoint commit) finds its version and does nothing, while
+batches of another query, of a new checkpoint or of a batch build never pass for it.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ from ..operators import ingest as I
 from ..sinks import catalog_store as CS
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query wrote into its checkpoint when it first started."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def process_batch(batch: DataFrame, batch_id: int, catalog_base: str, root: str,
-                  now: str | None = None) -> None:
+                  query: str, now: str | None = None) -> None:
     spark = batch.sparkSession
-    version = batch_id + 1
-    if version in CS.versions(spark, catalog_base):
+    tag = f"{query}-{batch_id}"
+    if CS.has_tag(spark, catalog_base, tag):
         return  # replay of a committed batch: idempotent
     current = CS.read_current(spark, catalog_base)
     new_catalog, _ = I.build_catalog(current, batch, root, now=now)
-    CS.write_version(new_catalog, catalog_base, version)
+    CS.write_version(new_catalog, catalog_base, tag)
 
 
 def start(spark: SparkSession, records_dir: str, catalog_base: str, checkpoint: str,
@@ -36,7 +42,8 @@ def start(spark: SparkSession, records_dir: str, catalog_base: str, checkpoint:
     stream = (spark.readStream.schema(S.SCAN_RECORDS_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(records_dir))
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, catalog_base, root, now))
+              .foreachBatch(lambda df, bid: process_batch(df, bid, catalog_base, root,
+                                                          query_id(spark, checkpoint), now))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="1 minute")

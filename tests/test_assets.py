@@ -64,28 +64,25 @@ def test_date_from_name_plan(spark):
 
 def test_binary_hashes_match_hashlib(spark):
     folder = tempfile.mkdtemp(prefix="ml-bin-", dir="/tmp")
-    data = {"a.jpg": b"abc" * 100, "sub/b.mp4": os.urandom(5000), "sub/_c.jpg": b""}
+    data = {"a.jpg": b"abc" * 100, "sub/b c%20.mp4": os.urandom(5000), "sub/_c.jpg": b""}
     for rel, content in data.items():
         os.makedirs(os.path.dirname(os.path.join(folder, rel)), exist_ok=True)
         with open(os.path.join(folder, rel), "wb") as fh:
             fh.write(content)
     got = {r.file_path.split(folder + "/")[1]: r.file_hash
-           for r in I.read_binary_hashes(spark, folder, size_limit=4096).collect()}
-    # binaryFile hides files starting with '_' (documented); the big file is over the limit
-    assert got == {"a.jpg": hashlib.md5(data["a.jpg"]).hexdigest()}
+           for r in I.read_binary_hashes(spark, folder, chunk_bytes=1024).collect()}
+    # binaryFile hides files starting with '_' (documented); the big file takes five chunks
+    assert got == {rel: hashlib.md5(data[rel]).hexdigest() for rel in ("a.jpg", "sub/b c%20.mp4")}
     df = spark.createDataFrame([("x", "héllo")], "file_path string, content string")
     assert I.content_hash(df).first().file_hash == hashlib.md5("héllo".encode()).hexdigest()
 
 
-def test_with_file_hashes_prefers_bytes_below_limit(spark):
+def test_with_file_hashes_prefers_bytes(spark):
     folder = tempfile.mkdtemp(prefix="ml-hash-", dir="/tmp")
-    small, big = os.path.join(folder, "s.jpg"), os.path.join(folder, "b.mp4")
-    with open(small, "wb") as fh:
+    here, away = os.path.join(folder, "s.jpg"), "/nowhere/b.mp4"
+    with open(here, "wb") as fh:
         fh.write(b"x" * 10)
-    with open(big, "wb") as fh:
-        fh.write(b"y" * 5000)
-    scan = spark.createDataFrame([(small, "stale"), (big, "from-scan")],
+    scan = spark.createDataFrame([(here, "stale"), (away, "from-scan")],
                                  "file_path string, content_md5 string")
-    got = {r.file_path: r.content_md5 for r in
-           I.with_file_hashes(scan, spark, folder, size_limit=1000).collect()}
-    assert got == {small: hashlib.md5(b"x" * 10).hexdigest(), big: "from-scan"}
+    got = {r.file_path: r.content_md5 for r in I.with_file_hashes(scan, spark, folder).collect()}
+    assert got == {here: hashlib.md5(b"x" * 10).hexdigest(), away: "from-scan"}

@@ -64,19 +64,37 @@ def test_incremental_build_skips_fresh_files(spark, lib):
 def test_stream_batches_are_idempotent(spark, lib):
     run = tempfile.mkdtemp(prefix="ml-stream-", dir="/tmp")
     base = f"{run}/catalog"
-    CS.write_version(lib.select(*S.MEDIA_COLUMNS), base, 0)
+    CS.write_version(lib.select(*S.MEDIA_COLUMNS), base)
     batch = _scan_from(lib, 5.0)
-    ST.process_batch(batch, 0, base, "/lib", now="2024-02-01 00:00:00")
+    ST.process_batch(batch, 0, base, "/lib", "q1", now="2024-02-01 00:00:00")
     assert CS.versions(spark, base) == [0, 1]
     first = sorted(r.file_path for r in CS.read_current(spark, base).collect())
     # A replay of batch 0 (failure between write and checkpoint commit) does nothing.
-    ST.process_batch(batch, 0, base, "/lib", now="2024-02-01 00:00:00")
+    ST.process_batch(batch, 0, base, "/lib", "q1", now="2024-02-01 00:00:00")
     assert CS.versions(spark, base) == [0, 1]
     assert sorted(r.file_path for r in CS.read_current(spark, base).collect()) == first
     # Older records than the catalog's are dropped by the freshness rule.
-    ST.process_batch(_scan_from(lib, -100.0), 1, base, "/lib", now="2024-03-01 00:00:00")
+    ST.process_batch(_scan_from(lib, -100.0), 1, base, "/lib", "q1", now="2024-03-01 00:00:00")
     v2 = CS.read_current(spark, base)
     assert v2.where("analyzed_at = TIMESTAMP_NTZ '2024-03-01 00:00:00'").count() == 0
+    # A batch build between stream batches, and batch 0 of a new checkpoint: nothing is lost.
+    CS.write_version(v2, base)
+    new = batch.limit(1).withColumn("file_path", F.lit("/lib/late.jpg"))
+    ST.process_batch(new, 0, base, "/lib", "q2", now="2024-04-01 00:00:00")
+    assert CS.versions(spark, base) == [0, 1, 2, 3, 4]
+    got = sorted(r.file_path for r in CS.read_current(spark, base).collect())
+    assert got == sorted(first + ["/lib/late.jpg"])
+
+
+def test_null_mtime_and_repeated_paths(spark, lib):
+    scan = _scan_from(lib, 5.0).limit(1).withColumn("file_path", F.lit("/lib/x.jpg"))
+    none = scan.withColumn("modified_at", F.lit(None).cast("double")).withColumn("file_size", F.lit(7).cast("long"))
+    cat, _ = I.build_catalog(lib, none, "/lib", now="2024-02-01 00:00:00")
+    assert cat.where("file_path = '/lib/x.jpg'").first().file_size == 7
+    cat, _ = I.build_catalog(lib, none.unionByName(scan), "/lib", now="2024-02-01 00:00:00")
+    assert cat.where("file_path = '/lib/x.jpg'").first().modified_at == scan.first().modified_at
+    rows = I.analyze(scan.unionByName(none).unionByName(scan), now="2024-02-01 00:00:00")
+    assert I.upsert(lib, rows).where("file_path = '/lib/x.jpg'").count() == 1
 
 
 def test_max_files_and_root_slash(spark, lib):

@@ -283,3 +283,18 @@ def test_flatten_hot_path(spark):
     df = spark.createDataFrame(files + [("/t/a_2.jpg", 1)], "file_path string, file_size bigint")
     plan = {r.source_path: r.target_name for r in K2.flatten_plan(df, "/t").collect()}
     assert plan == py_flatten(["a_2.jpg"], [(p, p.rsplit("/", 1)[1]) for p, _ in files])
+
+
+def test_date_texts_do_not_depend_on_the_session_zone(spark):
+    from medialake.functions import dates as D
+    texts = ["2018-03-11 02:30:00", "2018-11-04 01:30:00", "2018-03-25 02:30:00"]  # gap, overlap, gap
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.col("t").cast("timestamp_ntz").alias("ts"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/Los_Angeles", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            for r in rows.select("t", D.ts_text("ts").alias("a"), D.iso_with_offset("ts").alias("b")).collect():
+                assert (r.a, r.b) == (r.t, r.t.replace(" ", "T") + "+00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
