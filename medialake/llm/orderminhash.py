@@ -139,7 +139,7 @@ def banded_alignment(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of ``a`` and ``b`` among alignments that pair
     positions at most ``band`` apart: row by row, only the band's cells."""
     width = 2 * band + 1
-    padded = np.zeros(len(b) + 2 * band, np.uint64)
+    padded = np.zeros(max(len(a), len(b)) + 2 * band, np.uint64)
     padded[band:band + len(b)] = b
     inside = np.zeros(len(padded), bool)
     inside[band:band + len(b)] = True

@@ -76,6 +76,20 @@ def test_similarity_against_alignment():
         assert orderminhash.similar(ga, gb) == (exact(ga.tolist(), gb.tolist()) >= 0.8)
 
 
+def test_alignment_of_texts_of_unequal_length():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rnd.integers(1, 30, 2)
+        a, b = (rnd.integers(0, 4, x).astype(np.uint64) for x in (n, m))
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert orderminhash.banded_alignment(a, b, 30) == best[n][m]  # a band as wide as the texts
+        t = best[n][m] / (n + m - best[n][m])
+        assert orderminhash.similar(a, b) == (t >= orderminhash.THRESHOLD)
+
+
 def test_large_group_loses_no_link(spark):
     """A chain of edits and its fan: all links, though no group is compared pair by pair."""
     rnd = np.random.default_rng(5)
