@@ -210,8 +210,13 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _verify_block(group: pd.DataFrame) -> pd.DataFrame:
-    """All pairs (outsider, other) of one block pair that lie in different components and may
-    be similar by the number of k-mers they share (counted for all others at once)."""
+    """Links (outsider, other) that join the components of one block pair.
+
+    The k-mers that an outsider shares with all others are counted at once; pairs that can be
+    similar by that count are compared unless links found before in this block pair already
+    put them in one component, so a group of near copies costs a comparison for each joined
+    component, not one for each pair.
+    """
     outs, others = group[group["out"]], group[~group["out"]]
     grams = [kmers(bytes(t)) for t in others["text"]]
     marks = [labelled(g) for g in grams]
@@ -220,18 +225,24 @@ def _verify_block(group: pd.DataFrame) -> pd.DataFrame:
     pool = np.concatenate(marks) if marks else np.empty(0, np.uint64)
     order = np.argsort(pool, kind="stable")
     pool, owner = pool[order], owner[order]
-    nodes, comps, aside = others["node"].to_numpy(), others["comp"].to_numpy(), others["aside"].to_numpy()
+    nodes, comps, aside = others["node"].to_numpy(), others["comp"].to_numpy().copy(), others["aside"].to_numpy()
+    out_comps = outs["comp"].to_numpy().copy()
     links = []
-    for o in outs.itertuples(index=False):
+    for k, o in enumerate(outs.itertuples(index=False)):
         g = kmers(bytes(o.text))
         lo, hi = np.searchsorted(pool, mark := labelled(g), "left"), np.searchsorted(pool, mark, "right")
         count = hi - lo
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         shared = np.bincount(owner[at], minlength=len(grams))
         # A pair of two outsiders is met twice; it is taken once.
-        want = (comps != o.comp) & (~aside | (nodes > o.node)) \
+        want = (comps != out_comps[k]) & (~aside | (nodes > o.node)) \
             & (shared >= THRESHOLD * (sizes + len(g) - shared))
-        links += [(o.node, nodes[i]) for i in np.flatnonzero(want) if similar(g, grams[i])]
+        for i in np.flatnonzero(want):
+            if comps[i] != out_comps[k] and similar(g, grams[i]):
+                links.append((o.node, nodes[i]))
+                joined = comps[i]
+                out_comps[out_comps == joined] = out_comps[k]
+                comps[comps == joined] = out_comps[k]
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
