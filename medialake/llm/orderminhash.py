@@ -50,7 +50,7 @@ K = 5
 THRESHOLD = 0.8
 LONG, SHORT = (32, 5), (16, 2)  # sketches, k-mers in each
 LONG_FROM, SHORT_TO = 26, 32  # k-mers; both hold in between: 26 <= 0.8 * 33
-BLOCK = 128
+BLOCK = 256
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
