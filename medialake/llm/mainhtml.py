@@ -10,6 +10,13 @@ lines in elements that say what they are (menus, headers, footers, sidebars, not
 forms, scripts, comments) and, outside articles, for link lists and what precedes or follows
 all content lines.
 
+A class, id or role says what its element is if it is such a word or a compound that ends in
+one ("cookie-notice", "sidebar-left"; not "has-sidebar", "no-ads", "related-work"); ids of
+headings and sections in articles are mostly slugs of their titles and count only for comments
+and the like.  An element named so is beside nothing that makes up the page: one that holds the
+main element, all article elements, or most of the content (three lines at least) is taken for
+a wrapper.  Comments are comments however long they are.
+
 A page is a row: one pass, no shuffle, memory for one batch of pages.
 
 Defined results: NULL and empty HTML give the empty string; markup that does not close is
@@ -29,8 +36,11 @@ from pyspark.sql import DataFrame
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
-                    "q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-_DROPPED = frozenset("head script style noscript template svg math iframe object nav aside footer form "
+                    "q rp rt ruby s samp small span strike strong sub sup time tt u var "
+                    "math semantics annotation annotation-xml mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot "
+                    "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
+_UNSEEN = frozenset(("annotation", "annotation-xml"))  # a formula's source, which no reader sees
+_DROPPED = frozenset("head script style noscript template svg iframe object nav aside footer form "
                      "button select textarea option menu dialog fieldset canvas audio video".split())
 _NEVER_BY_NAME = frozenset("html body main article".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 "
@@ -45,17 +55,39 @@ _BESIDE = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription "
     "signup login search share sharing social related recommended "
     "comment comments commentlist disqus respond reply replies".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Ids that hardly come from a title, also on a section in an article.
+_NO_TITLE = _COMMENTS | {"ads", "advert", "breadcrumb", "breadcrumbs", "newsletter", "sidebar"}
+#: Words after a name that leave it the element's own.
+_GENERIC = frozenset("area articles bar block bottom box button buttons container content div inner item items left link "
+                     "links list outer panel posts right section slot top unit wrap wrapper".split())
+_MODIFIERS = frozenset("has hide is no non not with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WRAPS_LINES = 3
 _SPLIT = re.compile(r"[^a-z0-9]+")
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
 
 
 class Line:
-    __slots__ = ("parts", "tags", "linked", "path", "beside", "text")
+    __slots__ = ("parts", "tags", "linked", "path", "beside", "named", "text")
 
-    def __init__(self, path, beside):
+    def __init__(self, path, beside, named):
         self.parts, self.tags, self.linked = [], 1, 0
-        self.path, self.beside, self.text = path, beside, ""
+        self.path, self.beside, self.named, self.text = path, beside, named, ""
+
+
+def _name(value: str) -> str | None:
+    """The word by which a class, id or role says what its element is, or None."""
+    for token in value.lower().split():
+        words = [w for w in _SPLIT.split(token) if w]
+        if not words or words[0] in _MODIFIERS:
+            continue
+        while len(words) > 1 and (words[-1] in _GENERIC or words[-1].isdigit()):
+            words.pop()
+        if words[-1] in _BESIDE or words[-1] == "header":
+            return words[-1]
+    return None
 
 
 class LineEvents(HTMLParser):
@@ -63,7 +95,10 @@ class LineEvents(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, beside, in an article
+        # tag, number, beside by its kind, in an article, numbers of the elements beside by name
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+        self.names: dict[int, str] = {}
+        self.articles: list[tuple[str, tuple[int, ...]]] = []  # article and main elements, and what they are in
         self.lines: list[Line] = []
         self.line: Line | None = None
         self.links = self.number = 0
@@ -78,8 +113,8 @@ class LineEvents(HTMLParser):
 
     def _here(self) -> Line:
         if self.line is None:
-            path = tuple((t, n) for t, n, _, _ in self.stack if t not in _INLINE)
-            self.line = Line(path, bool(self.stack) and self.stack[-1][2])
+            path = tuple((t, n) for t, n, *_ in self.stack if t not in _INLINE)
+            self.line = Line(path, bool(self.stack) and self.stack[-1][2], self.stack[-1][4] if self.stack else ())
         return self.line
 
     def _close_to(self, tags, limits):
@@ -100,19 +135,26 @@ class LineEvents(HTMLParser):
     def _is_beside(self, tag, attrs) -> bool:
         if tag in _DROPPED:
             return True
-        in_article = bool(self.stack) and self.stack[-1][3]
         if tag == "header":
-            return not in_article
+            return not (self.stack and self.stack[-1][3])
         if tag in _NEVER_BY_NAME:
             return False
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+    def _named(self, tag, attrs) -> str | None:
+        if tag in _NEVER_BY_NAME:
+            return None
+        in_article = bool(self.stack) and self.stack[-1][3]
+        titled = in_article and (tag in _HEADINGS or tag == "section")
         for name, value in attrs:
-            if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-                return True
             if name in ("class", "id", "role") and value:
-                words = set(_SPLIT.split(value.lower()))
-                if words & _BESIDE or ("header" in words and not in_article):
-                    return True
-        return False
+                word = _name(value)
+                if word is None or (word == "header" and in_article):
+                    continue
+                if name == "id" and titled and (tag in _HEADINGS or value.lower().strip() not in _NO_TITLE):
+                    continue
+                return word
+        return None
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -123,8 +165,10 @@ class LineEvents(HTMLParser):
         if tag in _CLOSED_BY:
             names, limits = _CLOSED_BY[tag]
             self._close_to(names.split(), limits)
-        beside = (bool(self.stack) and self.stack[-1][2]) or self._is_beside(tag, attrs)
-        changes = beside and not (self.stack and self.stack[-1][2])
+        above = self.stack[-1] if self.stack else ("", 0, False, False, ())
+        beside = above[2] or self._is_beside(tag, attrs)
+        word = self._named(tag, attrs)
+        changes = (beside and not above[2]) or word is not None
         if tag not in _INLINE or changes:
             self._cut()
         elif self.line is not None:
@@ -132,8 +176,14 @@ class LineEvents(HTMLParser):
         if tag in _VOID:
             return
         self.number += 1
-        inside = tag in ("article", "main") or (bool(self.stack) and self.stack[-1][3])
-        self.stack.append((tag, self.number, beside, inside))
+        inside = tag in ("article", "main") or above[3]
+        named = above[4]
+        if word is not None:
+            self.names[self.number] = word
+            named = (*named, self.number)
+        if tag in ("article", "main") and not beside:
+            self.articles.append((tag, named))
+        self.stack.append((tag, self.number, beside, inside, named))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -147,7 +197,8 @@ class LineEvents(HTMLParser):
         inline = tag in _INLINE
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                ends_beside = self.stack[i][2] and not (i and self.stack[i - 1][2])
+                above = self.stack[i - 1] if i else ("", 0, False, False, ())
+                ends_beside = (self.stack[i][2], self.stack[i][4]) != (above[2], above[4])
                 if not inline or ends_beside:
                     self._cut()
                 elif self.line is not None:
@@ -162,6 +213,8 @@ class LineEvents(HTMLParser):
     def handle_data(self, data):
         if self.line is None and not data.strip():
             return
+        if self.stack and self.stack[-1][0] in _UNSEEN:
+            return
         line = self._here()
         line.parts.append(data)
         if self.links:
@@ -173,9 +226,34 @@ def page_lines(page: str) -> list[Line]:
     events.feed(page)
     events.close()
     events._cut()
+    if events.names:
+        wrappers = _wrappers(events)
+        for x in events.lines:
+            x.beside = x.beside or any(n not in wrappers for n in x.named)
     return events.lines
 
 
+def _wrappers(events: LineEvents) -> set[int]:
+    """The elements beside by name that hold what the page is about: see above."""
+    lines = events.lines
+    flags = content_flags(lines) if lines else []
+    total = sum(len(x.text) for x, content in zip(lines, flags) if content)
+    text, count = dict.fromkeys(events.names, 0), dict.fromkeys(events.names, 0)
+    for x, content in zip(lines, flags):
+        if content:
+            for n in x.named:
+                text[n] += len(x.text)
+                count[n] += 1
+    out = set()
+    for n, word in events.names.items():
+        held = [(tag, n in named) for tag, named in events.articles]
+        if ("main", True) in held or (word not in _COMMENTS and (
+                (held and all(inside for _, inside in held))
+                or (count[n] >= WRAPS_LINES and 2 * text[n] > total))):
+            out.add(n)
+    return out
+
+
 def smoothed_ratios(lines: list[Line]) -> list[float]:
     """Characters of text per tag, smoothed over the neighbouring lines."""
     raw = [len(x.text) / x.tags for x in lines]

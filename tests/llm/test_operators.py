@@ -183,6 +183,22 @@ def test_main_text(spark):
     assert mainhtml.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_names_of_wrappers():
+    for wrapper in ("class='layout has-sidebar'", "class='content no-sidebar'", "id=search-page", "class=banner"):
+        page = f"<body><div {wrapper}><article><h1>Head</h1><p>First.</p><div class=ad>Buy</div></article></div>"
+        assert mainhtml.main_text(page) == "Head\nFirst.", wrapper
+    page = ("<article><section id=related-work><h2 id=share-of-market>Share</h2><p class=notice-period>Notice</p></section>"
+            "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p>"
+            "<div class='related-posts'>More</div><div id=comment-12>Nice</div></article>")
+    assert mainhtml.main_text(page) == "Share\nNotice\nSo x=1 holds."
+    lines = [f"{n} " + "long sentence of the article " * 9 for n in range(4)]
+    page = "<body><p>Top</p><div class=search>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>"
+    assert all(x.strip() in mainhtml.main_text(page) for x in lines)
+    comments = "<div id=comments>" + "<article><p>I have much to say about that.</p></article>" * 9 + "</div>"
+    assert mainhtml.main_text("<body><div><p>Short post.</p></div>" + comments) == "Short post."
+    assert mainhtml.main_text("<body><div class=cookie-notice>We use cookies</div>") == ""
+
+
 def test_decontamination(docs, none, spark):
     words = PROSE.split()
     items = spark.createDataFrame(
