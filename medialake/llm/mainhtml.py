@@ -7,8 +7,8 @@ lines above a threshold (the ratios' standard deviation, as far as it leaves any
 The content region is the article element if the content lines are in one, else the deepest
 element that holds most of their text; inside it every line stays, short ones too, but for
 lines in elements that say what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments) and, outside articles, for link lists and what precedes or follows
-all content lines.
+forms, scripts, comments) and, outside articles, for link lists; only where no element below
+the body holds the content, what precedes or follows all content lines goes too.
 
 A class, id or role says what its element is if it is such a word or a compound that ends in
 one ("cookie-notice", "sidebar-left"; not "has-sidebar", "no-ads", "related-work"); ids of
@@ -301,12 +301,13 @@ def main_text(page: str | None) -> str:
     region = _region(lines, flags)
     inside = [i for i, x in enumerate(lines) if not x.beside and (region is None or region in x.path)]
     if region is None or region[0] not in ("article", "main"):
-        high = [i for i in inside if flags[i]]
-        first = high[0]
-        while first - 1 in inside and lines[first - 1].path and lines[first - 1].path[-1][0] in ("h1", "h2", "h3"):
-            first -= 1
-        inside = [i for i in inside if first <= i <= high[-1]
-                  and (flags[i] or 2 * lines[i].linked <= len(lines[i].text))]
+        if region is None or region[0] in ("html", "body"):
+            high = [i for i in inside if flags[i]]
+            first, last = high[0], high[-1]
+            while first - 1 in inside and lines[first - 1].path and lines[first - 1].path[-1][0] in ("h1", "h2", "h3"):
+                first -= 1
+            inside = [i for i in inside if first <= i <= last]
+        inside = [i for i in inside if flags[i] or 2 * lines[i].linked <= len(lines[i].text)]
     return "\n".join(lines[i].text for i in inside)
 
 

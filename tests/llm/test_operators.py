@@ -199,6 +199,14 @@ def test_main_text_names_of_wrappers():
     assert mainhtml.main_text("<body><div class=cookie-notice>We use cookies</div>") == ""
 
 
+def test_main_text_keeps_the_ends_of_a_region():
+    paragraphs = "".join(f"<p>{n} {'a long paragraph of text ' * 20}</p>" for n in range(10))
+    ends = ("<p>By A. Writer</p>", "<ul>" + "".join(f"<li>Short item {n}</li>" for n in range(5)) + "</ul>")
+    page = f"<body><p>Site</p><div>{ends[0]}{paragraphs}{ends[1]}<p><a href=/>Next page</a></p></div><p>End</p>"
+    got = mainhtml.main_text(page).split("\n")
+    assert got[0] == "By A. Writer" and got[-5:] == [f"Short item {n}" for n in range(5)] and len(got) == 16
+
+
 def test_decontamination(docs, none, spark):
     words = PROSE.split()
     items = spark.createDataFrame(
