@@ -3,9 +3,10 @@
 A text is scanned as it is; then every encoded part that is found in it (URL escapes, Unicode
 escapes and character references, base64, and hex or base64 that hides compressed bytes) is
 decoded to a layer of its own, scanned, and searched for further encoded parts, until nothing
-new appears.  Layers that were seen before are not visited again, so cycles end; each
-character of a layer carries the span of the original text that it came from, so what is found
-at any depth is reported in the original's code points.
+new appears.  A layer that several places hold is scanned once, so cycles end, but what it
+shows is carried up to every one of these places: each character of a layer carries the span of
+the layer above that it came from, so what is found at any depth is reported in the original's
+code points.
 
 Everything happens inside one row, in a pass without a shuffle; a decompressed layer is bounded
 by ``MAX_INFLATED`` bytes per byte of the original text (a guard against bombs; nothing else is
@@ -25,7 +26,9 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -45,7 +48,8 @@ _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEXBYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
 
-Layer = tuple[str, list | None]  # text, and per character its (start, end) in the original; None: itself
+Place = Callable[[int, int], tuple[int, int]]  # a span of a layer as a span of the layer above
+Layer = tuple[str, Place]
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,30 +63,35 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _origin(where: list | None, start: int, end: int) -> tuple[int, int]:
-    if where is None:
-        return start, end
-    return min(w[0] for w in where[start:end]), max(w[1] for w in where[start:end])
+def _fixed(start: int, end: int) -> Place:
+    return lambda a, b: (start, end)
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every match replaced by its decoding; its other characters stay."""
-    text, where = layer
-    parts, spans, at, changed = [], [], 0, False
+def _replaced(text: str, pattern: re.Pattern, decode) -> Layer | None:
+    """The text with every match replaced by its decoding; its other characters stay."""
+    parts, starts, above, at, length = [], [], [], 0, 0
     for m in pattern.finditer(text):
         new = decode(m.group())
         if new is None or new == m.group():
             continue
-        changed = True
-        parts += [text[at:m.start()], new]
-        spans += [_origin(where, i, i + 1) for i in range(at, m.start())]
-        spans += [_origin(where, m.start(), m.end())] * len(new)
+        for part, start, end in ((text[at:m.start()], at, None), (new, m.start(), m.end())):
+            if part:
+                parts.append(part)
+                starts.append(length)
+                above.append((start, end))  # no end: the characters are themselves
+                length += len(part)
         at = m.end()
-    if not changed:
+    if at == 0:
         return None
     parts.append(text[at:])
-    spans += [_origin(where, i, i + 1) for i in range(at, len(text))]
-    return "".join(parts), spans
+    starts.append(length)
+    above.append((at, None))
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        (start, fixed), (last, end) = above[i], above[j]
+        return start if fixed else start + a - starts[i], end or last + b - starts[j]
+    return "".join(parts), place
 
 
 def _url(run: str) -> str | None:
@@ -145,17 +154,20 @@ def _encoded_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
         yield m.start(), m.end(), bytes.fromhex(m.group())
 
 
-def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
+def _unwrapped(text: str, most: int) -> Iterator[Layer]:
     """The layers directly below: one with all URL escapes decoded, one with all Unicode
     escapes, and one for each base64 or hex run that holds text."""
-    text, where = layer
-    if "%" in text and (new := _replaced(layer, _URL, _url)):
+    if "%" in text and (new := _replaced(text, _URL, _url)):
         yield new
-    if ("\\" in text or "&" in text) and (new := _replaced(layer, _ESCAPE, _escape)):
+    if ("\\" in text or "&" in text) and (new := _replaced(text, _ESCAPE, _escape)):
         yield new
     for start, end, data in _encoded_parts(text):
         if (inner := _as_text(data, most)) is not None:
-            yield inner, [_origin(where, start, end)] * len(inner)
+            yield inner, _fixed(start, end)
+
+
+def _key(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -163,17 +175,34 @@ def scan(text: str | None) -> tuple[list, list]:
     if not text:
         return [], []
     base = sorted(find_spans(text))
-    spans, seen, work = set(base), {text}, [(text, None)]
     most = MAX_INFLATED * max(len(text), 64)
-    while work:
-        for new in _unwrapped(work.pop(), most):
-            if new[0] not in seen:
-                seen.add(new[0])
-                for start, kind, end in find_spans(new[0]):
-                    first, last = _origin(new[1], start, end)
-                    spans.add((first, kind, last))
-                work.append(new)
-    return base, sorted(spans)
+    root = _key(text)
+    spans, holders, work = {root: set(base)}, defaultdict(list), [(root, _unwrapped(text, most))]
+    while work:  # depth first: only the layers of one chain are held
+        above, layers = work[-1]
+        layer = next(layers, None)
+        if layer is None:
+            work.pop()
+            continue
+        key = _key(layer[0])
+        holders[key].append((above, layer[1]))
+        if key not in spans:
+            spans[key] = set(find_spans(layer[0]))
+            work.append((key, _unwrapped(layer[0], most)))
+    # What a layer shows is shown at each place that holds it, until nothing new comes up.
+    news = [(key, set(found)) for key, found in spans.items() if found and key in holders]
+    while news:
+        key, found = news.pop()
+        for above, place in holders[key] if key in holders else ():
+            more = set()
+            for start, kind, end in found:
+                first, last = place(start, end)
+                more.add((first, kind, last))
+            more -= spans[above]
+            if more:
+                spans[above] |= more
+                news.append((above, more))
+    return base, sorted(spans[root])
 
 
 def _joined(spans: list) -> str:

@@ -285,6 +285,19 @@ def test_secrets(docs, none):
     assert {r.spans for r in got} == {""}
 
 
+def test_secrets_of_equal_layers():
+    secret = b'password = "hunter2hunter2"'
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
+    parts = [plain, plain, secret.hex(), packed, base64.b64encode(plain.encode()).decode(), plain]
+    text = " ".join(parts)
+    at = [sum(len(p) + 1 for p in parts[:i]) for i in range(len(parts))]
+    _, spans = secrets.scan(text)
+    assert [(a, b) for a, k, b in spans if k == 0] == [(a, a + len(p)) for a, p in zip(at, parts)]
+    escaped = "&#112;assword=hunter2 %70assword=hunter2 "
+    _, spans = secrets.scan(escaped * 2)
+    assert spans == [(0, 0, 21), (22, 0, 40), (41, 0, 62), (63, 0, 81)]
+
+
 def test_licenses(docs, none):
     assert [tuple(r)[:3] for r in licenses.find_licenses(docs).collect()] == [(11, "CC-BY-NC-4.0", 1.0)]
     assert licenses.find_licenses(none).count() == 0
