@@ -6,7 +6,11 @@ decoded to a layer of its own, scanned, and searched for further encoded parts,
 new appears.  A layer that several places hold is scanned once, so cycles end, but what it
 shows is carried up to every one of these places: each character of a layer carries the span of
 the layer above that it came from, so what is found at any depth is reported in the original's
-code points.
+code points.  Base64 and hex runs are decoded at each phase, and where a run is not text as a
+whole (for something stands before or after it without a space), every stretch of valid text and
+every compressed stream in it is a layer.  Runs that only line breaks part are decoded joined as
+well, beside each by itself, so a list of values and a wrapped value are both read; in such a
+block a span may end at a line's end and another of the same start go on.
 
 Everything happens inside one row, in a pass without a shuffle; a decompressed layer is bounded
 by ``MAX_INFLATED`` bytes per byte of the original text (a guard against bombs; nothing else is
@@ -46,8 +50,18 @@ _URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
                      r"|&[A-Za-z]{2,8};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+_LAST = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
 _HEXBYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
 
+#: Valid UTF-8 of 12 characters or more: no secret is shorter.
+_STRETCH = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]"
+                      rb"|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}"
+                      rb"|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}")
+_ZLIB = b"|".join(re.escape(bytes((a, b))) for a in range(8, 128, 16) for b in range(256)
+                  if (a << 8 | b) % 31 == 0 and not b & 32)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|" + _ZLIB)
+
 Place = Callable[[int, int], tuple[int, int]]  # a span of a layer as a span of the layer above
 Layer = tuple[str, Place]
 
@@ -125,12 +139,8 @@ def _inflated(data: bytes, most: int) -> bytes | None:
     return None
 
 
-def _as_text(data: bytes, most: int) -> str | None:
-    """Decoded bytes as text: through compression as deep as it goes; None if it is no text."""
-    seen = set()
-    while (more := _inflated(data, most)) and more not in seen:
-        seen.add(data)
-        data = more
+def _as_text(data: bytes) -> str | None:
+    """Bytes that are text as a whole, or None."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -139,31 +149,98 @@ def _as_text(data: bytes, most: int) -> str | None:
     return text if text and shown >= 0.9 * len(text) else None
 
 
-def _encoded_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
+def _texts(data: bytes, most: int, chain: tuple[bytes, ...] = ()) -> Iterator[tuple[str, int, int, bool]]:
+    """The texts in ``data``, each with the bytes it is in and whether it is these bytes themselves
+    (not what they hold compressed)."""
+    if (text := _as_text(data)) is not None:
+        yield text, 0, len(data), True
+        return
+    for m in _STRETCH.finditer(data):
+        yield m.group().decode("utf-8"), m.start(), m.end(), True
+    for m in _MAGIC.finditer(data):
+        stream = data[m.start():]
+        if stream not in chain and (inner := _inflated(stream, most)):
+            for text, _, _, _ in _texts(inner, most, (*chain, stream)):
+                yield text, m.start(), len(data), False
+
+
+def _runs(text: str) -> Iterator[tuple[str, list[int] | int, int, bool]]:
+    """Base64 runs: characters, where each is (or the first, if they follow each other), the end of
+    the last with its padding, and whether the run is a line of several."""
+    lines: list[tuple[int, int]] = []
+
+    def block():
+        if lines and (m := _LAST.match(text, lines[-1][1])) and text[lines[-1][1] - 1] != "=":
+            lines.append(m.span(1))
+        for start, end in lines:
+            if end - start >= 16:
+                yield text[start:end].rstrip("="), start, end, len(lines) > 1
+        if len(lines) > 1:
+            bare = [(start, start + len(text[start:end].rstrip("="))) for start, end in lines]
+            yield ("".join(text[i:j] for i, j in bare), [k for i, j in bare for k in range(i, j)], lines[-1][1], True)
+        lines.clear()
+
     for m in _BASE64.finditer(text):
-        raw = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+        if lines and (text[lines[-1][1] - 1] == "="
+                      or (gap := _BREAK.match(text, lines[-1][1])) is None or gap.end() != m.start()):
+            yield from block()
+        lines.append(m.span())
+    yield from block()
+
+
+def _in_run(length: int, where: list[int] | int, end: int, skip: int, size: int) -> Place:
+    """Where a run's characters are that hold bytes a to b of its decoding from ``skip`` on."""
+    def char(i: int) -> int:
+        return where + i if isinstance(where, int) else where[i]
+    return lambda a, b: (char(skip + a // 3 * 4),
+                         end if b == size else char(min(skip + -(-b // 3) * 4, length) - 1) + 1)
+
+
+def _base64_layers(text: str, most: int) -> Iterator[Layer]:
+    for chars, where, end, listed in _runs(text):
+        raw = chars.replace("-", "+").replace("_", "/")
         # A run may begin with what stands before it without a space: try each phase.
         for skip in range(min(4, len(raw))):
             body = raw[skip:]
             body = body[:len(body) - 1] if len(body) % 4 == 1 else body
             try:
-                yield m.start() + skip, m.end(), base64.b64decode(body + "=" * (-len(body) % 4))
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
             except binascii.Error:
                 continue
+            of_bytes = _in_run(len(chars), where, end, skip, len(data))
+            for inner, a, b, itself in _texts(data, most):
+                if itself and (listed or b - a < len(data)):
+                    yield inner, _stretched(inner, a, of_bytes)
+                else:
+                    yield inner, _fixed(*of_bytes(a, b))
+
+
+def _stretched(inner: str, first: int, of_bytes: Place) -> Place:
+    """For a text of bytes that start at ``first``: each character in the bytes that it is."""
+    if inner.isascii():
+        return lambda a, b: of_bytes(first + a, first + b)
+    return lambda a, b: of_bytes(first + len(inner[:a].encode()), first + len(inner[:b].encode()))
+
+
+def _hex_layers(text: str, most: int) -> Iterator[Layer]:
     for m in _HEXBYTES.finditer(text):
-        yield m.start(), m.end(), bytes.fromhex(m.group())
+        for inner, a, b, itself in _texts(data := bytes.fromhex(m.group()), most):
+            start = m.start()
+            if itself and b - a < len(data):
+                yield inner, _stretched(inner, a, lambda a, b, start=start: (start + 2 * a, start + 2 * b))
+            else:
+                yield inner, _fixed(start + 2 * a, start + 2 * b)
 
 
 def _unwrapped(text: str, most: int) -> Iterator[Layer]:
     """The layers directly below: one with all URL escapes decoded, one with all Unicode
-    escapes, and one for each base64 or hex run that holds text."""
+    escapes, and one for each text that a base64 or hex run holds."""
     if "%" in text and (new := _replaced(text, _URL, _url)):
         yield new
     if ("\\" in text or "&" in text) and (new := _replaced(text, _ESCAPE, _escape)):
         yield new
-    for start, end, data in _encoded_parts(text):
-        if (inner := _as_text(data, most)) is not None:
-            yield inner, _fixed(start, end)
+    yield from _base64_layers(text, most)
+    yield from _hex_layers(text, most)
 
 
 def _key(text: str) -> bytes:

@@ -298,6 +298,34 @@ def test_secrets_of_equal_layers():
     assert spans == [(0, 0, 21), (22, 0, 40), (41, 0, 62), (63, 0, 81)]
 
 
+def test_secrets_in_glued_and_wrapped_base64():
+    secret = b"password=hunter2hunter2"
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
+    for before in ("https://x.test/path/", "key_", "auth-", "reset/", "x"):
+        for hidden in (plain, packed):
+            for after in ("", " end"):
+                _, spans = secrets.scan(before + hidden + after)
+                assert [s for s in spans if s[1] == 0 and s[0] >= len(before) - 4
+                        and s[2] == len(before + hidden)], (before, hidden)
+    _, spans = secrets.scan("key_" + plain.rstrip("=") + "-tail/more_of-it")
+    assert [(a, b // 4) for a, _, b in spans] == [(4, (4 + len(plain)) // 4)]
+    part = "key_" + plain.rstrip("=") + " "
+    assert [(a, b) for a, _, b in secrets.scan(part * 3)[1]] == [
+        (n * len(part) + 4, (n + 1) * len(part) - 1) for n in range(3)]
+    long = base64.b64encode(b"x" * 48 + secret + b" and more text that goes on and on" * 9).decode()
+    noise = bytes(np.random.default_rng(1).integers(32, 127, 900, np.uint8))
+    for whole, at in ((long, 64), (base64.b64encode(gzip.compress(noise + b" " + secret)).decode(), 0)):
+        for new_line in ("\n", "\r\n", "\n    "):
+            lines = [whole[i:i + 76] for i in range(0, len(whole), 76)]
+            text = "data: " + new_line.join(lines) + "\n\nend"
+            ends = [b for a, k, b in secrets.scan(text)[1] if k == 0 and a == 6 + at]
+            full = 6 + len(new_line) + 64 + 32 if at else len(text) - 5
+            assert max(ends, default=0) == full, (new_line, at, ends)
+    listed = [base64.b64encode(b"token=abcdef%d" % n + b" " * 5).decode() for n in range(3)]
+    _, spans = secrets.scan("\n".join(listed))
+    assert {a // (len(listed[0]) + 1) for a, _, _ in spans} == {0, 1, 2}
+
+
 def test_licenses(docs, none):
     assert [tuple(r)[:3] for r in licenses.find_licenses(docs).collect()] == [(11, "CC-BY-NC-4.0", 1.0)]
     assert licenses.find_licenses(none).count() == 0
