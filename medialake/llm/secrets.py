@@ -7,14 +7,17 @@ new appears.  A layer that several places hold is scanned once, so cycles end, b
 shows is carried up to every one of these places: each character of a layer carries the span of
 the layer above that it came from, so what is found at any depth is reported in the original's
 code points.  Base64 and hex runs are decoded at each phase, and where a run is not text as a
-whole (for something stands before or after it without a space), every stretch of valid text and
+whole (for something stands before or after it without a space), every stretch of ASCII text and
 every compressed stream in it is a layer.  Runs that only line breaks part are decoded joined as
 well, beside each by itself, so a list of values and a wrapped value are both read; in such a
 block a span may end at a line's end and another of the same start go on.
 
-Everything happens inside one row, in a pass without a shuffle; a decompressed layer is bounded
-by ``MAX_INFLATED`` bytes per byte of the original text (a guard against bombs; nothing else is
-capped).
+Everything happens inside one row, in a pass without a shuffle.  Compressed streams are read to
+their end, member after member, and through streams in streams; they are inflated piece by
+piece and scanned in chunks of ``CHUNK`` bytes that overlap by ``OVERLAP``, so memory is bounded
+whatever they inflate to, and only what is longer than the overlap and lies across a border can
+be seen in two parts (a stream that holds itself is opened once).  A stream that breaks off or is
+damaged is read as far as it goes.
 
 Defined results: NULL and empty texts have no spans (counts 0, empty strings, the digest of the
 empty string); spans found twice are reported once; ids pass through whatever they are.
@@ -27,6 +30,7 @@ import binascii
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex")
-MAX_INFLATED = 1000
+CHUNK, OVERLAP, PIECE = 1 << 22, 1 << 18, 1 << 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -54,10 +58,8 @@ _BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
 _LAST = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
 _HEXBYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
 
-#: Valid UTF-8 of 12 characters or more: no secret is shorter.
-_STRETCH = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]"
-                      rb"|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}"
-                      rb"|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}")
+#: Every secret, and every encoded part that hides one, has 12 ASCII characters or more in a row.
+_STRETCH = re.compile(rb"[\x00-\x7f]{12,}")
 _ZLIB = b"|".join(re.escape(bytes((a, b))) for a in range(8, 128, 16) for b in range(256)
                   if (a << 8 | b) % 31 == 0 and not b & 32)
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|" + _ZLIB)
@@ -125,18 +127,69 @@ def _escape(code: str) -> str | None:
         return None
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """``data`` decompressed (gzip, zlib, bzip2, xz), or None if it is no such stream."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            return zlib.decompressobj(wbits=47).decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, max_length=most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
-    return None
+class Inflated:
+    """The compressed members (gzip, zlib, bzip2, xz) that follow each other at the start of ``blocks``,
+    piece by piece; ``read`` is how many bytes the members read to their end had, ``rest`` what of the
+    blocks taken follows them."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.read, self.rest = blocks, 0, b""
+
+    def _opened(self, head: bytes):
+        if head[:2] == b"\x1f\x8b":
+            return zlib.decompressobj(wbits=31)
+        if head[:3] == b"BZh":
+            return bz2.BZ2Decompressor()
+        return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else zlib.decompressobj()
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, taken = b"", 0
+        while True:
+            while len(data) < 6 and (block := next(self.blocks, b"")):
+                data += block
+                taken += len(block)
+            if not _MAGIC.match(data):
+                self.rest = data
+                return
+            one = self._opened(data)
+            try:
+                while not one.eof:
+                    piece = one.decompress(data, PIECE)
+                    data = getattr(one, "unconsumed_tail", b"")  # the others keep it themselves
+                    if piece:
+                        yield piece
+                    elif not data and not one.eof:
+                        data = next(self.blocks, b"")
+                        taken += len(data)
+                        if not data:
+                            return
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            data = one.unused_data
+            self.read, self.rest = taken - len(data), data
+
+
+def _chunks(pieces: Iterator[bytes], chain: tuple[bytes, ...]) -> Iterator[tuple[bytes, tuple[bytes, ...]]]:
+    """Overlapping chunks of what ``pieces`` hold, each with the beginnings of the streams it is in.
+    A stream that is longer than a chunk is inflated on the way; in others it is found later."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) >= CHUNK:
+            break
+    if len(held) >= CHUNK and _MAGIC.match(held) and (head := bytes(held[:OVERLAP])) not in chain:
+        stream = Inflated(itertools.chain((bytes(held),), pieces))
+        chain = (*chain, head)
+        yield from _chunks(iter(stream), chain)
+        if stream.read:
+            held = bytearray(stream.rest)
+    for piece in itertools.chain((b"",), pieces):
+        held += piece
+        if len(held) >= CHUNK:
+            yield bytes(held), chain
+            del held[:-OVERLAP]
+    if held:
+        yield bytes(held), chain
 
 
 def _as_text(data: bytes) -> str | None:
@@ -149,7 +202,7 @@ def _as_text(data: bytes) -> str | None:
     return text if text and shown >= 0.9 * len(text) else None
 
 
-def _texts(data: bytes, most: int, chain: tuple[bytes, ...] = ()) -> Iterator[tuple[str, int, int, bool]]:
+def _texts(data: bytes, chain: tuple[bytes, ...] = ()) -> Iterator[tuple[str, int, int, bool]]:
     """The texts in ``data``, each with the bytes it is in and whether it is these bytes themselves
     (not what they hold compressed)."""
     if (text := _as_text(data)) is not None:
@@ -157,11 +210,17 @@ def _texts(data: bytes, most: int, chain: tuple[bytes, ...] = ()) -> Iterator[tu
         return
     for m in _STRETCH.finditer(data):
         yield m.group().decode("utf-8"), m.start(), m.end(), True
-    for m in _MAGIC.finditer(data):
-        stream = data[m.start():]
-        if stream not in chain and (inner := _inflated(stream, most)):
-            for text, _, _, _ in _texts(inner, most, (*chain, stream)):
+    at = 0
+    while m := _MAGIC.search(data, at):
+        at = m.start() + 1
+        head = data[m.start():m.start() + OVERLAP]
+        if head in chain:
+            continue
+        stream = Inflated(data[i:i + PIECE] for i in range(m.start(), len(data), PIECE))
+        for chunk, inner in _chunks(iter(stream), (*chain, head)):
+            for text, _, _, _ in _texts(chunk, inner):
                 yield text, m.start(), len(data), False
+        at = max(at, m.start() + stream.read)
 
 
 def _runs(text: str) -> Iterator[tuple[str, list[int] | int, int, bool]]:
@@ -196,7 +255,7 @@ def _in_run(length: int, where: list[int] | int, end: int, skip: int, size: int)
                          end if b == size else char(min(skip + -(-b // 3) * 4, length) - 1) + 1)
 
 
-def _base64_layers(text: str, most: int) -> Iterator[Layer]:
+def _base64_layers(text: str) -> Iterator[Layer]:
     for chars, where, end, listed in _runs(text):
         raw = chars.replace("-", "+").replace("_", "/")
         # A run may begin with what stands before it without a space: try each phase.
@@ -208,7 +267,7 @@ def _base64_layers(text: str, most: int) -> Iterator[Layer]:
             except binascii.Error:
                 continue
             of_bytes = _in_run(len(chars), where, end, skip, len(data))
-            for inner, a, b, itself in _texts(data, most):
+            for inner, a, b, itself in _texts(data):
                 if itself and (listed or b - a < len(data)):
                     yield inner, _stretched(inner, a, of_bytes)
                 else:
@@ -222,9 +281,9 @@ def _stretched(inner: str, first: int, of_bytes: Place) -> Place:
     return lambda a, b: of_bytes(first + len(inner[:a].encode()), first + len(inner[:b].encode()))
 
 
-def _hex_layers(text: str, most: int) -> Iterator[Layer]:
+def _hex_layers(text: str) -> Iterator[Layer]:
     for m in _HEXBYTES.finditer(text):
-        for inner, a, b, itself in _texts(data := bytes.fromhex(m.group()), most):
+        for inner, a, b, itself in _texts(data := bytes.fromhex(m.group())):
             start = m.start()
             if itself and b - a < len(data):
                 yield inner, _stretched(inner, a, lambda a, b, start=start: (start + 2 * a, start + 2 * b))
@@ -232,15 +291,15 @@ def _hex_layers(text: str, most: int) -> Iterator[Layer]:
                 yield inner, _fixed(start + 2 * a, start + 2 * b)
 
 
-def _unwrapped(text: str, most: int) -> Iterator[Layer]:
+def _unwrapped(text: str) -> Iterator[Layer]:
     """The layers directly below: one with all URL escapes decoded, one with all Unicode
     escapes, and one for each text that a base64 or hex run holds."""
     if "%" in text and (new := _replaced(text, _URL, _url)):
         yield new
     if ("\\" in text or "&" in text) and (new := _replaced(text, _ESCAPE, _escape)):
         yield new
-    yield from _base64_layers(text, most)
-    yield from _hex_layers(text, most)
+    yield from _base64_layers(text)
+    yield from _hex_layers(text)
 
 
 def _key(text: str) -> bytes:
@@ -252,9 +311,8 @@ def scan(text: str | None) -> tuple[list, list]:
     if not text:
         return [], []
     base = sorted(find_spans(text))
-    most = MAX_INFLATED * max(len(text), 64)
     root = _key(text)
-    spans, holders, work = {root: set(base)}, defaultdict(list), [(root, _unwrapped(text, most))]
+    spans, holders, work = {root: set(base)}, defaultdict(list), [(root, _unwrapped(text))]
     while work:  # depth first: only the layers of one chain are held
         above, layers = work[-1]
         layer = next(layers, None)
@@ -265,7 +323,7 @@ def scan(text: str | None) -> tuple[list, list]:
         holders[key].append((above, layer[1]))
         if key not in spans:
             spans[key] = set(find_spans(layer[0]))
-            work.append((key, _unwrapped(layer[0], most)))
+            work.append((key, _unwrapped(layer[0])))
     # What a layer shows is shown at each place that holds it, until nothing new comes up.
     news = [(key, set(found)) for key, found in spans.items() if found and key in holders]
     while news:

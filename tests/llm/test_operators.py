@@ -1,9 +1,11 @@
 """The training-data operators against brute-force versions on small tables with odd rows."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 
@@ -326,6 +328,21 @@ def test_secrets_in_glued_and_wrapped_base64():
     assert {a // (len(listed[0]) + 1) for a, _, _ in spans} == {0, 1, 2}
 
 
+def test_secrets_in_long_and_joined_streams():
+    secret = b" password=hunter2hunter2 "
+    log = b"the same line again\n" * 220_000 + secret + "ä".encode() * 500_000
+    far = gzip.compress(bytes(np.random.default_rng(4).integers(0, 256, 5_000_000, np.uint8)), 0)
+    nested = base64.b64encode(gzip.compress(far + secret, 1)).decode()  # what follows a stream in a stream
+    assert (0, 0, len(nested)) in secrets.scan(nested)[1]
+    noise = bytes(np.random.default_rng(2).integers(0, 256, 300_000, np.uint8))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        one, other = pack(b"nothing here"), pack(secret)
+        for data in (one + other, pack(log), pack(pack(log)), pack(noise + secret + noise), pack(one + other),
+                     other[:-3] if pack is zlib.compress else other + b"\xff"):
+            hidden = base64.b64encode(data).decode()
+            assert [s for s in secrets.scan(f"see {hidden} end")[1] if s[:2] == (4, 0)] == [(4, 0, 4 + len(hidden))], pack
+
+
 def test_licenses(docs, none):
     assert [tuple(r)[:3] for r in licenses.find_licenses(docs).collect()] == [(11, "CC-BY-NC-4.0", 1.0)]
     assert licenses.find_licenses(none).count() == 0
