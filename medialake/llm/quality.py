@@ -6,6 +6,11 @@ counted per host (``source``), the hosts' failure rates are shrunk towards the c
 a beta prior fitted to all hosts (method of moments), and a host whose shrunk rate is above
 ``HOST_LIMIT`` loses all its documents: its verdict is joined back to them.
 
+Where the corpus's own rate is above ``HOST_LIMIT``, that rule, which the query and its SQL share,
+rejects hosts that are like all others, and so every document if hosts do not differ.  The
+pipeline's filter (``keep_good``) asks for evidence against the host itself there: its shrunk rate
+must be above the corpus's by ``STANDS_OUT`` standard errors of a host of its size.
+
 Repeated windows without a shuffle: the 64-bit hashes of a text's windows are sorted to find
 the values that occur twice; a word is outside every repeated window if the up to three windows
 that hold it are all single, that is, if they also follow each other in the list of single
@@ -34,6 +39,7 @@ SYMBOLS = "#*$%&|<>"
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINE_SHARE = 0.5
 HOST_LIMIT = 0.5
+STANDS_OUT = 2.0
 _WS = " \t\n\x0b\x0c\r"
 
 
@@ -90,8 +96,10 @@ def rule_failed() -> Column:
             | (F.col("word_chars") > 20 * F.col("n_words")))
 
 
-def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Stored table _sk, host_docs, host_failures, host_kept from measured documents."""
+def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HOST_LIMIT,
+                  standing_out: bool = False) -> DataFrame:
+    """Stored table _sk, host_docs, host_failures, host_kept from measured documents;
+    ``standing_out``: a corpus with a rate above the limit is no evidence against its hosts."""
     hosts = cut_lineage(measured.groupBy(null_tag(F.col(source)).alias("_sk")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.count_if(rule_failed()).alias("host_failures")),
         "quality-hosts")
@@ -111,12 +119,15 @@ def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HO
         rate = f / n
     else:  # the hosts differ by no more than chance
         rate = F.lit(mean)
-    return cut_lineage(hosts.withColumn("host_kept", rate <= limit), "quality-verdicts")
+    bar = F.lit(limit)
+    if standing_out and mean > limit:
+        bar = F.lit(mean) + F.lit(STANDS_OUT * within ** 0.5) / F.sqrt(n)
+    return cut_lineage(hosts.withColumn("host_kept", rate <= bar), "quality-verdicts")
 
 
-def judge(measured: DataFrame, source: str = "source") -> DataFrame:
+def judge(measured: DataFrame, source: str = "source", standing_out: bool = False) -> DataFrame:
     """``measured`` (stored) plus base_failed, host_docs, host_failures, host_kept and kept."""
-    verdicts = host_verdicts(measured, source)
+    verdicts = host_verdicts(measured, source, standing_out=standing_out)
     verdicts = F.broadcast(verdicts) if fits_broadcast(verdicts, 120) else verdicts
     return (measured.withColumn("_sk", null_tag(F.col(source))).join(verdicts, "_sk").drop("_sk")
             .withColumn("base_failed", base_failed())
@@ -139,7 +150,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     flat = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"),
                        F.col("text").alias("_text"))
     stored = cut_lineage(measure(flat, "_text"), "quality-rows")
-    return judge(stored, "_source").where("kept").select("_row.*")
+    return judge(stored, "_source", standing_out=True).where("kept").select("_row.*")
 
 
 ORACLE_SQL = r"""

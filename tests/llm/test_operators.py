@@ -147,6 +147,21 @@ def test_host_verdict_shrinks(spark):
     assert not kept["bad"] and all(kept[f"good{h}"] for h in range(8))
 
 
+def test_keep_good_of_a_mostly_raw_corpus(spark):
+    """Most documents fail: without a host that stands out, the others stay."""
+    schema = "doc_id long, source string, text string"
+    clean = " ".join(f"k{i}" for i in range(60))
+    good = [(i, clean) for i in range(4)]
+    for sources in (["s"], ["s", "t"], [None]):
+        rows = [(i, s, t) for s in sources for i, t in good + [(i, "short") for i in range(10, 16)]]
+        kept = quality.keep_good(spark.createDataFrame(rows, schema)).collect()
+        assert len(kept) == 4 * len(sources) and {r.text for r in kept} == {clean}
+    rows = [(i, f"s{h}", clean if i < 80 else "short") for h in range(4) for i in range(200)]
+    rows += [(i, "bad", clean if i < 4 else "short") for i in range(200)]
+    kept = quality.keep_good(spark.createDataFrame(rows, schema)).collect()
+    assert collections.Counter(r.source for r in kept) == {f"s{h}": 80 for h in range(4)}
+
+
 def test_sharding(docs, none):
     for table, n in ((docs, 24), (docs, 3), (none, 24)):
         rows = sharding.interleave(table, n).collect()
