@@ -7,14 +7,15 @@ proportion, so cutting the order into equal pieces gives every shard the corpus'
 each shard has, of every source, nearly the proportional number of rows (ends of a shard may be off by a row or two).
 
 Scale: no window covers a source or the whole table.  The seeded order is that of an MD5
-digest, so its first hex digits deal a source's rows evenly over ``BUCKETS`` buckets; ranks
+digest of id and tie hash (the other columns'), so NULL and repeated ids are dealt out too and
+its first hex digits deal a source's rows evenly over ``BUCKETS`` buckets; ranks
 are row numbers inside (source, bucket) plus the counts of earlier buckets.  Fractions are
 spread evenly by construction, so the second numbering uses buckets of the fraction.
 What meets in one task is one row per bucket.
 
 Defined results: NULL text counts as empty (size 8, CRC 0); NULL source is a source of its
-own, after the others; NULL or repeated ids are ordered by their remaining columns' digest,
-and rows that are equal in everything are interchangeable; an empty table gives no rows; with
+own, after the others; NULL or repeated ids are told apart by their remaining columns' hash,
+and rows that are equal in everything are interchangeable (and share a bucket); an empty table gives no rows; with
 fewer rows than shards some shards stay empty.
 """
 
@@ -37,7 +38,8 @@ def _offsets(counts: DataFrame, part: list[str], bucket: str, off: str) -> DataF
 
 
 def _keyed(rows: DataFrame, source: str, id_col: str, seed: str) -> DataFrame:
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
+                            F.lit(":"), F.col("_tie").cast("string")))
     return (rows.withColumn("_sk", null_tag(F.col(source))).withColumn("_h", digest)
             .withColumn("_u", (F.conv(F.substring(F.md5("_sk"), 1, 8), 16, 10).cast("long") + 0.5) / (1 << 32))
             .withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))

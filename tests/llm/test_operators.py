@@ -175,6 +175,17 @@ def test_sharding(docs, none):
         (r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in _rows())
 
 
+def test_shards_deal_out_rows_of_one_id(spark):
+    for key in ("cast(null as bigint)", "7L"):
+        docs = spark.range(3000).selectExpr(f"{key} as doc_id", "concat('t', id) as text", "'hot' as source")
+        tied = docs.selectExpr("*", "xxhash64(text, source) as _tie")
+        buckets = [r["count"] for r in sharding._keyed(tied, "source", "doc_id", "s").groupBy("_b").count().collect()]
+        assert len(buckets) > 1500 and max(buckets) < 12
+        placed = sharding.interleave(docs, 6).collect()
+        assert sorted((r.shard, r.slot) for r in placed) == [(k, i) for k in range(6) for i in range(500)]
+        assert len({r.text for r in placed}) == 3000
+
+
 def test_shards_match_the_mixture(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "'t' as text", "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source")
     got = sharding.interleave(docs, 6).groupBy("source", "shard").count().collect()
