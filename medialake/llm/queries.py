@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (decontaminate, licenses, mainhtml, mixing, orderminhash, quality, secrets, sharding,
-               tokencounts, urlfilter)
+from . import (centroids, decontaminate, licenses, mainhtml, mixing, orderminhash, quality, secrets,
+               sharding, tokencounts, urlfilter)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,13 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": lambda s, d: secrets.scan_texts(table(s, d, "documents")),
         "op9_license_scan": lambda s, d: licenses.license_table(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: urlfilter.verdict_table(table(s, d, "pages")),
+        "op11_centroid_clusters": lambda s, d: centroids.cluster_table(table(s, d, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {"op2_quality_rules": quality.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL,
-           "op6_mixing": mixing.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+           "op6_mixing": mixing.ORACLE_SQL, "op11_centroid_clusters": centroids.ORACLE_SQL,
+           "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text is not None}
