@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,14 @@ def null_tag(col: Column) -> Column:
 def fits_broadcast(df: DataFrame, bytes_per_row: int, bound: int = 64 << 20) -> bool:
     """True if ``df`` (already stored, so counting it is cheap) stays below ``bound``."""
     return df.count() * bytes_per_row <= bound
+
+
+def split_words(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The runs without ASCII white space of ``text``, in lists of about ``step`` bytes, so that a very long
+    text is never held as one list.  A step ends at a space; a run without spaces is one item."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + step) if len(text) - at > step else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (centroids, decontaminate, licenses, mainhtml, mixing, orderminhash, quality, secrets,
-               sharding, tokencounts, urlfilter)
+from . import (centroids, decontaminate, divergence, licenses, mainhtml, mixing, orderminhash, quality,
+               secrets, sharding, tokencounts, urlfilter)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op9_license_scan": lambda s, d: licenses.license_table(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: urlfilter.verdict_table(table(s, d, "pages")),
         "op11_centroid_clusters": lambda s, d: centroids.cluster_table(table(s, d, "embeddings")),
+        "op12_source_divergence": lambda s, d: divergence.divergence_table(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -36,5 +37,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     sql = {"op2_quality_rules": quality.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL,
            "op6_mixing": mixing.ORACLE_SQL, "op11_centroid_clusters": centroids.ORACLE_SQL,
+           "op12_source_divergence": divergence.ORACLE_SQL,
            "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text is not None}
