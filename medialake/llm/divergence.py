@@ -8,7 +8,7 @@ sum over all terms of f between two sources is taken apart into
 The last part, quadratic in the sources of a term, runs over a frequent-pattern tree of the term
 rows: a node is a (source, count) item below its prefix, its multiplicity the number of terms
 through it, and each combination of a node and an ancestor is corrected once, times the node's
-multiplicity.  Rows sorted by path are the tree in depth-first order, so a task builds the nodes of
+multiplicity.  Rows sorted by a key that keeps prefixes are the tree in depth-first order, so a task builds the nodes of
 a bounded piece of sorted rows at a time; a node cut by a piece or partition border is corrected
 in two parts whose multiplicities add up.
 
@@ -207,7 +207,10 @@ def tree_corrections(rows: DataFrame) -> DataFrame:
     terms = rows.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n", "p", "p0"))).alias("path"))
     paths = cut_lineage(terms.where(F.size("path") > 1).groupBy("lang", "path").agg(F.count(F.lit(1)).alias("mult")),
                         "divergence-paths")
-    return paths.orderBy("lang", "path").mapInArrow(_tree, "lang string, source string, item string, value decimal(38,0)")
+    # The key is as long as the path but small: equal prefixes of a path have equal prefixes of the key.
+    key = F.unhex(F.array_join(F.transform("path", lambda x: F.lpad(
+        F.hex(F.hash(x["source"], x["n"]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+    return paths.withColumn("key", key).orderBy("lang", "key").select("lang", "path", "mult").mapInArrow(_tree, "lang string, source string, item string, value decimal(38,0)")
 
 
 def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:

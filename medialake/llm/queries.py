@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (centroids, decontaminate, divergence, licenses, mainhtml, mixing, orderminhash, quality,
-               secrets, sharding, tokencounts, urlfilter)
+from . import (bitmixer, centroids, decontaminate, divergence, licenses, mainhtml, mixing, orderminhash,
+               quality, secrets, sharding, tokencounts, urlfilter)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op10_url_filter": lambda s, d: urlfilter.verdict_table(table(s, d, "pages")),
         "op11_centroid_clusters": lambda s, d: centroids.cluster_table(table(s, d, "embeddings")),
         "op12_source_divergence": lambda s, d: divergence.divergence_table(table(s, d, "documents")),
+        "op13_bit_mixing": lambda s, d: bitmixer.score_table(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
