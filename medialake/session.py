@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +69,41 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
+#: The open scopes; each collects the folders of the tables written while it is open.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def table_scope() -> Iterator[list[str]]:
+    """Collect the folders of all tables that ``cut_lineage`` writes inside the block.
+
+    Whoever opens the scope knows when no plan reads these tables any more and may then hand
+    them to ``drop_tables``."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+
+
+def drop_tables(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Delete written tables that are not needed again, but none that ``reader``'s plan scans."""
+    scanned = "\n".join(reader.inputFiles()) if reader is not None and paths else ""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path.rstrip("/").rsplit("/", 1)[-1] + "/" not in scanned:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage by writing a Parquet table into the shared checkpoint folder and
     reading it back (survives executor loss; keeps codegen and column pruning,
     and is cheaper than an RDD checkpoint, which recomputes the lineage once more).
     """
-    import uuid
     path = shared_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    for made in _scopes:
+        made.append(path)
     return df.sparkSession.read.parquet(path)
