@@ -294,19 +294,27 @@ def upsert(catalog: DataFrame, new_rows: DataFrame) -> DataFrame:
     return merged.select(F.xxhash64("file_path").alias("id"), *cols)
 
 
-def build_catalog(catalog: DataFrame, scan: DataFrame, root: str, pattern: str | None = None,
-                  force: bool = False, skip_hash: bool = False, now: str | None = None,
-                  max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new catalog, per-file status).  Status is ``skipped`` for files the
-    freshness test drops, else the analysis outcome (ok / corrupted / error)."""
+def fresh_rows(catalog: DataFrame, scan: DataFrame, root: str, pattern: str | None = None,
+               force: bool = False, skip_hash: bool = False, now: str | None = None,
+               max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(inventory, stored rows to upsert): the scanned media files, and the analyzed rows of those
+    that ``catalog`` does not hold as new.  ``catalog`` need hold no other paths than the scan's."""
     inv = media_inventory(scan, root, pattern).where(F.col("inventory_status") == "media")
     if max_files:
         # the first n files found (by path; the walker's order is unspecified).
         inv = inv.orderBy("file_path").limit(max_files)
     todo = incremental_skip(inv, catalog, force)
     # The parsed rows feed both the upsert and the status table: write them once.
-    rows = cut_lineage(analyze(newest_per_path(todo), skip_hash=skip_hash, now=now),
-                       "analyzed")
+    return inv, cut_lineage(analyze(newest_per_path(todo), skip_hash=skip_hash, now=now), "analyzed")
+
+
+def build_catalog(catalog: DataFrame, scan: DataFrame, root: str, **how) -> tuple[DataFrame, DataFrame]:
+    """(new catalog, per-file status).  Status is ``skipped`` for files the
+    freshness test drops, else the analysis outcome (ok / corrupted / error).  ``how``: see ``fresh_rows``.
+
+    The new catalog is the whole of it; ``sinks.bucketed_catalog`` stores the same rows
+    without writing the untouched ones again."""
+    inv, rows = fresh_rows(catalog, scan, root, **how)
     new_catalog = upsert(catalog, rows)
     status = (inv.select("file_path").distinct()
               .join(rows.select("file_path", "outcome"), "file_path", "left")

@@ -2,8 +2,9 @@
 
 Scan records land as Parquet files in a folder (one file set per scan batch);
 ``readStream`` picks up new files, and each micro-batch runs the freshness anti
-join (J2) and the upsert (B1) against the current catalog version, writing the
-next version.  The late-data rule is the reference's freshness test: a record
+join (J2) and the upsert (B1) against the buckets of the current catalog version that its
+paths fall into, and writes those buckets anew (``sinks.bucketed_catalog``); what a batch
+reads and writes follows its own size, not the catalog's.  The late-data rule is the reference's freshness test: a record
 whose mtime is not newer than the catalog's is dropped.  A version is tagged with the
 query's id (kept in its checkpoint) and the batch id, so a replayed batch (after a failure
 between the write and the checkpoint commit) finds its version and does nothing, while
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
 from ..operators import ingest as I
+from ..sinks import bucketed_catalog as BC
 from ..sinks import catalog_store as CS
 
 
@@ -30,9 +32,8 @@ def process_batch(batch: DataFrame, batch_id: int, catalog_base: str, root: str,
     tag = f"{query}-{batch_id}"
     if CS.has_tag(spark, catalog_base, tag):
         return  # replay of a committed batch: idempotent
-    current = CS.read_current(spark, catalog_base)
-    new_catalog, _ = I.build_catalog(current, batch, root, now=now)
-    CS.write_version(new_catalog, catalog_base, tag)
+    _, rows = I.fresh_rows(BC.read_touched(spark, catalog_base, batch), batch, root, now=now)
+    BC.upsert(catalog_base, rows, tag=tag)
 
 
 def start(spark: SparkSession, records_dir: str, catalog_base: str, checkpoint: str,
