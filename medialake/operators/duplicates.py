@@ -1,13 +1,14 @@
 """Exact duplicates by content hash.
 
 Scale notes.  A single hash (say, every empty file) may hold a third of the
-catalog.  Group statistics and the choice of the original therefore use plain
-aggregates (partial aggregation before the shuffle): the original of a group is
+catalog.  Group statistics, the choice of the original and the number of files to delete
+therefore use plain aggregates (partial aggregation before the shuffle): the original of a group is
 ``min(struct(matches_pattern, file_path))``, which equals the reference's rule
-(first path without a pattern, else the first path).  Files are joined back to
-their group on ``file_hash``; the group side has one row per hash, and AQE's skew
-join splits a hot hash on the file side.  The report's copy numbers use a window
-only for groups of bounded size (``ranking.rank_within``).
+(first path without a pattern, else the first path).  The group table (one row per hash, its number
+included) is stored before files are joined to it.  That join is the only operation
+on the hash in its job, with a plain exchange on either side, so AQE's skew join can split
+a hot hash; an aggregate or a second join on the hash beside it would forbid that.
+Copy numbers come from the global numbering (``ranking.rank_within``).
 """
 
 from __future__ import annotations
@@ -52,19 +53,27 @@ def duplicate_groups(catalog: DataFrame) -> DataFrame:
             .withColumn("wasted_bytes", F.col("group_size") * (F.col("file_count") - 1)))
 
 
-def _group_table(files: DataFrame) -> DataFrame:
-    """One row per duplicate hash: member count, largest size and the original."""
+def _group_table(files: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
+    """One row per duplicate hash: member count, largest size, the original, and how many copies
+    the first pattern leaves on the delete list (all copies without patterns)."""
+    listed = lambda path: path.contains(F.lit(patterns[0])) if patterns else F.lit(True)
     return (files.groupBy("file_hash")
             .agg(F.count(F.lit(1)).alias("file_count"),
                  F.max("file_size").alias("group_size"),
+                 F.count_if(listed(F.col("file_path"))).alias("n_listed"),
                  F.min(F.struct("matches_pattern", "file_path")).alias("first"))
             .where(F.col("file_count") >= 2)
-            .select("file_hash", "file_count", "group_size",
-                    F.col("first.file_path").alias("original_path")))
+            .select("file_hash", "file_count", "group_size", F.col("first.file_path").alias("original_path"),
+                    (F.col("n_listed") - listed(F.col("first.file_path")).cast("int")).alias("n_delete")))
 
 
-def _classified(files: DataFrame, groups: DataFrame) -> DataFrame:
-    return (files.join(groups.select("file_hash", "file_count", "original_path"), "file_hash")
+def _marked(catalog: DataFrame, patterns: Sequence[str] | None) -> DataFrame:
+    return hashed_files(catalog).withColumn("matches_pattern", matches_any(F.col("file_path"), patterns))
+
+
+def _members(files: DataFrame, groups: DataFrame, *further: str) -> DataFrame:
+    """The members of the groups (a stored table) with their role."""
+    return (files.join(groups.select("file_hash", "file_count", "original_path", *further), "file_hash")
             .withColumn("is_original", F.col("file_path") == F.col("original_path"))
             .drop("original_path"))
 
@@ -74,9 +83,8 @@ def classify_duplicates(catalog: DataFrame, patterns: Sequence[str] | None = Non
 
     Columns: the catalog columns, matches_pattern, file_count, is_original.
     """
-    files = hashed_files(catalog).withColumn(
-        "matches_pattern", matches_any(F.col("file_path"), patterns))
-    return _classified(files, _group_table(files))
+    files = _marked(catalog, patterns)
+    return _members(files, cut_lineage(_group_table(files), "dup-groups"))
 
 
 def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
@@ -86,20 +94,16 @@ def duplicate_report(catalog: DataFrame, patterns: Sequence[str] | None = None)
     leaves them unordered) and counts groups later left out; ``copy_no`` is 0 for
     the original and j for COPY j, in the order (matches_pattern, file_path).
 
-    The group table (one row per hash) is written once and serves both the
-    classification join and the group numbering, so the catalog is scanned twice.
+    The groups are numbered first, as rows of the group table, and files join that table once.
     Copy numbers are the global numbering in (hash, matches, path) order minus the
-    group's first position (``ranking.rank_within``), for groups of every size, so no
-    task holds an unbounded group.
+    group's first position (``ranking.rank_within``, which stores the joined rows on the way), for groups
+    of every size, so no task holds an unbounded group.
     """
-    files = hashed_files(catalog).withColumn(
-        "matches_pattern", matches_any(F.col("file_path"), patterns))
+    files = _marked(catalog, patterns)
     groups = cut_lineage(_group_table(files), "dup-groups")
-    members = rank_within(_classified(files, groups), ["file_hash"],
-                          ["matches_pattern", "file_path"], "copy_no")
-    numbered = global_row_number(groups.select("file_hash", "file_count"),
-                                 [F.col("file_count").desc(), F.col("file_hash")], "group_no")
-    return members.join(numbered.select("file_hash", "group_no"), "file_hash")
+    numbered = cut_lineage(global_row_number(groups, [F.col("file_count").desc(), F.col("file_hash")], "group_no"),
+                           "dup-numbered")
+    return rank_within(_members(files, numbered, "group_no"), ["file_hash"], ["matches_pattern", "file_path"], "copy_no")
 
 
 def copies_to_delete(catalog: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
@@ -118,21 +122,13 @@ def wasted_space(catalog: DataFrame, patterns: Sequence[str] | None = None) -> D
     reference counts it, also groups the filter leaves out), files to delete and
     the wasted bytes of groups that still have a file to delete.
 
-    One group definition serves the totals and the classification."""
-    files = hashed_files(catalog).withColumn(
-        "matches_pattern", matches_any(F.col("file_path"), patterns))
-    groups = _group_table(files)
-    copies = _classified(files, groups).where(~F.col("is_original"))
-    if patterns:
-        copies = copies.where(F.col("file_path").contains(F.lit(patterns[0])))
-    per_group = copies.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_delete"))
-    g = (groups.withColumn("wasted_bytes", F.col("group_size") * (F.col("file_count") - 1))
-         .join(per_group, "file_hash", "left"))
-    return g.agg(
+    One aggregate by hash gives all of it; no file is joined to its group."""
+    wasted = F.col("group_size") * (F.col("file_count") - 1)
+    return _group_table(_marked(catalog, patterns), patterns).agg(
         F.count(F.lit(1)).alias("duplicate_groups"),
         F.coalesce(F.sum(F.col("file_count") - 1), F.lit(0)).cast("bigint").alias("copies"),
-        F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("bigint").alias("wasted_bytes"),
+        F.coalesce(F.sum(wasted), F.lit(0)).cast("bigint").alias("wasted_bytes"),
         F.coalesce(F.sum("n_delete"), F.lit(0)).cast("bigint").alias("files_to_delete"),
-        F.coalesce(F.sum(F.when(F.col("n_delete") > 0, F.col("wasted_bytes"))), F.lit(0))
+        F.coalesce(F.sum(F.when(F.col("n_delete") > 0, wasted)), F.lit(0))
         .cast("bigint").alias("wasted_filtered"),
     )
