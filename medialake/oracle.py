@@ -148,6 +148,23 @@ def ext_sql(p: str) -> str:
 def _report_sql(q: dict[str, str]) -> None:
     raw_where = (f"NOT is_corrupted AND media_type = 'image' "
                  f"AND lower(right(file_path, 4)) IN ({RAW_SQL})")
+    crowded = (
+        f"""crowded AS (SELECT id, file_size, 'photo' || (id % 97) AS stem, {ext_sql('file_path')} AS ext FROM media_files)""",
+        """asked AS (SELECT '/library/in/' || id || '/' || stem || ext AS source_path, stem, ext, file_size,
+                            row_number() OVER (PARTITION BY stem, ext ORDER BY '/library/in/' || id || '/' || stem || ext) AS r
+                     FROM crowded WHERE id % 89 <> 0)""",
+        """held AS (SELECT DISTINCT stem, ext, id % 5 + 1 AS k FROM crowded WHERE id % 89 = 0)""",
+        """open_slots AS (SELECT stem, ext, k, row_number() OVER (PARTITION BY stem, ext ORDER BY k) AS r
+                          FROM (SELECT stem, ext, unnest(range(0, count(*) + 6)) AS k FROM asked GROUP BY stem, ext)
+                          ANTI JOIN held USING (stem, ext, k))""",
+        """fc AS (SELECT source_path, file_size, k > 0 AS renamed,
+                         stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || ext AS target_name
+                  FROM asked JOIN open_slots USING (stem, ext, r))""")
+    q["flatten_conflicts_plan"] = with_media(
+        "SELECT source_path, target_name, renamed, '/library/' || target_name AS target_path FROM fc", *crowded)
+    q["flatten_conflicts_totals"] = with_media(
+        """SELECT count(*) AS moved, count(*) FILTER (WHERE renamed) AS conflicts,
+                  CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size FROM fc""", *crowded)
     old_where = (f"NOT is_corrupted AND media_type = 'video' AND (codec_name IN ({OLD_CODECS_SQL}) "
                  f"OR format_name IN ({OLD_FORMATS_SQL}))")
     q["raw_files"] = with_media(f"SELECT {REPORT_COLS} FROM media_files WHERE {raw_where}")
@@ -588,7 +605,7 @@ def _ingest_sql(q: dict[str, str]) -> None:
                UNION ALL SELECT {CATALOG_COLS} FROM reanalyzed WHERE touched
                UNION ALL SELECT {CATALOG_COLS} FROM new_rows"""
     q["incremental_catalog_build"] = with_media(build, *ctes)
-    q["stream_catalog_upsert"] = q["incremental_catalog_build"]
+    q["stream_catalog_upsert"] = q["bucketed_catalog_build"] = q["incremental_catalog_build"]
     q["catalog_upsert"] = with_media(
         f"""SELECT {CATALOG_COLS} FROM reanalyzed UNION ALL SELECT {CATALOG_COLS} FROM new_rows""", *ctes)
     q["status_counters"] = with_media(

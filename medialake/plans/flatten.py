@@ -4,38 +4,40 @@ A file keeps its name unless that name is taken -- by an entry already in the
 target (file or directory) or by a file placed before it (in source-path order);
 then it becomes ``stem_1.ext``, ``stem_2.ext`` ... (the first free one).
 
-Renaming only appends ``_<n>``, so a name ``s`` can only collide with ``s_<n>``:
-names interact along parent links between *present* names of the same target and
-extension.  The key of a name is the top of its chain of present parents (see
-``_components``); keys are small unless a library has thousands of names that
-are all ``_<n>`` variants of one present name.  Per key:
-
-* each key has a *dominant* name (its most frequent one).  The dominant files
-  are ranked natively (a global numbering, so a hot name is spread over the
-  range-partitioned sort); with no other name and no existing entry, the file of
-  rank k gets ``stem_k`` (rank 0 keeps the name);
-* otherwise the few *other* members (other names, existing entries) are replayed
-  in source order in ``applyInPandas``, with the dominant files in between
-  counted rather than listed.  The replay returns the others' new names and the
-  dominant files' slots as runs (rank range -> offset), joined back natively.
-  Exact for any key; only a key with several huge *different* names would make
-  the replay group large.
+Slots.  The files of one name s ask, in source order, for the slots s, s_1, s_2, ... (number 0, 1, 2).
+Only two names can ever take a slot: s_k belongs to the sequence of s as number k, and is the
+slot 0 of the name s_k itself.  So slot k of s is
+  taken from the start if an entry of that name exists,
+  taken from the moment on when the first file named s_k comes (it takes the slot, unless it is taken already),
+  and otherwise free until a file named s takes it.
+The files of s take free slots in ascending order, and a slot once passed over stays taken.  If the
+passed-over slots of s are known, all its files get their slot by rank alone: merge the files, by their rank
+among the files of s, with the passed-over slots, by the number of free slots before them; the
+position in that merged order is the slot number.
+
+Rounds.  A slot that both sequences want goes to whoever comes first, and which file of s comes to slot k depends on
+the slots passed over before it.  All such contested slots are decided at once from the decisions of the
+round before, until none changes.  The first contested slot of a name without a parent needs no other
+decision, and each further one (and the slot 0 of a child) only earlier ones, so every round makes at
+least one more of them final and the fixed point is the sequential result.
+
+Scale.  Ranks come from the global numbering, so a hot name is spread over the cluster.  A round moves one
+slim row per contested or existing slot, not files; only the files that come to a contested slot are looked up.
+The contested slots of one name (names s_<n> that are present as well) are added up in order in one
+sorted stream.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators.ranking import rank_within
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_tables, table_scope
 
-_ROOT_STEM = r"(_[1-9][0-9]*)+$"
-
-PLAN_SCHEMA = ("target string, source_path string, file_size bigint, "
-               "file_name string, target_name string")
+#: A stem that may be a renamed one: its base and its number (up to 15 digits; no file count reaches more).
+_NUMBERED = r"^(?s)(.+)_([1-9][0-9]{0,14})$"
 
 
 def _moves(files: DataFrame, target: str) -> DataFrame:
@@ -58,187 +60,89 @@ def _existing_names(files: DataFrame, dirs: DataFrame | None, target: str) -> Da
     return direct.distinct().select(F.lit(t).alias("target"), "file_name")
 
 
-def _components(moves: DataFrame, existing: DataFrame) -> DataFrame:
-    """Key of every present name: (target, ext, root) where root is the top of the
-    name's chain of *present* parents.
-
-    A name ``s`` can only collide with ``s_<n>`` (its candidates are ``s`` and
-    ``s_<n>``), so names interact only along parent links ``s_<n> -> s`` where
-    both are present (moving or already in the target).  ``IMG_5`` and ``IMG_6``
-    stay apart unless ``IMG`` itself is present.  Each name has as many parents as
-    trailing ``_<n>`` groups (a handful), so this is a small explode and two equi
-    joins.
-    """
-    present = (moves.select("target", "ext", "stem").unionByName(
-        existing.select("target", "ext", "stem")).distinct())
-    tail = F.regexp_extract(F.col("stem"), _ROOT_STEM, 0)
-    base = F.substring(F.col("stem"), 1, F.length(F.col("stem")) - F.length(tail))
-    groups = F.filter(F.split(tail, "_"), lambda x: x != "")
-    k = F.size(groups)
-    chain = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.struct(
-        i.alias("lvl"),
-        F.concat(base, F.array_join(F.transform(F.slice(groups, 1, F.greatest(k - i, F.lit(0))),
-                                                lambda g: F.concat(F.lit("_"), g)), "")).alias("a")))
-    anc = present.where(k > 0).select("target", "ext", "stem", F.explode(chain).alias("c")) \
-        .select("target", "ext", "stem", "c.lvl", "c.a")
-    missing = anc.join(present.select("target", "ext", F.col("stem").alias("a")),
-                       ["target", "ext", "a"], "left_anti")
-    first_missing = missing.groupBy("target", "ext", "stem").agg(F.min("lvl").alias("m"))
-    top = (anc.join(first_missing, ["target", "ext", "stem"], "left")
-           .where(F.col("m").isNull() | (F.col("lvl") < F.col("m")))
-           .groupBy("target", "ext", "stem").agg(F.max_by("a", "lvl").alias("root")))
-    return present.join(top, ["target", "ext", "stem"], "left").select(
-        "target", "ext", "stem", F.coalesce(F.col("root"), F.col("stem")).alias("root_stem"))
-
-
-def _with_parts(df: DataFrame) -> DataFrame:
-    return (df.withColumn("ext", P.extension(F.col("file_name")))
-            .withColumn("stem", P.stem(F.col("file_name"))))
-
-
-def _split_name(name: str) -> tuple[str, str]:
-    dot = name.rfind(".")
-    return (name[:dot], name[dot:]) if dot > 0 and name[:dot].strip(".") else (name, "")
-
-
-def _simulate_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule for one (target, ext, root stem) key, with the dominant
-    name's files as counted runs.
-
-    Input rows: ``dom`` (dominant name, its file count), ``exist`` (names already in
-    the target) and ``minor`` (other moving files with ``rel_pos``, their position
-    among all moving files of the key in source order).  Output: the minors' new
-    names and ``piece`` rows: dominant files with rank in [lo, hi) take slot
-    rank + off of the sequence name, name_1, name_2, ...
-    """
-    import bisect
-    import re as _re
-    key = pdf.iloc[0][["target", "ext", "root_stem"]].tolist()
-    dom = pdf[pdf["kind"] == "dom"].iloc[0]
-    d_name, n_dom = dom["file_name"], int(dom["n"])
-    d_stem, d_ext = _split_name(d_name)
-    seq = _re.compile("^" + _re.escape(d_stem) + r"_([1-9][0-9]*)" + _re.escape(d_ext) + "$")
-
-    def seq_index(name):
-        if name == d_name:
-            return 0
-        m = seq.match(name)
-        return int(m.group(1)) if m else None
-
-    taken = set(pdf.loc[pdf["kind"] == "exist", "file_name"])
-    blocked = sorted(j for j in (seq_index(n) for n in taken) if j is not None)
-    ptr, done, out = 0, 0, []
-
-    def run(count):
-        nonlocal ptr, done
-        while count > 0:
-            i = bisect.bisect_left(blocked, ptr)
-            free = (blocked[i] - ptr) if i < len(blocked) else count
-            if free == 0:
-                ptr += 1
-                continue
-            m = min(count, free)
-            out.append(key + ["piece", None, None, None, None, done, done + m, ptr - done])
-            done, ptr, count = done + m, ptr + m, count - m
-
-    def is_taken(name):
-        j = seq_index(name)
-        return name in taken or (j is not None and j < ptr)
-
-    minors = pdf[pdf["kind"] == "minor"].sort_values("rel_pos")
-    for n_before, row in enumerate(minors.itertuples(index=False)):
-        run(int(row.rel_pos) - n_before - done)
-        name = row.file_name
-        if is_taken(name):
-            stem, ext = _split_name(name)
-            k = 1
-            while is_taken(f"{stem}_{k}{ext}"):
-                k += 1
-            name = f"{stem}_{k}{ext}"
-        taken.add(name)
-        j = seq_index(name)
-        if j is not None and j >= ptr:
-            bisect.insort(blocked, j)
-        out.append(key + ["minor", row.source_path, int(row.file_size), row.file_name, name,
-                          None, None, None])
-    run(n_dom - done)
-    return pd.DataFrame(out, columns=["target", "ext", "root_stem", "kind", "source_path",
-                                      "file_size", "file_name", "target_name", "lo", "hi", "off"])
-
-
-SIM_SCHEMA = ("target string, ext string, root_stem string, kind string, source_path string, "
-              "file_size bigint, file_name string, target_name string, lo bigint, hi bigint, "
-              "off bigint")
-
-
-def _slot_name(name, slot):
+def _slot_name(name: Column, slot: Column) -> Column:
     stem, ext = P.stem(name), P.extension(name)
     return F.when(slot == 0, name).otherwise(F.concat(stem, F.lit("_"), slot.cast("string"), ext))
 
 
+def _contested(ranked: DataFrame, existing: DataFrame) -> DataFrame:
+    """The slots of moving names that another name or an entry may hold: (target, file_name, k, holder,
+    since, fixed).  ``holder``: the name whose slot 0 this slot is (k > 0) or whose sequence contains it
+    as well (k = 0); ``since``: the source path of its first file; ``fixed``: an entry has the name."""
+    names = cut_lineage(ranked.groupBy("target", "file_name").agg(F.min("source_path").alias("since")), "flatten-names")
+    present = (names.join(existing.withColumn("there", F.lit(True)), ["target", "file_name"], "full_outer")
+               .select("target", "file_name", "since", F.coalesce("there", F.lit(False)).alias("fixed")))
+    stem = P.stem(F.col("file_name"))
+    number = F.regexp_extract(stem, _NUMBERED, 2)
+    children = (present.where(number != "").select(
+        "target", F.concat(F.regexp_extract(stem, _NUMBERED, 1), P.extension(F.col("file_name"))).alias("base"),
+        number.cast("long").alias("k"), F.col("file_name").alias("holder"), "since", "fixed"))
+    # Only a base that P splits into the same stem and extension numbers its files like this.
+    children = children.where(_slot_name(F.col("base"), F.col("k")) == F.col("holder"))
+    later = cut_lineage(children.join(names.select("target", F.col("file_name").alias("base")), ["target", "base"]), "flatten-later")
+    own = present.where("fixed AND since IS NOT NULL").select("target", "file_name", "fixed")
+    shared = later.where("since IS NOT NULL").select("target", F.col("holder").alias("file_name"), F.col("base").alias("parent"))
+    first = (shared.join(own, ["target", "file_name"], "full_outer").select(
+        "target", "file_name", F.lit(0).cast("long").alias("k"), F.col("parent").alias("holder"),
+        F.lit(None).cast("string").alias("since"), F.coalesce("fixed", F.lit(False)).alias("fixed")))
+    return first.unionByName(later.select("target", F.col("base").alias("file_name"), "k", "holder", "since", "fixed"))
+
+
+def _passed_over(slots: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(target, file_name, k, before) of the slots that their name's files pass over; ``before`` is the
+    number of such slots with a smaller number."""
+    order = Window.partitionBy("target", "file_name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("skip").cast("long")).over(order), F.lit(0))
+    state = cut_lineage(slots.withColumn("skip", F.col("fixed") | F.col("since").isNotNull()), "flatten-round")
+    made: list[str] = []
+    while True:
+        with table_scope() as now:
+            reached = (state.withColumn("r", F.col("k") - before)
+                       .join(ranked.select("target", "file_name", "r", F.col("source_path").alias("comes")),
+                             ["target", "file_name", "r"], "left"))
+            late = F.col("since").isNotNull() & (F.col("comes").isNull() | (F.col("since") < F.col("comes")))
+            later = cut_lineage(
+                reached.where("k > 0").withColumn("next", F.col("fixed") | late)
+                .withColumn("took", ~F.col("next") & F.col("comes").isNotNull()), "flatten-decided")
+            took = later.where("took").select("target", F.col("holder").alias("file_name"), "took")
+            first = (state.where("k = 0").join(took, ["target", "file_name"], "left")
+                     .withColumn("next", F.col("fixed") | F.coalesce("took", F.lit(False))))
+            cols = ["target", "file_name", "k", "holder", "since", "fixed", "skip", "next"]
+            both = cut_lineage(later.select(*cols).unionByName(first.select(*cols)), "flatten-round")
+        if not made:
+            made, changed = now, both.where("skip <> next").limit(1).count()
+        else:
+            changed = both.where("skip <> next").limit(1).count()
+            drop_tables(slots.sparkSession, made)
+            made = now
+        state = both.drop("skip").withColumnRenamed("next", "skip")
+        if not changed:
+            return state.withColumn("before", before).where("skip").select("target", "file_name", "k", "before")
+
+
 def flatten_plan(files: DataFrame, target: str, dirs: DataFrame | None = None) -> DataFrame:
     """One row per moved file: source, size, old and new name, ``renamed`` flag and
     the new path."""
-    keys = ["target", "ext", "root_stem"]
-    moves = _with_parts(_moves(files, target))
-    existing = _with_parts(_existing_names(files, dirs, target))
-    # The key table (one row per distinct name) feeds several branches: write it
-    # once to the shared folder instead of re-deriving it in each branch.
-    comp = cut_lineage(_components(moves, existing), "flatten-keys")
-    moves = moves.join(comp, ["target", "ext", "stem"]).drop("stem")
-    existing = existing.join(comp, ["target", "ext", "stem"]).drop("stem")
-    per_name = moves.groupBy(*keys, "file_name").agg(F.count(F.lit(1)).alias("n"))
-    # Dominant name of a key: the most frequent one (ties: the smallest name).
-    dom = per_name.groupBy(*keys).agg(
-        F.min_by(F.struct("file_name", "n"), F.struct(-F.col("n"), F.col("file_name"))).alias("d"),
-        F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_move"))
-    dom = dom.select(*keys, F.col("d.file_name").alias("dom_name"), F.col("d.n").alias("n_dom"),
-                     "n_names", "n_move")
-    n_exist = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_exist"))
-    stats = dom.join(n_exist, keys, "left").withColumn("sim", F.col("n_exist").isNotNull()
-                                                       | (F.col("n_names") > 1))
-    # Every later step reads these two tables several times: cut the lineage once
-    # (a table written to the shared folder).
-    tagged = cut_lineage(moves.join(stats.select(*keys, "dom_name", "n_dom", "n_move", "sim"),
-                                    keys), "flatten-moves")
-    stats = tagged.select(*keys, "dom_name", "n_dom", "n_move", "sim").distinct()
-    is_dom = F.col("file_name") == F.col("dom_name")
-
-    # Rank of each dominant file among the key's dominant files (source order);
-    # a name that occurs once has rank 0 without any numbering.
-    doms = tagged.where(is_dom)
-    single = doms.where(F.col("n_dom") == 1).withColumn("rank", F.lit(0).cast("bigint"))
-    repeated = rank_within(doms.where(F.col("n_dom") > 1), keys, ["source_path"])
-    doms = single.unionByName(repeated.withColumn("rank", F.col("rank").cast("bigint")))
-    dom_plain = doms.where("NOT sim").withColumn("slot", F.col("rank"))
-    out_cols = ["target", "source_path", "file_size", "file_name"]
-    sim_keys = stats.where("sim")
-    # Keys with other names or existing entries: replay the few non-dominant members.
-    sim_moves = tagged.where(F.col("sim"))
-    ranked = rank_within(sim_moves, keys, ["source_path"], "rel_pos")
-    minors = ranked.where(~is_dom).select(
-        *keys, F.lit("minor").alias("kind"), "source_path", "file_size", "file_name",
-        F.col("rel_pos").cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
-    ex = existing.join(sim_keys.select(*keys), keys, "left_semi").select(
-        *keys, F.lit("exist").alias("kind"), F.lit(None).cast("string").alias("source_path"),
-        F.lit(None).cast("bigint").alias("file_size"), "file_name",
-        F.lit(None).cast("bigint").alias("rel_pos"), F.lit(None).cast("bigint").alias("n"))
-    dm = sim_keys.select(*keys, F.lit("dom").alias("kind"),
-                         F.lit(None).cast("string").alias("source_path"),
-                         F.lit(None).cast("bigint").alias("file_size"),
-                         F.col("dom_name").alias("file_name"),
-                         F.lit(None).cast("bigint").alias("rel_pos"), F.col("n_dom").alias("n"))
-    sim = (minors.unionByName(ex).unionByName(dm).groupBy(*keys)
-           .applyInPandas(_simulate_group, SIM_SCHEMA))
-    minor_out = sim.where("kind = 'minor'").select(*out_cols, "target_name")
-    pieces = sim.where("kind = 'piece'").select(*keys, "lo", "hi", "off")
-    dom_sim = (doms.where("sim").join(pieces, keys)
-               .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-               .withColumn("slot", F.col("rank") + F.col("off")))
-    dom_out = dom_sim.select(*out_cols, "slot").unionByName(dom_plain.select(*out_cols, "slot"))
-    dom_out = dom_out.select(*out_cols, _slot_name(F.col("file_name"), F.col("slot"))
-                             .alias("target_name"))
-    plan = dom_out.unionByName(minor_out)
+    name = ["target", "file_name"]
+    moves = _moves(files, target)
+    # Rank of each file among the files of its name, in source order.
+    ranked = cut_lineage(rank_within(moves, name, ["source_path"], "r"), "flatten-ranked")
+    slots = cut_lineage(_contested(ranked, _existing_names(files, dirs, target)), "flatten-slots")
+    cols = ["target", "source_path", "file_size", "file_name"]
+    if slots.isEmpty():  # no name meets another one: the rank is the slot
+        placed = ranked.select(*cols, F.col("r").alias("slot"))
+    else:
+        over = cut_lineage(_passed_over(slots, ranked), "flatten-over")
+        touched = over.select(*name).distinct()
+        touched = cut_lineage(touched.withColumn("mixed", F.lit(True)), "flatten-touched")
+        flagged = ranked.join(touched, name, "left")
+        plain = flagged.where("mixed IS NULL").select(*cols, F.col("r").alias("slot"))
+        merged = flagged.where("mixed").select(*cols, F.lit(1).alias("kind"), F.col("r").alias("at")).unionByName(
+            over.select("target", F.lit("").alias("source_path"), F.lit(None).cast("bigint").alias("file_size"), "file_name",
+                        F.lit(0).alias("kind"), (F.col("k") - F.col("before")).alias("at")))
+        mixed = rank_within(merged, name, ["at", "kind", "source_path"], "slot").where("kind = 1").select(*cols, "slot")
+        placed = plain.unionByName(mixed)
+    plan = placed.select(*cols, _slot_name(F.col("file_name"), F.col("slot")).alias("target_name"))
     return plan.select("*", (F.col("target_name") != F.col("file_name")).alias("renamed"),
                        F.concat(F.col("target"), F.lit("/"), F.col("target_name")).alias("target_path"))
 

@@ -7,6 +7,7 @@ in ``medialake.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from .plans import empty_dirs as K3
 from .plans import flatten as K2
 from .plans import name_dates as K7
 from .plans import resolution_album as K8
-from .sinks import catalog_store as CS
+from .session import shared_path
+from .sinks import bucketed_catalog as BC
 from .sinks import text as TX
 from .sources import fixtures as fx
 from .sources import lists as L
@@ -235,10 +237,28 @@ def q_incremental_catalog_build(spark, sf):
     return new_catalog.select(*_CATALOG_OUT)
 
 
+def _stored_catalog(spark, sf):
+    """A new bucketed catalog in the shared folder that holds the catalog as version 0."""
+    base = shared_path(spark, "catalog-" + uuid.uuid4().hex)
+    BC.upsert(base, _cat(spark, sf), buckets=16)
+    return base
+
+
 @register("catalog_upsert")
 def q_catalog_upsert(spark, sf):
-    rows = I.analyze(_media_scan(spark, sf), now=RUN_CLOCK)
-    return I.upsert(_cat(spark, sf), rows).select(*_CATALOG_OUT)
+    """B1 through the bucketed store: the catalog is version 0, the batch version 1."""
+    base = _stored_catalog(spark, sf)
+    BC.upsert(base, I.analyze(_media_scan(spark, sf), now=RUN_CLOCK))
+    return BC.read(spark, base).select(*_CATALOG_OUT)
+
+
+@register("bucketed_catalog_build")
+def q_bucketed_catalog_build(spark, sf):
+    """K10 through the bucketed store: the scan meets the touched buckets only."""
+    base, scan = _stored_catalog(spark, sf), _scan(spark, sf)
+    _, rows = I.fresh_rows(BC.read_touched(spark, base, scan), scan, LIB_ROOT, now=RUN_CLOCK)
+    BC.upsert(base, rows)
+    return BC.read(spark, base).select(*_CATALOG_OUT)
 
 
 @register("status_counters")
@@ -249,18 +269,15 @@ def q_status_counters(spark, sf):
 
 @register("stream_catalog_upsert")
 def q_stream_catalog_upsert(spark, sf):
-    """S1 end to end: land the scan records as files, stream them into a versioned
+    """S1 end to end: land the scan records as files, stream them into a bucketed
     catalog seeded with the current catalog, return the final version."""
-    import uuid
-    from .session import shared_path
     from .streaming import catalog_stream as ST
     run = shared_path(spark, "stream-" + uuid.uuid4().hex)
-    records_dir, base, ckpt = f"{run}/records", f"{run}/catalog", f"{run}/checkpoint"
-    CS.write_version(_cat(spark, sf), base)
+    records_dir, base, ckpt = f"{run}/records", _stored_catalog(spark, sf), f"{run}/checkpoint"
     _scan(spark, sf).repartition(4).write.parquet(records_dir)
     q = ST.start(spark, records_dir, base, ckpt, LIB_ROOT, now=RUN_CLOCK, max_files_per_trigger=1)
     q.awaitTermination()
-    return CS.read_current(spark, base).select(*_CATALOG_OUT)
+    return BC.read(spark, base).select(*_CATALOG_OUT)
 
 
 # --- plans ----------------------------------------------------------------------------
@@ -316,7 +333,6 @@ def _suggestions(spark, sf):
     """B2 -> A6 round trip: the missing-date export is written as a suggestion list
     into the shared folder and parsed back with its line numbers."""
     import uuid
-    from .session import shared_path
     rows = rp.no_creation_date(_cat(spark, sf)).join(
         _cat(spark, sf).select("file_path", "modified_at"), "file_path")
     out = shared_path(spark, "exports", "no-metadata-" + uuid.uuid4().hex)
@@ -341,6 +357,10 @@ register("flatten_plan")(lambda spark, sf: K2.flatten_plan(
     fx.directory_entries(spark, sf)).select("source_path", "target_name", "renamed", "target_path"))
 register("move_totals")(lambda spark, sf: K2.move_totals(K2.flatten_plan(
     _cat(spark, sf).select("file_path", "file_size"), LIB_ROOT, fx.directory_entries(spark, sf))))
+register("flatten_conflicts_plan")(lambda spark, sf: K2.flatten_plan(
+    fx.crowded_files(spark, sf), LIB_ROOT).select("source_path", "target_name", "renamed", "target_path"))
+register("flatten_conflicts_totals")(lambda spark, sf: K2.move_totals(K2.flatten_plan(
+    fx.crowded_files(spark, sf), LIB_ROOT)))
 
 
 @register("export_list")

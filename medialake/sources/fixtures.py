@@ -325,3 +325,14 @@ def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assets(spark, sf_dir)
     return a.select(F.concat(F.lit("album-"), F.col("album")).alias("album_id"),
                     F.col("album").alias("albumName"), F.col("id").alias("asset_id"))
+
+
+def crowded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's files under a few names: each in a folder of its own below ``in``, named by id modulo
+    97, but for every 89th, which lies in the library itself under a numbered form of such a name."""
+    row, ext = F.col("id"), P.extension(F.col("file_path"))
+    name = F.concat(F.lit("photo"), (row % 97).cast("string"))
+    return media_files(spark, sf_dir).select(
+        F.when(row % 89 == 0, F.concat(F.lit("/library/"), name, F.lit("_"), (row % 5 + 1).cast("string"), ext))
+        .otherwise(F.concat(F.lit("/library/in/"), row.cast("string"), F.lit("/"), name, ext)).alias("file_path"),
+        "file_size")

@@ -187,6 +187,27 @@ def test_flatten_against_brute_force(spark):
         assert plan == expect, trial
 
 
+def test_flatten_contested_slots_in_rounds(spark):
+    """Names that are each other's numbered forms, asked for early and late, in chains of several levels."""
+    rnd = random.Random(23)
+    for trial in range(4):
+        names = ["a.jpg"] + [f"a_{k}.jpg" for k in range(1, 9)] + [f"a_{k}_{j}.jpg" for k in (1, 2, 3) for j in (1, 2)] + \
+            ["a_01.jpg", "a_.jpg", "_1.jpg", "a_1_1_1.jpg", "a._1.jpg", ".a_1", ".a", "a_99999999999999999999.jpg"]
+        files = sorted({f"/t/{rnd.choice('pqrs')}{rnd.randint(0, 30):02d}/{rnd.choice(names[:1 + 6 * (trial + 1)])}"
+                        for _ in range(90)})
+        held = rnd.sample(names, trial * 2)
+        df = spark.createDataFrame([(p, 1) for p in files] + [(f"/t/{n}", 1) for n in held], "file_path string, file_size bigint")
+        plan = K2.flatten_plan(df, "/t")
+        assert {r.source_path: r.target_name for r in plan.collect()} == \
+            py_flatten(held, [(p, p.rsplit("/", 1)[1]) for p in files]), trial
+        assert "Pandas" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flatten_of_nothing(spark):
+    none = spark.createDataFrame([], "file_path string, file_size bigint")
+    assert K2.flatten_plan(none, "/t").count() == 0 and K2.move_totals(K2.flatten_plan(none, "/t")).first().moved == 0
+
+
 def test_flatten_hot_name_stays_native(spark):
     files = [(f"/t/d{i:04d}/IMG_0001.jpg", 10) for i in range(500)]
     plan = K2.flatten_plan(spark.createDataFrame(files, "file_path string, file_size bigint"), "/t")
