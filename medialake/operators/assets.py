@@ -42,17 +42,30 @@ def asset_detail(assets: DataFrame) -> DataFrame:
                          F.col("exifInfo.dateTimeOriginal").alias("dateTimeOriginal"))
 
 
+def first_album(albums: DataFrame, album_name: str) -> str:
+    """The id of the first album called ``album_name`` in listing order (``ordinal``; ties go to the lesser
+    id).  One aggregate, of which one row reaches the driver; a name without an album is an error."""
+    found = albums.where(F.col("albumName") == F.lit(album_name)).agg(
+        F.min(F.struct("ordinal", "album_id")).alias("a")).first()["a"]
+    if found is None:
+        raise ValueError(f"Album '{album_name}' not found")
+    return found["album_id"]
+
+
 def album_assets(members: DataFrame, assets: DataFrame, album_name: str,
-                 asset_type: str | None = None) -> DataFrame:
+                 asset_type: str | None = None, albums: DataFrame | None = None) -> DataFrame:
     """A11 + J9: live assets of the album called ``album_name``.
 
-    The reference takes the first album with that name; album ids are unique per
-    name here, so all memberships of that name are used.  An unknown name is an
-    error, raised when the (one-row) existence check comes back empty.
+    With ``albums`` (album_id, albumName, ordinal: the order in which albums are listed) only the first
+    album of that name counts, as in the reference.  Without a listing all memberships of the
+    name are used: the members' own names then stand for one album each.  An unknown name is an error.
     """
-    chosen = members.where(F.col("albumName") == F.lit(album_name))
-    if chosen.limit(1).count() == 0:
-        raise ValueError(f"Album '{album_name}' not found")
+    if albums is not None:
+        chosen = members.where(F.col("album_id") == F.lit(first_album(albums, album_name)))
+    else:
+        chosen = members.where(F.col("albumName") == F.lit(album_name))
+        if chosen.limit(1).count() == 0:
+            raise ValueError(f"Album '{album_name}' not found")
     ids = chosen.select(F.col("asset_id").alias("id")).distinct()
     return live_assets(assets, asset_type).join(ids, "id", "left_semi")
 

@@ -143,7 +143,7 @@ def tree_lines(tree: DataFrame) -> DataFrame:
     desc = F.when(F.col("total_files") == 0, F.lit("[empty]")).otherwise(
         F.concat(F.lit("["), parts, F.lit("]")))
     return tree.select("dir_path", F.split(F.col("dir_path"), "/").alias("order_key"),
-                       F.concat(F.col("dir_path"), F.lit("/ "), desc).alias("line"))
+                       F.concat(F.col("dir_path"), F.lit("/ "), desc).alias("line"), "direct_size")
 
 
 def preorder(tree: DataFrame) -> DataFrame:

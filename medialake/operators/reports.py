@@ -283,6 +283,25 @@ def examples_per_group(rows: DataFrame, group_col, n: int) -> DataFrame:
             .where(F.col("example_no") <= n).drop("_g"))
 
 
+def examples_of_groups(rows: DataFrame, groups: dict, n: int, *columns: str) -> DataFrame:
+    """E3 for overlapping groups in one pass: ``groups`` maps the name of a grouping to its key column (NULL:
+    the row has none), and a row may be in one group of each grouping.
+
+    A row is tagged with its groups and the tagged rows are ranked once; Spark plans the cut-off as a window group
+    limit, so a task hands on at most ``n`` rows per group and the table is read and moved once
+    however many groupings there are.  Columns: grouping, group, example_no, file_path, ``columns``.
+    """
+    from pyspark.sql import Window
+    d = P.dirname(F.col("file_path"))
+    tags = F.array_compact(F.array(*[
+        F.when(key.isNotNull(), F.struct(F.lit(name).alias("grouping"), key.cast("string").alias("group")))
+        for name, key in groups.items()]))
+    tagged = rows.select(F.explode(tags).alias("tag"), "file_path", *columns).select("tag.*", "file_path", *columns)
+    order = Window.partitionBy("grouping", "group").orderBy(P.depth(d).desc(), d, P.basename(F.col("file_path")))
+    return tagged.withColumn("example_no", F.row_number().over(order)).where(F.col("example_no") <= n).select(
+        "grouping", "group", "example_no", "file_path", *columns)
+
+
 def depth_order_numbers(rows: DataFrame) -> DataFrame:
     """F1 as numbers: each row's 1-based position in the deepest-first order (a
     distributed global numbering, so the order itself can be checked)."""

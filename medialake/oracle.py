@@ -485,6 +485,9 @@ def _date_sql(q: dict[str, str]) -> None:
         "SELECT id, type, originalFileName, width, height, dateTimeOriginal FROM assets")
     q["album_assets"] = with_assets(
         "SELECT id, originalFileName FROM assets WHERE NOT coalesce(isTrashed, false) AND album = 'purchase'")
+    q["album_first_assets"] = with_assets(
+        "SELECT id, originalFileName FROM assets WHERE NOT coalesce(isTrashed, false) AND album = 'purchase' "
+        "AND CAST(id AS BIGINT) % 3 = (SELECT max(CAST(id AS BIGINT) % 3) FROM assets WHERE album = 'purchase')")
     match = ("((abs(width - 1179) <= 10 AND abs(height - 2556) <= 10) OR "
              "(abs(height - 1179) <= 10 AND abs(width - 2556) <= 10))")
     q["resolution_match"] = with_assets(
@@ -800,6 +803,18 @@ def _misc_sql(q: dict[str, str]) -> None:
               FROM media_files WHERE NOT is_corrupted AND media_type = 'image'
                 AND lower(right(file_path, 4)) IN ({RAW_SQL}))
             WHERE example_no <= 2""")
+    q["examples_overlapping"] = with_media(
+        f"""SELECT * FROM (
+              SELECT "grouping", "group", row_number() OVER (
+                       PARTITION BY "grouping", "group" ORDER BY length({d}) - length(replace({d}, '/', '')) DESC, {d},
+                                                        {basename_sql('file_path')}) AS example_no, file_path, file_size
+              FROM (SELECT 'codec' AS "grouping", codec_name AS "group", * FROM old_videos WHERE codec_name IN ({OLD_CODECS_SQL})
+                    UNION ALL SELECT 'format', format_name, * FROM old_videos WHERE format_name IN ({OLD_FORMATS_SQL})
+                    UNION ALL SELECT 'type', media_type, * FROM old_videos
+                    UNION ALL SELECT 'all', '', * FROM old_videos))
+            WHERE example_no <= 3""",
+        f"""old_videos AS (SELECT * FROM media_files WHERE NOT is_corrupted AND media_type = 'video'
+                           AND (codec_name IN ({OLD_CODECS_SQL}) OR format_name IN ({OLD_FORMATS_SQL})))""")
     q["depth_order"] = with_media(
         f"""SELECT row_number() OVER (ORDER BY length({d}) - length(replace({d}, '/', '')) DESC, {d},
                                       {basename_sql('file_path')}) AS position, file_path
@@ -872,7 +887,10 @@ def _misc_sql(q: dict[str, str]) -> None:
                           || chr(10) || '# Total directories analyzed: ' || count(*) || chr(10) || '#' || chr(10)
                           || '# Format: [subdirs count, files breakdown, total size]' || chr(10)
                           || '# Legend: dir/ = directory, empty = no files, images/videos/files = media types'
-                          || chr(10) || '{rule}' || chr(10) FROM dfull""", *_DIR_CTES) + ")")
+                          || chr(10) || '{rule}' || chr(10) FROM dfull""", *_DIR_CTES) + ")\nUNION ALL\n"
+        + "SELECT * FROM (" + with_media(f"""SELECT 2, chr(10) || '{rule}' || chr(10) || '# SUMMARY:' || chr(10)
+                          || '# Directories exported: ' || n || chr(10) || '# Total size: ' || {size_label_sql('size')} || chr(10)
+                   FROM (SELECT count(*) AS n, CAST(coalesce(sum(direct_size), 0) AS BIGINT) AS size FROM dfull)""", *_DIR_CTES) + ")")
 
 
 # --- one query per remaining SURVEY §2 name --------------------------------------------

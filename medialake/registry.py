@@ -143,7 +143,7 @@ def q_tree_preorder(spark, sf):
     """F7 + B4 lines with each directory's position in the tree pre-order."""
     from .operators.ranking import global_row_number
     lines = dr.tree_lines(_tree(spark, sf))
-    return global_row_number(lines, [F.col("order_key")], "position").drop("order_key")
+    return global_row_number(lines, [F.col("order_key")], "position").drop("order_key", "direct_size")
 
 
 @register("common_root")
@@ -174,6 +174,9 @@ register("assets_scan")(lambda spark, sf: A.live_assets(fx.assets(spark, sf), "I
 register("asset_detail")(lambda spark, sf: A.asset_detail(fx.assets(spark, sf)))
 register("album_assets")(lambda spark, sf: A.album_assets(
     fx.album_members(spark, sf), fx.assets(spark, sf), "purchase").select("id", "originalFileName"))
+register("album_first_assets")(lambda spark, sf: A.album_assets(
+    fx.shared_name_members(spark, sf), fx.assets(spark, sf), "purchase",
+    albums=fx.shared_name_albums(spark, sf)).select("id", "originalFileName"))
 register("resolution_match")(lambda spark, sf: K8.matching_images(
     fx.assets(spark, sf), "1179x2556").where("matches").select("id"))
 register("resolution_match_counts")(lambda spark, sf: K8.match_counts(
@@ -392,6 +395,17 @@ register("adhoc_filters")(lambda spark, sf: rp.adhoc_filter(
 register("examples_per_group")(lambda spark, sf: rp.examples_per_group(
     rp.raw_files(_cat(spark, sf)).withColumn("extension", P.lower_extension(F.col("file_path"))),
     "extension", 2).select("extension", "example_no", "file_path", "file_size"))
+register("examples_overlapping")(lambda spark, sf: _examples(rp.outdated_videos(_cat(spark, sf))))
+
+
+def _examples(rows):
+    """An outdated video under its codec, its container, its type and all of them, three each."""
+    return rp.examples_of_groups(rows, {
+        "codec": F.when(F.col("codec_name").isin(*S.OUTDATED_CODECS), F.col("codec_name")),
+        "format": F.when(F.col("format_name").isin(*S.OUTDATED_FORMATS), F.col("format_name")),
+        "type": F.col("media_type"), "all": F.lit("")}, 3, "file_size")
+
+
 register("depth_order")(lambda spark, sf: rp.depth_order_numbers(
     rp.corrupted_files(_cat(spark, sf))).select("position", "file_path"))
 register("date_changes")(lambda spark, sf: K7.date_changes(K7.date_from_name_plan(

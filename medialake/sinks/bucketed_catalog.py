@@ -8,8 +8,9 @@ touched buckets and the old ones for all others.  A version is the manifest alon
 with its ``_SUCCESS``: it becomes visible in one moment, and a failed write leaves at most a
 data folder that no manifest names.  Older versions stay readable, since no file is changed.
 
-The number of buckets is fixed when a catalog is created and kept in the folder's name of each
-manifest row's parent (``buckets=<n>`` below ``<base>``).  Rows are hashed by ``xxhash64`` of the path, so the buckets are even
+The number of buckets is fixed when a catalog is created and kept as the name of an empty folder,
+``<base>/buckets=<n>``.  A base whose newest version ``catalog_store`` wrote as a whole is put into buckets by
+the first upsert, and ``catalog_store.read_current`` reads versions of both kinds.  Rows are hashed by ``xxhash64`` of the path, so the buckets are even
 whatever the paths are; at 100 TB of catalog take as many as give files of a few hundred MB.
 
 Scale.  A batch of k paths touches at most min(k, buckets) of them; the manifest has one row per bucket and is
@@ -30,7 +31,7 @@ from ..session import cut_lineage
 from . import catalog_store as CS
 
 BUCKETS = 64
-_MANIFEST = "bucket int, folder string, rows long"
+_MANIFEST = "bucket int, folder string, rows long"  # no catalog column is called folder
 
 
 def bucket_of(path: Column, buckets: int) -> Column:
@@ -51,13 +52,21 @@ def _buckets(spark: SparkSession, base: str) -> int | None:
     return found[0] if found else None
 
 
-def manifest(spark: SparkSession, base: str, version: int | None = None) -> dict[int, tuple[str, int]]:
-    """bucket -> (folder, rows) of a version (the newest one by default): one row per bucket."""
+def _find(spark: SparkSession, base: str, version: int | None) -> str | None:
+    """The folder name of a version (the newest one by default)."""
     found = [x for x in CS._complete(spark, base) if version is None or x[0] == version]
-    if not found:
-        return {}
-    rows = spark.read.schema(_MANIFEST).parquet(f"{base.rstrip('/')}/{found[-1][2]}").collect()
-    return {r["bucket"]: (r["folder"], r["rows"]) for r in rows}
+    return found[-1][2] if found else None
+
+
+def _manifest(spark: SparkSession, base: str, name: str | None) -> dict[int, tuple[str, int]] | None:
+    rows = CS.manifest_rows(spark, base, name) if name else []
+    return None if rows is None else {r["bucket"]: (r["folder"], r["rows"]) for r in rows}
+
+
+def manifest(spark: SparkSession, base: str, version: int | None = None) -> dict[int, tuple[str, int]]:
+    """bucket -> (folder, rows) of a version (the newest one by default): one row per bucket, none for a
+    version that ``catalog_store`` wrote as a whole."""
+    return _manifest(spark, base, _find(spark, base, version)) or {}
 
 
 def _read(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
@@ -68,15 +77,17 @@ def _read(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
 
 def read(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
     """All rows of a version (the newest one by default), or an empty catalog."""
-    return _read(spark, base, sorted(f for f, _ in manifest(spark, base, version).values()))
+    name = _find(spark, base, version)
+    return CS.read_folder(spark, base, name) if name else spark.createDataFrame([], S.MEDIA_FILES_SCHEMA)
 
 
 def read_touched(spark: SparkSession, base: str, batch: DataFrame) -> DataFrame:
     """The rows of those buckets alone that the paths of ``batch`` fall into: all that a freshness test
-    (J2) of the batch against the catalog can meet."""
-    touched = _touched(batch, _buckets(spark, base) or BUCKETS)
-    held = manifest(spark, base)
-    return _read(spark, base, sorted(held[b][0] for b in touched if b in held))
+    (J2) of the batch against the catalog can meet.  A version without buckets is read as a whole."""
+    held = _manifest(spark, base, _find(spark, base, None))
+    if held is None:
+        return read(spark, base)
+    return _read(spark, base, sorted(held[b][0] for b in _touched(batch, _buckets(spark, base) or BUCKETS) if b in held))
 
 
 def _touched(rows: DataFrame, buckets: int) -> list[int]:
@@ -87,7 +98,7 @@ def _touched(rows: DataFrame, buckets: int) -> list[int]:
 
 def upsert(base: str, new_rows: DataFrame, buckets: int = BUCKETS, tag: str = "") -> int:
     """Insert or replace by ``file_path``; of several new rows for one path the newest counts.  Returns the
-    number of the version, which is not a new one where there is nothing to write.
+    number of the version; an empty batch gives a version that shares every bucket.
 
     ``tag``: see ``catalog_store.write_version``; a tag that has a version already is not written again.
     """
@@ -98,11 +109,16 @@ def upsert(base: str, new_rows: DataFrame, buckets: int = BUCKETS, tag: str = ""
         return done[-1]
     create(spark, base, buckets)
     buckets = _buckets(spark, base)
-    held = manifest(spark, base)
+    held = _manifest(spark, base, found[-1][2] if found else None)
     cols = [c for c in S.MEDIA_COLUMNS if c != "id"]
     new = cut_lineage(newest_per_path(new_rows.select(*cols)), "catalog-batch")
-    touched = _touched(new, buckets)
-    old = _read(spark, base, [held[b][0] for b in touched if b in held]).select(*cols)
+    if held is None:  # a version without buckets: all of it is put into buckets, once
+        held, old = {}, read(spark, base)
+        touched = _touched(old.select("file_path").unionByName(new.select("file_path")), buckets)
+    else:
+        touched = _touched(new, buckets)
+        old = _read(spark, base, [held[b][0] for b in touched if b in held])
+    old = old.select(*cols)
     kept = old.join(new.select("file_path"), "file_path", "left_anti")
     # The surrogate id is stable per path, as in operators.ingest.upsert.
     merged = kept.unionByName(new).select(F.xxhash64("file_path").alias("id"), *cols,

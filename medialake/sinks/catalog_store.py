@@ -45,12 +45,27 @@ def has_tag(spark: SparkSession, base: str, tag: str) -> bool:
     return any(t == tag for _, t, _ in _complete(spark, base))
 
 
+def manifest_rows(spark: SparkSession, base: str, name: str) -> list | None:
+    """Rows (bucket, folder, rows) of a version folder that is a manifest of ``bucketed_catalog``, or None
+    for one that holds the rows themselves."""
+    found = spark.read.parquet(f"{base.rstrip('/')}/{name}")
+    return found.select("bucket", "folder", "rows").collect() if "folder" in found.columns else None
+
+
+def read_folder(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """All rows of a version folder, of either kind."""
+    base = base.rstrip("/")
+    rows = manifest_rows(spark, base, name)
+    paths = [f"{base}/{name}"] if rows is None else [f"{base}/data/{r['folder']}" for r in rows]
+    if not paths:
+        return spark.createDataFrame([], S.MEDIA_FILES_SCHEMA)
+    return spark.read.schema(S.MEDIA_FILES_SCHEMA).parquet(*paths)
+
+
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """The newest complete version, or an empty catalog."""
+    """The newest complete version (whole or in buckets), or an empty catalog."""
     found = _complete(spark, base)
-    if not found:
-        return spark.createDataFrame([], S.MEDIA_FILES_SCHEMA)
-    return spark.read.schema(S.MEDIA_FILES_SCHEMA).parquet(f"{base.rstrip('/')}/{found[-1][2]}")
+    return read_folder(spark, base, found[-1][2]) if found else spark.createDataFrame([], S.MEDIA_FILES_SCHEMA)
 
 
 def write_version(df: DataFrame, base: str, tag: str = "") -> int:

@@ -101,17 +101,20 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
 
 def tree_blocks(lines: DataFrame, now: str = "2024-01-15 10:30:00") -> DataFrame:
     """Directory tree export (lines from ``directories.tree_lines``) with header
-    and a summary of the true total size (the reference's sum of recursive sizes
-    counts bytes several times; not reproduced)."""
+    and a summary block: directories and the true total size, the sum of what lies directly in each (the
+    reference's sum of recursive sizes counts bytes several times; not reproduced)."""
     body = lines.select(F.lit(1).alias("section"), F.col("order_key"), F.col("line").alias("block"))
-    n = lines.agg(F.count(F.lit(1)).alias("n"))
+    n = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("direct_size"), F.lit(0)).cast("bigint").alias("size"))
     header = n.select(F.lit(0).alias("section"), F.array().cast("array<string>").alias("order_key"),
                       F.concat(F.lit(f"# Directory Structure Analysis\n# Created: {now}\n"
                                      "# Total directories analyzed: "), F.col("n").cast("string"),
                                F.lit("\n#\n# Format: [subdirs count, files breakdown, total size]\n"
                                      "# Legend: dir/ = directory, empty = no files, "
                                      f"images/videos/files = media types\n{RULE}\n")).alias("block"))
-    return header.unionByName(body)
+    summary = n.select(F.lit(2).alias("section"), F.array().cast("array<string>").alias("order_key"),
+                       F.concat(F.lit(f"\n{RULE}\n# SUMMARY:\n# Directories exported: "), F.col("n").cast("string"),
+                                F.lit("\n# Total size: "), FM.file_size_label(F.col("size")), F.lit("\n")).alias("block"))
+    return header.unionByName(body).unionByName(summary)
 
 
 def conversion_log(plan: DataFrame) -> DataFrame:

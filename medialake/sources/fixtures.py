@@ -327,6 +327,18 @@ def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("album").alias("albumName"), F.col("id").alias("asset_id"))
 
 
+def shared_name_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Album membership where three albums share each name; asset i is in the one numbered i modulo 3."""
+    number = (F.col("asset_id").cast("long") % 3).cast("string")
+    return album_members(spark, sf_dir).withColumn("album_id", F.concat("album_id", F.lit("-"), number))
+
+
+def shared_name_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of those albums: of each name the one with the largest number comes first."""
+    return (shared_name_members(spark, sf_dir).select("album_id", "albumName").distinct()
+            .withColumn("ordinal", -F.substring_index("album_id", "-", -1).cast("long")))
+
+
 def crowded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog's files under a few names: each in a folder of its own below ``in``, named by id modulo
     97, but for every 89th, which lies in the library itself under a numbered form of such a name."""

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import make_ts
-from ..session import cut_lineage
 
 # Python's str.strip() whitespace, as far as it occurs in text lists.
 STRIP_CHARS = " \t\n\r\x0b\x0c"
@@ -62,50 +61,48 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                     "value"))
 
 
-def attach_suggestions(lines: DataFrame, window: int = 4) -> DataFrame:
+#: Lines of a file that are looked at together.
+SEGMENT = 1 << 16
+
+
+def attach_suggestions(lines: DataFrame, window: int = 4, segment: int = SEGMENT) -> DataFrame:
     """E5: path lines with the first ``CREATION_TIME`` line among the next ``window``
     lines, before the next path line.
 
-    A ``CREATION_TIME`` line looks back at most ``window`` lines for its path: the
-    nearest path line there owns it (equi joins on (file, line_no); no per-file
-    window, so one huge list is no hot spot).  A path keeps its first such line.
-    A malformed timestamp on an attached line is an error, as in the reference.
+    The numbered lines are cut into segments of ``segment`` lines of a file; each segment is handed the first
+    ``window`` lines of the next one as well, so that its last paths see all their lines.  Within a segment
+    one sorted pass looks ahead.  A line is thus moved once (a border line twice), nothing is joined, and a
+    huge list is as many groups as it has segments.  A malformed timestamp on an attached line
+    is an error, as in the reference.
     """
     t = F.btrim(F.col("value"), F.lit(STRIP_CHARS))
-    typed = lines.select("file", "line_no", t.alias("text"))
-    is_path = (F.col("text") != "") & ~F.col("text").startswith("#") \
-        & ~F.col("text").startswith("CREATION_TIME")
-    paths = typed.where(is_path).select("file", F.col("line_no").alias("path_line"),
-                                        F.col("text").alias("file_path"))
-    cts = typed.where(F.col("text").startswith("CREATION_TIME ")).select(
-        "file", F.col("line_no").alias("ct_line"),
-        F.btrim(F.substr(F.col("text"), F.lit(len("CREATION_TIME ") + 1)),
-                F.lit(STRIP_CHARS)).alias("ts_text"))
-    back = cts.select("*", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("d")) \
-        .withColumn("path_line", F.col("ct_line") - F.col("d"))
-    # Lines between the owner and the CREATION_TIME line must not be paths: the
-    # owner is the nearest path line above, so take the smallest distance.
-    owned = (back.join(paths.select("file", "path_line"), ["file", "path_line"])
-             .groupBy("file", "ct_line", "ts_text")
-             .agg(F.min("d").alias("d"))
-             .withColumn("path_line", F.col("ct_line") - F.col("d")))
-    first = owned.groupBy("file", "path_line").agg(
-        F.min_by("ts_text", "ct_line").alias("ts_text"))
+    kind = (F.when((t == "") | t.startswith("#"), "other").when(t.startswith("CREATION_TIME "), "time")
+            .when(t.startswith("CREATION_TIME"), "other").otherwise("path"))
+    at = F.floor(F.col("line_no") / segment).cast("long")
+    early = (F.col("line_no") % segment < window) & (at > 0)
+    # A segment shorter than the window would need lines of the one after next as well.
+    back = F.when(early, F.sequence(at, F.greatest(F.lit(0), F.floor((F.col("line_no") - window) / segment)).cast("long"), F.lit(-1))) \
+        .otherwise(F.array(at))
+    dealt = lines.select("file", "line_no", t.alias("text"), kind.alias("kind"), at.alias("home"), F.explode(back).alias("segment"))
+    ahead = Window.partitionBy("file", "segment").orderBy("line_no")
+    found = F.lit(None).cast("string")
+    for j in range(window, 0, -1):  # from the farthest line to the next one
+        next_kind = F.lead("kind", j).over(ahead)
+        found = (F.when(next_kind == "time", F.lead("text", j).over(ahead))
+                 .when(next_kind == "path", F.lit(None).cast("string")).otherwise(found))
+    paths = (dealt.withColumn("found", found).where((F.col("kind") == "path") & (F.col("home") == F.col("segment")))
+             .withColumn("ts_text", F.btrim(F.substr(F.col("found"), F.lit(len("CREATION_TIME ") + 1)), F.lit(STRIP_CHARS))))
     # strptime('%Y-%m-%d %H:%M:%S'): four-digit year, other fields one or two digits.
     pat = r"^(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-    g = [F.regexp_extract(F.col("ts_text"), pat, j).try_cast("int") for j in range(1, 7)]
-    ts = make_ts(*g)
-    parsed = first.withColumn("suggested", F.when(
+    ts = make_ts(*[F.regexp_extract(F.col("ts_text"), pat, j).try_cast("int") for j in range(1, 7)])
+    suggested = F.when(F.col("ts_text").isNull(), F.lit(None).cast("timestamp_ntz")).when(
         ts.isNull(), F.raise_error(F.concat(F.lit("Invalid CREATION_TIME: "), F.col("ts_text")))
-    ).otherwise(ts).cast("timestamp_ntz"))
-    return (paths.join(parsed, ["file", "path_line"], "left")
-            .select("file", "path_line", "file_path", "suggested"))
+    ).otherwise(ts).cast("timestamp_ntz")
+    return paths.select("file", F.col("line_no").alias("path_line"), F.col("text").alias("file_path"), suggested.alias("suggested"))
 
 
 def read_suggestion_list(spark: SparkSession, path: str, window: int = 4) -> DataFrame:
     """``(file_path, suggested)`` per path line of suggestion-list files.
 
-    The numbered lines feed the path side and the ``CREATION_TIME`` side of the
-    attach step: they are written once (shared folder) instead of re-reading and
-    re-numbering the text for each side."""
-    return attach_suggestions(cut_lineage(numbered_lines(spark, path), "numbered-lines"), window)
+    The attach step passes over the numbered lines once, so they are not stored."""
+    return attach_suggestions(numbered_lines(spark, path), window)

@@ -86,3 +86,16 @@ def test_with_file_hashes_prefers_bytes(spark):
                                  "file_path string, content_md5 string")
     got = {r.file_path: r.content_md5 for r in I.with_file_hashes(scan, spark, folder).collect()}
     assert got == {here: hashlib.md5(b"x" * 10).hexdigest(), away: "from-scan"}
+
+
+def test_first_album_of_a_name(spark):
+    """Of two albums of one name only the first in listing order counts; an unknown name is an error."""
+    albums = spark.createDataFrame([("z", "Trip", 1), ("a", "Trip", 2), ("b", "trip", 0)], "album_id string, albumName string, ordinal long")
+    members = spark.createDataFrame([("z", "Trip", "1"), ("z", "Trip", "2"), ("a", "Trip", "3"), ("b", "trip", "1")],
+                                    "album_id string, albumName string, asset_id string")
+    assets = spark.createDataFrame([(str(i), "IMAGE", False) for i in range(1, 4)], "id string, type string, isTrashed boolean")
+    assert A.first_album(albums, "Trip") == "z"
+    assert {r["id"] for r in A.album_assets(members, assets, "Trip", albums=albums).collect()} == {"1", "2"}
+    assert {r["id"] for r in A.album_assets(members, assets, "Trip").collect()} == {"1", "2", "3"}
+    with pytest.raises(ValueError):
+        A.album_assets(members, assets, "none", albums=albums)

@@ -229,6 +229,31 @@ def test_suggestion_list(spark):
         sorted(expect, key=lambda t: (t[0], t[1] or datetime.min))
 
 
+def test_suggestions_across_segments(spark):
+    """Random lists cut into segments of any length against the rule line by line."""
+    rnd = random.Random(31)
+    lines = {f"l{f}": [rnd.choice(["/p", "/p", "CREATION_TIME 2016-01-0", "#", "", "CREATION_TIMES"]) for _ in range(rnd.choice([1, 40, 90]))]
+             for f in range(4)}
+    lines = {f: [x + (f"{i}.jpg" if x == "/p" else f"{1 + i % 9} 01:02:03" if x.endswith("-0") else "") for i, x in enumerate(v)]
+             for f, v in lines.items()}
+    want = set()
+    for f, v in lines.items():
+        for i, x in enumerate(v):
+            if x.startswith("/p"):
+                ahead = []
+                for y in v[i + 1: i + 5]:
+                    if y.startswith("/p"):
+                        break
+                    ahead.append(y)
+                times = [y for y in ahead if y.startswith("CREATION_TIME ")]
+                want.add((f, i, x, datetime.strptime(times[0][14:], "%Y-%m-%d %H:%M:%S") if times else None))
+    df = spark.createDataFrame([(f, i, f"  {x}\t") for f, v in lines.items() for i, x in enumerate(v)], "file string, line_no long, value string")
+    for segment in (1, 2, 3, 5, 16, 1 << 16):
+        plan = L.attach_suggestions(df, 4, segment)
+        assert {tuple(r) for r in plan.collect()} == want, segment
+        assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_malformed_suggestion_raises(spark):
     folder = tempfile.mkdtemp(prefix="ml-bad-", dir="/tmp")
     with open(os.path.join(folder, "l.txt"), "w") as fh:
