@@ -9,6 +9,11 @@ quantile the limit is.
 Scale: the histogram has at most as many rows as the longest text has tokens.  Its sums run
 in blocks of ``BLOCK`` lengths; only one row per block meets in one task.
 
+Very long runs of white space are cut out before the tokenizer's splitter sees them, which
+would recurse once per character: by the pattern such a run is one piece without its last
+character (which goes with what follows), or one piece whole at the end of a text.  Texts of
+any other kind go to the splitter as they are.
+
 Defined results: NULL and empty texts have length 0 and are counted; special tokens' strings
 are ordinary text; an empty table gives no rows.
 """
@@ -16,6 +21,7 @@ are ordinary text; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +34,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: GPT-2's published splitting pattern, the one that the byte-level vocabularies were made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 64
+#: A long run of what the splitter takes for white space (Unicode's White_Space).
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 _encodings: dict[str, object] = {}  # per worker process
 
@@ -41,6 +49,17 @@ def _encoding(name: str, ranks_file: bytes, pattern: str):
     return _encodings[name]
 
 
+def count_tokens(encoding, text: str) -> int:
+    """The number of tokens of a whole text, for splitting patterns that treat white space as ``PATTERN`` does."""
+    n = at = 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at:run.start()]))
+        n += len(encoding._encode_single_piece(text[run.start():end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_lengths(texts: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
                   pattern: str = PATTERN) -> DataFrame:
     """``texts``: one column of texts -> one column ``n_tokens`` (long), row by row.
@@ -54,7 +73,7 @@ def token_lengths(texts: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(vocabulary, ranks.value, pattern)
         for batch in batches:
-            lengths = [len(enc.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in batch.column(0)]
+            lengths = [count_tokens(enc, t.as_py()) if t.is_valid else 0 for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
     return texts.mapInArrow(encode, "n_tokens long")
