@@ -293,6 +293,16 @@ def test_token_counts(docs, none):
     assert tokencounts.quantile(table, 0.5).first()[0] == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
 
 
+def test_token_counts_of_long_runs():
+    with open(tokencounts.DEFAULT_VOCABULARY, "rb") as fh:
+        enc = tokencounts._encoding(tokencounts.DEFAULT_VOCABULARY, fh.read(), tokencounts.PATTERN)
+    for run in (" " * 5000, "\n" * 5000, " \n\t\u3000" * 1500, "\x85" * 1000, "\x1c" * 3000, "\r\n" * 700 + " "):
+        for text in (run, "a" + run, run + "b", f"it's{run}1{run}\u4e00{run}\n", f"{run}.{run[:999]}'s{run[:1000]}x"):
+            assert tokencounts.count_tokens(enc, text) == len(enc.encode_ordinary(text))
+    for one in (" ", "\n", "a", ".", "\u4e00"):
+        assert tokencounts.count_tokens(enc, one * 5_000_000) > 0
+
+
 def test_secrets(docs, none):
     secret = 'password = "hunter2hunter2"'
     inner = base64.b64encode(secret.encode()).decode()
@@ -370,10 +380,78 @@ def test_secrets_in_long_and_joined_streams():
 
 
 def test_licenses(docs, none):
-    assert [tuple(r)[:3] for r in licenses.find_licenses(docs).collect()] == [(11, "CC-BY-NC-4.0", 1.0)]
+    assert [tuple(r) for r in licenses.find_licenses(docs).collect()] == [(11, "CC-BY-NC-4.0", 1.0, 0, 1)]
     assert licenses.find_licenses(none).count() == 0
 
 
+def _license_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text))
+
+
+def _licenses_by_brute_force(text):
+    """Every stretch of the text against every template."""
+    def pairs(t):
+        words = _license_words(t)
+        return list(zip(words, words[1:]))
+    sets = {name: (set(pairs(t)), len(pairs(t))) for name, t in licenses.TEMPLATES}
+    got, body = [], pairs(text)
+    for name, (mine, length) in sets.items():
+        marks = set().union(*(mine - other for n, (other, _) in sets.items()
+                              if n != name and len(mine & other) >= licenses.SIBLING * len(mine)))
+        for s, pair in enumerate(body):
+            if pair in mine:
+                reach = body[s:s + -(-length * 5 // 4)]
+                inside = set(reach) & mine
+                if len(inside) >= licenses.CONTAINMENT * len(mine) and marks <= inside:
+                    end = s + 1 + max(map(reach.index, inside))
+                    got.append((len(inside), len(inside) / len(mine), -s, name, end))
+    def over(p, q):
+        return -q[2] < p[4] and q[4] > -p[2]
+
+    def span(p):
+        return p[0], -p[2] - p[4], p[2]
+    got = [p for p in got if not any(q[3] == p[3] and span(q) > span(p) and over(p, q) for q in got)]
+    return {p[3] for p in got if not any(q[:2] > p[:2] and over(p, q) for q in got)}
+
+
+def test_license_siblings_are_told_apart(spark):
+    notices = [
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0-notice"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+         "CC-BY-SA-4.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", "CC-BY-3.0-notice"),
+        ("This work is licensed under a Creative Commons Attribution 2.5 International License.", None),
+        ("This work is licensed under the GNU General Public License, version 1.", None)]
+    rows = [(i, f"w1 w2 w3 {t} w4 w5 w6") for i, (t, _) in enumerate(notices)]
+    rows.append((99, " ".join(t for t, _ in notices[:6])))  # one after the other
+    got = collections.defaultdict(set)
+    for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.template)
+    assert got.pop(99) == {name for _, name in notices[:6]}
+    assert got == {i: {name} for i, (_, name) in enumerate(notices) if name}
+
+
+def test_license_recall_of_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        name, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        words = text.split()
+        for _ in range(int(rng.integers(0, 1 + len(words) // 8))):
+            words[int(rng.integers(len(words)))] = "edited"
+        noise = [f"n{x}" for x in rng.integers(0, 500, 60)]
+        at = int(rng.integers(0, 60))
+        rows.append((i, " ".join(noise[:at] + words + noise[at:])))
+    got = {(r.doc_id, r.template) for r in licenses.find_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, name) for i, t in rows for name in _licenses_by_brute_force(t)}
+    assert len(want) > 200 and got <= want
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_url_filter(spark):
     urls = [(1, "https://www.Example.org/en/12?x"), (2, "http://example.org/es/1"), (3, "http://a.b.com/fr/"),
             (4, "http://com/de/x#y"), (5, "https://free-bets.example.net/en/5"), (6, "http://notexample.org/es/9"),
