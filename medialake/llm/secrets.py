@@ -12,6 +12,10 @@ every compressed stream in it is a layer.  Runs that only line breaks part are d
 well, beside each by itself, so a list of values and a wrapped value are both read; in such a
 block a span may end at a line's end and another of the same start go on.
 
+Escapes that stand in each other are decoded to their own fixpoint where they stand, as far as they
+give ASCII (%252541 is A in one layer, with the span of the whole chain; the stages between are no layers), so
+texts of nested escapes cost what they are long.
+
 Everything happens inside one row, in a pass without a shuffle.  Compressed streams are read to
 their end, member after member, and through streams in streams; they are inflated piece by
 piece and scanned in chunks of ``CHUNK`` bytes that overlap by ``OVERLAP``, so memory is bounded
@@ -53,6 +57,8 @@ _HEX = re.compile("[0-9a-f]{24,}")  # a maximal run of 24 or more is a run of 24
 _URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
                      r"|&[A-Za-z]{2,8};")
+_ONE = re.compile("%[0-9A-Fa-f]{2}|" + _ESCAPE.pattern)
+_LONGEST = 10  # characters of an escape
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
 _LAST = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
@@ -83,31 +89,71 @@ def _fixed(start: int, end: int) -> Place:
     return lambda a, b: (start, end)
 
 
+def _nested(around: str, border: int, last: int) -> tuple[int, int, str] | None:
+    """The first escape in ``around`` that takes in the character before ``border``, of the ``last``
+    ones before it that are newly decoded, and decodes to ASCII: where it starts and ends, and its character."""
+    for at in range(max(0, border - _LONGEST), border):
+        if around[at] in "%&\\" and (m := _ONE.match(around, at)) and m.end() > border - last:
+            new = _escape(m.group()) if around[at] != "%" else chr(int(m.group()[1:], 16))
+            if new is not None and new != m.group() and new.isascii():
+                return at, m.end(), new
+    return None
+
+
 def _replaced(text: str, pattern: re.Pattern, decode) -> Layer | None:
-    """The text with every match replaced by its decoding; its other characters stay."""
-    parts, starts, above, at, length = [], [], [], 0, 0
-    for m in pattern.finditer(text):
-        new = decode(m.group())
+    """The text with every match replaced by its decoding; its other characters stay.
+
+    What a decoding completes to a further ASCII escape, with the characters beside it, is
+    decoded at once, so a chain of nested escapes (%252525, &amp;amp;) is one layer and costs
+    what it is long, not its square.
+    """
+    parts: list[list] = []  # text, start and end in the layer above; no end: the characters are themselves
+    at = 0
+    while m := pattern.search(text, at):
+        new, end = decode(m.group()), m.end()
         if new is None or new == m.group():
+            parts.append([text[at:end], at, None])
+            at = end
             continue
-        for part, start, end in ((text[at:m.start()], at, None), (new, m.start(), m.end())):
-            if part:
-                parts.append(part)
-                starts.append(length)
-                above.append((start, end))  # no end: the characters are themselves
-                length += len(part)
-        at = m.end()
-    if at == 0:
+        if m.start() > at:
+            parts.append([text[at:m.start()], at, None])
+        parts.append([new, m.start(), end])
+        while True:
+            tail = ""
+            for part in reversed(parts):
+                tail = part[0][-_LONGEST:] + tail
+                if len(tail) >= _LONGEST:
+                    break
+            tail = tail[-_LONGEST:]
+            found = _nested(tail + text[end:end + _LONGEST], len(tail), len(parts[-1][0]))
+            if found is None:
+                break
+            first, last, one = found
+            drop, start = len(tail) - first, end
+            while drop > 0:
+                part = parts[-1]
+                cut = min(drop, len(part[0]))
+                drop -= cut
+                start = part[1] + (len(part[0]) - cut if part[2] is None else 0)
+                if cut == len(part[0]):
+                    parts.pop()
+                else:
+                    part[0] = part[0][:-cut]
+            end += max(last - len(tail), 0)
+            kept = tail[last:] if last < len(tail) else ""
+            parts.append([one + kept, start, end])
+        at = end
+    if at == 0 or all(end is None for _, _, end in parts):
         return None
-    parts.append(text[at:])
-    starts.append(length)
-    above.append((at, None))
+    parts.append([text[at:], at, None])
+    starts = list(itertools.accumulate((len(part[0]) for part in parts[:-1]), initial=0))
+    above = [(start, end) for _, start, end in parts]
 
     def place(a: int, b: int) -> tuple[int, int]:
         i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         (start, fixed), (last, end) = above[i], above[j]
         return start if fixed else start + a - starts[i], end or last + b - starts[j]
-    return "".join(parts), place
+    return "".join(part[0] for part in parts), place
 
 
 def _url(run: str) -> str | None:

@@ -336,6 +336,40 @@ def test_secrets_of_equal_layers():
     assert spans == [(0, 0, 21), (22, 0, 40), (41, 0, 62), (63, 0, 81)]
 
 
+def test_secrets_in_nested_escapes():
+    rng = np.random.default_rng(3)
+
+    def once(text):
+        return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text)
+
+    def fixpoint(text):
+        while (new := once(text)) != text:
+            text = new
+        return text
+    for _ in range(2000):
+        text = "".join(rng.choice(["%", "2", "5", "3", "%25", "%32", "%35", "x", " "], 30))
+        layer = text
+        for _ in range(3):
+            if new := secrets._replaced(layer, secrets._URL, secrets._url):
+                layer = new[0]
+                assert all(0 <= a < b <= len(text) for a, b in (new[1](k, k + 1) for k in range(len(layer))))
+        assert layer == fixpoint(text)
+
+    plain = "password=hunter2hunter2"
+    for _ in range(50):
+        hidden = []
+        for c in plain:
+            for _ in range(int(rng.integers(0, 6))):
+                c = [f"%{ord(c[0]):02X}", f"&#{ord(c[0])};", f"\\u{ord(c[0]):04x}"][int(rng.integers(3))] + c[1:]
+            hidden.append(c)
+        text = "see " + "".join(hidden) + " end"
+        assert (4, 0, len(text) - 4) in secrets.scan(text)[1], text
+    for deep in ("%" + "25" * 500_000, "&" + "amp;" * 250_000, "%2" * 250_000 + "%35" + "35" * 250_000,
+                 "&#37;" + "26#37;" * 160_000, "\\u005c" + "u005c" * 200_000):
+        base, spans = secrets.scan(deep + " %70assword=hunter22")
+        assert (len(deep) + 1, 0, len(deep) + 20) in spans
+
+
 def test_secrets_in_glued_and_wrapped_base64():
     secret = b"password=hunter2hunter2"
     plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
