@@ -2,8 +2,8 @@
 
 Words are summed per source (map-side combined, so a source with a third of all rows is one
 row per task), every source gets a target share, its repetition rate is target / size, and a
-document is emitted floor(rate) times plus once more if a hash of its id, read as a number in
-[0, 1), lies below the rate's fraction.
+document is emitted floor(rate) times plus once more if a hash of its id and text, read as a
+number in [0, 1), lies below the rate's fraction.
 
 Targets: sources in code point order (NULL last) take the weights in turn; they share the
 corpus's total size.  A target stops at ``max_repeats`` times its source's size; the excess is
@@ -11,8 +11,9 @@ shared again by weight until no target is above.  That is one level L with targe
 min(cap, L * weight); L is found by repeating one small aggregate over the table of sources.
 
 Defined results: NULL text has size 0 and keeps its row; NULL source is a source of its own;
-an empty table gives no rows; a source of size 0 has target 0 and rate 0; equal ids (and NULL
-ids) share one draw, so repeated rows are taken alike.
+an empty table gives no rows; a source of size 0 has target 0 and rate 0; rows of one id, or of
+none, draw by their texts, and only rows equal in both are taken alike; further columns, whatever
+their names, come out as they went in.
 """
 
 from __future__ import annotations
@@ -54,9 +55,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
         F.col("_cap").cast("double"), F.lit(level) * F.col("_w")).alias("target"))
 
 
-def draw(id_col: Column, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of a hash of the id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def draw(id_col: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of the id and the text."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"),
+                            F.coalesce(F.md5(text), F.lit("null"))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(1 << 52).cast("double")
 
 
@@ -69,18 +71,16 @@ def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS,
                        "mix-targets")
 
 
-def with_copies(rows: DataFrame, rates: DataFrame, id_col: str = "doc_id", source: str = "source",
-                seed: str = "mix") -> DataFrame:
-    """``rows`` plus _sk, source_size, target, _rate and copies (long).
+def with_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` (_sk, _draw and others) plus source_size, target, _rate and copies (long).
 
     The table of rates has one row per source: it is broadcast if it is below a checked
     bound, else joined by shuffle.
     """
     rates = F.broadcast(rates) if fits_broadcast(rates, 200) else rates
     whole = F.floor("_rate")
-    extra = F.when(draw(F.col(id_col), seed) < F.col("_rate") - whole, 1).otherwise(0)
-    return (rows.withColumn("_sk", null_tag(F.col(source))).join(rates, "_sk")
-            .withColumn("copies", (whole + extra).cast("long")))
+    extra = F.when(F.col("_draw") < F.col("_rate") - whole, 1).otherwise(0)
+    return rows.join(rates, "_sk").withColumn("copies", (whole + extra).cast("long"))
 
 
 def mix(docs: DataFrame, *, seed: str = "mix", weights: Sequence[int] = WEIGHTS,
@@ -88,16 +88,19 @@ def mix(docs: DataFrame, *, seed: str = "mix", weights: Sequence[int] = WEIGHTS,
     """The mixed corpus: every row of ``docs`` as often as its source's rate says, with the
     columns of ``docs``.  Texts are read for counting and for the output; only counts move."""
     sized = docs.select(null_tag(F.col("source")).alias("_sk"), word_count(F.col("text")).alias("_size"))
-    taken = with_copies(docs, source_rates(sized, weights, max_repeats), seed=seed)
+    packed = docs.select(F.struct("*").alias("_doc"), null_tag(F.col("source")).alias("_sk"),
+                         draw(F.col("doc_id"), F.col("text"), seed).alias("_draw"))
+    taken = with_copies(packed, source_rates(sized, weights, max_repeats))
     return (taken.where("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-            .select(*docs.columns))
+            .select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+            .select("_doc.*"))
 
 
-def mixture_table(docs: DataFrame) -> DataFrame:
+def mixture_table(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """One row per document: what the mix takes of it.  Words are counted once and stored."""
-    sized = cut_lineage(docs.select("doc_id", "source", null_tag(F.col("source")).alias("_sk"),
-                                    word_count(F.col("text")).alias("_size")), "mix-sizes")
+    sized = cut_lineage(docs.select(
+        "doc_id", "source", null_tag(F.col("source")).alias("_sk"), word_count(F.col("text")).alias("_size"),
+        draw(F.col("doc_id"), F.col("text"), seed).alias("_draw")), "mix-sizes")
     return with_copies(sized, source_rates(sized)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target",
         (F.col("_size") * F.col("copies")).alias("taken"), "copies", "source")
@@ -107,7 +110,8 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':'
+                            || coalesce(md5(text), 'null')), 1, 13) AS BIGINT)
            / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 s AS (
