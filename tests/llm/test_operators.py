@@ -178,14 +178,48 @@ def test_sharding(docs, none):
 def test_shards_deal_out_rows_of_one_id(spark):
     for key in ("cast(null as bigint)", "7L"):
         docs = spark.range(3000).selectExpr(f"{key} as doc_id", "concat('t', id) as text", "'hot' as source")
-        tied = docs.selectExpr("*", "xxhash64(text, source) as _tie")
-        buckets = [r["count"] for r in sharding._keyed(tied, "source", "doc_id", "s").groupBy("_b").count().collect()]
+        keyed = sharding._keyed(docs, "source", "doc_id", ["text", "source"], "s", 3)
+        buckets = [r["count"] for r in keyed.groupBy("_b").count().collect()]
         assert len(buckets) > 1500 and max(buckets) < 12
         placed = sharding.interleave(docs, 6).collect()
         assert sorted((r.shard, r.slot) for r in placed) == [(k, i) for k in range(6) for i in range(500)]
         assert len({r.text for r in placed}) == 3000
 
 
+def test_shards_by_brute_force(spark, docs, monkeypatch):
+    rows = docs.selectExpr("doc_id", "source", "xxhash64(source, text) as tie").collect()
+    keyed = collections.defaultdict(list)
+    for r in rows:
+        tag = "1" if r.source is None else "0" + r.source
+        digest = hashlib.md5(f"interleave:{'null' if r.doc_id is None else r.doc_id}:{r.tie}".encode()).hexdigest()
+        keyed[tag].append((digest, r.doc_id is not None, r.doc_id or 0, r.tie))
+    order = []
+    for tag, part in keyed.items():
+        phase = (int(hashlib.md5(tag.encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32
+        order += [((r + phase) / len(part), tag, *key) for r, key in enumerate(sorted(part))]
+    want = collections.Counter((x[4] if x[3] else None, p * 5 // len(rows), p - -(-(p * 5 // len(rows)) * len(rows) // 5))
+                               for p, x in enumerate(sorted(order)))
+    assert [sharding.bucket_digits(n) for n in (0, 1 << 26, (1 << 26) + 1, 10 ** 11)] == [3, 3, 4, 6]
+    for digits in (3, 4, 1):  # the order does not depend on the number of buckets
+        monkeypatch.setattr(sharding, "MIN_DIGITS", digits)
+        got = sharding.interleave(docs.select("doc_id", "source", "text"), 5).collect()
+        assert collections.Counter((r.doc_id, r.shard, r.slot) for r in got) == want
+
+
+def test_clashing_columns_come_out_as_they_went_in(spark, tmp_path):
+    names = ["_sk", "_h", "_tie", "_b", "_frac", "_copy", "_size", "_draw", "_rate", "target", "copies", "_row", "_doc", "_p"]
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('some text ', id) as text", "'s' as source",
+                                      *[f"'x{n}' as `{n}`" for n in names], "'old' as shard", "'old' as slot")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, docs.collect()))
+    sharding.interleave(mixed, 4).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == [*docs.columns[:-2], "shard", "slot"]
+    assert all(r[n] == f"x{n}" for r in got.collect() for n in names)
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(k, i) for k in range(4) for i in range(10)]
+
+
 def test_shards_match_the_mixture(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "'t' as text", "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source")
     got = sharding.interleave(docs, 6).groupBy("source", "shard").count().collect()
@@ -275,6 +309,17 @@ def test_mixing(docs, none):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_mixing_meets_its_targets(spark):
+    """Rows without ids and rows of one id draw by their texts."""
+    docs = spark.range(4000).selectExpr(
+        "if(id % 4 = 0, id, if(id % 4 = 1, 7, null)) as doc_id", "concat('a b c d e f g h i ', id) as text",
+        "element_at(array('a', 'b', 'c', 'd'), int(id % 4) + 1) as source")
+    got = mixing.mixture_table(docs).groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert len(got) == 4 and all(abs(r["sum(taken)"] - r.target) < 0.08 * r.target for r in got)
+    again = [sorted(map(tuple, mixing.mix(docs.repartition(n)).fillna(-1).collect())) for n in (1, 5)]
+    assert again[0] == again[1]
+
+
 def test_token_counts(docs, none):
     enc = None
     import tiktoken
