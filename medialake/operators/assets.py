@@ -10,13 +10,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
 
+def asset_lines(spark, path: str) -> DataFrame:
+    """Landed JSON lines, each parsed to ``record`` (``schema.ASSET_SCHEMA``) or, if it is no such record,
+    kept in ``bad``.  Bad: not an object, broken off, a field of another type, or without an id; missing
+    fields are NULL and fields outside the schema are left out.  Lines of white space alone are no lines."""
+    schema = T.StructType([*S.ASSET_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json(
+        "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_r"))
+    good = F.col("_r._bad").isNull() & F.col("_r.id").isNotNull()
+    record = F.struct(*[F.col(f"_r.{name}") for name in S.ASSET_SCHEMA.names])
+    return parsed.select(F.when(good, record).alias("record"), F.when(~good, F.col("value")).alias("bad"))
+
+
 def read_assets(spark, path: str) -> DataFrame:
-    """Asset records landed as JSON lines (schema ``schema.ASSET_SCHEMA``)."""
-    return spark.read.schema(S.ASSET_SCHEMA).json(path)
+    """Asset records landed as JSON lines, without the bad lines (see ``asset_lines``)."""
+    return asset_lines(spark, path).where("record is not null").select("record.*")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """One row: lines, records and bad lines of ``asset_lines``."""
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count("record").alias("records"),
+                     F.count("bad").alias("bad_lines"))
 
 
 def read_albums(spark, path: str) -> DataFrame:
@@ -26,12 +46,13 @@ def read_albums(spark, path: str) -> DataFrame:
                          F.explode("assetIds").alias("asset_id"))
 
 
-def live_assets(assets: DataFrame, asset_type: str | None = None) -> DataFrame:
-    """Assets not in the trash, optionally of one type (IMAGE / VIDEO)."""
+def live_assets(assets: DataFrame, asset_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Assets not in the trash, optionally of one type (IMAGE / VIDEO), optionally the first ``limit``
+    by id (a top-k per partition, merged; the reference takes them in the server's order)."""
     df = assets.where(~F.coalesce(F.col("isTrashed"), F.lit(False)))
     if asset_type:
         df = df.where(F.col("type") == asset_type)
-    return df
+    return df if limit is None else df.orderBy("id").limit(limit)
 
 
 def asset_detail(assets: DataFrame) -> DataFrame:

@@ -15,17 +15,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import dates as D
 from ..functions import paths as P
 from ..session import cut_lineage
+from ..sources.landing import task_filesystem
 
 
 def _root_prefix(root: str) -> str:
@@ -67,45 +67,51 @@ def content_hash(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.withColumn("file_hash", F.md5(F.col(content_col).cast("binary")))
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = []
-        for path in batch.column("path").to_pylist():
-            if path.startswith("file:"):
-                fs, inner = pa_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-            else:
-                fs, inner = pa_fs.FileSystem.from_uri(quote(path, safe="/:@"))
-            md5 = hashlib.md5()
-            with fs.open_input_stream(inner) as fh:
-                while chunk := fh.read(chunk_bytes):
-                    md5.update(chunk)
-            hashes.append(md5.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(hashes, pa.string())],
-                                         ["path", "file_hash"])
+def _md5(path: str, chunk_bytes: int) -> str | None:
+    fs, inner = task_filesystem(path)
+    md5 = hashlib.md5()
+    try:
+        with fs.open_input_stream(inner) as fh:
+            while chunk := fh.read(chunk_bytes):
+                md5.update(chunk)
+    except OSError:
+        return None
+    return md5.hexdigest()
+
+
+def hash_files(files: DataFrame, path_col: str = "file_path", chunk_bytes: int = 8 << 20) -> DataFrame:
+    """A2 over the files that a table names: ``files`` plus ``file_hash``, the MD5 hex of the bytes of the
+    file (a path or URI that pyarrow can open on the executors), NULL where there is none or it cannot be
+    read.  Files of any size are read in chunks of ``chunk_bytes``; nothing is listed."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [path and _md5(path, chunk_bytes) for path in batch.column(path_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())],
+                                             [*batch.schema.names, "file_hash"])
+
+    return files.mapInArrow(hashed, T.StructType([*files.schema.fields, T.StructField("file_hash", T.StringType())]))
 
 
 def read_binary_hashes(spark, root: str, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """A2 over real files of any size below ``root`` (a local, HDFS or object-store URI that
-    pyarrow can open on the executors).
+    """A2 over the files below ``root`` (a local, HDFS or object-store URI).
 
     ``binaryFile`` only lists the files (its ``content`` column, which must fit in memory, is
-    not read) and packs them into tasks by their size; each task reads its files in chunks of
-    ``chunk_bytes``.
+    not read) and packs them into tasks by their size.  It lists neither empty files nor those whose names
+    begin with ``_`` or ``.``; ``hash_files`` over an inventory has no such exception.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path"))
-    hashed = files.mapInArrow(lambda batches: _hash_batches(batches, chunk_bytes),
-                              "path string, file_hash string")
-    return hashed.select(F.regexp_replace("path", "^file:", "").alias("file_path"), "file_hash")
+    return hash_files(files, "path", chunk_bytes).select(
+        F.regexp_replace("path", "^file:", "").alias("file_path"), "file_hash")
 
 
 def with_file_hashes(scan: DataFrame, spark, root: str) -> DataFrame:
     """A2 as the reference computes it: MD5 of the bytes; the scan record's ``content_md5``
-    only for paths that are not below ``root``."""
-    hashes = read_binary_hashes(spark, root).withColumnRenamed("file_hash", "_md5")
-    return (scan.join(hashes, "file_path", "left")
-            .withColumn("content_md5", F.coalesce(F.col("_md5"), F.col("content_md5")))
-            .drop("_md5"))
+    only for paths that are not below ``root`` or cannot be read."""
+    below = F.when(F.startswith("file_path", F.lit(root.rstrip("/") + "/")), F.col("file_path"))
+    hashed = hash_files(scan.withColumn("_file", below), "_file")
+    return (hashed.withColumn("content_md5", F.coalesce("file_hash", "content_md5"))
+            .drop("_file", "file_hash"))
 
 
 def incremental_skip(scan: DataFrame, catalog: DataFrame, force: bool = False) -> DataFrame:

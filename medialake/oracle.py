@@ -481,6 +481,13 @@ def _date_sql(q: dict[str, str]) -> None:
     q["datetime_from_filename"] = with_assets(
         f"SELECT id, originalFileName, {ts_text_sql(name_date_sql('originalFileName'))} AS name_date FROM assets")
     q["assets_scan"] = with_assets("SELECT id FROM assets WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'")
+    q["assets_first"] = q["assets_scan"] + " ORDER BY id LIMIT 100"
+    q["asset_records_scan"] = with_assets(
+        "SELECT id, originalFileName, width, dateTimeOriginal FROM assets "
+        "WHERE NOT coalesce(isTrashed, false) AND type = 'IMAGE'")
+    q["asset_line_counts"] = with_assets(
+        "SELECT count(*) + count(*) FILTER (CAST(id AS BIGINT) % 50 BETWEEN 7 AND 10) AS lines, count(*) AS records, "
+        "count(*) FILTER (CAST(id AS BIGINT) % 50 BETWEEN 7 AND 10) AS bad_lines FROM assets")
     q["asset_detail"] = with_assets(
         "SELECT id, type, originalFileName, width, height, dateTimeOriginal FROM assets")
     q["album_assets"] = with_assets(
@@ -591,6 +598,7 @@ def _ingest_sql(q: dict[str, str]) -> None:
     q["content_hash"] = with_media("SELECT file_path, md5(text) AS file_hash FROM mf_parts_paths",
                                    """mf_parts_paths AS (
   SELECT dir || '/' || stem || '.' || ext AS file_path, text FROM mf_parts)""")
+    q["file_content_hash"] = q["content_hash"]
     q["probe_json_ingest"] = with_media(
         """SELECT file_path, duration, width, height, codec_name, codec_long_name, bit_rate,
                   format_name, format_long_name, frame_rate, creation_date

@@ -171,6 +171,13 @@ register("datetime_from_filename")(lambda spark, sf: fx.assets(spark, sf).select
     "id", "originalFileName",
     D.ts_text(D.datetime_from_filename(F.col("originalFileName"))).alias("name_date")))
 register("assets_scan")(lambda spark, sf: A.live_assets(fx.assets(spark, sf), "IMAGE").select("id"))
+register("assets_first")(lambda spark, sf: A.live_assets(fx.assets(spark, sf), "IMAGE", limit=100).select("id"))
+register("asset_records_scan")(lambda spark, sf: A.live_assets(
+    A.read_assets(spark, fx.asset_lines_path(spark, sf)), "IMAGE").select(
+        "id", "originalFileName", F.col("exifInfo.exifImageWidth").alias("width"),
+        F.col("exifInfo.dateTimeOriginal").alias("dateTimeOriginal")))
+register("asset_line_counts")(lambda spark, sf: A.line_counts(
+    A.asset_lines(spark, fx.asset_lines_path(spark, sf))))
 register("asset_detail")(lambda spark, sf: A.asset_detail(fx.assets(spark, sf)))
 register("album_assets")(lambda spark, sf: A.album_assets(
     fx.album_members(spark, sf), fx.assets(spark, sf), "purchase").select("id", "originalFileName"))
@@ -208,6 +215,14 @@ register("media_inventory")(lambda spark, sf: I.media_inventory(_scan(spark, sf)
                             .select("file_path", "inventory_status"))
 register("inventory_counts")(lambda spark, sf: I.inventory_counts(
     I.media_inventory(_scan(spark, sf), LIB_ROOT, "Camera Uploads")))
+@register("file_content_hash")
+def _file_content_hash(spark, sf):
+    folder = fx.document_files(spark, sf)
+    files = fx.media_files(spark, sf).select("file_path", F.concat(
+        F.lit(folder + "/"), fx.file_name(F.col("file_path"))).alias("_file"))
+    return I.hash_files(files, "_file").select("file_path", "file_hash")
+
+
 register("content_hash")(lambda spark, sf: I.content_hash(fx.documents_content(spark, sf))
                          .select("file_path", "file_hash"))
 

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import paths as P
-from .landing import landed
+from .landing import landed, landed_path, write_files
 
 
 # Version of the rules below: a change to this module lands the tables again.
@@ -124,6 +124,21 @@ def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_files_view(spark, sf_dir, with_content=True).select("file_path", "content")
 
 
+def file_name(path: Column) -> Column:
+    """The name of a landed file: hidden and odd paths of the catalog are names like all others."""
+    digest = F.md5(path)
+    return F.concat(F.substring(digest, 1, 2), F.lit("/f"), digest)
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the catalog's files: one file per document with a text, under ``file_name``."""
+    def write(folder: str) -> None:
+        content = documents_content(spark, sf_dir).where(F.col("content").isNotNull())
+        write_files(content.select(file_name(F.col("file_path")).alias("name"),
+                                   F.col("content").cast("binary").alias("content")), folder)
+    return landed_path(spark, "document-files", [_src(sf_dir, "documents")], write, RULES_VERSION)
+
+
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan records as a stored table (landed once per source version)."""
     return landed(spark, "scan_records", [_src(sf_dir, "documents")],
@@ -320,6 +335,21 @@ def assets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asset_lines_path(spark: SparkSession, sf_dir: str) -> str:
+    """The assets as JSON lines in a text folder; some are followed by a bad line (e modulo 50: 7 the record
+    broken off in the middle, 8 a width that is no number, 9 no object, 10 no id)."""
+    def write(folder: str) -> None:
+        a = assets(spark, sf_dir)
+        e, line = F.col("id").cast("long") % 50, F.to_json(F.struct(
+            "id", "type", "isTrashed", "originalFileName", "exifInfo"))
+        bad = (F.when(e == 7, F.substring(line, 1, 30))
+               .when(e == 8, F.concat(F.lit('{"id":"'), "id", F.lit('","exifInfo":{"exifImageWidth":"wide"}}')))
+               .when(e == 9, F.lit("proxy error")).when(e == 10, F.lit('{"type":"IMAGE"}')))
+        both = F.array_compact(F.array(line, bad))
+        a.select(F.explode(both).alias("value")).write.mode("overwrite").text(folder)
+    return landed_path(spark, "asset-lines", [_src(sf_dir, "events")], write, RULES_VERSION)
+
+
 def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Album membership as rows (album id, album name, asset id) — the scalable form."""
     a = assets(spark, sf_dir)

@@ -13,9 +13,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
 
@@ -35,18 +39,60 @@ def source_stamp(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:20]
 
 
-def landed(spark: SparkSession, name: str, sources: list[str],
-           build: Callable[[], DataFrame], version: str = "") -> DataFrame:
-    """The table ``name`` built by ``build()`` from ``sources``, landed once.
+def landed_path(spark: SparkSession, name: str, sources: list[str],
+                write: Callable[[str], None], version: str = "") -> str:
+    """The folder that ``write(folder)`` fills from ``sources``, landed once.
 
-    ``version`` identifies the rules that build the table (changing the rules
+    ``version`` identifies the rules that fill it (changing the rules
     lands a new copy even when the checkpoint folder outlives the job)."""
     key = hashlib.sha1((source_stamp(spark, sources) + "|" + version).encode()).hexdigest()[:20]
     final = shared_path(spark, "landed", key, name)
     fs, final_p, jvm = _fs(spark, final)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(final_p, "_SUCCESS")):
+    marker = jvm.org.apache.hadoop.fs.Path(final_p, "_SUCCESS")
+    if not fs.exists(marker):
         tmp = shared_path(spark, "landed", key, f".{name}.{uuid.uuid4().hex}")
-        build().write.mode("overwrite").parquet(tmp)
-        if not fs.exists(final_p):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final_p)
-    return spark.read.parquet(final)
+        write(tmp)
+        moved = not fs.exists(final_p) and fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final_p)
+        if not moved and not fs.exists(marker):
+            raise RuntimeError(f"{final} exists without being complete")
+    return final
+
+
+def landed(spark: SparkSession, name: str, sources: list[str],
+           build: Callable[[], DataFrame], version: str = "") -> DataFrame:
+    """The table ``name`` built by ``build()`` from ``sources``, landed once (see ``landed_path``)."""
+    return spark.read.parquet(landed_path(
+        spark, name, sources, lambda folder: build().write.mode("overwrite").parquet(folder), version))
+
+
+def task_filesystem(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path or URI as a task opens it, and the path inside it."""
+    if path.startswith("file:"):
+        return pa_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if "://" not in path:
+        return pa_fs.LocalFileSystem(), path
+    return pa_fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """``files`` (name, content as binary): each row as a file of its own below ``folder``, written by
+    the tasks; a task that is run again writes the same bytes to the same names.  Complete with ``_SUCCESS``."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = task_filesystem(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{inner}/{name}"
+                parent = path.rsplit("/", 1)[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(path) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spark = files.sparkSession
+    files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    fs, folder_p, jvm = _fs(spark, folder)
+    fs.mkdirs(folder_p)
+    fs.create(jvm.org.apache.hadoop.fs.Path(folder_p, "_SUCCESS")).close()

@@ -12,6 +12,7 @@ from medialake.operators import assets as A
 from medialake.operators import ingest as I
 from medialake.plans import resolution_album as K8
 from medialake.plans import name_dates as K7
+from medialake.sources import landing
 
 
 def _assets(spark):
@@ -62,6 +63,37 @@ def test_date_from_name_plan(spark):
         A.album_assets(_members(spark), _assets(spark), "Nope")
 
 
+def test_asset_lines_keep_bad_ones_apart(spark, tmp_path):
+    lines = ['{"id":"2","type":"IMAGE","isTrashed":null,"exifInfo":{"exifImageWidth":7},"more":[1]}', "",
+             '{"id":"10","type":"IMAGE"', '{"id":"3","isTrashed":"yes?"}', "[]", "  ", '{"type":"IMAGE"}', "null",
+             '{"id":"1","type":"IMAGE","exifInfo":null}', '{"id":"4","type":"VIDEO"}', '{"id":"5","type":"IMAGE","isTrashed":true}']
+    (tmp_path / "part.json").write_text("\n".join(lines))
+    read = A.asset_lines(spark, str(tmp_path))
+    assert tuple(A.line_counts(read).first()) == (9, 4, 5)
+    assert {r.bad for r in read.collect() if r.bad} == {lines[i] for i in (2, 3, 4, 6, 7)}
+    assets = A.read_assets(spark, str(tmp_path))
+    assert assets.schema.names == S.ASSET_SCHEMA.names
+    assert {(r.id, r.exifInfo and r.exifInfo.exifImageWidth) for r in A.live_assets(assets, "IMAGE").collect()} == {
+        ("2", 7), ("1", None)}
+    assert [r.id for r in A.live_assets(assets, limit=2).collect()] == ["1", "2"]
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "part.json").write_text("")
+    assert tuple(A.line_counts(A.asset_lines(spark, str(empty))).first()) == (0, 0, 0)
+
+
+def test_landed_files_are_hashed_back(spark, tmp_path):
+    data = {"aa/f1": b"", "aa/f2": os.urandom(3000), "b/c/f3": "ü".encode()}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "name string, content binary")
+    folder = str(tmp_path / "files")
+    for _ in range(2):  # a second write of the same files changes nothing
+        landing.write_files(rows, folder)
+        names = spark.createDataFrame([(f"{folder}/{k}",) for k in [*data, "aa/absent"]] + [(None,)], "path string")
+        got = {r.path and r.path.split(folder + "/")[1]: r.file_hash
+               for r in I.hash_files(names, "path", chunk_bytes=1000).collect()}
+        assert got == {**{k: hashlib.md5(v).hexdigest() for k, v in data.items()}, "aa/absent": None, None: None}
+
+
 def test_binary_hashes_match_hashlib(spark):
     folder = tempfile.mkdtemp(prefix="ml-bin-", dir="/tmp")
     data = {"a.jpg": b"abc" * 100, "sub/b c%20.mp4": os.urandom(5000), "sub/_c.jpg": b""}
