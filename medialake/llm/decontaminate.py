@@ -118,9 +118,12 @@ def judge(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
                         .withColumn("_row", F.monotonically_increasing_id()), "decon-tokens")
     windows = item_windows(items, width)
     vocabulary = cut_lineage(_terms_of(windows).select("term").distinct(), "decon-vocabulary")
-    frequencies = cut_lineage(
-        store.select(F.explode("_h").alias("term")).join(_small(vocabulary, 40), "term")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n")), "decon-frequencies")
+    words, counted = store.select(F.explode("_h").alias("term")), F.count(F.lit(1)).alias("n")
+    if fits_broadcast(vocabulary, 40):
+        counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(counted)
+    else:  # counted before they move, so that a hot word is one row of a task
+        counts = words.groupBy("term").agg(counted).join(vocabulary, "term")
+    frequencies = cut_lineage(counts, "decon-frequencies")
     keys = key_terms(windows, frequencies)
     postings = index_postings(store, keys, width)
     matches = find_matches(postings, keys)
@@ -158,7 +161,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFr
 
 
 def contamination_table(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text"), items).drop("_row", "n_near")
+    return judge(docs.select("doc_id", "text"), items).drop("_row")
 
 
 ORACLE_SQL = r"""
@@ -168,7 +171,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-iw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + 9), ' ') AS p
+iw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, list_slice(ws, i, i + 9) AS win,
+              array_to_string(list_slice(ws, i, i + 9), ' ') AS p
        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 ns AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT r, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS p
@@ -177,9 +181,22 @@ m AS (SELECT r, i, iw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.p = iw.p),
 hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (
           SELECT r, unnest(range(i, i + n)) AS pos FROM m) GROUP BY r),
 it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-       FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+       FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+-- Proximity: all of a window's words stand within nine words of an occurrence of its rarest one.
+wt AS (SELECT p, any_value(win) AS win, unnest(any_value(win)) AS w,
+              generate_subscripts(any_value(win), 1) AS o FROM iw GROUP BY p),
+dp AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
+fr AS (SELECT w, count(*) AS n FROM dp WHERE w IN (SELECT w FROM wt) GROUP BY w),
+rare AS (SELECT p, win, w FROM (
+           SELECT p, win, wt.w, fr.n, row_number() OVER (PARTITION BY p ORDER BY coalesce(fr.n, 0), o) AS k
+           FROM wt LEFT JOIN fr ON wt.w = fr.w) WHERE k = 1 AND n > 0),
+nr AS (SELECT DISTINCT dp.r, rare.p FROM dp JOIN rare ON dp.w = rare.w JOIN d ON d.r = dp.r
+       WHERE list_has_all(list_slice(d.ws, greatest(pos - 9, 1), pos + 9), rare.win)),
+ne AS (SELECT r, count(*) AS n_near FROM (
+         SELECT DISTINCT nr.r, iw.item FROM nr JOIN iw ON nr.p = iw.p
+         EXCEPT SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN ne USING (r)
 """
