@@ -3,13 +3,13 @@
 Each document is measured by itself, in one scan without a shuffle: words, characters in words,
 symbols, repeated lines, and words in repeated three-word windows.  Rule failures are then
 counted per host (``source``), the hosts' failure rates are shrunk towards the corpus's rate by
-a beta prior fitted to all hosts (method of moments), and a host whose shrunk rate is above
-``HOST_LIMIT`` loses all its documents: its verdict is joined back to them.
+a beta prior fitted to all hosts (method of moments), and a host whose shrunk rate stands out
+loses all its documents: its verdict is joined back to them.
 
-Where the corpus's own rate is above ``HOST_LIMIT``, that rule, which the query and its SQL share,
-rejects hosts that are like all others, and so every document if hosts do not differ.  The
-pipeline's filter (``keep_good``) asks for evidence against the host itself there: its shrunk rate
-must be above the corpus's by ``STANDS_OUT`` standard errors of a host of its size.
+A host must give evidence against itself: its shrunk rate must be above ``HOST_LIMIT`` and above
+the corpus's rate by ``STANDS_OUT`` standard errors of a host of its size.  So hosts that differ by
+no more than chance, and a single host, lose only what breaks a base rule, however high the
+corpus's own rate is.  The query, its SQL and the pipeline's filter (``keep_good``) share this rule.
 
 Repeated windows without a shuffle: the 64-bit hashes of a text's windows are sorted to find
 the values that occur twice; a word is outside every repeated window if the up to three windows
@@ -96,10 +96,8 @@ def rule_failed() -> Column:
             | (F.col("word_chars") > 20 * F.col("n_words")))
 
 
-def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HOST_LIMIT,
-                  standing_out: bool = False) -> DataFrame:
-    """Stored table _sk, host_docs, host_failures, host_kept from measured documents;
-    ``standing_out``: a corpus with a rate above the limit is no evidence against its hosts."""
+def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """Stored table _sk, host_docs, host_failures, host_kept from measured documents."""
     hosts = cut_lineage(measured.groupBy(null_tag(F.col(source)).alias("_sk")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.count_if(rule_failed()).alias("host_failures")),
         "quality-hosts")
@@ -115,19 +113,15 @@ def host_verdicts(measured: DataFrame, source: str = "source", limit: float = HO
     if within > 0 and between > 0:
         strength = max(within / between - 1, 0.0)
         rate = (f + F.lit(mean * strength)) / (n + F.lit(strength))
-    elif s["k"] == 1:  # a single host says nothing about hosts: its own rate stands
-        rate = f / n
-    else:  # the hosts differ by no more than chance
+    else:  # one host, or hosts that differ by no more than chance
         rate = F.lit(mean)
-    bar = F.lit(limit)
-    if standing_out and mean > limit:
-        bar = F.lit(mean) + F.lit(STANDS_OUT * within ** 0.5) / F.sqrt(n)
+    bar = F.greatest(F.lit(limit), F.lit(mean) + F.lit(STANDS_OUT * within ** 0.5) / F.sqrt(n))
     return cut_lineage(hosts.withColumn("host_kept", rate <= bar), "quality-verdicts")
 
 
-def judge(measured: DataFrame, source: str = "source", standing_out: bool = False) -> DataFrame:
+def judge(measured: DataFrame, source: str = "source") -> DataFrame:
     """``measured`` (stored) plus base_failed, host_docs, host_failures, host_kept and kept."""
-    verdicts = host_verdicts(measured, source, standing_out=standing_out)
+    verdicts = host_verdicts(measured, source)
     verdicts = F.broadcast(verdicts) if fits_broadcast(verdicts, 120) else verdicts
     return (measured.withColumn("_sk", null_tag(F.col(source))).join(verdicts, "_sk").drop("_sk")
             .withColumn("base_failed", base_failed())
@@ -150,7 +144,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     flat = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"),
                        F.col("text").alias("_text"))
     stored = cut_lineage(measure(flat, "_text"), "quality-rows")
-    return judge(stored, "_source", standing_out=True).where("kept").select("_row.*")
+    return judge(stored, "_source").where("kept").select("_row.*")
 
 
 ORACLE_SQL = r"""
@@ -183,11 +177,11 @@ s AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS mean,
              (sum(f * f / n) - sum(f) * (sum(f) / sum(n))
               - (count(*) - 1) * (sum(f) / sum(n)) * (1 - sum(f) / sum(n)))
              / nullif(sum(n) - sum(n * n) / sum(n), 0) AS between_var FROM h),
-v AS (SELECT h.source, h.n, h.f, 0.5 >= CASE
+v AS (SELECT h.source, h.n, h.f, greatest(0.5::DOUBLE, mean + 2 * sqrt(mean * (1 - mean)) / sqrt(h.n)) >= CASE
         WHEN mean * (1 - mean) > 0 AND between_var > 0 THEN
           (f + mean * greatest(mean * (1 - mean) / between_var - 1, 0))
           / (h.n + greatest(mean * (1 - mean) / between_var - 1, 0))
-        WHEN k = 1 THEN f / h.n ELSE mean END AS host_kept FROM h, s)
+        ELSE mean END AS host_kept FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND host_kept AS kept, b.source, v.n AS host_docs, v.f AS host_failures, host_kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
