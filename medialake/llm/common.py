@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def fits_broadcast(df: DataFrame, bytes_per_row: int, bound: int = 64 << 20) ->
     return df.count() * bytes_per_row <= bound
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is stored inside the block, so that a worker and
+    the executor that feeds it hold little at once.  The session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def split_words(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
     """The runs without ASCII white space of ``text``, in lists of about ``step`` bytes, so that a very long
     text is never held as one list.  A step ends at a space; a run without spaces is one item."""

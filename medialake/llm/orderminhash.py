@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from medialake.session import cut_lineage
 
-from .common import fits_broadcast
+from .common import batch_rows, fits_broadcast
 from .components import components
 
 K = 5
@@ -51,6 +51,9 @@ THRESHOLD = 0.8
 LONG, SHORT = (32, 5), (16, 2)  # sketches, k-mers in each
 LONG_FROM, SHORT_TO = 26, 32  # k-mers; both hold in between: 26 <= 0.8 * 33
 BLOCK = 256
+#: What a worker holds besides its batch: hashes of words (looked up again, never needed), cells of
+#: k-mers times orders that are ranked at once, rows of a batch.  No result depends on them.
+WORDS_HELD, CELLS_HELD, BATCH_ROWS = 200_000, 500_000, 1_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -69,7 +72,7 @@ def kmers(text: bytes, k: int = K) -> np.ndarray:
     words = text.split()  # exactly the white space that separates words
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 2_000_000:
+    if len(_words) > WORDS_HELD:
         _words.clear()
     ids = []
     for w in words:
@@ -103,7 +106,7 @@ def labelled(g: np.ndarray) -> np.ndarray:
 def _sketch(g: np.ndarray, seeds: np.ndarray, taken: int, mark: int) -> list[int]:
     taken = min(taken, len(g))
     keys = []
-    step = max(1, 4_000_000 // len(g))
+    step = max(1, CELLS_HELD // len(g))
     for i in range(0, len(seeds), step):
         part = seeds[i:i + step, None]
         x = (g[None, :] ^ part) * _A
@@ -258,6 +261,11 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Stored, one row per row of ``docs``: _id, digest, root (class), size of the class, kept
     (the class's row of least id), class_id (that id)."""
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, text, id_col)
+
+
+def _near_duplicates(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_bytes"))
     id_type = rows.schema["_id"].dataType.simpleString()
     signed = cut_lineage(

@@ -154,7 +154,9 @@ def test_keep_good_of_a_mostly_raw_corpus(spark):
     good = [(i, clean) for i in range(4)]
     for sources in (["s"], ["s", "t"], [None]):
         rows = [(i, s, t) for s in sources for i, t in good + [(i, "short") for i in range(10, 16)]]
-        kept = quality.keep_good(spark.createDataFrame(rows, schema)).collect()
+        raw = spark.createDataFrame(rows, schema)
+        assert quality.quality_table(raw).where("kept").count() == 4 * len(sources)
+        kept = quality.keep_good(raw).collect()
         assert len(kept) == 4 * len(sources) and {r.text for r in kept} == {clean}
     rows = [(i, f"s{h}", clean if i < 80 else "short") for h in range(4) for i in range(200)]
     rows += [(i, "bad", clean if i < 4 else "short") for i in range(200)]
@@ -273,7 +275,8 @@ def test_decontamination(docs, none, spark):
     words = PROSE.split()
     items = spark.createDataFrame(
         [(1, " ".join(words[20:40]).upper()), (2, "not in there at all " * 4), (3, None), (4, ""), (10, "one"),
-         (10, "one"), (None, " ".join(words[5:15]))], "item_id long, text string")
+         (10, "one"), (None, " ".join(words[5:15])), (20, " ".join(reversed(words[60:70]))),
+         (21, "nowhere " + " ".join(words[60:69]))], "item_id long, text string")
     got = decontaminate.contamination_table(docs, items).collect()
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = collections.defaultdict(set)
@@ -282,6 +285,16 @@ def test_decontamination(docs, none, spark):
         for i in range(max(len(w) - 9, 1) if w else 0):
             windows[tuple(w[i:i + 10])].add("null" if r.item_id is None else str(r.item_id))
 
+    count = collections.Counter(x for r in _rows() for x in tok(r[1]))
+
+    def near(w):  # items with a window whose words all stand within nine words of its rarest one
+        out = set()
+        for win, items_of in windows.items():
+            rare = min(range(len(win)), key=lambda i: (count[win[i]], i))
+            if any(x == win[rare] and set(win) <= set(w[max(i - 9, 0):i + 10]) for i, x in enumerate(w)):
+                out |= items_of
+        return out
+
     def judged(t):
         w, hit, found = tok(t), set(), set()
         for i in range(len(w)):
@@ -289,7 +302,9 @@ def test_decontamination(docs, none, spark):
                 if tuple(w[i:i + n]) in windows and i + n <= len(w):
                     hit |= set(range(i, i + n))
                     found |= windows[tuple(w[i:i + n])]
-        return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+        return (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit),
+                len(near(w) - found))
+    assert max(r.n_near for r in got) > 0
     assert collections.Counter(map(tuple, got)) == collections.Counter((r[0], *judged(r[1])) for r in _rows())
     assert decontaminate.contamination_table(none, items).count() == 0
     clean = decontaminate.keep_clean(docs, items)
