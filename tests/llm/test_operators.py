@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import time
 import zlib
 
 import numpy as np
@@ -271,6 +272,71 @@ def test_main_text_keeps_the_ends_of_a_region():
     assert got[0] == "By A. Writer" and got[-5:] == [f"Short item {n}" for n in range(5)] and len(got) == 16
 
 
+def test_main_text_holds_every_content_cluster():
+    long = "long words here " * 40
+    page = f"<h1>T</h1><p>short intro</p><div>{long}</div><div><p>another short closing paragraph</p></div>"
+    assert mainhtml.main_text(page).split("\n") == ["T", "short intro", long.strip(), "another short closing paragraph"]
+    page = ("<article><p>a real paragraph of text</p><p class=share>keep me</p><p class=related>and me</p>"
+            "<p class=ad>not me</p><div class=share>nor me</div></article>")
+    assert mainhtml.main_text(page).split("\n") == ["a real paragraph of text", "keep me", "and me"]
+    page = f"<body><h2>Site</h2><div class=post-header><h1>Title</h1></div><article><p>{long}</p></article>"
+    assert mainhtml.main_text(page).split("\n")[-2:] == ["Title", long.strip()]
+    page = f"<article><h1>A</h1><p>{long}</p></article><nav>menu</nav><article><p>second one</p><p>{long}</p></article>"
+    assert mainhtml.main_text(page).split("\n") == ["A", long.strip(), "second one", long.strip()]
+    page = f"<h1>Site</h1><article><h1>A</h1><p>{long}</p></article><article class=comment><p>{long}</p></article>"
+    assert mainhtml.main_text(page).split("\n") == ["A", long.strip()]
+
+
+def _region_by_brute_force(lines, flags):
+    """The smallest element that holds all content lines but link lists, from whole paths."""
+    def path(x):
+        out, e = [], x.element
+        while e is not None:
+            out.append(e)
+            e = e.above
+        return out[::-1]
+    content = [path(x) for x, f in zip(lines, flags) if f and 2 * x.linked <= len(x.text)]
+    common = [e for e in content[0] if all(e in p for p in content)]
+    return [e for e in common if e.block is e and e.tag not in mainhtml._SMALL][-1]
+
+
+def test_main_text_smoothing_threshold_and_region_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        page, depth = [], 0
+        for _ in range(int(rng.integers(3, 25))):
+            step = rng.integers(0, 4)
+            if step == 0:
+                page.append("<div>")
+                depth += 1
+            elif step == 1 and depth:
+                page.append("</div>")
+                depth -= 1
+            else:
+                page.append("<p>" + "w " * int(rng.integers(1, 200)) + "</p>")
+        lines, elements = mainhtml.page_lines("".join(page) + "<p>end</p>")
+        raw = [len(x.text) / x.tags for x in lines]
+        smooth = []
+        for i in range(len(raw)):
+            weight = {j: np.exp(-(j - i) ** 2 / 2) for j in range(len(raw)) if abs(j - i) <= 2}
+            smooth.append(sum(raw[j] * w for j, w in weight.items()) / sum(weight.values()))
+        assert mainhtml.smoothed_ratios(lines) == pytest.approx(smooth)
+        flags = mainhtml.content_flags(lines)
+        expect = [r >= np.std(smooth) for r in smooth]
+        assert flags == (expect if any(expect) else [True] * len(lines))
+        tag, within = mainhtml._region(lines, elements, flags)
+        best = _region_by_brute_force(lines, flags)
+        assert tag == best.tag and within.index(True) == best.number
+
+
+def test_main_text_of_deep_and_long_pages():
+    for page in ("<div>word " * 100_000, '<div class="ad">word ' * 50_000, "<div>w " * 50_000 + "</section>" * 50_000):
+        began = time.time()
+        mainhtml.main_text(page)
+        assert time.time() - began < 30
+    assert mainhtml.main_text("<p>" + "word " * 400_000 + "</p>") == ("word " * 400_000).strip()
+
+
 def test_decontamination(docs, none, spark):
     words = PROSE.split()
     items = spark.createDataFrame(
