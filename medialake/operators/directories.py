@@ -2,9 +2,11 @@
 
 Plan: aggregate files per directory first (D6; partial aggregation, one row per
 directory), then explode each *directory* -- not each file -- into its ancestors
-below the common root and aggregate again (D7).  Rows after the explode are
-directories x depth, independent of how many files a directory holds, so a
-directory with a third of all files costs one row.  The common root (D9) is a
+below the common root and aggregate again (D7), combined on the map side.  Rows after
+the explode are directories x depth, independent of how many files a directory holds,
+so a directory with a third of all files costs one row.  The same aggregate gives each
+directory its parent (J10) and its own files, so that edges need no explode of their
+own; what is counted by parent (D8) is one row per directory.  The common root (D9) is a
 one-row aggregate over the per-directory table.
 """
 
@@ -65,8 +67,8 @@ def directory_tree(catalog: DataFrame, root: str | None = None) -> DataFrame:
     total_files, images, videos, other_files, total_size (recursive),
     subdirs_count, parent_path (NULL at the root).
     """
-    # One row per directory, read by four branches below: write it once (one scan
-    # of the catalog instead of one per branch).
+    # One row per directory, read for the root and for the rollup: written once (one scan
+    # of the catalog).
     direct = cut_lineage(direct_stats(catalog), "dir-direct")
     if root is None:
         root = common_root(direct)
@@ -76,28 +78,19 @@ def directory_tree(catalog: DataFrame, root: str | None = None) -> DataFrame:
             F.concat(F.array(F.lit("/")), P.ancestors(F.col("dir_path"))))
     else:
         chain = P.ancestors(F.col("dir_path"), min_depth=rd)
-    # Each directory contributes its stats to every ancestor down to the root.
-    exploded = direct.select(F.posexplode(chain).alias("pos", "anc"), "dir_path", *STAT_COLS)
-    rollup = exploded.groupBy(F.col("anc").alias("dir_path")).agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in STAT_COLS])
-    # Parent edges between consecutive chain entries (distinct).
-    c = F.col("c")
-    pairs = F.when(F.size(c) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(c) - 1),
-        lambda i: F.struct(F.element_at(c, i).alias("parent_path"),
-                           F.element_at(c, i + 1).alias("dir_path"))))
-    edges = (direct.select(chain.alias("c"))
-             .select(F.explode(pairs).alias("e"))
-             .select("e.parent_path", "e.dir_path")
-             .distinct())
-    subdirs = edges.groupBy(F.col("parent_path").alias("dir_path")).agg(
+    # Each directory contributes its stats to every ancestor down to the root, and each
+    # entry of its chain knows the one before it, which is its parent.
+    exploded = direct.select(chain.alias("_chain"), "dir_path", *STAT_COLS).select(
+        F.posexplode("_chain").alias("pos", "anc"), "_chain", "dir_path", *STAT_COLS)
+    own = F.col("anc") == F.col("dir_path")
+    rollup = cut_lineage(exploded.groupBy(F.col("anc").alias("dir_path")).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in STAT_COLS],
+        F.sum(F.when(own, F.col("total_files"))).alias("direct_files"),
+        F.sum(F.when(own, F.col("total_size"))).alias("direct_size"),
+        F.max(F.get("_chain", F.col("pos") - 1)).alias("parent_path")), "dir-rollup")
+    subdirs = rollup.where("parent_path IS NOT NULL").groupBy(F.col("parent_path").alias("dir_path")).agg(
         F.count(F.lit(1)).alias("subdirs_count"))
-    parents = edges.select("dir_path", "parent_path")
-    d = direct.select("dir_path", F.col("total_files").alias("direct_files"),
-                      F.col("total_size").alias("direct_size"))
-    tree = (rollup.join(d, "dir_path", "left")
-            .join(subdirs, "dir_path", "left")
-            .join(parents, "dir_path", "left"))
+    tree = rollup.join(subdirs, "dir_path", "left")
     # One row per directory, read by every consumer (tree lines, numbering, top-k):
     # written once.
     return cut_lineage(tree.select(
