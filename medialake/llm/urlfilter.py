@@ -26,7 +26,7 @@ NGRAMS = (3, 4, 5)
 
 #: (allow, host and its subdomains, path prefix); the longest rule that fits wins.
 RULES = (
-    (True, "org", "/"), (False, "example.org", "/es/"), (True, "example.org", "/en/1"),
+    (True, "org", "/"), (False, "example.org", "/es/"), (False, "example.org", "/en/1"),
     (True, "com", "/fr/"), (False, "com", "/de/"),
 )
 

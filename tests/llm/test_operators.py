@@ -618,7 +618,7 @@ def test_url_filter(spark):
             (7, None), (8, "no scheme"), (9, "http://river.example.net"), (9, "http://river.example.net")]
     got = urlfilter.verdict_table(spark.createDataFrame(urls, "page_id long, url string"))
     assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()] == [
-        (1, "www.example.org", "/en/12", "example.org/en/1", "allow"), (2, "example.org", "/es/1", "example.org/es/", "block"),
+        (1, "www.example.org", "/en/12", "example.org/en/1", "block"), (2, "example.org", "/es/1", "example.org/es/", "block"),
         (3, "a.b.com", "/fr/", "com/fr/", "allow"), (4, "com", "/de/x", "com/de/", "block"),
         (5, "free-bets.example.net", "/en/5", None, "block"), (6, "notexample.org", "/es/9", "org/", "allow"),
         (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "river.example.net", "", None, "allow"),
@@ -626,6 +626,14 @@ def test_url_filter(spark):
     assert urlfilter.verdict_table(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    want = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    assert {h + p: "allow" if allow else "block" for allow, h, p in urlfilter.RULES} == want
+    urls = [(f"http://{sub}{rule}{rest}", rule) for rule in want for sub in ("", "WWW.", "a.b.") for rest in ("", "9", "7/x?q#f")]
+    got = urlfilter.verdict_table(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string"))
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {i: (r, want[r]) for i, (_, r) in enumerate(urls)}
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
     texts = [" ".join(f"d{d}w{(i * i * 7 + i) % 400}" for i in range(300)) for d in range(8)]
