@@ -9,13 +9,18 @@ Bits.  Three hashed-context bit predictors count what the training words held af
 bytes before (contexts end at the word's begin), in ``SLOTS`` contexts each, and hand on the logistic
 of the frequency of a one.  A mixer adds them up under weights gated by the bit and the byte's
 place in its word; an adaptive map, a shift per bit and value of the mixed logistic, refines the sum,
-and its squashed value is the probability.  Weights and map are learned online: lanes of training words
-run side by side, and after every byte both move along the gradient of the coding cost.  The
-end states of all lanes of all tasks are averaged.
+and its squashed value is the probability.  Weights and map are learned online, over the bits of the texts
+as they stand: after every byte both move along the gradient of the coding cost (a byte's eight bits
+read weights and cells of their own, so none waits for another).  Training runs over every
+training text, and the states that the texts end with are averaged by bytes.  From that state every text
+to be scored starts, and it goes on learning while its bits are scored, so a bit's probability
+depends on training and on the bits before alone.  Texts run side by side; the state of a text beyond
+``SEGMENT`` bytes begins anew after each of them, since a text's own run is sequential.
 
 Words.  The mixed bits spell every word, also those that training never met.  A word that it met c
 times in N has a second chance: P(w) = l * c / N + (1 - l) * product of its bits, where 1 - l is the share
-of training tokens whose word occurs once (Good and Turing's estimate of the new).  Last, the text
+of training tokens whose word occurs once (Good and Turing's estimate of the new); the bits are those of this
+place in the text, as the mixer stands there.  Last, the text
 itself refines: after i words, m of them this one, the word costs log10((m + A * P(w)) / (i + A)).
 ``score`` is the sum over the words and the end.  Each is a probability given training and the words
 before, so the scores of all continuations sum up to 1; ``bits_per_byte`` divides by the bytes.
@@ -28,13 +33,13 @@ have a fixed size (``SLOTS`` * 256 bytes each) and the mixer a few hundred numbe
 are handed to every task.
 
 Scale.  One exchange of texts (by block), one of (block, word) rows by word and one back.  A word in every
-block is one row per block.  A block is the largest group and its size is fixed; the lanes learn from
-runs of about ``RUN`` words.  Lost executors cost their tasks.
+block is one row per block.  A block is the largest group and its size is fixed; training reads
+the stored blocks where they lie, without an exchange.  Lost executors cost their tasks.
 
 Defined results.  NULL text counts as empty; an empty text is its end alone (n_tokens 1).  A NULL id is
 the text 'null' for crc32, so it is held out or not like any other.  Repeated rows are scored and
 learned from each.  Without training texts N and V are 0, every base term is log10(0.1 / 0.1) = 0, and
-every bit of a word costs one half.  An empty table gives no row.  Only ``doc_id`` and ``text`` are read,
+every text starts from even bits.  An empty table gives no row.  Only ``doc_id`` and ``text`` are read,
 so further columns cannot clash.
 """
 
@@ -58,8 +63,10 @@ from .common import split_words
 BLOCK = 6 << 20
 #: Predictors (bytes before) and contexts of each.
 ORDERS, SLOTS = (2, 3, 4), 1 << 16
-#: Words of a run that learns the mixer, and lanes side by side in it.
-RUN, LANES = 1 << 17, 512
+#: Texts mixed side by side, and bytes of a text after which its weights and map begin anew.
+SIDE, SEGMENT = 512, 1 << 14
+#: Stretches of a single sequence of words that ``learn`` runs over.
+LANES = 512
 #: Words spelled at a time.
 SOME = 1 << 13
 #: Learning rates of weights and map, cells of the map per bit, places of a byte in its word that count.
@@ -77,6 +84,8 @@ END = b"\n"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a byte, highest first, and the node of the byte's binary tree that each bit is read at.
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
+_SIGN = 2 * _BITS - 1
+_ROW = np.dtype((np.void, 32))  # the weights of a byte's bits, moved as one item
 _NODE = (1 << np.arange(8)) | (np.arange(256)[:, None] >> np.arange(8, 0, -1))
 
 
@@ -245,39 +254,89 @@ def _places(depth: np.ndarray) -> np.ndarray:
     return np.minimum(depth, PLACES - 1)
 
 
-def learn(words: pa.Array, hashed: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (predictor, place, bit) and map (bit, cell) after an online run over the words, averaged
-    over the lanes, each a stretch of them."""
+def online(words: pa.Array, hashed: np.ndarray, ids: np.ndarray, tokens: np.ndarray, weights: np.ndarray, shift: np.ndarray,
+           *, rate: float = RATE, map_rate: float = MAP_RATE, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts mixed bit by bit: log10 of the product of each token's bits, and the sums of the weights and maps
+    that the texts end with, each times its bytes.  ``ids`` number the tokens' words, the texts one after the
+    other; ``tokens`` are their counts, none 0.  Every text starts from ``weights`` and ``shift``.  Without
+    ``scored`` the first result is 0: training needs the states alone."""
     flat, start, size = _written(words)
     depth = np.arange(len(flat)) - np.repeat(start, size)
-    features, gate = _features(flat, depth, hashed), _places(depth)
-    lanes = min(lanes, len(size))
-    first = start[np.arange(lanes) * len(size) // lanes]
-    length = np.diff(first, append=len(flat))
+    features, gate = np.stack(_features(flat, depth, hashed)), _places(depth)
+    wide = size[ids]
+    end = np.cumsum(wide)
+    rows = np.repeat((start[ids] - end + wide).astype(np.int32), wide)
+    rows += np.arange(len(rows), dtype=np.int32)
+    last = end[np.cumsum(tokens) - 1]
+    first = np.append(0, last[:-1])
+    pieces = -(-(last - first) // SEGMENT)
+    first = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    length = np.minimum(SEGMENT, np.repeat(last, pieces) - first)
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    weights = [np.full((lanes * PLACES, 8), w, dtype=np.float32) for w in FIRST]
-    shift = np.zeros(lanes * 8 * CELLS, dtype=np.float32)
-    bit_home, mine = np.arange(lanes * 8).reshape(lanes, 8) * CELLS, np.arange(lanes)
-    for t, k in enumerate(np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()):  # lanes still running
-        r = first[:k] + t
-        at = gate.take(r) * lanes + mine[:k]
-        w = [x.take(at, axis=0) for x in weights]
-        x = [f.take(r, axis=0) * np.float32(STEP) for f in features]
-        s = np.clip(sum(a * b for a, b in zip(w, x)), -TOP, TOP - 1e-3)
-        spot = bit_home[:k] + _cell(s)
-        shifted = shift.take(spot)
-        error = _BITS.take(flat.take(r), axis=0) - 1 / (1 + np.exp(-np.clip(s + shifted, -TOP, TOP)))
-        shift[spot] = shifted + error * np.float32(MAP_RATE)
-        error *= np.float32(RATE)
-        for table, a, b in zip(weights, w, x):
-            table[at] = a + error * b
-    return (np.stack([x.reshape(PLACES, lanes, 8).mean(axis=1) for x in weights]),
-            shift.reshape(lanes, 8, CELLS).mean(axis=0))
+    cost = np.zeros(len(rows), dtype=np.float32)
+    weights, shift = weights.astype(np.float32), shift.astype(np.float32).ravel()
+    weight_sum, shift_sum = np.zeros(weights.shape), np.zeros(shift.shape)
+    step, top, low, high = np.float32(STEP), np.float32(TOP), np.float32(-TOP), np.float32(TOP - 1e-3)
+    per, rate, map_rate = np.float32(CELLS / (2 * TOP)), np.float32(rate), np.float32(map_rate)
+    for lo in range(0, len(order), SIDE):
+        begin, long = first[order[lo: lo + SIDE]], length[order[lo: lo + SIDE]]
+        m = len(begin)
+        mine, home = np.arange(m), np.arange(m * 8).reshape(m, 8) * CELLS
+        table, moved = np.repeat(weights, m, axis=1), np.tile(shift, m)  # a row per predictor, place and text
+        places = table.view(_ROW)[:, :, 0]
+        for t, k in enumerate(np.searchsorted(-long, -np.arange(long[0]), side="left").tolist()):  # texts still running
+            here = begin[:k] + t
+            r = rows.take(here)
+            sign = _SIGN.take(flat.take(r), axis=0)
+            at = gate.take(r)
+            at *= m
+            at += mine[:k]
+            w, x = table.take(at, axis=1), features.take(r, axis=1) * step
+            s, *others = w * x
+            for other in others:
+                s += other
+            np.minimum(np.maximum(s, low, out=s), high, out=s)
+            spot = ((s + top) * per).astype(np.int64)
+            spot += home[:k]
+            shifted = moved.take(spot)
+            s += shifted
+            np.minimum(np.maximum(s, low, out=s), top, out=s)
+            s *= sign
+            np.exp(np.negative(s, out=s), out=s)
+            q = s + 1  # one over the chance of the bit
+            if scored:
+                cost[here] = np.log(q).sum(axis=1)
+            s /= q
+            s *= sign  # the bit less its probability
+            moved[spot] = shifted + s * map_rate
+            s *= rate
+            x *= s
+            w += x
+            for cells, new in zip(places, w):
+                cells[at] = new.view(_ROW)[:, 0]
+        weight_sum += np.einsum("pgmb,m->pgb", table.reshape(len(ORDERS), PLACES, m, 8), long.astype(np.float64))
+        shift_sum += long.astype(np.float64) @ moved.reshape(m, -1)
+    chance = -np.add.reduceat(cost, end - wide, dtype=np.float64) / np.log(10)
+    return chance, weight_sum, shift_sum.reshape(8, CELLS)
+
+
+def _first_state() -> tuple[np.ndarray, np.ndarray]:
+    """The weights (predictor, place, bit) and the map (bit, cell) that training starts from."""
+    return np.repeat(FIRST, PLACES * 8).reshape(len(ORDERS), PLACES, 8), np.zeros((8, CELLS))
+
+
+def learn(words: pa.Array, hashed: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged state after an online run over one sequence of words, in ``lanes`` stretches."""
+    lanes = min(lanes, len(words))
+    tokens = np.diff(np.arange(lanes + 1) * len(words) // lanes)
+    _, weights, shift = online(words, hashed, np.arange(len(words)), tokens, *_first_state(), scored=False)
+    size = sum(map(len, words.to_pylist())) + len(words)
+    return weights / size, shift / size
 
 
 def spell(words: pa.Array, hashed: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """log10 of the product of each word's bits; ``SOME`` words at a time."""
+    """log10 of the product of each word's bits under weights that stand still, ``SOME`` words at a time:
+    what ``online`` gives at rates 0."""
     weights, shift = weights.astype(np.float32) * np.float32(STEP), shift.astype(np.float32).ravel()
     home, sign = np.arange(8) * CELLS, 1 - 2 * _BITS
     out = [np.zeros(0)]
@@ -300,23 +359,48 @@ def spell(words: pa.Array, hashed: np.ndarray, weights: np.ndarray, shift: np.nd
     return np.concatenate(out)
 
 
-def mixer(words: DataFrame, hashed) -> tuple[np.ndarray, np.ndarray]:
-    """The averaged end states of all runs; about ``RUN`` words each, by hash, in order."""
-    many = words.count() // RUN + 1
+def _numbered(parts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """A number for each distinct word, and the numbers of each part's words."""
+    number, ids = {}, []
+    for part in parts:
+        words = part.split(b"\0")[:-1]
+        for w in dict.fromkeys(words):
+            number.setdefault(w, len(number))
+        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
+    return number, ids
+
 
-    def run(table: pa.Table) -> pa.Table:
-        w, m = learn(table.column("word").combine_chunks().sort(), hashed.value)
-        state = np.concatenate([w.ravel(), m.ravel()]).astype(np.float64)
-        return pa.table({"i": pa.array(np.arange(len(state))), "x": pa.array(state * table.num_rows),
-                         "n": pa.array(np.full(len(state), table.num_rows))})
+def mixer(parts: DataFrame, hashed) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged state (by bytes) after online runs over all training texts, word by word as they stand."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n, held, size = 0.0, 0, [], 0
 
-    told = words.select("word", F.pmod(F.xxhash64("word"), F.lit(many)).alias("run")).groupBy("run").applyInArrow(
-        run, "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    cut = len(ORDERS) * PLACES * 8
-    state = np.concatenate([np.repeat(FIRST, PLACES * 8), np.zeros(8 * CELLS)])
+        def told() -> np.ndarray:
+            number, ids = _numbered(held)
+            _, w, m = online(pa.array(number, pa.binary()), hashed.value, np.concatenate(ids),
+                             np.array([len(x) for x in ids]), *_first_state(), scored=False)
+            return np.concatenate([w.ravel(), m.ravel()])
+
+        for batch in batches:
+            for part in batch.column(0):
+                held.append(part.as_py())
+                size += len(held[-1])
+                if size >= BLOCK:
+                    state, n, held, size = state + told(), n + size, [], 0
+        if held:
+            state, n = state + told(), n + size
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state), pa.array(np.full(len(state), n))],
+                                             names=["i", "x", "n"])
+
+    told = parts.where("not held").select("part").mapInArrow(run, "i long, x double, n long").groupBy("i").agg(
+        F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+    weights, shift = _first_state()
+    cut = weights.size
+    state = np.concatenate([weights.ravel(), shift.ravel()])
     for row in told:  # a few hundred rows; sums of doubles differ in their last bits between reruns
         state[row["i"]] = round(row["x"] / row["n"], 6)
-    return state[:cut].reshape(len(ORDERS), PLACES, 8), state[cut:].reshape(8, CELLS)
+    return state[:cut].reshape(weights.shape), state[cut:].reshape(shift.shape)
 
 
 def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -325,43 +409,38 @@ def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def score_tokens(owner: np.ndarray, ids: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token: owner is its part (ascending), chance[id] log10 of P."""
+    return refine(owner, ids, chance[ids])
+
+
+def refine(owner: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token after its text's own words; p is log10 of its P."""
     first = np.searchsorted(owner, owner, side="left")
     before = np.arange(len(ids)) - first
-    m = pd.Series(ids).groupby(owner * len(chance) + ids).cumcount().to_numpy()
-    p = chance[ids]
+    m = pd.Series(ids).groupby(owner * (ids.max(initial=0) + 1) + ids).cumcount().to_numpy()
     worth = np.where(m > 0, np.log10(np.maximum(m, 1) + OWN * 10.0 ** p), np.log10(OWN) + p)
     return worth - np.log10(before + OWN)
 
 
 def _score_block(parts: pa.Table, shared: pa.Table, model, n: int, v: int, once: int) -> pa.Table:
     """Rows (row, doc_id, held, n_tokens, n_known, n_bytes, base, score) of the block's parts."""
-    number: dict[bytes, int] = {}
-    ids, own = [], Counter()
-    for held, part in zip(parts.column("held").to_pylist(), parts.column("part")):
-        words = part.as_py().split(b"\0")[:-1]
-        for w in dict.fromkeys(words):
-            number.setdefault(w, len(number))
-        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
-        if not held:
-            own.update(words)
-    count = np.zeros(len(number), dtype=np.int64)
-    for w, c in own.items():
-        count[number[w]] = c
-    for w, c in zip(shared.column("word").to_pylist(), shared.column("n").to_pylist()):
-        count[number[w]] = c
+    number, ids = _numbered(parts.column("part").to_pylist())
+    held = np.array(parts.column("held").to_pylist())
     tokens = np.array([len(x) for x in ids])
     owner, ids = np.repeat(np.arange(len(tokens)), tokens), np.concatenate(ids)
-    words = pa.array(number, pa.binary())
+    count = np.bincount(ids[~held[owner]], minlength=len(number))
+    for w, c in zip(shared.column("word").to_pylist(), shared.column("n").to_pylist()):
+        count[number[w]] = c
+    bits = online(pa.array(number, pa.binary()), model[0], ids, tokens, *model[1:])[0]
     known = (n - once) / (n + 1)
     with np.errstate(divide="ignore"):
-        chance = _log_sum(np.log10(known * count / max(n, 1)), np.log10(1 - known) + spell(words, *model))
+        chance = _log_sum(np.log10(known * count / max(n, 1))[ids], np.log10(1 - known) + bits)
     size = np.fromiter(map(len, number), dtype=np.int64) + 1
     base = np.log10((count + BASE) / (n + BASE * (v + 1)))
     total = lambda x: np.bincount(owner, weights=x, minlength=len(tokens))
     return pa.table({"row": parts.column("row"), "doc_id": parts.column("doc_id"), "held": parts.column("held"),
                      "n_tokens": pa.array(tokens), "n_known": pa.array(total((count > 0)[ids]).astype(np.int64)),
                      "n_bytes": pa.array(total(size[ids]).astype(np.int64)), "base": pa.array(total(base[ids])),
-                     "score": pa.array(total(score_tokens(owner, ids, chance)))})
+                     "score": pa.array(total(refine(owner, ids, chance)))})
 
 
 def score_table(docs: DataFrame) -> DataFrame:
@@ -378,7 +457,7 @@ def score_table(docs: DataFrame) -> DataFrame:
     trained = words.where("n > 0")
     n, v, once = trained.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
     hashed = spark.sparkContext.broadcast(hashed_predictors(trained))
-    weights, shift = mixer(trained, hashed)
+    weights, shift = mixer(parts, hashed)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_block(left, right, (hashed.value, weights, shift), n, v, once)

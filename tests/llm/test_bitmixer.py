@@ -139,6 +139,78 @@ def test_learning_pays_and_bits_sum_to_one(model):
     assert 0 < (10 ** bitmixer.spell(short, hashed, *learned)).sum() <= 1.0001
 
 
+def _looped(text, hashed, weights, shift):
+    """log10 of each word's bits in one text, bit after bit, and the state at its end."""
+    weights, shift, out = weights.copy(), shift.copy(), []
+    for word in text:
+        written, total = word + b"\0", 0.0
+        flat, depth = np.frombuffer(written, dtype=np.uint8), np.arange(len(written))
+        features = bitmixer._features(flat, depth, hashed)
+        for j, byte in enumerate(written):
+            place = min(j, bitmixer.PLACES - 1)
+            for i in range(8):
+                x = np.array([f[j, i] * bitmixer.STEP for f in features])
+                s = min(max(float(weights[:, place, i] @ x), -bitmixer.TOP), bitmixer.TOP - 1e-3)
+                cell = int((s + bitmixer.TOP) * bitmixer.CELLS / (2 * bitmixer.TOP))
+                p = 1 / (1 + math.exp(-min(max(s + shift[i, cell], -bitmixer.TOP), bitmixer.TOP)))
+                bit = byte >> (7 - i) & 1
+                total += math.log10(p if bit else 1 - p)
+                shift[i, cell] += bitmixer.MAP_RATE * (bit - p)
+                weights[:, place, i] += bitmixer.RATE * (bit - p) * x
+        out.append(total)
+    return out, weights, shift
+
+
+def _three_texts(count):
+    rng = random.Random(8)
+    return [[*rng.choices(sorted(count), k=k), b"\n"] for k in (30, 1, 12)]
+
+
+def test_texts_are_mixed_online(model):
+    count, hashed = model
+    texts = _three_texts(count)
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    ids, tokens = np.array([number[w] for t in texts for w in t]), np.array([len(t) for t in texts])
+    begin = bitmixer._first_state()
+    got, weights, shift = bitmixer.online(pa.array(number, pa.binary()), hashed, ids, tokens, *begin)
+    want = [_looped(t, hashed, *begin) for t in texts]
+    size = [sum(len(w) + 1 for w in t) for t in texts]
+    assert got == pytest.approx([x for w in want for x in w[0]], rel=1e-3)
+    assert weights == pytest.approx(sum(n * w[1] for n, w in zip(size, want)), rel=1e-2, abs=1e-2)
+    assert shift == pytest.approx(sum(n * w[2] for n, w in zip(size, want)), rel=1e-2, abs=1e-1)
+    still = bitmixer.online(pa.array(number, pa.binary()), hashed, ids, tokens, *begin, rate=0, map_rate=0)[0]
+    assert still == pytest.approx(bitmixer.spell(pa.array(number, pa.binary()), hashed, *begin)[ids], rel=1e-4)
+    assert got.sum() > still.sum()
+
+
+def test_scores_learn_within_the_text(model):
+    count, hashed = model
+    texts = _three_texts(count)
+    parts = pa.table({"row": [1, 2, 3], "doc_id": [1, 2, 3], "held": [True] * 3,
+                      "part": pa.array([b"".join(w + b"\0" for w in t) for t in texts], pa.binary())})
+    none = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    got = bitmixer._score_block(parts, none, (hashed, *bitmixer._first_state()), 0, 0, 0)["score"].to_pylist()
+    for text, score in zip(texts, got):
+        chance, seen, want = _looped(text, hashed, *bitmixer._first_state())[0], collections.Counter(), 0.0
+        for i, (w, c) in enumerate(zip(text, chance)):
+            p = math.log10(seen[w] + bitmixer.OWN * 10 ** c) if seen[w] else math.log10(bitmixer.OWN) + c
+            want += p - math.log10(i + bitmixer.OWN)
+            seen[w] += 1
+        assert score == pytest.approx(want, rel=1e-4)
+
+
+def test_mixer_learns_from_all_words_of_training_texts(spark, model):
+    count, hashed = model
+    texts = _three_texts(count)
+    rows = [(h, bytearray(b"".join(w + b"\0" for w in t))) for h, t in zip((False, False, True), texts)]
+    parts = spark.createDataFrame(rows, "held boolean, part binary").repartition(2)
+    weights, shift = bitmixer.mixer(parts, spark.sparkContext.broadcast(hashed))
+    size = np.array([sum(len(w) + 1 for w in t) for t in texts[:2]])
+    want = [_looped(t, hashed, *bitmixer._first_state()) for t in texts[:2]]
+    assert weights == pytest.approx(sum(n * w[1] for n, w in zip(size, want)) / size.sum(), abs=1e-3)
+    assert shift == pytest.approx(sum(n * w[2] for n, w in zip(size, want)) / size.sum(), abs=1e-3)
+
+
 def test_token_scores_equal_a_loop():
     rng = np.random.default_rng(2)
     owner = np.sort(rng.integers(0, 4, 200))
