@@ -45,12 +45,13 @@ so further columns cannot clash.
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,11 +64,13 @@ from .common import split_words
 BLOCK = 6 << 20
 #: Predictors (bytes before) and contexts of each.
 ORDERS, SLOTS = (2, 3, 4), 1 << 16
-#: Texts mixed side by side, and bytes of a text after which its weights and map begin anew.
-SIDE, SEGMENT = 512, 1 << 14
+#: Lanes that texts are mixed in side by side, and bytes of a text after which its weights and map begin anew.
+SIDE, SEGMENT = 1024, 1 << 14
+#: Bytes of a lane that are looked up at a time.
+AHEAD = 16
 #: Stretches of a single sequence of words that ``learn`` runs over.
 LANES = 512
-#: Words spelled at a time.
+#: Words spelled, and bytes whose features are looked up, at a time.
 SOME = 1 << 13
 #: Learning rates of weights and map, cells of the map per bit, places of a byte in its word that count.
 RATE, MAP_RATE, CELLS, PLACES = 0.02, 0.02, 24, 5
@@ -84,8 +87,7 @@ END = b"\n"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a byte, highest first, and the node of the byte's binary tree that each bit is read at.
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
-_SIGN = 2 * _BITS - 1
-_ROW = np.dtype((np.void, 32))  # the weights of a byte's bits, moved as one item
+_AGAINST = 1 - 2 * _BITS
 _NODE = (1 << np.arange(8)) | (np.arange(256)[:, None] >> np.arange(8, 0, -1))
 
 
@@ -146,25 +148,23 @@ def blocks(docs: DataFrame) -> DataFrame:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, word, n): every word of a block with its count in training texts.  A block that two
     tasks read parts of gives a word twice."""
-    block, n = None, Counter()
+    block, parts = None, {False: [], True: []}
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), block, dtype=np.int64)), pa.array(n.keys(), pa.binary()),
-             pa.array(n.values(), pa.int64())], names=["block", "word", "n"])
+        words = _split(parts[False] + parts[True])
+        size = sum(part.count(b"\0") for part in parts[False])  # words of training texts, the first ones
+        n = np.bincount(words.indices.to_numpy()[:size], minlength=len(words.dictionary))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, dtype=np.int64)), words.dictionary.cast(pa.binary()),
+                                           pa.array(n, pa.int64())], names=["block", "word", "n"])
 
     for batch in batches:
         for b, held, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if b != block:
-                if n:
+                if block is not None:
                     yield told()
-                block, n = b, Counter()
-            words = part.as_py().split(b"\0")[:-1]
-            if held:
-                n.update(dict.fromkeys(words, 0))
-            else:
-                n.update(words)
-    if n:
+                block, parts = b, {False: [], True: []}
+            parts[held].append(part.as_py())
+    if block is not None:
         yield told()
 
 
@@ -192,10 +192,11 @@ def _contexts(symbol: np.ndarray, depth: np.ndarray) -> list[np.ndarray]:
 
 def _written(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words one after the other, each with its zero byte; starts and lengths with it."""
-    items = words.to_pylist()
-    flat = np.frombuffer(b"\0".join(items) + b"\0", dtype=np.uint8)
-    size = np.fromiter(map(len, items), dtype=np.int64, count=len(items)) + 1
-    return flat, np.cumsum(size) - size, size
+    ended = pc.binary_join_element_wise(words, b"", b"\0")  # the last one is the separator
+    size = pc.binary_length(ended).to_numpy().astype(np.int64)
+    end = np.cumsum(size)
+    flat = np.frombuffer(ended.buffers()[2], dtype=np.uint8, count=end[-1])
+    return flat, end - size, size
 
 
 def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +238,14 @@ def hashed_predictors(words: DataFrame) -> np.ndarray:
 # --- mixing ----------------------------------------------------------------------------------
 
 
-def _features(flat: np.ndarray, depth: np.ndarray, hashed: np.ndarray) -> list[np.ndarray]:
-    """Each predictor's eight logistics (in steps) of every byte."""
-    out = []
-    for k, context in enumerate(_contexts(flat, depth)):
-        code, met = pd.factorize((k * SLOTS + context) << 8 | flat)  # each context and byte looked up once
-        out.append(hashed.reshape(-1).take((met >> 8 << 8)[:, None] + _NODE[met & 255]).take(code, axis=0))
+def _features(flat: np.ndarray, depth: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Each predictor's eight logistics (in steps) of every byte, ``SOME`` bytes at a time."""
+    nodes, out = hashed.reshape(-1), np.empty((len(ORDERS), len(flat), 8), dtype=np.int8)
+    for i in range(0, len(flat), SOME):
+        lo, hi = max(0, i - max(ORDERS)), i + SOME  # contexts reach back into the stretch before
+        node = _NODE.take(flat[i: hi], axis=0)
+        for k, context in enumerate(_contexts(flat[lo: hi], depth[lo: hi])):
+            out[k, i: hi] = nodes.take(((k * SLOTS + context[i - lo:]) << 8)[:, None] + node)
     return out
 
 
@@ -254,6 +257,21 @@ def _places(depth: np.ndarray) -> np.ndarray:
     return np.minimum(depth, PLACES - 1)
 
 
+def _lanes(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A lane and an offset in it for each piece, and the lanes' lengths, longest first.  The longest piece goes
+    first, each to the shortest lane, so lanes end at about the same time."""
+    order = np.argsort(-length, kind="stable")
+    sizes = length[order].tolist()
+    heap = [(0, i) for i in range(min(SIDE, len(sizes), -(-sum(sizes) // sizes[0])))]
+    lane, offset = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+    for i, n in zip(order.tolist(), sizes):
+        offset[i], lane[i] = heap[0]
+        heapq.heapreplace(heap, (heap[0][0] + n, heap[0][1]))
+    heap.sort(reverse=True)
+    rank = np.argsort([j for _, j in heap])
+    return rank[lane], offset, np.array([n for n, _ in heap])
+
+
 def online(words: pa.Array, hashed: np.ndarray, ids: np.ndarray, tokens: np.ndarray, weights: np.ndarray, shift: np.ndarray,
            *, rate: float = RATE, map_rate: float = MAP_RATE, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts mixed bit by bit: log10 of the product of each token's bits, and the sums of the weights and maps
@@ -262,62 +280,105 @@ def online(words: pa.Array, hashed: np.ndarray, ids: np.ndarray, tokens: np.ndar
     ``scored`` the first result is 0: training needs the states alone."""
     flat, start, size = _written(words)
     depth = np.arange(len(flat)) - np.repeat(start, size)
-    features, gate = np.stack(_features(flat, depth, hashed)), _places(depth)
+    features = _features(flat, depth, hashed).view(np.int64)[..., 0]  # a predictor's eight bytes as one item
     wide = size[ids]
     end = np.cumsum(wide)
-    rows = np.repeat((start[ids] - end + wide).astype(np.int32), wide)
+    rows = np.repeat(np.append(start[ids] - end + wide, -end[-1]).astype(np.int32), np.append(wide, 1))
     rows += np.arange(len(rows), dtype=np.int32)
     last = end[np.cumsum(tokens) - 1]
     first = np.append(0, last[:-1])
     pieces = -(-(last - first) // SEGMENT)
     first = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
     length = np.minimum(SEGMENT, np.repeat(last, pieces) - first)
-    order = np.argsort(-length, kind="stable")
-    cost = np.zeros(len(rows), dtype=np.float32)
+    lane, offset, total = _lanes(length)
+    m, most = len(total), int(total[0])
+    cost = np.zeros(len(rows) if scored else 0, dtype=np.float32)  # the last item is of lanes that ended
     weights, shift = weights.astype(np.float32), shift.astype(np.float32).ravel()
     weight_sum, shift_sum = np.zeros(weights.shape), np.zeros(shift.shape)
-    step, top, low, high = np.float32(STEP), np.float32(TOP), np.float32(-TOP), np.float32(TOP - 1e-3)
-    per, rate, map_rate = np.float32(CELLS / (2 * TOP)), np.float32(rate), np.float32(map_rate)
-    for lo in range(0, len(order), SIDE):
-        begin, long = first[order[lo: lo + SIDE]], length[order[lo: lo + SIDE]]
-        m = len(begin)
-        mine, home = np.arange(m), np.arange(m * 8).reshape(m, 8) * CELLS
-        table, moved = np.repeat(weights, m, axis=1), np.tile(shift, m)  # a row per predictor, place and text
-        places = table.view(_ROW)[:, :, 0]
-        for t, k in enumerate(np.searchsorted(-long, -np.arange(long[0]), side="left").tolist()):  # texts still running
-            here = begin[:k] + t
-            r = rows.take(here)
-            sign = _SIGN.take(flat.take(r), axis=0)
-            at = gate.take(r)
-            at *= m
-            at += mine[:k]
-            w, x = table.take(at, axis=1), features.take(r, axis=1) * step
+    least, most_s, most_p = (np.full((m, 8), x, dtype=np.float32) for x in (-TOP, TOP - 1e-3, TOP))
+    step, top, one, per = np.float32(STEP), np.float32(TOP), np.float32(1), np.float32(CELLS / (2 * TOP))
+    rate, map_rate = np.float32(rate), np.float32(map_rate)
+    place, mine, home = _places(depth).astype(np.uint8), np.arange(m), np.arange(m * 8).reshape(m, 8) * CELLS
+    moved = np.tile(shift, m)
+    maps, held, n = moved.reshape(m, -1), np.zeros(m), PLACES * m
+    # rows of weights, a row per place and lane: as they stood before the bytes ahead, as texts begin, and after each byte ahead
+    table = np.empty((len(ORDERS), 2 * n + AHEAD * m, 8), dtype=np.float32)
+    table[:, n: 2 * n] = np.repeat(weights, m, axis=1)
+    latest = np.arange(n, 2 * n)
+    latest_of = latest.reshape(PLACES, m)
+
+    def ended(some: np.ndarray) -> None:
+        nonlocal weight_sum, shift_sum
+        weight_sum = weight_sum + np.einsum("pgmb,m->pgb", table.take(latest_of[:, some], axis=1), held[some])
+        shift_sum = shift_sum + held[some] @ maps[some]
+
+    running = np.searchsorted(-total, -np.arange(most), side="left").tolist()  # lanes still running
+    by_offset = np.argsort(offset, kind="stable")
+    turns, turned = np.unique(offset[by_offset], return_index=True)
+    turns, begun = [*turns.tolist(), most], np.split(by_offset, turned[1:])  # where lanes begin a text, and the pieces
+    begin, turn, read = np.zeros(m, dtype=np.int64), 0, 0
+    chances = np.ones((AHEAD, m, 8), dtype=np.float32) if scored else None
+    for since in range(0, most, AHEAD):
+        steps = np.arange(since, min(since + AHEAD, most))[:, None]
+        byte = steps + begin
+        while turns[read] < since + len(steps) and read < len(begun):
+            new = lane[begun[read]]
+            begin[new] = first[begun[read]] - turns[read]
+            byte[turns[read] - since:, new] = steps[turns[read] - since:] + begin[new]
+            read += 1
+        if total[-1] < since + len(steps):
+            byte[steps >= total] = len(rows) - 1
+        ahead = rows.take(byte)
+        bits, ats, symbols = features.take(ahead, axis=1), place.take(ahead) * np.int64(m) + mine, flat.take(ahead)
+        for i in range(len(steps)):
+            if since + i == turns[turn]:
+                new = lane[begun[turn]]
+                if since + i:
+                    ended(new)
+                    latest_of[:, new] = np.arange(n, 2 * n).reshape(PLACES, m)[:, new]
+                    maps[new] = shift
+                held[new] = length[begun[turn]]
+                turn += 1
+            k = running[since + i]
+            at, now = ats[i, :k], 2 * n + i * m
+            w = table.take(latest.take(at), axis=1)
+            latest[at] = mine[:k] + now
+            x = bits[:, i, :k].view(np.int8).astype(np.float32).reshape(len(ORDERS), k, 8)
+            x *= step
+            against = _AGAINST.take(symbols[i, :k], axis=0)
             s, *others = w * x
             for other in others:
                 s += other
-            np.minimum(np.maximum(s, low, out=s), high, out=s)
-            spot = ((s + top) * per).astype(np.int64)
+            np.minimum(np.maximum(s, least[:k], out=s), most_s[:k], out=s)
+            spot = s + top
+            spot *= per
+            spot = spot.astype(np.int64)
             spot += home[:k]
             shifted = moved.take(spot)
             s += shifted
-            np.minimum(np.maximum(s, low, out=s), top, out=s)
-            s *= sign
-            np.exp(np.negative(s, out=s), out=s)
-            q = s + 1  # one over the chance of the bit
-            if scored:
-                cost[here] = np.log(q).sum(axis=1)
+            np.minimum(np.maximum(s, least[:k], out=s), most_p[:k], out=s)
+            s *= against
+            np.exp(s, out=s)
+            q = np.add(s, one, out=chances[i, :k] if scored else None)  # one over the chance of the bit
             s /= q
-            s *= sign  # the bit less its probability
-            moved[spot] = shifted + s * map_rate
+            s *= against  # the probability of a one less the bit
+            shifted -= s * map_rate
+            moved[spot] = shifted
             s *= rate
             x *= s
-            w += x
-            for cells, new in zip(places, w):
-                cells[at] = new.view(_ROW)[:, 0]
-        weight_sum += np.einsum("pgmb,m->pgb", table.reshape(len(ORDERS), PLACES, m, 8), long.astype(np.float64))
-        shift_sum += long.astype(np.float64) @ moved.reshape(m, -1)
-    chance = -np.add.reduceat(cost, end - wide, dtype=np.float64) / np.log(10)
-    return chance, weight_sum, shift_sum.reshape(8, CELLS)
+            np.subtract(w, x, out=table[:, now: now + k])
+        table[:, :n] = table.take(latest, axis=1)
+        latest[:] = np.arange(n)
+        if scored:
+            q = np.log(chances[:len(steps)]).reshape(-1)
+            for _ in range(3):  # a byte's eight bits
+                q = q[0::2] + q[1::2]
+            cost[byte] = q.reshape(byte.shape)
+    ended(mine)
+    if not scored:
+        return np.zeros(len(ids)), weight_sum, shift_sum.reshape(8, CELLS)
+    del rows, features  # room for the sums
+    return -np.add.reduceat(cost[:-1], end - wide, dtype=np.float64) / np.log(10), weight_sum, shift_sum.reshape(8, CELLS)
 
 
 def _first_state() -> tuple[np.ndarray, np.ndarray]:
@@ -359,15 +420,17 @@ def spell(words: pa.Array, hashed: np.ndarray, weights: np.ndarray, shift: np.nd
     return np.concatenate(out)
 
 
-def _numbered(parts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """A number for each distinct word, and the numbers of each part's words."""
-    number, ids = {}, []
-    for part in parts:
-        words = part.split(b"\0")[:-1]
-        for w in dict.fromkeys(words):
-            number.setdefault(w, len(number))
-        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
-    return number, ids
+def _split(parts: list[bytes]) -> pa.DictionaryArray:
+    """The words of the parts one after the other, with a number for each distinct one by its first place."""
+    whole = pa.array([b"".join(parts)[:-1]], pa.large_binary())
+    return pc.split_pattern(whole, pattern="\0").values.dictionary_encode()
+
+
+def _numbered(parts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, the numbers of all parts' words, and each part's count of words."""
+    words = _split(parts)
+    return (words.dictionary.cast(pa.binary()), words.indices.to_numpy().astype(np.int64),
+            np.array([part.count(b"\0") for part in parts]))
 
 
 def mixer(parts: DataFrame, hashed) -> tuple[np.ndarray, np.ndarray]:
@@ -376,9 +439,8 @@ def mixer(parts: DataFrame, hashed) -> tuple[np.ndarray, np.ndarray]:
         state, n, held, size = 0.0, 0, [], 0
 
         def told() -> np.ndarray:
-            number, ids = _numbered(held)
-            _, w, m = online(pa.array(number, pa.binary()), hashed.value, np.concatenate(ids),
-                             np.array([len(x) for x in ids]), *_first_state(), scored=False)
+            words, ids, tokens = _numbered(held)
+            _, w, m = online(words, hashed.value, ids, tokens, *_first_state(), scored=False)
             return np.concatenate([w.ravel(), m.ravel()])
 
         for batch in batches:
@@ -423,18 +485,17 @@ def refine(owner: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _score_block(parts: pa.Table, shared: pa.Table, model, n: int, v: int, once: int) -> pa.Table:
     """Rows (row, doc_id, held, n_tokens, n_known, n_bytes, base, score) of the block's parts."""
-    number, ids = _numbered(parts.column("part").to_pylist())
+    words, ids, tokens = _numbered(parts.column("part").to_pylist())
     held = np.array(parts.column("held").to_pylist())
-    tokens = np.array([len(x) for x in ids])
-    owner, ids = np.repeat(np.arange(len(tokens)), tokens), np.concatenate(ids)
-    count = np.bincount(ids[~held[owner]], minlength=len(number))
-    for w, c in zip(shared.column("word").to_pylist(), shared.column("n").to_pylist()):
-        count[number[w]] = c
-    bits = online(pa.array(number, pa.binary()), model[0], ids, tokens, *model[1:])[0]
+    owner = np.repeat(np.arange(len(tokens)), tokens)
+    count = np.bincount(ids[~held[owner]], minlength=len(words))
+    known_here = pc.index_in(shared.column("word").combine_chunks().cast(pa.binary()), value_set=words)
+    count[known_here.to_numpy(zero_copy_only=False).astype(np.int64)] = shared.column("n").to_numpy()
+    bits = online(words, model[0], ids, tokens, *model[1:])[0]
     known = (n - once) / (n + 1)
     with np.errstate(divide="ignore"):
         chance = _log_sum(np.log10(known * count / max(n, 1))[ids], np.log10(1 - known) + bits)
-    size = np.fromiter(map(len, number), dtype=np.int64) + 1
+    size = pc.binary_length(words).to_numpy() + 1
     base = np.log10((count + BASE) / (n + BASE * (v + 1)))
     total = lambda x: np.bincount(owner, weights=x, minlength=len(tokens))
     return pa.table({"row": parts.column("row"), "doc_id": parts.column("doc_id"), "held": parts.column("held"),
@@ -448,11 +509,12 @@ def score_table(docs: DataFrame) -> DataFrame:
     the bytes scored (n_bytes) and what a byte costs (bits_per_byte)."""
     spark = docs.sparkSession
     parts = blocks(docs)
-    by_word = Window.partitionBy("word")
+    by_word = Window.partitionBy("word").orderBy("block")
+    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = cut_lineage(
         parts.select("block", "held", "part").mapInArrow(_count_words, "block long, word binary, n long")
-        .select("block", "word", F.sum("n").over(by_word).alias("n"), F.count(F.lit(1)).over(by_word).alias("places"),
-                F.row_number().over(by_word.orderBy("block")).alias("place")), "bits-found")
+        .select("block", "word", F.sum("n").over(whole).alias("n"), F.count(F.lit(1)).over(whole).alias("places"),
+                F.row_number().over(by_word).alias("place")), "bits-found")
     words = found.where("place = 1").select("word", "n")
     trained = words.where("n > 0")
     n, v, once = trained.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()

@@ -183,6 +183,38 @@ def test_texts_are_mixed_online(model):
     assert got.sum() > still.sum()
 
 
+def _online(texts, hashed):
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    return bitmixer.online(pa.array(number, pa.binary()), hashed, np.array([number[w] for t in texts for w in t]),
+                           np.array([len(t) for t in texts]), *bitmixer._first_state())
+
+
+def test_lanes_take_the_next_text_when_one_ends(model, monkeypatch):
+    texts = [[b"ab"] * 32 + [b"abc"], *[[b"ab", b"abc", b"abc"]] * 90, *[[b"\n"]] * 5]  # 100, 11 and 2 bytes
+    steps, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **more: steps.append(len(x)) or exp(x, **more))
+    monkeypatch.setattr(bitmixer, "SIDE", 8)
+    got = _online(texts, model[1])[0]
+    assert sum(steps) == 100 + 90 * 11 + 5 * 2 and len(steps) <= sum(steps) / 8 + 11  # a lane never waits for the longest text
+    assert got[:33] == pytest.approx(_looped(texts[0], model[1], *bitmixer._first_state())[0], rel=1e-3)
+    assert all((got[33 + 3 * i: 36 + 3 * i] == got[33:36]).all() for i in range(90))
+
+
+def test_lanes_and_bytes_ahead_leave_results_alone(model, monkeypatch):
+    count, hashed = model
+    monkeypatch.setattr(bitmixer, "SEGMENT", 29)  # within words
+    texts = [t for t in _three_texts(count) for _ in range(3)]
+    found = []
+    for side, ahead in ((1, 1), (3, 7), (1024, 32)):
+        monkeypatch.setattr(bitmixer, "SIDE", side)
+        monkeypatch.setattr(bitmixer, "AHEAD", ahead)
+        found.append(_online(texts, hashed))
+    for got in found[1:]:
+        assert all(x == pytest.approx(y, rel=1e-6, abs=1e-6) for x, y in zip(got, found[0]))
+    whole = texts[0][:next(i for i in range(9) if sum(len(w) + 1 for w in texts[0][:i + 1]) > 29)]
+    assert found[0][0][:len(whole)] == pytest.approx(_looped(whole, hashed, *bitmixer._first_state())[0], rel=1e-3)
+
+
 def test_scores_learn_within_the_text(model):
     count, hashed = model
     texts = _three_texts(count)
